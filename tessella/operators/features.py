@@ -244,3 +244,69 @@ def winsorize(df: DataFrame, cols: list[str], lo: float = 0.01, hi: float = 0.99
             (quoted(c) < pair[0]) | (quoted(c) > pair[1]), F.lit(False)
         )
     return df.withColumns(new)
+
+
+# Column names that suggest a date, and preferred target names.
+DATE_NAMES = r"(?i)(date|period|month|report|time|ym|ts)"
+TARGET_NAMES = ["failed", "target_next", "target", "label_next", "label", "default", "event"]
+
+
+def detect_roles(df: DataFrame) -> DataFrame:
+    """Guess the date, id and 0/1 target column.
+
+    Candidates come from the schema; distinct counts of all of them come from
+    one (column, value) pass.  The id column has the distinct count nearest to
+    rows per month, text columns being favoured.
+    """
+    import re
+
+    from tessella.operators.quality import distinct_counts
+
+    dates = [c for c, t in df.dtypes if t in ("date", "timestamp", "timestamp_ntz")]
+    named = [c for c in dates if re.search(DATE_NAMES, c)] or dates
+    if not named:
+        raise ValueError("no date column")
+    date = named[0]
+    months = df.select(F.trunc(date, "month").alias("m")).distinct().agg(F.count("*").alias("n"))
+    numeric = [c for c, t in df.dtypes if t in ("int", "bigint", "boolean", "smallint", "tinyint")]
+    binary = _binary_columns(df, numeric).filter("is_binary")
+    place = {n: i for i, n in enumerate(TARGET_NAMES)}
+    order = F.lit(len(place))
+    for n, i in place.items():
+        order = F.when(F.lower("column_name") == n, i).otherwise(order)
+    target = binary.orderBy(order, "position").limit(1).select("column_name").scalar()
+
+    text = [c for c, t in df.dtypes if t == "string"]
+    others = [c for c in df.columns if c != date]
+    stats = one_row(df, rows=F.count("*"))
+    n_months = months.scalar()
+    guess = F.greatest(F.lit(1), F.bround(stats["rows"] / F.greatest(F.lit(1), n_months)))
+    scored = (
+        distinct_counts(df, others)
+        .filter((F.col("distinct_values") > 1) & (F.col("distinct_values") < stats["rows"] * 0.95))
+        .withColumn(
+            "gap",
+            F.abs(F.col("distinct_values") - guess)
+            * F.when(F.col("column_name").isin(text), 0.5).otherwise(1.0),
+        )
+    )
+    best = scored.orderBy("gap", "column_name").limit(1)
+    return best.select(
+        n_months.alias("months"),
+        F.col("distinct_values").alias("ids"),
+        F.lit(date).alias("date_column"),
+        F.col("column_name").alias("id_column"),
+        target.alias("target_column"),
+    )
+
+
+def _binary_columns(df: DataFrame, cols: list[str]) -> DataFrame:
+    per_col = [
+        F.struct(
+            F.lit(c).alias("column_name"),
+            F.lit(i).alias("position"),
+            F.coalesce(F.min(quoted(c).cast("long").isin(0, 1).cast("int")) == 1, F.lit(False)).alias("is_binary"),
+        )
+        for i, c in enumerate(cols)
+    ]
+    return df.agg(F.array(*per_col).alias("r")).select(F.inline("r"))

@@ -1,6 +1,8 @@
 """Imports every query family so that the registry is complete."""
 
-from tessella.plans import panels
+from tessella.plans import cleaning, panels, ratio, resolution, timeseries
 from tessella.plans.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "panels"]
+FAMILIES = (panels, cleaning, resolution, timeseries, ratio)
+
+__all__ = ["FAMILIES", "ORACLES", "QUERIES"]

@@ -86,24 +86,19 @@ def detect_header(cells: DataFrame) -> DataFrame:
     half of its cells being non-numeric text; otherwise the default.
     """
     text = F.lower(F.trim("value"))
-    lo, hi = HEADER_ROWS
     filled = F.col("value").isNotNull()
     wordy = filled & (text != "") & ~text.rlike(r"^\d+$") & (text != "nan")
-    per_row = (
-        cells.filter(F.col("row").between(lo, hi))
-        .groupBy("file", "sheet", "row")
-        .agg(
-            F.count(F.when(filled, 1)).alias("n"),
-            F.count(F.when(wordy, 1)).alias("words"),
-            F.max(F.coalesce(text.contains("bank"), F.lit(False))).alias("bank"),
-        )
-        .filter(F.col("bank") & (F.col("words") >= F.col("n") * 0.5))
-        .groupBy("file", "sheet")
-        .agg(F.min("row").alias("found"))
+    # All rows outside the search range share one slot, so one pass serves both
+    # the search and the list of sheets.
+    slot = F.when(F.col("row").between(*HEADER_ROWS), F.col("row")).alias("slot")
+    per_row = cells.groupBy("file", "sheet", slot).agg(
+        F.count(F.when(filled, 1)).alias("n"),
+        F.count(F.when(wordy, 1)).alias("words"),
+        F.max(F.coalesce(text.contains("bank"), F.lit(False))).alias("bank"),
     )
-    sheets = cells.select("file", "sheet").distinct()
-    return sheets.join(per_row, ["file", "sheet"], "left").select(
-        "file", "sheet", F.coalesce("found", F.lit(DEFAULT_HEADER_ROW)).alias("header_row")
+    valid = F.col("bank") & (F.col("words") >= F.col("n") * 0.5)
+    return per_row.groupBy("file", "sheet").agg(
+        F.coalesce(F.min(F.when(valid, F.col("slot"))), F.lit(DEFAULT_HEADER_ROW)).alias("header_row")
     )
 
 
@@ -168,14 +163,13 @@ def entity_estimate(records: DataFrame, keys: list[str], name: str, low: int = 1
     """Distinct entity names per file without aggregate rows, with a band."""
     text = F.lower(F.trim(F.col(name)))
     aggregate = text.rlike("(?iu)" + "|".join(AGGREGATE_WORDS))
-    names = records.filter(F.col(name).isNotNull() & (text != "") & ~aggregate).select(*keys, name).distinct()
-    files = records.select(*keys).distinct()
-    counts = names.groupBy(*keys).agg(F.count("*").alias("n"))
-    n = F.coalesce(F.col("n"), F.lit(0))
-    return files.join(counts, keys, "left").select(
-        *keys,
-        n.alias("entity_count"),
-        F.when(n < low, "low").when(n > high, "high").otherwise("ok").alias("band"),
+    real = F.col(name).isNotNull() & (text != "") & ~aggregate
+    per_name = records.groupBy(*keys, name).agg(F.max(real).alias("real"))
+    n = F.col("entity_count")
+    return (
+        per_name.groupBy(*keys)
+        .agg(F.count(F.when(F.col("real"), 1)).alias("entity_count"))
+        .withColumn("band", F.when(n < low, "low").when(n > high, "high").otherwise("ok"))
     )
 
 
