@@ -78,10 +78,11 @@ def fold_rows(df: DataFrame, period: str, folds: DataFrame) -> DataFrame:
         F.collect_list(F.struct("fold", "train_end", "val_month")).alias("f")
     ).scalar()
     month = F.last_day(period)
-    mine = F.filter(packed, lambda f: (month <= f["train_end"]) | (month == f["val_month"]))
+    mine = F.filter("_folds", lambda f: (month <= f["train_end"]) | (month == f["val_month"]))
     return (
-        df.withColumn("_fold", F.explode(mine))
+        df.withColumn("_folds", packed)
+        .withColumn("_fold", F.explode(mine))
         .withColumn("fold", F.col("_fold.fold"))
         .withColumn("role", F.when(month <= F.col("_fold.train_end"), "train").otherwise("validate"))
-        .drop("_fold")
+        .drop("_fold", "_folds")
     )
