@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.operators.series import quoted
+from tessella.session import materialize
 
 
 def _pairs(k: int) -> list[tuple[int, int]]:
@@ -113,13 +114,15 @@ def panel_ols(
         "r2_within double, r2_between double, r2_total double, f_stat double, nobs long, entities long"
     )
     data = df.select(entity, period, *[quoted(c).cast("double").alias(c) for c in [y, *xs]]).na.drop()
-    if data.count() <= min_rows:
+    # Read many times below: written once instead of recomputing the input.
+    data = materialize(data, "panel-ols")
+    rows, raw = gram(data, [quoted(c) for c in [y, *xs]])
+    if rows <= min_rows:
         return spark.createDataFrame([], schema)
     demeaned, _ = two_way_demean(data, entity, period, [y, *xs])
     demeaned = demeaned.persist()
     try:
         n, g = gram(demeaned, [quoted(f"{c}_within") for c in [y, *xs]])
-        _, raw = gram(data, [quoted(c) for c in [y, *xs]])
         kept: list[int] = []
         for i in range(1, len(xs) + 1):
             idx = [*kept, i]
@@ -149,8 +152,9 @@ def panel_ols(
         cov = bread @ meat @ bread * adjust
         se = np.sqrt(np.clip(np.diag(cov), 0, None))
         rss = float(g[0, 0] - beta @ g[kept, 0])
-        r2_within = 1 - rss / g[0, 0] if g[0, 0] > 0 else None
-        f_stat = ((g[0, 0] - rss) / k) / (rss / dof) if rss > 0 else None
+        tss = float(g[0, 0])
+        r2_within = 1 - rss / tss if tss > 0 else None
+        f_stat = ((tss - rss) / k) / (rss / dof) if rss > 0 else None
 
         def r2_raw(frame: DataFrame) -> float | None:
             pred = sum((quoted(c) * float(b) for c, b in zip(names, beta)), F.lit(0.0))
@@ -279,7 +283,7 @@ def logit_wald(df: DataFrame, features: list[str], coefs: list[float], intercept
     cov = np.linalg.pinv(hessian, hermitian=True)
     rows = []
     for i, (name, b) in enumerate(zip(["intercept", *features], [intercept, *coefs])):
-        se = math.sqrt(max(cov[i, i], 0.0))
+        se = math.sqrt(max(float(cov[i, i]), 0.0))
         stat = float(b) / se if se > 0 else None
         pv = math.erfc(abs(stat) / math.sqrt(2)) if stat is not None else None
         rows.append(

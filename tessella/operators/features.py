@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessella.functions.numeric import clip, is_infinite
 from tessella.operators.quantiles import percentile_map
 from tessella.operators.series import quoted
-from tessella.session import one_row
+from tessella.session import bound, one_row
 
 
 def add_lags(df: DataFrame, entity: str, period: str, cols: list[str], lags: list[int]) -> DataFrame:
@@ -41,13 +41,13 @@ def zscore(df: DataFrame, cols: list[str], ddof: int = 1) -> DataFrame:
     std = F.stddev_samp if ddof == 1 else F.stddev_pop
     aggs = {f"m{i}": F.avg(quoted(c)) for i, c in enumerate(cols)}
     aggs |= {f"s{i}": std(quoted(c)) for i, c in enumerate(cols)}
-    stats = one_row(df, **aggs)
+    with_stats = bound(df, "_stats", one_row(df, **aggs))
     new = {}
     for i, c in enumerate(cols):
-        mean, dev = stats[f"m{i}"], stats[f"s{i}"]
+        mean, dev = F.col(f"_stats.m{i}"), F.col(f"_stats.s{i}")
         flat = F.when(quoted(c).isNotNull(), F.lit(0.0))
         new[f"{c}_z"] = F.when(dev > 0, (quoted(c) - mean) / dev).otherwise(flat)
-    return df.withColumns(new)
+    return with_stats.withColumns(new).drop("_stats")
 
 
 def fit_impute(train: DataFrame, cols: list[str]) -> Column:
@@ -57,10 +57,12 @@ def fit_impute(train: DataFrame, cols: list[str]) -> Column:
 
 def apply_impute(df: DataFrame, medians: Column, cols: list[str]) -> DataFrame:
     filled = {
-        c: F.coalesce(quoted(c).cast("double"), F.try_element_at(medians, F.lit(c))[0], F.lit(0.0))
+        c: F.coalesce(
+            quoted(c).cast("double"), F.try_element_at("_medians", F.lit(c))[0], F.lit(0.0)
+        )
         for c in cols
     }
-    return df.withColumns(filled)
+    return bound(df, "_medians", medians).withColumns(filled).drop("_medians")
 
 
 def fit_scale(train: DataFrame, cols: list[str]) -> Column:
@@ -74,10 +76,11 @@ def apply_scale(df: DataFrame, stats: Column, cols: list[str], with_mean: bool =
     """Standardise; a constant column is divided by one."""
     new = {}
     for i, c in enumerate(cols):
-        dev = F.when(stats[f"s{i}"] > 0, stats[f"s{i}"]).otherwise(F.lit(1.0))
-        centre = stats[f"m{i}"] if with_mean else F.lit(0.0)
+        s = F.col(f"_stats.s{i}")
+        dev = F.when(s > 0, s).otherwise(F.lit(1.0))
+        centre = F.col(f"_stats.m{i}") if with_mean else F.lit(0.0)
         new[c] = (quoted(c) - centre) / dev
-    return df.withColumns(new)
+    return bound(df, "_stats", stats).withColumns(new).drop("_stats")
 
 
 def preprocess(
@@ -98,9 +101,9 @@ def preprocess(
 
 def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """Balanced weights n / (2 n_c)."""
-    s = one_row(df, n=F.count(label), pos=F.sum(F.col(label).cast("long")))
-    size = F.when(F.col(label) == 1, s["pos"]).otherwise(s["n"] - s["pos"])
-    return df.withColumn(out, F.try_divide(s["n"].cast("double"), size * 2))
+    counted = bound(df, "_s", one_row(df, n=F.count(label), pos=F.sum(F.col(label).cast("long"))))
+    size = F.when(F.col(label) == 1, F.col("_s.pos")).otherwise(F.col("_s.n") - F.col("_s.pos"))
+    return counted.withColumn(out, F.try_divide(F.col("_s.n").cast("double"), size * 2)).drop("_s")
 
 
 def downsample_negatives(
@@ -123,8 +126,10 @@ def downsample_negatives(
     before = F.sum("_n").over(
         Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = counts.select("_range", F.coalesce(before, F.lit(0)).alias("_before"), "_n")
-    quota = pos * ratio
+    offsets = counts.select(
+        "_range", F.coalesce(before, F.lit(0)).alias("_before"), "_n", (pos * ratio).alias("_quota")
+    )
+    quota = F.col("_quota")
     placed = negatives.join(F.broadcast(offsets), "_range")  # at most 4096 rows
     whole = placed.filter(F.col("_before") + F.col("_n") <= quota)
     w = Window.partitionBy("_range").orderBy("_h", *keys)
@@ -235,15 +240,15 @@ def drop_matching(
 
 def winsorize(df: DataFrame, cols: list[str], lo: float = 0.01, hi: float = 0.99) -> DataFrame:
     """Clip to exact [lo, hi] percentiles; ``<col>_clipped`` marks changed rows."""
-    bounds = percentile_map(df, cols, [lo, hi])
+    with_bounds = bound(df, "_bounds", percentile_map(df, cols, [lo, hi]))
     new = {}
     for c in cols:
-        pair = F.try_element_at(bounds, F.lit(c))
+        pair = F.try_element_at("_bounds", F.lit(c))
         new[c] = clip(quoted(c), pair[0], pair[1])
         new[f"{c}_clipped"] = F.coalesce(
             (quoted(c) < pair[0]) | (quoted(c) > pair[1]), F.lit(False)
         )
-    return df.withColumns(new)
+    return with_bounds.withColumns(new).drop("_bounds")
 
 
 # Column names that suggest a date, and preferred target names.

@@ -25,7 +25,7 @@ from tessella.operators.features import (
 )
 from tessella.operators.labels import period_slices
 from tessella.operators.metrics import ranking_metrics
-from tessella.session import materialize
+from tessella.session import freeze, materialize
 
 
 @dataclass
@@ -84,8 +84,8 @@ def fit_gbt(
 
 def prepare(train: DataFrame, frames: list[DataFrame], features: list[str], with_mean: bool = True) -> list[DataFrame]:
     """Impute and scale with statistics of ``train`` only."""
-    medians = fit_impute(train, features)
-    stats = fit_scale(apply_impute(train, medians, features), features)
+    medians = freeze(train, fit_impute(train, features))
+    stats = freeze(train, fit_scale(apply_impute(train, medians, features), features))
     return [apply_scale(apply_impute(f, medians, features), stats, features, with_mean) for f in frames]
 
 

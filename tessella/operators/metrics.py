@@ -182,7 +182,7 @@ def mutual_information(df: DataFrame, features: list[str], label: str, bins: int
     Equal-width bins between the feature's minimum and maximum; only the
     counts per (feature, bin, label) are shuffled.
     """
-    from tessella.session import one_row
+    from tessella.session import bound, one_row
 
     stats = one_row(
         df,
@@ -191,11 +191,11 @@ def mutual_information(df: DataFrame, features: list[str], label: str, bins: int
     )
 
     def slot(i: int, c: str):
-        lo, hi = stats[f"a{i}"], stats[f"b{i}"]
+        lo, hi = F.col(f"_stats.a{i}"), F.col(f"_stats.b{i}")
         raw = F.floor(F.try_divide(quoted(c) - lo, hi - lo) * bins).cast("int")
         return F.when(quoted(c).isNotNull(), F.coalesce(F.least(raw, F.lit(bins - 1)), F.lit(0))).alias(c)
 
-    binned = df.select(F.col(label).alias("y"), *[slot(i, c) for i, c in enumerate(features)])
+    binned = bound(df, "_stats", stats).select(F.col(label).alias("y"), *[slot(i, c) for i, c in enumerate(features)])
     cells = (
         binned.unpivot(["y"], [quoted(c) for c in features], "feature", "bin")
         .filter("bin is not null")

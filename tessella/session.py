@@ -62,3 +62,22 @@ def one_row(df: DataFrame, **aggregates: Column) -> Column:
     """
     fields = [expr.alias(name) for name, expr in aggregates.items()]
     return df.agg(F.struct(*fields).alias("stats")).scalar()
+
+
+def bound(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Carry a scalar value as a column, so that a projection which uses it
+    many times plans its subquery once."""
+    return df.withColumn(name, value)
+
+
+def freeze(df: DataFrame, value: Column) -> Column:
+    """Evaluate a scalar struct or map now and return it as a literal.
+
+    For model fits, which read their input many times: fitted statistics (one
+    number or two per feature) are computed once.
+    """
+    got = df.sparkSession.range(1).select(value.alias("v")).first()["v"]
+    if isinstance(got, dict):
+        pairs = [x for k, v in got.items() for x in (F.lit(k), F.array(*[F.lit(float(i)) for i in v]))]
+        return F.create_map(*pairs)
+    return F.struct(*[F.lit(v).cast("double").alias(k) for k, v in got.asDict().items()])
