@@ -106,21 +106,23 @@ def cv_select(
 
     Folds and grid are short lists; every fit runs on all its train rows.
     """
-    spark = folds.sparkSession
-    rows = []
+    parts, cached = [], []
     for (fold,) in folds.select("fold").distinct().orderBy("fold").collect():
         part = folds.filter(F.col("fold") == fold)
         train, valid = (part.filter(F.col("role") == r) for r in ("train", "validate"))
         tr, va = prepare(train, [train, valid], features)
         tr, va = tr.persist(), va.persist()
+        cached += [tr, va]
         for c in cs:
             p = fit_logistic(tr, features, label, c=c, l1=l1).score(va)
-            value = ranking_metrics(p, label, "p").first()[metric]
-            rows.append((float(c), int(fold), value))
-        tr.unpersist(), va.unpersist()
-    scored = spark.createDataFrame(rows, "c double, fold int, value double")
-    return scored.groupBy("c").agg(
-        F.avg("value").alias("mean_metric"), F.count("value").alias("folds")
+            parts.append(p.select(F.lit(float(c)).alias("c"), F.lit(fold).alias("fold"), label, "p"))
+    # One pass scores and ranks every (C, fold) together.
+    scored = reduce(DataFrame.unionByName, parts)
+    per_fold = materialize(ranking_metrics(scored, label, "p", ["c", "fold"], listed_groups=True), "cv")
+    for frame in cached:
+        frame.unpersist()
+    return per_fold.groupBy("c").agg(
+        F.avg(metric).alias("mean_metric"), F.count(metric).alias("folds")
     ).orderBy(F.desc_nulls_last("mean_metric"), "c")
 
 
@@ -224,14 +226,12 @@ def sweep_top_k(
     train: DataFrame, test: DataFrame, ranked: list[str], label: str, ks: list[int]
 ) -> DataFrame:
     """Refit on the k most important features for several k."""
-    spark = train.sparkSession
-    rows = []
+    parts = []
     for k in ks:
-        cols = ranked[:k]
-        fit = fit_logistic(train, cols, label, l1=True)
-        m = ranking_metrics(fit.score(test), label, "p").first()
-        rows.append((k, m["roc_auc"], m["average_precision"]))
-    return spark.createDataFrame(rows, "k int, roc_auc double, average_precision double")
+        fit = fit_logistic(train, ranked[:k], label, l1=True)
+        parts.append(fit.score(test).select(F.lit(k).alias("k"), label, "p"))
+    metrics = ranking_metrics(reduce(DataFrame.unionByName, parts), label, "p", ["k"], listed_groups=True)
+    return metrics.select("k", "roc_auc", "average_precision")
 
 
 def score_at(

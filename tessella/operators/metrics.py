@@ -13,7 +13,9 @@ from tessella.operators.quantiles import ordered_totals
 from tessella.operators.series import quoted
 
 
-def score_table(df: DataFrame, label: str, score: str, groups: list[str] | None = None) -> DataFrame:
+def score_table(
+    df: DataFrame, label: str, score: str, groups: list[str] | None = None, listed_groups: bool = False
+) -> DataFrame:
     """Per distinct score: tp, fp, running TP/FP (score and above), totals."""
     groups = list(groups or [])
     y = F.col(label).cast("long")
@@ -22,7 +24,7 @@ def score_table(df: DataFrame, label: str, score: str, groups: list[str] | None
         .groupBy(*groups, F.col(score).alias("score"))
         .agg(F.sum(y).alias("tp"), F.sum(1 - y).alias("fp"))
     )
-    return ordered_totals(counts, "score", ["tp", "fp"], groups)
+    return ordered_totals(counts, "score", ["tp", "fp"], groups, listed_groups=listed_groups)
 
 
 def pr_curve(table: DataFrame) -> DataFrame:
@@ -45,9 +47,11 @@ def _ranking_aggs():
     }
 
 
-def ranking_metrics(df: DataFrame, label: str, score: str, groups: list[str] | None = None) -> DataFrame:
+def ranking_metrics(
+    df: DataFrame, label: str, score: str, groups: list[str] | None = None, listed_groups: bool = False
+) -> DataFrame:
     """ROC-AUC (null for one class) and average precision over thresholds."""
-    table = score_table(df, label, score, groups)
+    table = score_table(df, label, score, groups, listed_groups)
     aggs = [
         F.max("all_tp").alias("positives"),
         F.max("all_fp").alias("negatives"),
@@ -172,7 +176,7 @@ def univariate_auc(df: DataFrame, features: list[str], label: str) -> DataFrame:
     long = df.select(F.col(label).alias("y"), *[quoted(c).cast("double").alias(c) for c in features]).unpivot(
         ["y"], [quoted(c) for c in features], "feature", "value"
     )
-    auc = ranking_metrics(long, "y", "value", ["feature"]).select("feature", "roc_auc")
+    auc = ranking_metrics(long, "y", "value", ["feature"], listed_groups=True).select("feature", "roc_auc")
     return auc.withColumn("power", F.greatest("roc_auc", 1 - F.col("roc_auc")))
 
 

@@ -9,41 +9,52 @@ from pyspark.sql import functions as F
 from tessella.operators.series import quoted
 
 
+# Ordered ranges per group; a power of two, for the binary search.
+N_RANGES = 64
+
+
 def ordered_totals(
     df: DataFrame,
     order: str,
     sums: list[str],
     groups: list[str] | None = None,
     descending: bool = True,
-    n_ranges: int = 64,
+    listed_groups: bool = False,
 ) -> DataFrame:
     """Add ``run_<sum>`` (inclusive running sum) and ``all_<sum>`` (total).
 
-    Input: one row per (groups, order value), i.e. already aggregated, where
-    ``groups`` is a short list such as columns, folds or slices.  Each group is
-    cut into ordered ranges at approximate quantiles of its distinct values;
+    Input: one row per (groups, order value), i.e. already aggregated.  Each
+    group is cut into ordered ranges at approximate quantiles of its distinct values;
     ranges are summed, offset and accumulated locally.  The cut points only
     balance the tasks: the result is exact wherever they fall.
+
+    ``listed_groups`` says that the groups come from a list in the caller's
+    code (columns, folds, budgets), so the two side tables, at most 64 rows or
+    one array of 63 values per group, may be broadcast.  Other groups have no
+    such bound and the optimizer chooses by size.
     """
     groups = list(groups or [])
-    probs = F.array(*[F.lit(i / n_ranges) for i in range(1, n_ranges)])
+    small = F.broadcast if listed_groups or not groups else (lambda side: side)
+    probs = F.array(*[F.lit(i / N_RANGES) for i in range(1, N_RANGES)])
     cuts = F.percentile_approx(order, probs, F.lit(1000))
     if groups:
-        # One array of n_ranges values per group of a short list.
-        with_cuts = df.join(
-            F.broadcast(df.groupBy(*groups).agg(cuts.alias("_cuts"))), groups
-        )
+        with_cuts = df.join(small(df.groupBy(*groups).agg(cuts.alias("_cuts"))), groups)
     else:
         with_cuts = df.withColumn("_cuts", df.agg(cuts.alias("c")).scalar())
-    ranged = with_cuts.withColumn(
-        "_range", F.size(F.filter("_cuts", lambda c: c < F.col(order)))
-    ).drop("_cuts")
+    # Number of cut points below the value, by binary search in generated code.
+    ranged = with_cuts.withColumn("_range", F.lit(0))
+    step = N_RANGES // 2
+    while step:
+        below = F.get("_cuts", F.col("_range") + (step - 1)) < F.col(order)
+        ranged = ranged.withColumn("_range", F.col("_range") + F.when(below, step).otherwise(0))
+        step //= 2
+    ranged = ranged.drop("_cuts")
 
     direction = F.desc if descending else F.asc
     per_range = ranged.groupBy(*groups, "_range").agg(
         *[F.sum(s).alias(f"_sum_{s}") for s in sums]
     )
-    # At most n_ranges rows per group from here on.
+    # At most N_RANGES rows per group from here on.
     g = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
     earlier = g.orderBy(direction("_range")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_range.select(
@@ -58,7 +69,7 @@ def ordered_totals(
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     running = ranged.withColumns({f"_run_{s}": F.sum(s).over(local) for s in sums})
-    joined = running.join(F.broadcast(offsets), [*groups, "_range"])
+    joined = running.join(small(offsets), [*groups, "_range"])
     out = joined.withColumns({f"run_{s}": F.col(f"_run_{s}") + F.col(f"_off_{s}") for s in sums})
     return out.drop("_range", *[f"_run_{s}" for s in sums], *[f"_off_{s}" for s in sums])
 
@@ -76,7 +87,7 @@ def percentiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame
         .groupBy("column_name", "value")
         .agg(F.count("*").alias("n"))
     )
-    placed = ordered_totals(counted, "value", ["n"], ["column_name"], descending=False)
+    placed = ordered_totals(counted, "value", ["n"], ["column_name"], descending=False, listed_groups=True)
     start = F.col("run_n") - F.col("n")
     asked = placed.withColumn("prob", F.explode(F.array(*[F.lit(p) for p in probs]))).withColumn(
         "h", (F.col("all_n") - 1) * F.col("prob")

@@ -102,7 +102,7 @@ def top_percent(
         F.count("*").alias("m"), F.sum("_y").cast("long").alias("t"), F.max("need").alias("need")
     )
     inside = (
-        ordered_totals(per_tie, "_tie", ["m"], ["percent"], descending=False)
+        ordered_totals(per_tie, "_tie", ["m"], ["percent"], descending=False, listed_groups=True)
         .filter(F.col("run_m") <= F.col("need"))
         .groupBy("percent")
         .agg(F.sum("t").alias("tp_edge"))

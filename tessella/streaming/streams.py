@@ -43,7 +43,10 @@ def _write_batch(path: str) -> Callable[[DataFrame, int], None]:
 
 def run_available(stream: DataFrame, name: str, mode: str, work: str | None = None) -> str:
     """Process all files present, once; returns the output folder."""
-    work = work or scratch_path(stream.sparkSession, name)
+    spark = stream.sparkSession
+    work = work or scratch_path(spark, name)
+    # Sessions of a busy entity are merged in the map tasks before the shuffle.
+    spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     query = (
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", f"{work}/checkpoint")
