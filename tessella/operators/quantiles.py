@@ -9,10 +9,32 @@ from pyspark.sql import functions as F
 from tessella.operators.series import quoted
 
 
-# Ordered ranges per group; a power of two, for the binary search.
+# Ordered ranges per group; a power of four, for the search below.
 N_RANGES = 64
 
 
+def _cut_points(value: Column | str, n: int) -> Column:
+    """n - 1 approximate quantiles, from a mergeable sketch."""
+    probs = F.array(*[F.lit(i / n) for i in range(1, n)])
+    return F.percentile_approx(value, probs, F.lit(max(1000, 4 * n)))
+
+
+def _find_range(df: DataFrame, value: str, n: int) -> DataFrame:
+    """Replace ``_cuts`` by ``_range``, the number of cut points below the
+    value: a four-way search that stays in generated code.  ``n`` is a power
+    of four."""
+    out = df.withColumn("_range", F.lit(0))
+    step = n // 4
+    while step:
+        place = F.lit(0)
+        for quarter in (1, 2, 3):
+            cut = F.get("_cuts", F.col("_range") + (quarter * step - 1))
+            place = F.when(cut < F.col(value), quarter * step).otherwise(place)
+        out = out.withColumn("_range", F.col("_range") + place)
+        step //= 4
+    return out.drop("_cuts")
+
+
 def ordered_totals(
     df: DataFrame,
     order: str,
@@ -35,20 +57,12 @@ def ordered_totals(
     """
     groups = list(groups or [])
     small = F.broadcast if listed_groups or not groups else (lambda side: side)
-    probs = F.array(*[F.lit(i / N_RANGES) for i in range(1, N_RANGES)])
-    cuts = F.percentile_approx(order, probs, F.lit(1000))
+    cuts = _cut_points(order, N_RANGES)
     if groups:
         with_cuts = df.join(small(df.groupBy(*groups).agg(cuts.alias("_cuts"))), groups)
     else:
         with_cuts = df.withColumn("_cuts", df.agg(cuts.alias("c")).scalar())
-    # Number of cut points below the value, by binary search in generated code.
-    ranged = with_cuts.withColumn("_range", F.lit(0))
-    step = N_RANGES // 2
-    while step:
-        below = F.get("_cuts", F.col("_range") + (step - 1)) < F.col(order)
-        ranged = ranged.withColumn("_range", F.col("_range") + F.when(below, step).otherwise(0))
-        step //= 2
-    ranged = ranged.drop("_cuts")
+    ranged = _find_range(with_cuts, order, N_RANGES)
 
     direction = F.desc if descending else F.asc
     per_range = ranged.groupBy(*groups, "_range").agg(
@@ -74,34 +88,63 @@ def ordered_totals(
     return out.drop("_range", *[f"_run_{s}" for s in sums], *[f"_off_{s}" for s in sums])
 
 
+# Ranges per column when percentiles are located; a power of four.
+N_SELECT = 256
+
+
 def percentiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
     """Exact linear-interpolation percentiles: (column_name, prob, value).
 
-    Values are counted first (map-side combine), then located by running
-    counts, so no task ever holds all distinct values of a column.
+    A selection, not a sort: rows are counted per range of each column (map-side
+    combine leaves at most columns x 256 rows to shuffle), and only the values
+    of the one or two ranges that hold an asked rank are shuffled and ranked,
+    split once more so that no task ranks a whole range.
     """
     numeric = df.select(*[quoted(c).cast("double").alias(c) for c in cols])
-    counted = (
-        numeric.unpivot([], [quoted(c) for c in cols], "column_name", "value")
-        .filter(F.col("value").isNotNull() & ~F.isnan("value"))
-        .groupBy("column_name", "value")
-        .agg(F.count("*").alias("n"))
+    cut_map = F.create_map(*[x for c in cols for x in (F.lit(c), _cut_points(quoted(c), N_SELECT))])
+    long = numeric.unpivot([], [quoted(c) for c in cols], "column_name", "value").filter(
+        F.col("value").isNotNull() & ~F.isnan("value")
     )
-    placed = ordered_totals(counted, "value", ["n"], ["column_name"], descending=False, listed_groups=True)
-    start = F.col("run_n") - F.col("n")
-    asked = placed.withColumn("prob", F.explode(F.array(*[F.lit(p) for p in probs]))).withColumn(
-        "h", (F.col("all_n") - 1) * F.col("prob")
+    cuts = F.try_element_at(numeric.agg(cut_map.alias("m")).scalar(), F.col("column_name"))
+    placed = _find_range(long.withColumn("_cuts", cuts), "value", N_SELECT)
+
+    per_range = placed.groupBy("column_name", "_range").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("column_name")  # at most 256 rows per column
+    before = F.sum("n").over(w.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = per_range.select(
+        "column_name",
+        "_range",
+        "n",
+        F.coalesce(before, F.lit(0)).alias("before"),
+        F.sum("n").over(w).alias("total"),
+    )
+    ranks = F.array(*[F.struct(F.lit(float(p)).alias("prob")) for p in probs])
+    h = (F.col("total") - 1) * F.col("prob")
+
+    def asked(rows: DataFrame, start: Column, stop: Column) -> DataFrame:
+        """Keep (row, prob) pairs whose rank or the rank after it lies inside."""
+        named = rows.select("*", F.inline(ranks))
+        return named.filter((start <= F.ceil(h)) & (F.floor(h) < stop))
+
+    wanted = asked(offsets, F.col("before"), F.col("before") + F.col("n")).select(
+        "column_name", "_range", "before", "total"
     )
+    # At most two ranges per column and probability.
+    chosen = placed.join(F.broadcast(wanted.distinct()), ["column_name", "_range"])
+    counted = chosen.groupBy("column_name", "_range", "before", "total", "value").agg(
+        F.count("*").alias("n")
+    )
+    counted = counted.withColumnRenamed("_range", "held_in")
+    ranked = ordered_totals(
+        counted, "value", ["n"], ["column_name", "held_in"], descending=False, listed_groups=True
+    ).withColumn("stop", F.col("before") + F.col("run_n"))
+    start, stop = F.col("stop") - F.col("n"), F.col("stop")
 
     def at(position: Column) -> Column:
-        inside = (start <= position) & (position < F.col("run_n"))
-        return F.max(F.when(inside, F.col("value")))
-
-    found = asked.filter((start <= F.ceil("h")) & (F.floor("h") < F.col("run_n")))
-    return found.groupBy("column_name", "prob").agg(
-        at(F.floor("h")).alias("lo"),
-        at(F.ceil("h")).alias("hi"),
-        F.max(F.col("h") - F.floor("h")).alias("w"),
+        return F.max(F.when((start <= position) & (position < stop), F.col("value")))
+
+    return asked(ranked, start, stop).groupBy("column_name", "prob").agg(
+        at(F.floor(h)).alias("lo"), at(F.ceil(h)).alias("hi"), F.max(h - F.floor(h)).alias("w")
     ).select(
         "column_name", "prob", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("w")).alias("value")
     )

@@ -109,12 +109,15 @@ def cells_to_records(
 
     Output: file, sheet, row, ``bank_name`` and one string column per name.
     """
-    placed = cells.join(headers, ["file", "sheet"])
-    heads = placed.filter("row = header_row").select(
-        "file", "sheet", "col", F.lower(F.trim("value")).alias("header")
+    search = F.col("row").between(*HEADER_ROWS)
+    heads = (
+        cells.filter(search)
+        .join(headers, ["file", "sheet"])
+        .filter("row = header_row")
+        .select("file", "sheet", "col", "header_row", F.lower(F.trim("value")).alias("header"))
     )
-    body = placed.filter("row > header_row").drop("header_row")
-    named = body.join(heads, ["file", "sheet", "col"])
+    # The cells take part in one join only; the header row comes with the label.
+    named = cells.join(heads, ["file", "sheet", "col"]).filter("row > header_row")
     wide = (
         named.groupBy("file", "sheet", "row")
         .pivot("header", [entity_header, *[n.lower() for n in names]])
