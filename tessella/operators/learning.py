@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml import Model
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
@@ -25,6 +25,7 @@ from tessella.operators.features import (
 )
 from tessella.operators.labels import period_slices
 from tessella.operators.metrics import ranking_metrics
+from tessella.operators.series import quoted
 from tessella.session import freeze, materialize
 
 
@@ -36,8 +37,14 @@ class Fitted:
     features: list[str]
 
     def score(self, df: DataFrame, out: str = "p") -> DataFrame:
-        wide = assemble(df, self.features)
-        scored = self.model.transform(wide)
+        if isinstance(self.model, LogisticRegressionModel):
+            # A plain expression: no vector, and the model object (whose
+            # training summary holds the session) never goes to the tasks.
+            margin = F.lit(float(self.model.intercept))
+            for c, b in zip(self.features, self.model.coefficients):
+                margin = margin + quoted(c) * float(b)
+            return df.withColumn(out, 1 / (1 + F.exp(-margin)))
+        scored = self.model.transform(assemble(df, self.features))
         return scored.withColumn(out, vector_to_array("probability")[1]).drop(
             "features", "rawPrediction", "probability", "prediction"
         )

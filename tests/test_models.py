@@ -104,3 +104,15 @@ def test_logistic_l1_drops_noise_and_wald(spark):
     assert w["b"].std_err == pytest.approx(se[2], rel=1e-6)
     ranks = [r.feature for r in LN.coefficients(sparse).orderBy("rank").collect()]
     assert ranks[0] == "a"
+
+
+def test_scores_survive_an_observed_session(spark):
+    from pyspark.sql import Observation
+
+    seen = Observation("o")
+    spark.range(3).observe(seen, F.count("*").alias("n")).count()
+    df = spark.createDataFrame([(float(i), int(i > 10 or i % 4 == 0)) for i in range(30)], "a double, y int")
+    fit = LN.fit_logistic(df, ["a"], "y")
+    p = [r.p for r in fit.score(df).orderBy("a").collect()]
+    b0, b1 = fit.model.intercept, fit.model.coefficients[0]
+    assert p == pytest.approx([1 / (1 + np.exp(-(b0 + b1 * i))) for i in range(30)])
