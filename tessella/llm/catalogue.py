@@ -1,8 +1,8 @@
 """Imports every operator so that the registry is complete."""
 
-from tessella.llm import quality_rules, secret_scans
+from tessella.llm import byte_bpe, grammar_ids, near_dedup, quality_rules, secret_scans
 from tessella.llm.registry import ORACLES, QUERIES
 
-OPERATORS = (quality_rules, secret_scans)
+OPERATORS = (quality_rules, byte_bpe, secret_scans, grammar_ids, near_dedup)
 
 __all__ = ["OPERATORS", "ORACLES", "QUERIES"]
