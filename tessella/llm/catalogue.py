@@ -1,8 +1,28 @@
 """Imports every operator so that the registry is complete."""
 
-from tessella.llm import byte_bpe, decontaminate, grammar_ids, near_dedup, quality_rules, secret_scans
+from tessella.llm import (
+    byte_bpe,
+    chat_format,
+    decontaminate,
+    grammar_ids,
+    html_text,
+    kd_shards,
+    near_dedup,
+    quality_rules,
+    secret_scans,
+)
 from tessella.llm.registry import ORACLES, QUERIES
 
-OPERATORS = (quality_rules, byte_bpe, decontaminate, secret_scans, grammar_ids, near_dedup)
+OPERATORS = (
+    quality_rules,
+    byte_bpe,
+    kd_shards,
+    chat_format,
+    html_text,
+    decontaminate,
+    secret_scans,
+    grammar_ids,
+    near_dedup,
+)
 
 __all__ = ["OPERATORS", "ORACLES", "QUERIES"]
