@@ -9,6 +9,7 @@ from tessella.llm import (
     kd_shards,
     near_dedup,
     quality_rules,
+    repeat_removal,
     secret_scans,
 )
 from tessella.llm.registry import ORACLES, QUERIES
@@ -21,6 +22,7 @@ OPERATORS = (
     html_text,
     decontaminate,
     secret_scans,
+    repeat_removal,
     grammar_ids,
     near_dedup,
 )
