@@ -7,13 +7,13 @@ smallest hash; an empty bin takes the value of the first filled bin of its own
 random probe sequence (optimal densification).  Groups of ``rows`` bins are the
 bands.  In each bucket every member is compared with the smallest member only (a
 star), so candidates are linear in the bucket.  Confirmed links are joined into
-components.  Buckets that then still hold more than one component are resolved
-exactly: their members from different components are compared with each other.
-Nothing is capped; two sets of similarity s >= 0.75 share no bucket with
-probability (1 - s^4)^32, at most 6e-6.
+components.  Where a bucket then still holds several components, ``resolved``
+compares exactly what could still link across them, in blocks.  Nothing is
+capped; two sets of similarity s >= 0.75 share no bucket with probability
+(1 - s^4)^32, at most 6e-6.
 
 Scale.  Signatures (32 longs) are shuffled, not shingles; full sets are made
-again only for documents in candidate edges.  Copies collapse before anything
+again only for documents that share a bucket.  Copies collapse before anything
 else is shuffled, with map-side combine.  Joins on bucket and document keys are
 ordinary equi-joins, split at run time where skewed.
 
@@ -37,6 +37,7 @@ from tessella.llm.vectors import batch_word_hashes, chunks, mix, shingle_set, te
 from tessella.session import materialize
 
 BINS, ROWS, PROBES, SHINGLE, PERCENT = 128, 4, 64, 5, 75
+BLOCK_SHINGLES = 1 << 20
 _U = np.uint64
 _PROBE = (mix(np.arange(BINS * PROBES, dtype=np.uint64) + _U(977)) >> _U(57)).astype(np.int64).reshape(BINS, PROBES)
 _SALT = mix(np.arange(BINS, dtype=np.uint64) + _U(7919)) | _U(1)
@@ -94,38 +95,120 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in chunks(batches, "text"):
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), pa.array([s.tobytes() for s in _sets(b)], pa.binary())], ["doc_id", "shingles"]
+            [b.column("u"), pa.array([s.tobytes() for s in _sets(b)], pa.binary())], ["u", "shingles"]
         )
 
 
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ok = []
-        for x, y in zip(b.column("sa"), b.column("sb")):
+        for x, y in zip(b.column("su"), b.column("sv")):
             p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             if len(p) > len(q):
                 p, q = q, p
+            if 100 * len(p) < PERCENT * len(q):
+                ok.append(False)
+                continue
             at = np.searchsorted(q, p)
             both = int((q[np.minimum(at, len(q) - 1)] == p).sum())
             ok.append(100 * both >= PERCENT * (len(p) + len(q) - both))
         yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _of_size(pairs: DataFrame) -> DataFrame:
-    """Pairs whose set sizes allow the similarity."""
-    return pairs.where(100 * F.least("nu", "nv") >= PERCENT * F.greatest("nu", "nv")).select("u", "v").distinct()
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows of one (key, block, part) at a time, from sorted batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ids = np.stack([b.column(c).to_numpy() for c in ("key", "block", "part")], 1)
+        change = np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1
+        for lo, hi in zip([0, *change.tolist()], [*change.tolist(), b.num_rows]):
+            here = tuple(ids[lo])
+            if held and here != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(lo, hi - lo))
+            last = here
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each query of a block with the block's members of other components."""
+    for rows in _groups(batches):
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("shingles").combine_chunks()]
+        query = rows.column("query").to_numpy(zero_copy_only=False)
+        component, node = rows.column("component").to_numpy(), rows.column("u").to_numpy()
+        inside = np.flatnonzero(~query)
+        if not len(inside):
+            continue
+        sizes = np.array([len(sets[i]) for i in inside])
+        known, at = np.unique(np.concatenate([sets[i] for i in inside]), return_inverse=True)
+        begin = np.cumsum(sizes) - sizes
+        found = []
+        for q in np.flatnonzero(query):
+            place = np.minimum(np.searchsorted(known, sets[q]), len(known) - 1)
+            flag = np.zeros(len(known), np.int32)
+            flag[place[known[place] == sets[q]]] = 1
+            both = np.add.reduceat(flag[at], begin)
+            near = (100 * both >= PERCENT * (sizes + len(sets[q]) - both)) & (component[inside] != component[q])
+            found += [(max(node[q], node[m]), min(node[q], node[m])) for m in inside[near]]
+        yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], rows.schema.field("u").type), pa.array([f[1] for f in found], rows.schema.field("u").type)], ["u", "v"])
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Buckets with several components: their largest one and their shingles."""
+    parts = rows.groupBy("key", "component").agg(F.count("*").alias("c"), F.sum("n").alias("n"), F.min("n").alias("least"))
+    return (
+        parts.groupBy("key")
+        .agg(
+            F.max(F.struct("n", "component"))["component"].alias("top"), F.sum("n").alias("inside"),
+            (F.sum("n") - F.max("n")).alias("outside"), F.min("least").alias("least"), F.count("*").alias("parts"),
+        )
+        .where("parts > 1")
+        .drop("parts")
+    )
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose full sets reach the similarity."""
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.join(nodes, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = materialize(texts.mapInArrow(_full, f"doc_id {id_type}, shingles binary"), "near-sets")
-    left = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("sb"))
-    return materialize(
-        pairs.join(right, "v").join(left, "u").mapInArrow(_common, f"u {id_type}, v {id_type}"), "near-links"
+def resolved(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between components that meet in a bucket: exact, whatever its size.
+
+    ``placed`` has (key, u, n, component), ``sets`` (u, n, shingles).  For sets x
+    and y the similarity needs |x & y| >= 3/7 (|x| + |y|), and x shares only
+    shingles that some other set has; documents with too few of those cannot link
+    and drop out.  In what remains, all documents outside a bucket's largest
+    component are queries against all its members, in blocks of bounded size.
+    """
+    rest = materialize(placed.join(_mixed(placed), "key"), "near-mixed")
+    own = rest.select("u").distinct().join(sets, "u")
+    tokens = own.select("u", F.explode(F.expr("transform(sequence(1, length(shingles) - 7, 8), i -> hash(substring(shingles, i, 8)))")).alias("t"))
+    alone = tokens.groupBy("t").agg(F.min("u").alias("u"), F.max("u").alias("last")).where("u = last").groupBy("u").agg(F.count("*").alias("alone"))
+    shared = F.col("n") - F.coalesce("alone", F.lit(0))
+    partner = F.greatest("least", F.ceil(F.col("n") * PERCENT / 100))
+    able = rest.join(alone, "u", "left").where(7 * shared >= 3 * (F.col("n") + partner)).select("key", "u", "n", "component")
+    able = materialize(able, "near-able")
+    work = able.join(_mixed(able), "key")
+    blocks = F.ceil(F.col("inside") / BLOCK_SHINGLES).cast("int")
+    parts = F.ceil(F.col("outside") / BLOCK_SHINGLES).cast("int")
+    spread = F.xxhash64("u")
+    inside = work.select(
+        "key", "u", "component", F.lit(False).alias("query"), F.pmod(spread, blocks).cast("int").alias("block"),
+        F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"),
+    )
+    queries = work.where("component != top").select(
+        "key", "u", "component", F.lit(True).alias("query"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"),
+        F.pmod(spread, parts).cast("int").alias("part"),
+    )
+    t = sets.schema["u"].dataType.simpleString()
+    return (
+        inside.unionByName(queries)
+        .join(sets.select("u", "shingles"), "u")
+        .repartition("key", "block", "part")
+        .sortWithinPartitions("key", "block", "part")
+        .mapInArrow(_searched, f"u {t}, v {t}")
+        .distinct()
     )
 
 
@@ -146,31 +229,30 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     members = classes.select("u", "n", F.explode("keys").alias("key"))
     centres = (
         members.groupBy("key")
-        .agg(F.min(F.struct("u", "n")).alias("c"), F.max("u").alias("last"))
-        .where(F.col("c.u") < F.col("last"))
-        .select("key", F.col("c.u").alias("v"), F.col("c.n").alias("nv"))
+        .agg(F.min("u").alias("v"), F.max("u").alias("last"))
+        .where("v < last")
+        .select("key", "v")
     )
-    star = members.withColumnRenamed("n", "nu").join(centres, "key").where("u != v")
-    tried = materialize(_of_size(star), "near-stars")
-    links = confirmed(tried, docs)
+    inside = materialize(members.join(centres, "key"), "near-buckets")
+    nodes = inside.select("u").distinct()
+    texts = docs.withColumnRenamed("doc_id", "u").join(nodes, "u", "left_semi").dropDuplicates(["u"])
+    sets = materialize(texts.mapInArrow(_full, f"u {id_type}, shingles binary"), "near-sets")
+
+    star = inside.where("u != v").select("u", "v").distinct()
+    left, right = sets.withColumnRenamed("shingles", "su"), sets.select(F.col("u").alias("v"), F.col("shingles").alias("sv"))
+    links = star.join(right, "v").join(left, "u").mapInArrow(_common, f"u {id_type}, v {id_type}")
+    links = materialize(links, "near-links")
     comp = materialize(connected_components(links), "near-components")
 
-    placed = classes.join(comp.withColumnRenamed("node", "u"), "u", "left").select(
-        "u", "n", F.coalesce("component", "u").alias("component"), F.explode("keys").alias("key")
-    )
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
-    left_over = materialize(placed.join(mixed.select("key"), "key"), "near-mixed")
-    a = left_over.select("key", "u", F.col("n").alias("nu"), F.col("component").alias("cu"))
-    b = left_over.select("key", F.col("u").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"))
-    cross = _of_size(a.join(b, "key").where("u > v and cu != cv"))
-    cross = materialize(cross.join(tried, ["u", "v"], "left_anti"), "near-cross")
-    more = confirmed(cross, docs)
+    placed = inside.select("key", "u", "n").join(comp.withColumnRenamed("node", "u"), "u", "left")
+    placed = placed.select("key", "u", "n", F.coalesce("component", "u").alias("component"))
+    more = materialize(resolved(placed, sets), "near-more")
     comp = connected_components(links.unionByName(more))
 
     of_class = classes.join(comp.withColumnRenamed("node", "u"), "u", "left").select(
         "print", F.coalesce("component", "u").alias("component")
     )
-    out = signed.join(of_class, "print", "left")
+    out = signed.select("doc_id", "n_shingles", "print").join(of_class, "print", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select(
         "doc_id",
