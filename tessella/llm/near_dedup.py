@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.components import connected_components
@@ -263,9 +263,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows whose document stands for its component."""
-    gone = near_duplicates(docs, doc_id, text).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
+    """One row of ``docs`` per component: its smallest doc_id, and of rows with
+    equal doc_id the one with the smallest text.  Rows without doc_id stay.
+
+    Ids to drop and ids that repeat are written first; their size decides
+    whether texts are shuffled for them or not.
+    """
+    gone = near_duplicates(docs, doc_id, text).where(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
+    gone = materialize(gone, "near-gone")
+    twice = docs.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg(F.count("*").alias("n"))
+    twice = materialize(twice.where("n > 1").select("__id"), "near-repeated")
+    kept = docs.join(gone, F.col(doc_id) == F.col("__id"), "left_anti")
+    once = kept.join(twice, F.col(doc_id) == F.col("__id"), "left_anti")
+    order = F.row_number().over(Window.partitionBy(doc_id).orderBy(F.col(text).asc_nulls_first()))
+    first = kept.join(twice, F.col(doc_id) == F.col("__id"), "left_semi").withColumn("__row", order).where("__row = 1")
+    return once.unionByName(first.drop("__row"))
 
 
 @query("op10_minhash_near_dedup")
