@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.registry import query, table
+from tessella.llm.registry import query, table, unused
 from tessella.session import materialize
 
 Q, EDIT_PERCENT, BLOCK_CHARS, BATCH_CHARS = 8, 10, 1 << 20, 1 << 21
@@ -220,9 +220,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose document holds no benchmark item."""
-    gone = leaks(docs, benchmark, doc_id, text).select(F.col("doc_id").alias("__gone")).distinct()
+    name = unused(docs, "leaking_id")
+    gone = leaks(docs, benchmark, doc_id, text).select(F.col("doc_id").alias(name)).distinct()
     gone = materialize(gone, "leaking")  # written, so that its size decides how it is joined
-    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col("__gone")), "left_anti")
+    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col(name)), "left_anti")
 
 
 @query("op6_benchmark_decontamination")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.components import connected_components
-from tessella.llm.registry import query, table
+from tessella.llm.registry import query, table, unused
 from tessella.llm.vectors import batch_word_hashes, chunks, mix, shingle_set, texts_of
 from tessella.session import materialize
 
@@ -269,15 +269,16 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     Ids to drop and ids that repeat are written first; their size decides
     whether texts are shuffled for them or not.
     """
-    gone = near_duplicates(docs, doc_id, text).where(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
+    name, row = unused(docs, "dropped_id"), unused(docs, "row_of_id")
+    gone = near_duplicates(docs, doc_id, text).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
     gone = materialize(gone, "near-gone")
-    twice = docs.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg(F.count("*").alias("n"))
-    twice = materialize(twice.where("n > 1").select("__id"), "near-repeated")
-    kept = docs.join(gone, F.col(doc_id) == F.col("__id"), "left_anti")
-    once = kept.join(twice, F.col(doc_id) == F.col("__id"), "left_anti")
+    twice = docs.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias(name)).agg(F.count("*").alias("n"))
+    twice = materialize(twice.where("n > 1").select(name), "near-repeated")
+    kept = docs.join(gone, F.col(doc_id) == F.col(name), "left_anti")
+    once = kept.join(twice, F.col(doc_id) == F.col(name), "left_anti")
     order = F.row_number().over(Window.partitionBy(doc_id).orderBy(F.col(text).asc_nulls_first()))
-    first = kept.join(twice, F.col(doc_id) == F.col("__id"), "left_semi").withColumn("__row", order).where("__row = 1")
-    return once.unionByName(first.drop("__row"))
+    first = kept.join(twice, F.col(doc_id) == F.col(name), "left_semi").withColumn(row, order).where(F.col(row) == 1)
+    return once.unionByName(first.drop(row))
 
 
 @query("op10_minhash_near_dedup")

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.registry import let, query, table
+from tessella.llm.registry import let, query, table, unused
 from tessella.session import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -158,8 +158,9 @@ def drop_rejected(docs: DataFrame, text: str = "text", host: str = "source",
     failed = measures(F.col(text))["base_failed"]
     judged = docs.select(F.col(host).alias("host"), failed.alias("base_failed"))
     rejected = host_rates(judged, "host", "base_failed").where(F.col("host_rate") > max_host_rate)
-    rejected = materialize(rejected.select(F.col("host").alias("__host")), "quality-rejected")
-    return docs.where(~failed).join(rejected, F.col(host) == F.col("__host"), "left_anti")
+    name = unused(docs, "rejected_host")
+    rejected = materialize(rejected.select(F.col("host").alias(name)), "quality-rejected")
+    return docs.where(~failed).join(rejected, F.col(host) == F.col(name), "left_anti")
 
 
 SQL = r"""

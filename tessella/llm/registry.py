@@ -38,3 +38,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     inlined by the optimizer wherever it is used, also inside other lambdas.
     """
     return F.transform(F.array(value), body)[0]
+
+
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem

@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.registry import let, query, table
+from tessella.llm.registry import let, query, table, unused
 from tessella.session import materialize
 
 
@@ -176,8 +176,9 @@ def redact(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars",
     become one mask.  ``n_chars``, where given, is counted again."""
     ledger = materialize(update_ledger(docs, None, text, rules), "secret-ledger")
     found = materialize(findings_by_blob(ledger, rules), "secret-findings")
-    found = found.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
-    joined = docs.withColumn("__blob", blob_id(F.col(text))).join(found, "__blob", "left")
+    blob, spans = unused(docs, "found_blob"), unused(docs, "found_spans")
+    found = found.select(F.col("blob").alias(blob), F.col("spans").alias(spans))
+    joined = docs.withColumn(blob, blob_id(F.col(text))).join(found, blob, "left")
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.substring(F.col(text), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
@@ -188,11 +189,14 @@ def redact(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars",
         return F.concat(acc["out"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.lit(2147483647)))
 
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    clean = F.when(F.col("__spans").isNotNull(), F.aggregate("__spans", zero, step, tail)).otherwise(F.col(text))
-    changed = {text: clean}
+    clean = F.when(F.col(spans).isNotNull(), F.aggregate(spans, zero, step, tail)).otherwise(F.col(text))
+    new = unused(docs, "masked_text")
+    masked = joined.withColumn(new, clean)
+    changed = {text: F.col(new)}
     if n_chars and n_chars in docs.columns:
-        changed[n_chars] = F.when(F.col("__spans").isNotNull(), F.char_length(clean).cast(docs.schema[n_chars].dataType)).otherwise(F.col(n_chars))
-    return joined.withColumns(changed).select(docs.columns)
+        counted = F.char_length(new).cast(docs.schema[n_chars].dataType)
+        changed[n_chars] = F.when(F.col(spans).isNotNull(), counted).otherwise(F.col(n_chars))
+    return masked.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
 
 
 def digest(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
