@@ -7,16 +7,19 @@ Where equal strings meet.  Among the 32-byte pieces of a string the one with the
 smallest hash marks it (a minimizer), so equal strings have equal marks.  Marks
 that occur once in the corpus end there.  Of the others, a region is the run of
 strings with the same mark occurrence; of equal regions all but the earliest are
-repeats as a whole.  The bytes of the earliest ones are dealt by mark, gathered
-into shards of bounded size, and a suffix array with permuted common prefixes is
-induced for each shard: suffixes that share ``LENGTH`` bytes are equal strings,
-the earliest stays.  A mark with more than ``SHARD_BYTES`` of different regions
-is not gathered: its strings meet one by one, by 128-bit hash.
-
-Scale.  About one mark per 35 bytes is shuffled; counting them combines on the
-map side, and joins on marks and regions split skewed keys at run time.  Texts
-are shuffled once by document, and that exchange is used three times.  No step
-holds more than one document, one shard or one batch.
+repeats as a whole.  Marks with several different regions are left: the bytes of
+these regions are dealt by mark and gathered into shards of bounded size, and a
+suffix array with permuted common prefixes is induced for each shard: suffixes
+that share LENGTH bytes are equal strings, the earliest stays.  A mark with more
+than ``shard_bytes`` of different regions is not gathered: its strings meet one
+by one, by 128-bit hash.
+
+Scale.  About one mark per 35 bytes is shuffled.  Before every shuffle a task
+settles what repeats within it: of equal marks, regions or strings it sends one
+on, and the rest go straight to their documents.  So what a group of copies sends
+to one task is bounded by the number of tasks, and reduce sides are sorted
+streams.  Texts are shuffled once by document; the plan uses that exchange three
+times.  No step holds more than a document, a shard or a batch.
 
 Defined results.  A null or empty text has no bytes.  Texts shorter than LENGTH
 keep all.  doc_id must be an integer; null ids come before all others, rows with
@@ -40,6 +43,7 @@ from tessella.llm.suffix_arrays import common_prefixes, suffix_array
 from tessella.llm.vectors import mix
 
 LENGTH, PIECE, SHARD_BYTES, BLOCK = 100, 32, 1 << 21, 1 << 22
+NO_ID = -(1 << 63)
 _U = np.uint64
 _LOW = _U(0xFFFFFF)
 _A, _B = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9)
@@ -104,32 +108,92 @@ def _raw(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x or b"" for x in column.to_pylist()]
 
 
-def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        held, rows, size = [], [], 0
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Starts of runs of equal rows."""
+    change = np.zeros(max(0, len(columns[0]) - 1), bool)
+    for c in columns:
+        change |= c[1:] != c[:-1]
+    return np.flatnonzero(np.append(True, change)) if len(columns[0]) else np.zeros(0, np.int64)
+
+
+def _marks(known: bool):
+    """Marks of texts.  What occurs once in the task goes out with its document
+    (seen 1), what occurs more often as one row (seen 2); with ``known``, the
+    documents of the latter instead."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
 
         def flush() -> pa.RecordBatch:
-            number = np.repeat(np.array(rows, np.int32), [len(h) for h in held]) if held else np.zeros(0, np.int32)
-            mark = np.concatenate(held) if held else np.zeros(0, np.int64)
-            ids = pa.array(number)
-            return pa.RecordBatch.from_arrays([pa.array(mark), b.column("k").take(ids), b.column("tk").take(ids)], ["mark", "k", "tk"])
-
-        for i, text in enumerate(_raw(b.column("text"))):
-            for mark, _, _ in regions(text):
-                held.append(mark)
-                rows.append(i)
-                size += len(mark)
-            if size >= 1 << 19:
-                yield flush()
-                held, rows, size = [], [], 0
+            mark, k, tk = (np.concatenate(c) for c in zip(*held))
+            order = np.lexsort((tk, k, mark))
+            mark, k, tk = mark[order], k[order], tk[order]
+            first = _runs(mark)
+            many = np.repeat(np.diff(np.append(first, len(mark))) > 1, np.diff(np.append(first, len(mark))))
+            if known:
+                once = np.zeros(len(mark), bool)
+                once[_runs(mark, k, tk)] = True
+                pick = many & once
+                columns = (mark[pick], k[pick], tk[pick])
+                return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["mark", "k", "tk"])
+            head = first
+            columns = (mark[head], np.where(many[head], 0, k[head]), np.where(many[head], 0, tk[head]).astype(np.int32), (1 + many[head]).astype(np.int8))
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["mark", "k", "tk", "seen"])
+
+        for b in batches:
+            k, tk = b.column("k").to_numpy(), b.column("tk").to_numpy()
+            for i, text in enumerate(_raw(b.column("text"))):
+                for mark, _, _ in regions(text):
+                    held.append((mark, np.full(len(mark), k[i]), np.full(len(mark), tk[i], np.int32)))
+                    size += len(mark)
+                if size >= 1 << 21:
+                    yield flush()
+                    held, size = [], 0
         if held:
             yield flush()
 
+    return run
+
+
+def _streamed(batches: Iterator[pa.RecordBatch], *key: str) -> Iterator[pa.Table]:
+    """Sorted batches cut so that rows of one key stay together."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        at = int(_runs(*[b.column(c).to_numpy() for c in key])[-1])
+        same = bool(held) and all(held[-1].column(c)[-1] == b.column(c)[0] for c in key)
+        if at == 0 and same:
+            held.append(b)
+            continue
+        if at or held:
+            yield pa.Table.from_batches([*held, b.slice(0, at)])
+        held = [b.slice(at)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(mark, k, tk) of marks that several tasks, or one of them twice, have seen."""
+    for rows in _streamed(batches, "mark"):
+        mark, seen = rows.column("mark").to_numpy(), rows.column("seen").to_numpy()
+        first = _runs(mark)
+        if not len(first):
+            continue
+        total = np.repeat(np.add.reduceat(seen.astype(np.int64), first), np.diff(np.append(first, len(mark))))
+        pick = pa.array((total > 1) & (seen == 1))
+        yield from rows.select(["mark", "k", "tk"]).filter(pick).combine_chunks().to_batches()
+
 
 def _known_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Regions of a text whose mark is among the repeated ones."""
+    """Regions whose mark is among the repeated ones; equal regions of a batch go
+    out once with the route of the region, the later ones with that of their text."""
+    names = ("mark", "print", "k", "tk", "start", "size")
     for b in batches:
         texts, known = _raw(b.column("text")), b.column("marks")
+        k, tk = b.column("k").to_numpy(), b.column("tk").to_numpy()
+        held: list[tuple] = []
         for i in range(b.num_rows):
             wanted = np.sort(known[i].values.to_numpy(zero_copy_only=False))
             for mark, first, n in regions(texts[i]):
@@ -137,28 +201,67 @@ def _known_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 hit = wanted[at] == mark
                 mark, first, size = mark[hit], first[hit], n[hit] + LENGTH - 1
                 if len(mark):
-                    same = pa.array(np.full(len(mark), i, np.int32))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(mark), pa.array(_fingerprints(texts[i], first, size)), b.column("k").take(same),
-                         b.column("tk").take(same), pa.array(first), pa.array(size)],
-                        ["mark", "print", "k", "tk", "start", "size"],
-                    )
+                    held.append((mark, _fingerprints(texts[i], first, size), np.full(len(mark), k[i]), np.full(len(mark), tk[i], np.int32), first, size))
+        if not held:
+            continue
+        rows = dict(zip(names, (np.concatenate(c) for c in zip(*held))))
+        order = np.lexsort((rows["start"], rows["tk"], rows["k"], rows["size"], rows["print"], rows["mark"]))
+        rows = {c: v[order] for c, v in rows.items()}
+        later = np.ones(len(order), bool)
+        later[_runs(rows["mark"], rows["print"], rows["size"])] = False
+        by_region = mix(rows["mark"].view(np.uint64) + mix(rows["print"].view(np.uint64) + rows["size"].astype(np.uint64)))
+        by_text = mix(rows["k"].view(np.uint64) + rows["tk"].astype(np.uint64))
+        route = np.where(later, by_text, by_region).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(route), pa.array(later.astype(np.int8)), *[pa.array(rows[c]) for c in names]], ["route", "later", *names])
+
+
+def _earliest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All regions, ``later`` now for all but the corpus-wide earliest of equal ones."""
+    key = ("route", "later", "mark", "print", "size")
+    for rows in _streamed(batches, *key):
+        later = np.ones(rows.num_rows, np.int8)
+        head = _runs(*[rows.column(c).to_numpy() for c in key])
+        later[head] = rows.column("later").to_numpy()[head]
+        out = rows.select(["mark", "k", "tk", "start", "size"]).append_column("later", pa.array(later))
+        yield from out.combine_chunks().to_batches()
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes of the asked regions of each text."""
+    """Bytes of the asked regions of each text (kind 0, by mark); of heavy marks
+    every string by hash (kind 1), and those that repeat in the batch (kind 2)."""
     for b in batches:
-        texts = _raw(b.column("text"))
+        texts, k, tk = _raw(b.column("text")), b.column("k").to_numpy(), b.column("tk").to_numpy()
+        heavy: list[tuple] = []
         for i, asked in enumerate(b.column("asked").to_pylist()):
-            for lo in range(0, len(asked), 8192):
-                part = asked[lo : lo + 8192]
-                same = pa.array(np.full(len(part), i, np.int32))
+            light = [r for r in asked if not r["heavy"]]
+            for lo in range(0, len(light), 8192):
+                part = light[lo : lo + 8192]
+                n, mark = len(part), pa.array([r["mark"] for r in part], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["mark"] for r in part], pa.int64()), b.column("k").take(same), b.column("tk").take(same),
+                    [mark, pa.array(np.zeros(n, np.int8)), mark, pa.array(np.full(n, k[i])), pa.array(np.full(n, tk[i], np.int32)),
                      pa.array([r["start"] for r in part], pa.int64()),
                      pa.array([texts[i][r["start"] : r["start"] + r["size"]] for r in part], pa.binary())],
-                    ["mark", "k", "tk", "start", "bytes"],
+                    ["route", "kind", "mark", "k", "tk", "start", "bytes"],
                 )
+            for r in asked:
+                if r["heavy"]:
+                    place = np.arange(r["start"], r["start"] + r["size"] - LENGTH + 1)
+                    width = np.full(len(place), LENGTH)
+                    piece = texts[i][r["start"] : r["start"] + r["size"]]
+                    one = _fingerprints(piece, place - r["start"], width)
+                    two = _fingerprints(piece[::-1], (place - r["start"])[::-1].copy(), width)
+                    heavy.append((one, two, np.full(len(place), k[i]), np.full(len(place), tk[i], np.int32), place))
+        if heavy:
+            one, two, hk, htk, place = (np.concatenate(c) for c in zip(*heavy))
+            order = np.lexsort((place, htk, hk, two, one))
+            one, two, hk, htk, place = (c[order] for c in (one, two, hk, htk, place))
+            kind = np.full(len(one), 2, np.int8)
+            kind[_runs(one, two)] = 1
+            route = np.where(kind == 1, one, mix(hk.view(np.uint64) + htk.astype(np.uint64)).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(route), pa.array(kind), pa.array(two), pa.array(hk), pa.array(htk), pa.array(place), pa.array([None] * len(one), pa.binary())],
+                ["route", "kind", "mark", "k", "tk", "start", "bytes"],
+            )
 
 
 def repeated_strings(k: np.ndarray, tk: np.ndarray, start: np.ndarray, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -195,52 +298,47 @@ def repeated_strings(k: np.ndarray, tk: np.ndarray, start: np.ndarray, pieces: l
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeated ranges of regions sorted by mark, a shard of whole marks at a time."""
-    held: list[pa.RecordBatch] = []
+    """Repeated ranges of what ``_cut_out`` made, sorted by route: regions a shard
+    of whole marks at a time, strings by their hash."""
+    held: list[pa.Table] = []
+    size = 0
+
+    def spans(k, tk, lo, hi) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(tk), pa.array(lo), pa.array(hi)], ["k", "tk", "start", "end"])
 
     def flush() -> pa.RecordBatch:
-        rows = pa.Table.from_batches(held).combine_chunks()
+        rows = pa.concat_tables(held).combine_chunks()
         held.clear()
         k, tk, start = (rows.column(c).to_numpy() for c in ("k", "tk", "start"))
         of, lo, hi = repeated_strings(k, tk, start, rows.column("bytes").to_pylist())
-        return pa.RecordBatch.from_arrays([pa.array(k[of]), pa.array(tk[of]), pa.array(lo), pa.array(hi)], ["k", "tk", "start", "end"])
-
-    size, last = 0, None
-    for b in batches:
-        if not b.num_rows:
+        return spans(k[of], tk[of], lo, hi)
+
+    for rows in _streamed(batches, "route", "kind", "mark"):
+        kind = rows.column("kind").to_numpy()
+        strings = rows.filter(pa.array(kind > 0))
+        if strings.num_rows:
+            key = [strings.column(c).to_numpy() for c in ("route", "kind", "mark")]
+            gone = np.ones(strings.num_rows, bool)
+            gone[_runs(*key)] = False
+            gone |= key[1] == 2
+            k, tk, start = (strings.column(c).to_numpy()[gone] for c in ("k", "tk", "start"))
+            yield spans(k, tk, start, start + LENGTH)
+        regions_ = rows.filter(pa.array(kind == 0)).combine_chunks()
+        if not regions_.num_rows:
             continue
-        mark = b.column("mark").to_numpy()
-        upto = np.append(0, np.cumsum(pc.binary_length(b.column("bytes")).to_numpy(), dtype=np.int64))
+        upto = np.append(0, np.cumsum(pc.binary_length(regions_.column("bytes")).to_numpy(), dtype=np.int64))
         at = 0
-        for g in np.flatnonzero(np.append(mark[0] != last, mark[1:] != mark[:-1])).tolist():
+        for g in _runs(regions_.column("mark").to_numpy()).tolist():
             if size + upto[g] - upto[at] >= SHARD_BYTES:
-                if g > at:
-                    held.append(b.slice(at, g - at))
+                held.append(regions_.slice(at, g - at))
                 yield flush()
                 size, at = 0, g
-        held.append(b.slice(at))
+        held.append(regions_.slice(at))
         size += int(upto[-1] - upto[at])
-        last = mark[-1]
     if held:
         yield flush()
 
 
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every string of a region by hash, for marks that are not gathered."""
-    for b in batches:
-        for i, piece in enumerate(b.column("bytes").to_pylist()):
-            n = len(piece) - LENGTH + 1
-            place, width = np.arange(n), np.full(n, LENGTH)
-            one = _fingerprints(piece, place, width)
-            two = _fingerprints(piece[::-1], place[::-1].copy(), width)
-            same = pa.array(np.full(n, i, np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(one), pa.array(two), b.column("k").take(same), b.column("tk").take(same),
-                 pa.array(place + b.column("start")[i].as_py())],
-                ["one", "two", "k", "tk", "start"],
-            )
-
-
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
@@ -271,53 +369,43 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs``."""
     content = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    id_type = docs.schema[doc_id].dataType.simpleString()
+    key = ["k", "tk"]
     d = docs.select(
-        F.col(doc_id).alias("doc_id"),
-        F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("k"),
-        F.xxhash64(content).alias("tk"),
-        content.alias("text"),
+        F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("k"), F.hash(content).alias("tk"), content.alias("text")
     )
-    id_type = d.schema["doc_id"].dataType.simpleString()
-    key = ["k", "tk"]
-    marks = d.select("k", "tk", "text").mapInArrow(_marks, "mark bigint, k bigint, tk bigint")
-    often = marks.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
-    lists = marks.join(often, "mark").groupBy(key).agg(F.collect_set("mark").alias("marks"))
-    found = d.join(lists, key).select("k", "tk", "text", "marks").mapInArrow(
-        _known_regions, "mark bigint, print bigint, k bigint, tk bigint, start bigint, size bigint"
+    one_by_one = d.mapInArrow(_marks(False), "mark bigint, k bigint, tk int, seen tinyint")
+    often = one_by_one.repartition("mark").sortWithinPartitions("mark").mapInArrow(_often, "mark bigint, k bigint, tk int")
+    known = d.mapInArrow(_marks(True), "mark bigint, k bigint, tk int")
+    marks = often.unionByName(known).groupBy(key).agg(F.collect_set("mark").alias("marks"))
+
+    found = d.join(marks, key).select("k", "tk", "text", "marks").mapInArrow(
+        _known_regions,
+        "route bigint, later tinyint, mark bigint, print bigint, k bigint, tk int, start bigint, size bigint",
     )
-    region = ["mark", "print", "size"]
-    earliest = found.groupBy(region).agg(F.min(F.struct("k", "tk", "start")).alias("e"), F.count("*").alias("n"))
-    first = earliest.select("mark", "size", "e.k", "e.tk", "e.start")
-    again = (
-        found.join(earliest.where("n > 1").select(*region, "e"), region)
-        .where(F.struct("k", "tk", "start") != F.col("e"))
-        .select("k", "tk", "start", (F.col("start") + F.col("size")).alias("end"))
+    order = ["route", "later", "mark", "print", "size", "k", "tk", "start"]
+    told = found.repartition("route").sortWithinPartitions(*order).mapInArrow(
+        _earliest, "mark bigint, k bigint, tk int, start bigint, size bigint, later tinyint"
     )
+    again = told.where("later = 1").select("k", "tk", "start", (F.col("start") + F.col("size")).alias("end"))
+    first = told.where("later = 0").drop("later")
+
     # only different regions of one mark can share a string that equal regions do not explain
     weight = first.groupBy("mark").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).where("n > 1")
     wanted = first.join(weight.select("mark", (F.col("bytes") > shard_bytes).alias("heavy")), "mark")
-
-    def bytes_of(rows: DataFrame) -> DataFrame:
-        asked = rows.groupBy(key).agg(F.collect_list(F.struct("mark", "start", "size")).alias("asked"))
-        return d.join(asked, key).select("k", "tk", "text", "asked").mapInArrow(
-            _cut_out, "mark bigint, k bigint, tk bigint, start bigint, bytes binary"
-        )
-
-    spans = "k bigint, tk bigint, start bigint, end bigint"
-    light = bytes_of(wanted.where(~F.col("heavy"))).repartition("mark").sortWithinPartitions("mark").mapInArrow(_shards, spans)
-    strings = bytes_of(wanted.where("heavy")).mapInArrow(_strings, "one bigint, two bigint, k bigint, tk bigint, start bigint")
-    least = strings.groupBy("one", "two").agg(F.min(F.struct("k", "tk", "start")).alias("e"), F.count("*").alias("n")).where("n > 1")
-    heavy = (
-        strings.join(least.drop("n"), ["one", "two"])
-        .where(F.struct("k", "tk", "start") != F.col("e"))
-        .select("k", "tk", "start", (F.col("start") + LENGTH).alias("end"))
+    asked = wanted.groupBy(key).agg(F.collect_list(F.struct("mark", "start", "size", "heavy")).alias("asked"))
+    cut = d.join(asked, key).select("k", "tk", "text", "asked").mapInArrow(
+        _cut_out, "route bigint, kind tinyint, mark bigint, k bigint, tk int, start bigint, bytes binary"
+    )
+    shared = cut.repartition("route").sortWithinPartitions("route", "kind", "mark", "k", "tk", "start").mapInArrow(
+        _shards, "k bigint, tk int, start bigint, end bigint"
     )
-    gone = again.unionByName(light).unionByName(heavy).groupBy(key).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    gone = again.unionByName(shared).groupBy(key).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     copies = Window.partitionBy(key).orderBy("k")
     return (
         d.join(gone, key, "left")
         .withColumn("copy", F.row_number().over(copies))
-        .select("doc_id", "text", "spans", "copy")
+        .select(F.when(F.col("k") != NO_ID, F.col("k")).cast(id_type).alias("doc_id"), "text", "spans", "copy")
         .mapInArrow(_kept, f"doc_id {id_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
     )
 
