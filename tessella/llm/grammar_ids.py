@@ -24,6 +24,7 @@ shards and no rows.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,11 +36,11 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessella.llm.registry import query, table
-from tessella.llm.token_units import Units
+from tessella.llm.token_units import Units, kept_in_worker
 from tessella.session import scratch_path
 
 VOCABULARY, PATTERN = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
-END_ID, SHARD_IDS, MIN_COUNT, RULES_A_ROUND, ROUNDS = 2, 1 << 22, 16, 8192, 6
+END_ID, SHARD_IDS, MIN_COUNT, RULES_A_ROUND, ROUNDS, SLOT_BITS = 2, 1 << 22, 16, 8192, 4, 20
 _U = np.uint64
 
 
@@ -51,7 +52,7 @@ def byte_letters() -> dict[int, str]:
     return table_ | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-def unit_encoder(vocabulary: str, pattern: str, keep: int = 200_000):
+def unit_encoder(vocabulary: str, pattern: str, keep: int = 300_000):
     """Ids of a unit (uint32 bytes): pre-tokens go to the vocabulary's BPE model."""
     tokenizer = Tokenizer.from_file(vocabulary)
     model, split, letters = tokenizer.model, regex.compile(pattern), byte_letters()
@@ -61,12 +62,20 @@ def unit_encoder(vocabulary: str, pattern: str, keep: int = 200_000):
         got = cache.get(p)
         if got is None:
             spelled = p.encode().decode("latin-1").translate(letters)
-            got = np.array([t.id for t in model.tokenize(spelled)], np.uint32).tobytes()
+            got = array("I", [t.id for t in model.tokenize(spelled)]).tobytes()
             if len(p) <= 48 and len(cache) < keep:
                 cache[p] = got
         return got
 
-    return lambda unit: b"".join([piece(p) for p in split.findall(unit)])
+    def unit_ids(unit: str) -> bytes:
+        word = unit[1:]
+        if word.isalpha() and unit[0] == " ":  # a space and letters are one pre-token
+            return piece(unit)
+        if word[:-1].isalpha() and unit[0] == " " and unit[-1] in ".,":
+            return piece(unit[:-1]) + piece(unit[-1])
+        return b"".join([piece(p) for p in split.findall(unit)])
+
+    return unit_ids
 
 
 def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -85,7 +94,13 @@ def re_pair(ids: np.ndarray, terminals: int, min_count: int = MIN_COUNT, per_rou
         if len(s) < 2:
             break
         keys = (s[:-1].astype(np.uint64) << _U(32)) | s[1:]
-        ordered = np.sort(keys)
+        # pairs are counted by hash first; only those of full enough slots are sorted
+        slot = _slot(keys, SLOT_BITS)
+        filled = np.bincount(slot, minlength=1 << SLOT_BITS)
+        least = max(min_count, int(np.partition(filled, -2 * per_round)[-2 * per_round]))
+        ordered = np.sort(keys[(filled >= least)[slot]])
+        if not len(ordered):
+            break
         new = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         counts = np.diff(np.append(new, len(ordered)))
         frequent = np.flatnonzero(counts >= min_count)
@@ -93,32 +108,24 @@ def re_pair(ids: np.ndarray, terminals: int, min_count: int = MIN_COUNT, per_rou
             break
         best = frequent[np.lexsort((ordered[new[frequent]], -counts[frequent]))][:per_round]
         chosen = ordered[new[best]]
-        bits = 18
-        slots, at = np.unique(_slot(chosen, bits), return_index=True)
-        place = np.full(1 << bits, -1, np.int32)
+        slots, at = np.unique(_slot(chosen, SLOT_BITS), return_index=True)
+        place = np.full(1 << SLOT_BITS, -1, np.int32)
         place[slots] = at  # of pairs that share a slot the most frequent stays
-        rank = place[_slot(keys, bits)]
+        rank = place[slot]
         rank[chosen[rank] != keys] = -1
         where = np.flatnonzero(rank >= 0)
         r = rank[where]
-        near_left = np.append(False, where[1:] == where[:-1] + 1)
-        left = np.where(near_left, np.append(np.int32(1 << 30), r[:-1]), 1 << 30)
-        right = np.where(np.append(near_left[1:], False), np.append(r[1:], np.int32(1 << 30)), 1 << 30)
-        wins = (r < left) & (r <= right)
-        run = (r == left) | (r == right)  # equal neighbours (aaaa): every second place of the run
-        if run.any():
-            first = np.flatnonzero(~(near_left & (r == left)))
-            offset = np.arange(len(r)) - np.repeat(first, np.diff(np.append(first, len(r))))
-            inner = near_left & (r == left)
-            wins &= ~inner
-            wins |= inner & (offset % 2 == 0) & (r <= right)
-            taken = np.flatnonzero(wins)
-            clash = np.append(False, where[taken][1:] == where[taken][:-1] + 1)
-            while clash.any():
-                drop = taken[clash & ~np.append(False, clash[:-1])]
-                wins[drop] = False
-                taken = np.flatnonzero(wins)
-                clash = np.append(False, where[taken][1:] == where[taken][:-1] + 1)
+        near = where[1:] == where[:-1] + 1
+        wins, right_better = np.ones(len(r), bool), np.append(near & (r[1:] < r[:-1]), False)
+        wins[1:] = ~(near & (r[:-1] <= r[1:]))
+        wins &= ~right_better
+        equal = np.flatnonzero(near & (r[1:] == r[:-1])) + 1
+        if len(equal):  # equal neighbours (aaaa): every second place of the run
+            head = np.flatnonzero(np.append(True, equal[1:] != equal[:-1] + 1))
+            run = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(equal))))
+            start = equal[head] - 1
+            turn = (equal - start[run] + (~wins[start])[run]) % 2 == 0
+            wins[equal] = turn & ~right_better[equal]
         hits, used = where[wins], r[wins]
         if not len(hits):
             break
@@ -190,7 +197,7 @@ def pack(vocabulary: str, pattern: str, end_id: int, shard_ids: int):
     """mapInArrow function: ordered (doc_id, text) to shard files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Units(unit_encoder(vocabulary, pattern))
+        encode = kept_in_worker(("ids", vocabulary, pattern), lambda: Units(unit_encoder(vocabulary, pattern), 500_000))
         terminals = max(Tokenizer.from_file(vocabulary).get_vocab_size(), end_id + 1)
         end, part, doc_ids, sizes, held, total, schema = np.uint32(end_id).tobytes(), 0, [], [], [], 0, None
         for b in batches:

@@ -444,7 +444,8 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     """page_id, url, text and n_chars of every row of ``pages``."""
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
     sample = rows.where("html != ''").orderBy(F.xxhash64("page_id", "url"), "html").limit(sample_pages).select("html")
-    weights = pickle.loads(sample.repartition(1).mapInArrow(_fit_task, "weights binary").first()["weights"])
+    fitted = sample.repartition(1).mapInArrow(_fit_task, "weights binary").first()
+    weights = pickle.loads(fitted["weights"]) if fitted else {}  # no page has any markup: none needs a label
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
     return rows.mapInArrow(_extract(weights), f"page_id {types['page_id']}, url {types['url']}, text string, n_chars bigint")
 

@@ -8,13 +8,15 @@ falls into units that encode one by one; frequent units are encoded once.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Callable
+from types import ModuleType
 
 #: Unicode White_Space, as the pattern's \s sees it.
 _RARE = "\t\x0b\x0c\r\x85\xa0  -     　"
 _WS = "\n " + _RARE
 _UNIT = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
-_ODD = re.compile(f"[{_WS}][{_WS}]|[{_RARE}]")
+_PAIRS = ("  ", " \n", "\n ", "\n\n")
 _LONGEST = 48
 
 
@@ -23,6 +25,19 @@ def units(text: str) -> list[str]:
     return _UNIT.findall(text)
 
 
+class _Kept(dict):
+    """Values by unit; what is missing is made, and kept while there is room."""
+
+    def __init__(self, make: Callable[[str], object], size: int) -> None:
+        self.make, self.size = make, size
+
+    def __missing__(self, unit: str) -> object:
+        got = self.make(unit)
+        if len(unit) <= _LONGEST and len(self) < self.size:
+            self[unit] = got
+        return got
+
+
 class Units:
     """Encodes texts unit by unit: ``encode(unit)`` gives what is kept per unit.
 
@@ -30,32 +45,26 @@ class Units:
     """
 
     def __init__(self, encode: Callable[[str], object], size: int = 300_000) -> None:
-        self.encode, self.size = encode, size
-        self.plain: dict[str, object] = {}
-        self.raw: dict[str, object] = {}
-
-    def _raw(self, unit: str) -> object:
-        got = self.raw.get(unit)
-        if got is None:
-            got = self.encode(unit)
-            if len(unit) <= _LONGEST and len(self.raw) < self.size:
-                self.raw[unit] = got
-        return got
+        self.raw = _Kept(encode, size)
+        # units after a space go by what follows it, those after a line feed with it
+        self.plain = _Kept(lambda p: encode(p if p[:1] == "\n" else " " + p), size)
 
     def __call__(self, text: str) -> list:
-        if _ODD.search(text):
-            return [self._raw(u) for u in _UNIT.findall(text)]
+        if any(p in text for p in _PAIRS) or any(c in text for c in _RARE):
+            return list(map(self.raw.__getitem__, _UNIT.findall(text)))
         pieces = text.replace("\n", " \n").split(" ")
         if text[:1] == "\n":  # the space before a leading line feed is not in the text
             del pieces[0]
-        get, plain = self.plain.get, self.plain
-        out = [get(p) for p in pieces]
-        out[0] = self._raw(pieces[0])
-        if None in out:
-            for i, got in enumerate(out):
-                if got is None:
-                    p = pieces[i]
-                    got = out[i] = get(p) or self.encode(p if p[:1] == "\n" else " " + p)
-                    if len(p) <= _LONGEST and len(plain) < self.size:
-                        plain[p] = got
+        out = list(map(self.plain.__getitem__, pieces))
+        out[0] = self.raw[pieces[0]]
         return out
+
+
+def kept_in_worker(name: tuple, make: Callable[[], object]) -> object:
+    """A value that the tasks of one Python worker share; it lives as long as the
+    worker does."""
+    holder = sys.modules.setdefault("tessella_worker", ModuleType("tessella_worker"))
+    values = holder.__dict__.setdefault("values", {})
+    if name not in values:
+        values[name] = make()
+    return values[name]
