@@ -55,24 +55,29 @@ def byte_letters() -> dict[int, str]:
 def unit_encoder(vocabulary: str, pattern: str, keep: int = 300_000):
     """Ids of a unit (uint32 bytes): pre-tokens go to the vocabulary's BPE model."""
     tokenizer = Tokenizer.from_file(vocabulary)
-    model, split, letters = tokenizer.model, regex.compile(pattern), byte_letters()
+    tokenize, split, letters = tokenizer.model.tokenize, regex.compile(pattern), byte_letters()
+    space = letters[32]
     cache: dict[str, bytes] = {}
 
     def piece(p: str) -> bytes:
         got = cache.get(p)
         if got is None:
-            spelled = p.encode().decode("latin-1").translate(letters)
-            got = array("I", [t.id for t in model.tokenize(spelled)]).tobytes()
+            if p.isascii() and p[1:].isalpha():  # letters stand for themselves
+                spelled = space + p[1:] if p[0] == " " else p
+            else:
+                spelled = p.encode().decode("latin-1").translate(letters)
+            got = array("I", [t.id for t in tokenize(spelled)]).tobytes()
             if len(p) <= 48 and len(cache) < keep:
                 cache[p] = got
         return got
 
     def unit_ids(unit: str) -> bytes:
         word = unit[1:]
-        if word.isalpha() and unit[0] == " ":  # a space and letters are one pre-token
-            return piece(unit)
-        if word[:-1].isalpha() and unit[0] == " " and unit[-1] in ".,":
-            return piece(unit[:-1]) + piece(unit[-1])
+        if unit[:1] == " ":  # a space and letters are one pre-token
+            if word.isalpha():
+                return piece(unit)
+            if word[-1:] in (".", ",") and word[:-1].isalpha():
+                return piece(unit[:-1]) + piece(unit[-1])
         return b"".join([piece(p) for p in split.findall(unit)])
 
     return unit_ids
