@@ -37,66 +37,103 @@ def gram(df: DataFrame, cols: list[Column]) -> tuple[int, np.ndarray]:
     return row["n"], _square(row["g"], len(cols))
 
 
-def two_way_demean(
-    df: DataFrame, entity: str, period: str, cols: list[str], tol: float = 1e-10, max_iter: int = 200
-) -> tuple[DataFrame, int]:
-    """Remove entity and period effects from every column.
-
-    The state carried between rounds is one mean per (period, column), bounded
-    by the calendar: given those, entity means follow within each entity's own
-    rows and new period means from partial sums.  Rounds never stack lineage.
-    Rows are unique per (entity, period), so an entity's rows are bounded too.
+#: Period effects are solved for together; more periods than this are refused.
+MAX_PERIODS = 4096
+
+
+def two_way_demean(df: DataFrame, entity: str, period: str, cols: list[str], tol: float = 1e-8) -> DataFrame:
+    """Remove entity and period effects from every column (``<col>_within``).
+
+    The period effects b solve (N - sum_i 1/n_i e_i e_i') b = r, where N holds
+    the rows per period, e_i marks the periods of entity i, n_i is their number
+    and r sums each period's deviations from entity means.  The matrix is one
+    aggregation over entities, periods x periods whatever the number of
+    entities, and is solved directly, also for panels that fall into unconnected
+    parts.  Entity effects follow within each entity's rows.  A solution that
+    misses ``tol``, more than MAX_PERIODS periods or nulls in ``cols`` are errors.
+
+    Rows are unique per (entity, period).
     """
     spark = df.sparkSession
-    names = [f"_b{i}" for i in range(len(cols))]
-    base = df.repartition(entity).persist()
-    w = Window.partitionBy(entity)
+    value = [quoted(c).cast("double") for c in cols]
+    k = len(cols)
+    centre = df.agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(value)]).first()
+    value = [v - F.lit(float(centre[i] or 0.0)) for i, v in enumerate(value)]
+    per_entity = df.groupBy(entity).agg(
+        F.collect_list(period).alias("ps"),  # at most one per period
+        F.count("*").alias("n"),
+        *[F.avg(v).alias(f"_a{i}") for i, v in enumerate(value)],
+    )
+    per_period = df.groupBy(quoted(period).alias("p")).agg(
+        F.count("*").alias("n"),
+        F.array(*[F.sum(v) for v in value]).alias("s"),
+        F.array(*[F.count(v) for v in value]).alias("filled"),
+        F.array(*[F.max(F.abs(v)) for v in value]).alias("largest"),
+    )
+    rows = per_period.limit(MAX_PERIODS + 1).collect()
+    if len(rows) > MAX_PERIODS:
+        raise ValueError(f"more than {MAX_PERIODS} periods: truncate them first")
+    if any(c != r["n"] for r in rows for c in r["filled"]):
+        raise ValueError("columns to demean hold nulls")
+    if not rows:
+        return df.withColumns({f"{c}_within": F.lit(None).cast("double") for c in cols})
+    place = {r["p"]: i for i, r in enumerate(rows)}
+    own = per_entity.select(F.explode("ps").alias("p"), *[f"_a{i}" for i in range(k)])
+    means = own.groupBy("p").agg(F.array(*[F.sum(f"_a{i}") for i in range(k)]).alias("s")).collect()
+    pairs = per_entity.select(F.explode("ps").alias("p"), "ps", "n").select("p", F.explode("ps").alias("q"), "n")
+    shared = pairs.groupBy("p", "q").agg(F.sum(1 / F.col("n")).alias("w")).collect()
+    matrix = np.diag([float(r["n"]) for r in rows])
+    for r in shared:
+        matrix[place[r["p"]], place[r["q"]]] -= r["w"]
+    right = np.array([r["s"] for r in rows], float)
+    for r in means:
+        right[place[r["p"]]] -= r["s"]
+    effects = np.linalg.pinv(matrix, rcond=1e-12, hermitian=True) @ right
+    for _ in range(2):  # iterative refinement of the last digits
+        effects += np.linalg.pinv(matrix, rcond=1e-12, hermitian=True) @ (right - matrix @ effects)
+    missed = np.abs(right - matrix @ effects).max(axis=0)
+    rounding = 1e-15 * np.array([r["largest"] for r in rows], float).max(axis=0) * max(r["n"] for r in rows)
+    if (missed > tol * np.maximum(1.0, np.abs(right).max(axis=0)) + rounding).any():
+        raise ArithmeticError(f"period effects miss the normal equations by {missed.max()}")
     schema = T.StructType(
-        [T.StructField(period, df.schema[period].dataType)]
-        + [T.StructField(n, T.DoubleType()) for n in names]
+        [T.StructField(period, df.schema[period].dataType), T.StructField("_b", T.ArrayType(T.DoubleType()))]
     )
-    effects = None
-    rounds = 0
-    try:
-        while True:
-            if effects is None:
-                shifted = base.withColumns({n: F.lit(0.0) for n in names})
-            else:
-                table = spark.createDataFrame(effects, schema)
-                shifted = base.join(F.broadcast(table), period)  # one row per month
-            own = {
-                f"_a{i}": F.avg(quoted(c) - F.col(names[i])).over(w) for i, c in enumerate(cols)
-            }
-            with_own = shifted.withColumns(own)
-            new = (
-                with_own.groupBy(period)
-                .agg(*[F.avg(quoted(c) - F.col(f"_a{i}")).alias(names[i]) for i, c in enumerate(cols)])
-                .collect()
-            )
-            rounds += 1
-            new_rows = {r[0]: [float(v) for v in r[1:]] for r in new}
-            if effects is None:
-                change = math.inf
-            else:
-                old = {r[0]: r[1:] for r in effects}
-                change = max(
-                    (abs(a - b) for p, vs in new_rows.items() for a, b in zip(vs, old[p])), default=0.0
-                )
-            effects = [(p, *vs) for p, vs in new_rows.items()]
-            if change < tol or rounds >= max_iter:
-                break
-        table = spark.createDataFrame(effects, schema)
-        final = base.join(F.broadcast(table), period)
-        own = {f"_a{i}": F.avg(quoted(c) - F.col(names[i])).over(w) for i, c in enumerate(cols)}
-        out = final.withColumns(own).withColumns(
-            {
-                f"{c}_within": quoted(c) - F.col(names[i]) - F.col(f"_a{i}")
-                for i, c in enumerate(cols)
-            }
-        )
-        return out.drop(*names, *own), rounds
-    finally:
-        base.unpersist()
+    table = spark.createDataFrame([(r["p"], [float(x) for x in effects[i]]) for i, r in enumerate(rows)], schema)
+    shifted = df.join(F.broadcast(table), period)  # at most MAX_PERIODS rows
+    w = Window.partitionBy(entity)
+    less = [v - F.col("_b")[i] for i, v in enumerate(value)]
+    return shifted.withColumns({f"{c}_within": x - F.avg(x).over(w) for c, x in zip(cols, less)}).drop("_b")
+
+
+def _beta_tail(x: float, a: float, b: float) -> float:
+    """Regularised incomplete beta function by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta_tail(1 - x, b, a)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1) or 1e-300)
+    total = d
+    for m in range(1, 100_000):
+        up = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        d, c = 1 / (1 + up * d or 1e-300), 1 + up / c or 1e-300
+        total *= d * c
+        down = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        d, c = 1 / (1 + down * d or 1e-300), 1 + down / c or 1e-300
+        total *= d * c
+        if abs(d * c - 1) < 1e-14:
+            return front * total
+    raise ArithmeticError("incomplete beta function did not settle")
+
+
+def t_tail(t: float, dof: float) -> float:
+    """Two-sided p-value of Student's t."""
+    return _beta_tail(dof / (dof + t * t), dof / 2, 0.5)
+
+
+def f_tail(f: float, k: float, dof: float) -> float:
+    """p-value of an F statistic."""
+    return _beta_tail(dof / (dof + k * f), dof / 2, k / 2)
 
 
 def panel_ols(
@@ -104,14 +141,16 @@ def panel_ols(
 ) -> DataFrame:
     """Two-way fixed-effects regression with entity-clustered errors.
 
-    One row per kept regressor: coefficient, standard error, t, p (normal
-    approximation) and the model's R2 values, F, rows and entities.  Columns
+    One row per kept regressor: coefficient, standard error, t, p (Student's t)
+    and the model's R2 values, F and its p, rows and entities.  Between and total
+    R2 are 1 - SSR/TSS of the fitted slopes on entity means and raw rows; the model
+    has no intercept, so TSS is not centred and R2 may be negative.  Columns
     absorbed by the effects are dropped; too few rows give no result.
     """
     spark = df.sparkSession
     schema = (
         "model string, term string, coef double, std_err double, t_stat double, p_value double, "
-        "r2_within double, r2_between double, r2_total double, f_stat double, nobs long, entities long"
+        "r2_within double, r2_between double, r2_total double, f_stat double, f_p_value double, nobs long, entities long"
     )
     data = df.select(entity, period, *[quoted(c).cast("double").alias(c) for c in [y, *xs]]).na.drop()
     # Read many times below: written once instead of recomputing the input.
@@ -119,7 +158,7 @@ def panel_ols(
     rows, raw = gram(data, [quoted(c) for c in [y, *xs]])
     if rows <= min_rows:
         return spark.createDataFrame([], schema)
-    demeaned, _ = two_way_demean(data, entity, period, [y, *xs])
+    demeaned = two_way_demean(data, entity, period, [y, *xs])
     demeaned = demeaned.persist()
     try:
         n, g = gram(demeaned, [quoted(f"{c}_within") for c in [y, *xs]])
@@ -156,10 +195,13 @@ def panel_ols(
         r2_within = 1 - rss / tss if tss > 0 else None
         f_stat = ((tss - rss) / k) / (rss / dof) if rss > 0 else None
 
+        f_p = f_tail(f_stat, k, dof) if f_stat is not None else None
+
         def r2_raw(frame: DataFrame) -> float | None:
             pred = sum((quoted(c) * float(b) for c, b in zip(names, beta)), F.lit(0.0))
-            r = frame.agg(F.corr(quoted(y), pred).alias("c")).first()["c"]
-            return None if r is None else float(r * r)
+            gap = quoted(y) - pred
+            r = frame.agg(F.sum(gap * gap).alias("rss"), F.sum(quoted(y) * quoted(y)).alias("tss")).first()
+            return 1 - r["rss"] / r["tss"] if r["tss"] else None
 
         means = data.groupBy(entity).agg(*[F.avg(quoted(c)).alias(c) for c in [y, *names]])
         between, total = r2_raw(means), r2_raw(data)
@@ -168,8 +210,8 @@ def panel_ols(
     rows = []
     for name, b, s in zip(names, beta, se):
         t = float(b / s) if s > 0 else None
-        p = math.erfc(abs(t) / math.sqrt(2)) if t is not None else None
-        rows.append((model, name, float(b), float(s), t, p, r2_within, between, total, f_stat, n, entities))
+        p = t_tail(t, dof) if t is not None else None
+        rows.append((model, name, float(b), float(s), t, p, r2_within, between, total, f_stat, f_p, n, entities))
     return spark.createDataFrame(rows, schema)
 
 
@@ -207,11 +249,14 @@ def grouped_ols(
     entity_type = df.schema[entity].dataType.simpleString()
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        row, col = np.triu_indices(k)
         for batch in batches:
-            coefs = [
-                (np.linalg.pinv(_square(list(xx), k), hermitian=True) @ np.asarray(xy)).tolist()
-                for xx, xy in zip(batch["xx"], batch["xy"])
-            ]
+            stack = np.zeros((len(batch), k, k))
+            if len(batch):
+                stack[:, row, col] = np.array(batch["xx"].tolist(), float)
+                stack[:, col, row] = stack[:, row, col]
+            right = np.array(batch["xy"].tolist(), float).reshape(-1, k)
+            coefs = np.einsum("nij,nj->ni", np.linalg.pinv(stack, hermitian=True), right).tolist()
             yield pd.DataFrame({entity: batch[entity], "coef": coefs, "n": batch["n"]})
 
     return stats.mapInPandas(solve, f"`{entity}` {entity_type}, coef array<double>, n long")
@@ -238,14 +283,15 @@ def residual_ar(
     """Correct scores by an AR(1) on each entity's train residuals.
 
     phi = sum(r_t r_{t-1}) / sum(r_{t-1}^2); train rows get the one-step fit,
-    the h-th test row gets phi^h times the last train residual.  Entities with
-    fewer than ``min_rows`` train rows stay uncorrected.
+    the h-th test row gets phi^h times the last train residual.  r_{t-1} is the
+    residual of the month before, null where that month has no row.  Entities
+    with fewer than ``min_rows`` train rows stay uncorrected.
     """
     train = F.col(split) == "train"
-    ordered = Window.partitionBy(entity).orderBy(period)
+    ordered = Window.partitionBy(entity).orderBy(F.year(period) * 12 + F.month(period))
     whole = Window.partitionBy(entity)
     r = F.when(train, F.col(label) - F.col(score))
-    step = df.withColumn("_r", r).withColumn("_lag", F.lag("_r").over(ordered))
+    step = df.withColumn("_r", r).withColumn("_lag", F.first("_r").over(ordered.rangeBetween(-1, -1)))
     phi = F.try_divide(
         F.sum(F.when(train, F.col("_r") * F.col("_lag"))).over(whole),
         F.sum(F.when(train, F.col("_lag") * F.col("_lag"))).over(whole),

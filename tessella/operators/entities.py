@@ -33,15 +33,21 @@ LEGAL_FORM_EMBEDDED = [r"PuJSC", r"\bJSC\b", r"\bPJSC\b"]
 RESIDUAL_VARIANTS = r"(?iu)JSB|JSCB"
 
 
-def canonicalize(df: DataFrame, name: str, mapping: DataFrame) -> DataFrame:
+def canonicalize(df: DataFrame, name: str, mapping: DataFrame, order: str | None = None) -> DataFrame:
     """Add ``canonical`` and ``name_status`` from a (variant, canonical) table.
 
+    A repeated variant has one target: the entry latest in ``order``, or, without
+    an order, the greatest canonical name.
     A variant mapped to null means "delete the row"; unmapped names fall back
     to cleaning.  The dictionary's size is unknown here, so the join strategy
     is left to the optimizer's own size check.
     """
-    marked = mapping.select(
-        F.trim("variant").alias("_key"), F.col("canonical").alias("_target"), F.lit(True).alias("_hit")
+    entries = mapping.select(
+        F.trim("variant").alias("variant"), "canonical", (F.col(order) if order else F.col("canonical")).alias("_order")
+    )
+    single = mapping_last_wins(entries, "_order")
+    marked = single.select(
+        F.col("variant").alias("_key"), F.col("canonical").alias("_target"), F.lit(True).alias("_hit")
     )
     text = F.trim(F.col(name))
     joined = df.withColumn("_key", text).join(marked, "_key", "left")
@@ -63,7 +69,7 @@ def canonicalize(df: DataFrame, name: str, mapping: DataFrame) -> DataFrame:
 
 def mapping_last_wins(mapping: DataFrame, order: str) -> DataFrame:
     """One target per variant; the entry latest in ``order`` wins."""
-    w = Window.partitionBy("variant").orderBy(F.desc(order))
+    w = Window.partitionBy("variant").orderBy(F.desc_nulls_last(order))
     return mapping.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", order)
 
 

@@ -1,34 +1,44 @@
-"""Lagged, rolling, scaled and imputed features on a rectangular panel.
+"""Lagged, rolling, scaled and imputed features.
 
-Row lags and row windows equal calendar lags only on a panel with one row per
-(entity, month); see ``panel.build_panel``.
+Lags and windows count calendar months, whether the rows form a rectangular
+panel or have gaps: a month without a row gives a null lag and no value to a
+rolling window.  Rows are unique per (entity, month).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tessella.functions.numeric import clip, is_infinite
 from tessella.operators.quantiles import percentile_map
 from tessella.operators.series import quoted
-from tessella.session import bound, one_row
+from tessella.session import bound, one_row, shuffle_partitions
+
+
+def month_window(entity: str, period: str) -> WindowSpec:
+    """An entity's rows by month number; frames on it are in months."""
+    return Window.partitionBy(entity).orderBy(F.year(period) * 12 + F.month(period))
 
 
 def add_lags(df: DataFrame, entity: str, period: str, cols: list[str], lags: list[int]) -> DataFrame:
-    """``<col>_lag<k>`` for every column and lag over one shared sort."""
-    w = Window.partitionBy(entity).orderBy(period)
-    new = {f"{c}_lag{k}": F.lag(quoted(c), k).over(w) for c in cols for k in lags}
+    """``<col>_lag<k>``: the value k months earlier, over one shared sort.
+
+    A negative k looks ahead.
+    """
+    w = month_window(entity, period)
+    new = {f"{c}_lag{k}": F.first(quoted(c)).over(w.rangeBetween(-k, -k)) for c in cols for k in lags}
     return df.withColumns(new)
 
 
 def add_rolling(
     df: DataFrame, entity: str, period: str, cols: list[str], windows: list[int]
 ) -> DataFrame:
-    """``<col>_ma<w>`` and ``<col>_std<w>`` with max(1, w // 2) values needed."""
+    """``<col>_ma<w>`` and ``<col>_std<w>`` over the last w months, this one
+    included, with max(1, w // 2) values needed."""
     new: dict[str, Column] = {}
     for size in windows:
-        w = Window.partitionBy(entity).orderBy(period).rowsBetween(-(size - 1), 0)
+        w = month_window(entity, period).rangeBetween(-(size - 1), 0)
         for c in cols:
             enough = F.count(quoted(c)).over(w) >= max(1, size // 2)
             new[f"{c}_ma{size}"] = F.when(enough, F.avg(quoted(c)).over(w))
@@ -113,12 +123,13 @@ def downsample_negatives(
 
     A seeded hash of the row's keys orders the negatives, so the sample is the
     same on every run and its size is exact.  The global order is split in hash
-    ranges: only the one range that holds the cut is ranked.
+    ranges, sixteen and more per shuffle partition: only the one range that holds
+    the cut is ranked.
     """
-    ranges = 1 << 12
+    bits = max(12, (16 * shuffle_partitions(df) - 1).bit_length())
     h = F.xxhash64(F.lit(seed), *keys)
     marked = df.withColumn("_h", h).withColumn(
-        "_range", F.shiftright("_h", 52) + F.lit(ranges // 2)
+        "_range", F.shiftright("_h", 64 - bits) + F.lit(1 << (bits - 1))
     )
     pos = one_row(df, n=F.sum(F.col(label).cast("long")))["n"]
     negatives = marked.filter(F.col(label) == 0)
@@ -130,7 +141,7 @@ def downsample_negatives(
         "_range", F.coalesce(before, F.lit(0)).alias("_before"), "_n", (pos * ratio).alias("_quota")
     )
     quota = F.col("_quota")
-    placed = negatives.join(F.broadcast(offsets), "_range")  # at most 4096 rows
+    placed = negatives.join(F.broadcast(offsets), "_range")  # at most 2 ** bits rows
     whole = placed.filter(F.col("_before") + F.col("_n") <= quota)
     w = Window.partitionBy("_range").orderBy("_h", *keys)
     cut = (
@@ -252,7 +263,7 @@ def winsorize(df: DataFrame, cols: list[str], lo: float = 0.01, hi: float = 0.99
 
 
 # Column names that suggest a date, and preferred target names.
-DATE_NAMES = r"(?i)(date|period|month|report|time|ym|ts)"
+DATE_NAMES = r"(?i)(date|period|month|report|time|ym)"
 TARGET_NAMES = ["failed", "target_next", "target", "label_next", "label", "default", "event"]
 
 

@@ -86,3 +86,22 @@ def fold_rows(df: DataFrame, period: str, folds: DataFrame) -> DataFrame:
         .withColumn("role", F.when(month <= F.col("_fold.train_end"), "train").otherwise("validate"))
         .drop("_fold", "_folds")
     )
+
+
+def block_fold_rows(df: DataFrame, period: str, min_train: int, n_folds: int) -> DataFrame:
+    """Rows per fold tagged train or validate, every later month validated once.
+
+    The months after the first ``min_train`` are cut into ``n_folds`` consecutive
+    blocks; a fold validates one block and trains on all months before it.
+    """
+    months = _numbered_periods(df, period)
+    later = F.greatest(F.col("n_months") - min_train, F.lit(1))
+    block = F.greatest(F.floor((F.col("idx") - min_train) * n_folds / later) + 1, F.lit(0)).cast("int")
+    blocks = months.select(F.col("month").alias("_month"), block.alias("_block"))
+    placed = df.join(F.broadcast(blocks), F.last_day(period) == F.col("_month"))  # one row per month
+    folds = F.sequence(F.greatest(F.col("_block"), F.lit(1)), F.lit(n_folds))
+    return (
+        placed.withColumn("fold", F.explode(folds))
+        .withColumn("role", F.when(F.col("fold") == F.col("_block"), "validate").otherwise("train"))
+        .drop("_month", "_block")
+    )

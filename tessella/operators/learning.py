@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -50,6 +51,37 @@ class Fitted:
         )
 
 
+def save_linear(fitted: Fitted, stats: DataFrame, medians: DataFrame, calibrator: Fitted | None, path: str) -> None:
+    """Write a logistic fit as tables: coefficients, scaling, medians, calibrator.
+
+    ``stats`` has (feature, mean, deviation), ``medians`` (feature, median).
+    """
+    spark = stats.sparkSession
+    rows = [("intercept", float(fitted.model.intercept)), *zip(fitted.features, map(float, fitted.model.coefficients))]
+    if calibrator is not None:
+        rows += [("calibration_intercept", float(calibrator.model.intercept)), ("calibration_slope", float(calibrator.model.coefficients[0]))]
+    spark.createDataFrame(rows, "term string, coef double").coalesce(1).write.parquet(f"{path}/coefficients")
+    stats.join(medians, "feature").coalesce(1).write.parquet(f"{path}/features")
+
+
+def score_saved(df: DataFrame, path: str, out: str = "p") -> DataFrame:
+    """Score new rows from ``save_linear`` tables: impute, scale, add up, calibrate.
+
+    The tables have one row per feature and are read to the driver.
+    """
+    spark = df.sparkSession
+    coef = {r["term"]: r["coef"] for r in spark.read.parquet(f"{path}/coefficients").collect()}
+    margin = F.lit(coef["intercept"])
+    for r in spark.read.parquet(f"{path}/features").orderBy("feature").collect():
+        value = F.coalesce(quoted(r["feature"]).cast("double"), F.lit(r["median"]), F.lit(0.0))
+        scale = r["deviation"] if r["deviation"] and r["deviation"] > 0 else 1.0
+        margin = margin + (value - F.lit(r["mean"])) / F.lit(scale) * F.lit(coef[r["feature"]])
+    p = 1 / (1 + F.exp(-margin))
+    if "calibration_slope" in coef:
+        p = 1 / (1 + F.exp(-(p * coef["calibration_slope"] + coef["calibration_intercept"])))
+    return df.withColumn(out, p)
+
+
 def assemble(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features").transform(df)
 
@@ -63,13 +95,18 @@ def fit_logistic(
     data = data.persist()
     try:
         total = data.agg(F.sum("weight")).first()[0]
-        model = LogisticRegression(
-            elasticNetParam=1.0 if l1 else 0.0,
-            regParam=1.0 / (c * total),
-            standardization=False,
-            weightCol="weight",
-            maxIter=100,
-        ).fit(data)
+        for limit in (100, 1000, 10_000):
+            model = LogisticRegression(
+                elasticNetParam=1.0 if l1 else 0.0,
+                regParam=1.0 / (c * total),
+                standardization=False,
+                weightCol="weight",
+                maxIter=limit,
+            ).fit(data)
+            if model.summary.totalIterations < limit:
+                break
+        else:
+            raise ArithmeticError(f"logistic regression did not converge in {limit} iterations")
     finally:
         data.unpersist()
     return Fitted(model, features)
@@ -105,24 +142,37 @@ def coefficients(fitted: Fitted) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, coef double, abs_coef double, rank int")
 
 
+def _at_once(work: Callable, items: list, threads: int = 4) -> list:
+    """Results in order; a few independent fits share the cluster at a time."""
+    with ThreadPoolExecutor(threads) as pool:
+        return list(pool.map(work, items))
+
+
 def cv_select(
     folds: DataFrame, features: list[str], label: str, cs: list[float], metric: str = "average_precision",
     l1: bool = False,
 ) -> DataFrame:
     """Metric per (C, fold) on rows tagged by ``labels.fold_rows``; best first.
 
-    Folds and grid are short lists; every fit runs on all its train rows.
+    Folds and grid are short lists; every fit runs on all its train rows, the
+    folds a few at a time.
     """
-    parts, cached = [], []
-    for (fold,) in folds.select("fold").distinct().orderBy("fold").collect():
+    def fold_parts(fold: int) -> tuple[list[DataFrame], list[DataFrame]]:
         part = folds.filter(F.col("fold") == fold)
         train, valid = (part.filter(F.col("role") == r) for r in ("train", "validate"))
         tr, va = prepare(train, [train, valid], features)
         tr, va = tr.persist(), va.persist()
-        cached += [tr, va]
-        for c in cs:
-            p = fit_logistic(tr, features, label, c=c, l1=l1).score(va)
-            parts.append(p.select(F.lit(float(c)).alias("c"), F.lit(fold).alias("fold"), label, "p"))
+        fits = [fit_logistic(tr, features, label, c=c, l1=l1) for c in cs]
+        named = [
+            fit.score(va).select(F.lit(float(c)).alias("c"), F.lit(fold).alias("fold"), label, "p")
+            for c, fit in zip(cs, fits)
+        ]
+        return named, [tr, va]
+
+    numbers = [r["fold"] for r in folds.select("fold").distinct().orderBy("fold").collect()]
+    done = _at_once(fold_parts, numbers)
+    parts = [p for named, _ in done for p in named]
+    cached = [c for _, frames in done for c in frames]
     # One pass scores and ranks every (C, fold) together.
     scored = reduce(DataFrame.unionByName, parts)
     per_fold = materialize(ranking_metrics(scored, label, "p", ["c", "fold"], listed_groups=True), "cv")
@@ -182,11 +232,26 @@ def calibrate(model, df: DataFrame, score: str, out: str) -> DataFrame:
     return model.transform(ready).withColumn(out, F.col("prediction")).drop("prediction", "features")
 
 
+def out_of_fold_scores(train: DataFrame, features: list[str], label: str, n: int = 3) -> DataFrame:
+    """Raw scores of train rows by fits that did not see them.
+
+    Rows are dealt to ``n`` folds by a hash of their features, so equal rows are
+    held out together.
+    """
+    dealt = train.withColumn("_part", F.pmod(F.xxhash64(*features), F.lit(n)))
+
+    def held_out(k: int) -> DataFrame:
+        fit = fit_logistic(dealt.filter(F.col("_part") != k), features, label)
+        return fit.score(dealt.filter(F.col("_part") == k), "raw")
+
+    return reduce(DataFrame.unionByName, [held_out(k) for k in range(n)]).drop("_part")
+
+
 def fit_ensemble(train: DataFrame, features: list[str], label: str) -> tuple[Fitted, Fitted, Fitted]:
-    """L2 logistic with a Platt step, and boosted trees."""
+    """L2 logistic with a Platt step on out-of-fold scores, and boosted trees."""
     linear = fit_logistic(train, features, label)
     trees = fit_gbt(train, features, label, rounds=10, balanced=False)
-    calibrator = platt(linear.score(train, "raw"), label, "raw")
+    calibrator = platt(out_of_fold_scores(train, features, label), label, "raw")
     return linear, calibrator, trees
 
 
@@ -215,17 +280,16 @@ def out_of_fold(
         .orderBy("fold")
         .collect()
     )
-    parts = []
-    for r in info:
-        if r["classes"] < 2 or r["n_valid"] == 0:
-            continue
-        part = folds.filter(F.col("fold") == r["fold"])
+    def predictions(fold: int) -> DataFrame:
+        part = folds.filter(F.col("fold") == fold)
         train = downsample_negatives(part.filter("role = 'train'"), label, keys, neg_ratio, seed)
         tr, va = prepare(train, [train, part.filter("role = 'validate'")], features)
         # Written once per fold: the tree rounds read it many times.
         tr = materialize(tr, "fold-train")
         p = blend(fit(tr, features, label), va)
-        parts.append(p.select(*keys, "fold", F.col(label).alias("y"), "p"))
+        return p.select(*keys, "fold", F.col(label).alias("y"), "p")
+
+    parts = _at_once(predictions, [r["fold"] for r in info if r["classes"] == 2 and r["n_valid"]])
     return materialize(reduce(DataFrame.unionByName, parts), "out-of-fold")
 
 

@@ -16,12 +16,17 @@ from tessella.operators.series import quoted
 def score_table(
     df: DataFrame, label: str, score: str, groups: list[str] | None = None, listed_groups: bool = False
 ) -> DataFrame:
-    """Per distinct score: tp, fp, running TP/FP (score and above), totals."""
+    """Per distinct score: tp, fp, running TP/FP (score and above), totals.
+
+    Rows without a score are refused: leaving them out would drop positives
+    from recall and totals.  Score them, or filter them where that is meant.
+    """
     groups = list(groups or [])
     y = F.col(label).cast("long")
+    scored = F.when(F.col(score).isNull(), F.raise_error(F.lit(f"{score} is null"))).otherwise(F.col(score))
     counts = (
-        df.filter(F.col(score).isNotNull())
-        .groupBy(*groups, F.col(score).alias("score"))
+        df.withColumn("score", scored.cast(df.schema[score].dataType))
+        .groupBy(*groups, "score")
         .agg(F.sum(y).alias("tp"), F.sum(1 - y).alias("fp"))
     )
     return ordered_totals(counts, "score", ["tp", "fp"], groups, listed_groups=listed_groups)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessella.operators.features import zscore
 from tessella.operators.quantiles import percentiles
 from tessella.operators.series import quoted
-from tessella.session import one_row
+from tessella.session import bound, one_row
 
 # Entity cells that contain one of these are aggregate rows.
 AGGREGATE_WORDS = [
@@ -120,26 +120,34 @@ def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
 def between_share(df: DataFrame, entity: str, cols: list[str]) -> DataFrame:
     """Share of each column's variance that lies between entity means.
 
-    Entity sums are pre-aggregated, so a hot entity only costs partial sums.
+    Entities are reduced to (n, mean, squares within) first, so a hot entity only
+    costs partial sums; squares between are summed around the overall mean.  No
+    sum of squares is taken from raw values, so a large offset does no harm.
     """
     aggs: list[Column] = []
     for i, c in enumerate(cols):
         aggs += [
             F.count(quoted(c)).alias(f"n{i}"),
-            F.sum(quoted(c)).alias(f"s{i}"),
-            F.sum(quoted(c) * quoted(c)).alias(f"q{i}"),
+            F.avg(quoted(c)).alias(f"m{i}"),
+            (F.var_pop(quoted(c)) * F.count(quoted(c))).alias(f"w{i}"),
         ]
     per_entity = df.groupBy(entity).agg(*aggs)
+    # means around the smallest one, so that their weighted mean keeps its digits
+    low = one_row(per_entity, **{f"l{i}": F.min(f"m{i}") for i in range(len(cols))})
+    near = bound(per_entity, "_low", low)
+    near = near.withColumns({f"m{i}": F.col(f"m{i}") - F.col(f"_low.l{i}") for i in range(len(cols))})
+    mean = one_row(near, **{f"c{i}": F.try_divide(F.sum(F.col(f"n{i}") * F.col(f"m{i}")), F.sum(f"n{i}")) for i in range(len(cols))})
+    centred = bound(near, "_mean", mean)
     rows = []
     for i, c in enumerate(cols):
-        n, s, q = F.sum(f"n{i}"), F.sum(f"s{i}"), F.sum(f"q{i}")
-        mean = s / n
-        between = F.sum(F.try_divide(F.col(f"s{i}") * F.col(f"s{i}"), F.col(f"n{i}"))) / n - mean * mean
-        total = q / n - mean * mean
+        gap = F.col(f"m{i}") - F.col(f"_mean.c{i}")
+        between = F.sum(F.col(f"n{i}") * gap * gap)
         rows.append(
-            F.struct(F.lit(c).alias("column_name"), F.try_divide(between, total).alias("between_share"))
+            F.struct(
+                F.lit(c).alias("column_name"), F.try_divide(between, between + F.sum(f"w{i}")).alias("between_share")
+            )
         )
-    return per_entity.agg(F.array(*rows).alias("r")).select(F.inline("r"))
+    return centred.agg(F.array(*rows).alias("r")).select(F.inline("r"))
 
 
 def range_violations(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> DataFrame:

@@ -7,10 +7,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.operators.series import quoted
+from tessella.session import shuffle_partitions
 
 
-# Ordered ranges per group; a power of four, for the search below.
-N_RANGES = 64
+def n_ranges(df: DataFrame, least: int = 64) -> int:
+    """Ordered ranges per group: a power of four (for the search below) that is
+    no less than the shuffle partitions, so that every task gets its share."""
+    n = least
+    while n < shuffle_partitions(df):
+        n *= 4
+    return n
 
 
 def _cut_points(value: Column | str, n: int) -> Column:
@@ -57,18 +63,19 @@ def ordered_totals(
     """
     groups = list(groups or [])
     small = F.broadcast if listed_groups or not groups else (lambda side: side)
-    cuts = _cut_points(order, N_RANGES)
+    n = n_ranges(df)
+    cuts = _cut_points(order, n)
     if groups:
         with_cuts = df.join(small(df.groupBy(*groups).agg(cuts.alias("_cuts"))), groups)
     else:
         with_cuts = df.withColumn("_cuts", df.agg(cuts.alias("c")).scalar())
-    ranged = _find_range(with_cuts, order, N_RANGES)
+    ranged = _find_range(with_cuts, order, n)
 
     direction = F.desc if descending else F.asc
     per_range = ranged.groupBy(*groups, "_range").agg(
         *[F.sum(s).alias(f"_sum_{s}") for s in sums]
     )
-    # At most N_RANGES rows per group from here on.
+    # At most n rows per group from here on.
     g = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
     earlier = g.orderBy(direction("_range")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_range.select(

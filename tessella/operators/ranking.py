@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.operators.quantiles import ordered_totals
-from tessella.session import one_row
+from tessella.session import one_row, shuffle_partitions
 
 
 def top_k(df: DataFrame, k: int, order: list) -> DataFrame:
@@ -15,23 +17,21 @@ def top_k(df: DataFrame, k: int, order: list) -> DataFrame:
 
 
 def rank_in_group(df: DataFrame, keys: list[str], order: list, k: int, out: str = "rank") -> DataFrame:
-    """Rows ranked 1..k per group.
+    """Rows ranked 1..k per group, by one plan for every k.
 
-    Up to 1000 the optimizer limits every group before the shuffle by itself;
-    beyond that a first ranking within hash parts of each group does the same,
-    so one task sees at most ``parts * k`` rows of a hot group.
+    A first ranking within hash parts of each group keeps k rows per part, so
+    the final task of a hot group sees at most ``parts * k`` rows, however many
+    map tasks there are.  The parts follow the shuffle partitions.
     """
     final = Window.partitionBy(*keys).orderBy(*order)
-    if k > 1000:
-        parts = 64
-        part = F.pmod(F.xxhash64(*df.columns), F.lit(parts))
-        near = Window.partitionBy(*keys, "_part").orderBy(*order)
-        df = (
-            df.withColumn("_part", part)
-            .withColumn("_near", F.row_number().over(near))
-            .filter(F.col("_near") <= k)
-            .drop("_near", "_part")
-        )
+    parts = max(2, math.isqrt(shuffle_partitions(df)))
+    near = Window.partitionBy(*keys, "_part").orderBy(*order)
+    df = (
+        df.withColumn("_part", F.pmod(F.xxhash64(*df.columns), F.lit(parts)))
+        .withColumn("_near", F.row_number().over(near))
+        .filter(F.col("_near") <= k)
+        .drop("_near", "_part")
+    )
     return df.withColumn(out, F.row_number().over(final)).filter(F.col(out) <= k)
 
 

@@ -85,19 +85,33 @@ def outer_merge(frames: list[DataFrame], key: str) -> DataFrame:
     """Full outer merge of series on one key.
 
     Frames are stacked with null-filled columns and folded by one aggregation:
-    a single shuffle instead of a chain of full outer joins.  Each frame holds
-    at most one row per key and its own value columns.
+    a single shuffle instead of a chain of full outer joins.  Value columns of
+    the same name are refused; a frame with a repeated key fails when it is read.
     """
+    names = [c for f in frames for c in f.columns if c != key]
+    if len(names) != len({n.lower() for n in names}):
+        raise ValueError(f"frames share value columns: {sorted(n for n in set(names) if names.count(n) > 1)}")
+    marks = [f"_in{i}" for i in range(len(frames))]
+    frames = [f.withColumn(m, F.lit(1)) for f, m in zip(frames, marks)]
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    values = [c for c in stacked.columns if c != key]
-    return stacked.groupBy(key).agg(
-        *[F.first(quoted(c), ignorenulls=True).alias(c) for c in values]
+    folded = stacked.groupBy(key).agg(
+        *[F.max(quoted(c)).alias(c) for c in names], *[F.count(m).alias(m) for m in marks]
     )
+    once = F.greatest(*marks, F.lit(0)) <= 1
+    checked = F.when(once, F.col(key)).otherwise(F.raise_error(F.lit(f"a frame repeats a value of {key}")))
+    return folded.withColumn(key, checked.cast(folded.schema[key].dataType)).drop(*marks)
 
 
-def rename_from_lookup(df: DataFrame, lookup: DataFrame, code: str, label: str) -> DataFrame:
-    """Replace series codes by display names; unknown codes stay."""
-    names = lookup.select(code, label).dropDuplicates([code])
+def rename_from_lookup(
+    df: DataFrame, lookup: DataFrame, code: str, label: str, order: str | None = None
+) -> DataFrame:
+    """Replace series codes by display names; unknown codes stay.
+
+    Of several names of a code the one latest in ``order`` is taken, or, without
+    an order, the greatest name.
+    """
+    latest = F.max_by(label, order) if order else F.max(label)
+    names = lookup.groupBy(code).agg(latest.alias(label))
     return df.join(names, code, "left").withColumn(label, F.coalesce(label, code))
 
 

@@ -31,13 +31,13 @@ SELECT entity, period, lag(amount, 1) OVER w AS amount_lag1, lag(amount, 3) OVER
 FROM panel WINDOW w AS (PARTITION BY entity ORDER BY period)""",
 )
 def lagged_features(spark, d):
-    """F1 on the rectangular panel, so row lags are calendar lags."""
+    """F1; on the rectangular panel row lags are calendar lags."""
     out = FE.add_lags(customer_panel(spark, d), E, D, ["amount", "present"], [1, 3])
     return out.select(E, D, "amount_lag1", "amount_lag3", "present_lag1", "present_lag3")
 
 
 def _rolling_sql(col: str, w: int) -> str:
-    frame = f"OVER (PARTITION BY entity ORDER BY period ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"
+    frame = f"OVER (PARTITION BY entity ORDER BY period RANGE BETWEEN INTERVAL {w - 1} MONTH PRECEDING AND CURRENT ROW)"
     enough = f"count({col}) {frame} >= {max(1, w // 2)}"
     return (
         f"round(CASE WHEN {enough} THEN avg({col}) {frame} END, 4) AS {col}_ma{w}, "

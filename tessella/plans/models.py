@@ -6,32 +6,48 @@ has an unusually high share of returns.
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessella.operators import econometrics as EC
 from tessella.operators import features as FE
 from tessella.operators import labels as LB
 from tessella.operators import learning as LN
+from tessella.operators import quantiles as QT
 from tessella.operators import ranking as RK
 from tessella.plans.base import (
+    CUSTOMER_MONTHS,
     CUSTOMER_PANEL,
     SUPPLIER_MONTHS,
+    customer_months,
     customer_panel,
     query,
     r,
     rounded,
     supplier_months,
 )
-from tessella.session import materialize
+
+from tessella.session import materialize, scratch_path
 
 E, D = "entity", "period"
 FEATURES = ["price", "quantity", "tax_share", "discount_share", "returned_share", "price_lag1", "returned_share_ma3"]
 CUT = "1999-12-01"
 
 
-def labelled_panel(spark, d):
-    """Supplier months with features and ``y``; the last month has no label."""
+LABELLED = f"""{SUPPLIER_MONTHS}, s AS (SELECT entity, period, price, quantity, tax / price AS tax_share, discount / price AS discount_share,
+  coalesce(returned, 0) / price AS returned_share FROM supplier_months),
+labelled AS (SELECT s.*, b.price AS price_lag1,
+  avg(s.returned_share) OVER (PARTITION BY s.entity ORDER BY s.period RANGE BETWEEN INTERVAL 2 MONTH PRECEDING AND CURRENT ROW) AS returned_share_ma3,
+  CASE WHEN n.returned_share > 0.6 THEN 1 ELSE 0 END AS y, n.entity IS NOT NULL AS has_next
+  FROM s LEFT JOIN s b ON b.entity = s.entity AND b.period = s.period - INTERVAL 1 MONTH
+         LEFT JOIN s n ON n.entity = s.entity AND n.period = s.period + INTERVAL 1 MONTH)"""
+
+
+def labelled_rows_of(spark, d):
+    """Supplier months with features and ``y``, the next calendar month's label.
+
+    Lags, windows and the label follow the calendar; months without a successor
+    have no label and are left out.
+    """
     m = supplier_months(spark, d)
     shares = m.select(
         E, D, "price", "quantity",
@@ -40,10 +56,23 @@ def labelled_panel(spark, d):
         (F.coalesce("returned", F.lit(0.0)) / F.col("price")).alias("returned_share"),
     )
     lagged = FE.add_rolling(FE.add_lags(shares, E, D, ["price"], [1]), E, D, ["returned_share"], [3])
-    ahead = F.lead("returned_share").over(Window.partitionBy(E).orderBy(D))
-    rows = lagged.withColumn("y", (ahead > 0.6).cast("int")).filter(F.col("y").isNotNull())
-    # Model fits read the rows many times: written once, with fixed lineage.
-    return materialize(rows.select(E, D, *FEATURES, "y"), "labelled")
+    ahead = FE.add_lags(lagged, E, D, ["returned_share"], [-1]).withColumnRenamed("returned_share_lag-1", "ahead")
+    rows = ahead.withColumn("y", (F.col("ahead") > 0.6).cast("int")).filter(F.col("y").isNotNull())
+    return rows.select(E, D, *FEATURES, "y")
+
+
+def labelled_panel(spark, d):
+    """Model fits read the rows many times: written once, with fixed lineage."""
+    return materialize(labelled_rows_of(spark, d), "labelled")
+
+
+@query(
+    "labelled_rows",
+    f"WITH {LABELLED} SELECT entity, period, {', '.join(f'round({c}, 6) AS {c}' for c in FEATURES)}, y FROM labelled WHERE has_next",
+)
+def labelled_rows(spark, d):
+    """What all classifiers below are fitted on."""
+    return rounded(labelled_rows_of(spark, d))
 
 
 def prepared(spark, d, with_mean=True):
@@ -68,10 +97,36 @@ def balanced(spark, d):
 @query("two_way_demeaned", f"WITH {BALANCED} SELECT entity, period, round(yd, 6) AS y_within, round(xd, 6) AS x_within FROM d")
 def two_way_demeaned(spark, d):
     """on the rectangular panel the closed form must come out."""
-    out, _ = EC.two_way_demean(balanced(spark, d), E, D, ["y", "x"])
+    out = EC.two_way_demean(balanced(spark, d), E, D, ["y", "x"])
     return rounded(out.select(E, D, "y_within", "x_within"))
 
 
+@query(
+    "unbalanced_within_means",
+    f"""WITH {CUSTOMER_MONTHS}, g AS (SELECT 'entity' AS side, CAST(entity AS VARCHAR) AS part, count(*) AS n FROM customer_months GROUP BY ALL
+UNION ALL SELECT 'period', CAST(period AS VARCHAR), count(*) FROM customer_months GROUP BY ALL)
+SELECT side, part, n, CAST(0 AS DOUBLE) AS amount_mean, CAST(0 AS DOUBLE) AS orders_mean FROM g""",
+)
+def unbalanced_within_means(spark, d):
+    """F11 on the sparse customer months: every entity and period mean is zero.
+
+    Zero group means and values that differ from the input by entity plus period
+    effects define the solution; the second half is what the operator adds up.
+    """
+    m = customer_months(spark, d).select(E, D, "amount", F.col("n_orders").cast("double").alias("orders"))
+    out = materialize(EC.two_way_demean(m, E, D, ["amount", "orders"]), "within")
+
+    def means(side, key):
+        def zero(c):
+            return (F.round(F.avg(c), 6) + 0.0).alias(c.replace("within", "mean"))
+
+        return out.groupBy(F.lit(side).alias("side"), F.col(key).cast("string").alias("part")).agg(
+            F.count("*").alias("n"), zero("amount_within"), zero("orders_within")
+        )
+
+    return means("entity", E).unionByName(means("period", D))
+
+
 @query(
     "panel_regression",
     f"""WITH {BALANCED}, c AS (SELECT sum(xd * yd) / sum(xd * xd) AS beta, sum(xd * xd) AS sxx, sum(yd * yd) AS syy, count(*) AS n, count(DISTINCT entity) AS g FROM d),
@@ -150,7 +205,7 @@ def scores_of_known_entities(spark, d):
     f"""WITH {SUPPLIER_MONTHS}, x AS (SELECT entity, period, CASE WHEN coalesce(returned, 0) / price > 0.4 THEN 1 ELSE 0 END AS y,
   round(least(0.9, quantity / 1000), 4) AS p, CASE WHEN period <= DATE '{CUT}' THEN 'train' ELSE 'test' END AS split FROM supplier_months),
 a AS (SELECT *, CASE WHEN split = 'train' THEN y - p END AS rr FROM x),
-b AS (SELECT *, lag(rr) OVER (PARTITION BY entity ORDER BY period) AS lg,
+b AS (SELECT *, max(rr) OVER (PARTITION BY entity ORDER BY period RANGE BETWEEN INTERVAL 1 MONTH PRECEDING AND INTERVAL 1 MONTH PRECEDING) AS lg,
   last_value(rr IGNORE NULLS) OVER (PARTITION BY entity ORDER BY period ROWS UNBOUNDED PRECEDING) AS lastr,
   count(*) FILTER (WHERE split = 'test') OVER (PARTITION BY entity ORDER BY period ROWS UNBOUNDED PRECEDING) AS h FROM a),
 f AS (SELECT entity, sum(rr * lg) / nullif(sum(lg * lg) FILTER (WHERE split = 'train'), 0) AS phi, count(*) FILTER (WHERE split = 'train') AS n FROM b GROUP BY 1),
@@ -168,7 +223,7 @@ def residual_autoregression(spark, d):
     return rounded(out.select(E, D, "split", "residual_forecast", "adjusted"))
 
 
-SCORE_AT = f"""{SUPPLIER_MONTHS}, l AS (SELECT entity, period, coalesce(returned, 0) / price AS y, lag(price, 1) OVER w AS l1, lag(price, 2) OVER w AS l2
+SCORE_AT = f"""{SUPPLIER_MONTHS}, l AS (SELECT entity, period, coalesce(returned, 0) / price AS y, max(price) OVER (w RANGE BETWEEN INTERVAL 1 MONTH PRECEDING AND INTERVAL 1 MONTH PRECEDING) AS l1, max(price) OVER (w RANGE BETWEEN INTERVAL 2 MONTH PRECEDING AND INTERVAL 2 MONTH PRECEDING) AS l2
   FROM supplier_months WINDOW w AS (PARTITION BY entity ORDER BY period)),
 f AS (SELECT * FROM l WHERE l1 IS NOT NULL AND l2 IS NOT NULL),
 s AS (SELECT avg(l1) AS m1, stddev_pop(l1) AS s1, avg(l2) AS m2, stddev_pop(l2) AS s2 FROM f WHERE period <= DATE '{CUT}'),
@@ -218,10 +273,11 @@ def boosted_tree_predictions(spark, d):
 
 @query("penalty_selection")
 def penalty_selection(spark, d):
-    """K7: penalty grid over expanding folds by mean average precision."""
+    """K7: ten penalties over five expanding folds by mean ROC-AUC."""
     rows = labelled_panel(spark, d)
-    folds = LB.fold_rows(rows, D, LB.expanding_folds(rows, D, 60, 3))
-    return LN.cv_select(folds, FEATURES, "y", [0.01, 1.0, 100.0])
+    n_months = rows.select(F.last_day(D)).distinct().count()
+    folds = LB.block_fold_rows(rows, D, n_months // 6, 5)
+    return LN.cv_select(folds, FEATURES, "y", [10.0**k for k in range(-4, 6)], metric="roc_auc", l1=True)
 
 
 @query("score_augmented_fit")
@@ -281,9 +337,8 @@ def wald_table(spark, d):
 
 
 def _oof(spark, d):
-    rows = labelled_panel(spark, d)
-    folds = LB.fold_rows(rows, D, LB.expanding_folds(rows, D, 60, 2))
-    return LN.out_of_fold(folds, FEATURES, "y", [E, D], neg_ratio=3)
+    """Every month from the sixty-first on is scored, by a fit of earlier months."""
+    return LN.out_of_fold(LB.block_fold_rows(labelled_panel(spark, d), D, 60, 6), FEATURES, "y", [E, D], neg_ratio=3)
 
 
 @query("out_of_fold_predictions")
@@ -302,8 +357,33 @@ def out_of_fold_metrics(spark, d):
 
 @query("next_month_watch_list")
 def next_month_watch_list(spark, d):
-    """H3 on out-of-fold probabilities of the last validation month."""
-    return RK.watch_list(_oof(spark, d), D, [F.desc("p"), F.asc(E)], 10)
+    """H3: the latest labelled month, ranked by a fit of all months before it."""
+    rows = labelled_panel(spark, d)
+    n_months = rows.select(F.last_day(D)).distinct().count()
+    folds = LB.block_fold_rows(rows, D, n_months - 1, 1)
+    return RK.watch_list(LN.out_of_fold(folds, FEATURES, "y", [E, D], neg_ratio=3), D, [F.desc("p"), F.asc(E)], 10)
+
+
+@query("saved_model_scores")
+def saved_model_scores(spark, d):
+    """A fit is saved as tables, loaded, and scores raw test rows; the
+    direct score of the prepared rows stands beside it."""
+    rows = labelled_panel(spark, d)
+    train, test = LB.time_split(rows, D, CUT)
+    tr, te = LN.prepare(train, [train, test], FEATURES)
+    fit = LN.fit_logistic(tr, FEATURES, "y")
+    cal = LN.platt(LN.out_of_fold_scores(tr, FEATURES, "y"), "y", "raw")
+    medians = QT.percentiles(train, FEATURES, [0.5]).select(F.col("column_name").alias("feature"), F.col("value").alias("median"))
+    filled = FE.apply_impute(train, FE.fit_impute(train, FEATURES), FEATURES)
+    stats = filled.unpivot([], FEATURES, "feature", "value").groupBy("feature").agg(
+        F.avg("value").alias("mean"), F.stddev_pop("value").alias("deviation")
+    )
+    path = scratch_path(spark, "saved-model")
+    LN.save_linear(fit, stats, medians, cal, path)
+    saved = LN.score_saved(test, path, "saved").select(E, D, "saved")
+    direct = cal.score(fit.score(te, "raw"), "direct").select(E, D, "direct")
+    both = direct.join(saved, [E, D])
+    return both.select(E, D, F.round("direct", 6).alias("direct"), F.round("saved", 6).alias("saved"))
 
 
 @query("isotonic_calibration")
@@ -319,7 +399,6 @@ def isotonic_calibration(spark, d):
 def metric_table(spark, d):
     """Metrics written as nested JSON and read as a long table."""
     from tessella.operators.metrics import quality_metrics
-    from tessella.session import scratch_path
     from tessella.sources.files import save_json
 
     train, test = prepared(spark, d)

@@ -26,20 +26,25 @@ def build_session(app: str = "tessella", cores: str | int = "*", partitions: int
     return spark
 
 
+_local: dict[str, tempfile.TemporaryDirectory] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a folder of its own; on a
-    cluster a machine-local folder would lose data with its executor, so the
-    missing setting is an error there.
+    The setting is required on a cluster, where a machine-local folder would
+    lose data with its executor.  A local session without it gets one folder
+    that goes when the process ends.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        named = tempfile.mkdtemp(prefix="tessella-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+        app = spark.sparkContext.applicationId
+        if app not in _local:
+            _local[app] = tempfile.TemporaryDirectory(prefix="tessella-", ignore_cleanup_errors=True)
+        named = _local[app].name
+    return f"{named.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -47,6 +52,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all that this application has written below the shared folder.
+
+    For the owner of the session, once no result is read any more.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage by writing to the shared folder and reading back."""
     path = scratch_path(df.sparkSession, name)
@@ -54,6 +68,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shuffle_partitions(df: DataFrame) -> int:
+    """The session's shuffle partitions: the measure for how far to split work."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def one_row(df: DataFrame, **aggregates: Column) -> Column:
     """Global statistics as a scalar-subquery struct.
 
@@ -78,6 +97,8 @@ def freeze(df: DataFrame, value: Column) -> Column:
     """
     got = df.sparkSession.range(1).select(value.alias("v")).first()["v"]
     if isinstance(got, dict):
+        if not got:  # an empty map literal has no type
+            return F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<array<double>>"))
         pairs = [x for k, v in got.items() for x in (F.lit(k), F.array(*[F.lit(float(i)) for i in v]))]
         return F.create_map(*pairs)
     return F.struct(*[F.lit(v).cast("double").alias(k) for k, v in got.asDict().items()])

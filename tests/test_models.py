@@ -45,12 +45,48 @@ def test_panel_ols_equals_dummy_regression(spark):
 
 def test_demeaned_residuals_have_no_group_means(spark):
     df = spark.createDataFrame(unbalanced(9), "e int, d date, y double, x1 double, x2 double, t double")
-    out, _ = EC.two_way_demean(df, "e", "d", ["y"])
+    out = EC.two_way_demean(df, "e", "d", ["y"])
     for key in ("e", "d"):
         worst = out.groupBy(key).agg(F.avg("y_within").alias("m")).agg(F.max(F.abs("m"))).first()[0]
         assert worst < 1e-8
 
 
+def test_a_long_chain_of_short_entities_is_solved(spark):
+    """120 entities of two months each, chained over 121 months."""
+    rng = np.random.default_rng(1)
+    months = [dt.date(2000 + t // 12, t % 12 + 1, 1) for t in range(121)]
+    rows = [(e, months[e + k], float(1e9 + rng.normal() + 5 * e)) for e in range(120) for k in (0, 1)]
+    rows += [(500 + e, dt.date(1990, 1 + k, 1), float(rng.normal())) for e in range(3) for k in (0, 1)]  # unconnected
+    df = spark.createDataFrame(rows, "e int, d date, y double")
+    out = EC.two_way_demean(df, "e", "d", ["y"])
+    for key in ("e", "d"):
+        worst = out.groupBy(key).agg(F.avg("y_within").alias("m")).agg(F.max(F.abs("m"))).first()[0]
+        assert worst < 1e-6  # of values near 1e9
+
+
+def test_demeaning_refuses_nulls(spark):
+    df = spark.createDataFrame([(1, dt.date(2020, 1, 1), None), (1, dt.date(2020, 2, 1), 1.0)], "e int, d date, y double")
+    with pytest.raises(ValueError, match="nulls"):
+        EC.two_way_demean(df, "e", "d", ["y"])
+
+
+def test_tails_equal_tabulated_values():
+    assert EC.t_tail(2.228139, 10) == pytest.approx(0.05, abs=1e-6)
+    assert EC.t_tail(12.706205, 1) == pytest.approx(0.05, abs=1e-6)
+    assert EC.f_tail(4.964603, 1, 10) == pytest.approx(0.05, abs=1e-6)
+    assert EC.f_tail(3.325835, 5, 10) == pytest.approx(0.05, abs=1e-6)
+    assert EC.t_tail(1.959964, 1e7) == pytest.approx(0.05, abs=1e-6)
+
+
+def test_r2_can_be_negative(spark):
+    rows = [(e, d, 100.0 * e + y, x1, x2, t) for e, d, y, x1, x2, t in unbalanced(5)]
+    df = spark.createDataFrame(rows, "e int, d date, y double, x1 double, x2 double, t double")
+    got = {r.term: r for r in EC.panel_ols(df, "y", ["x1"], "e", "d").collect()}["x1"]
+    ys, xs = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
+    assert got.r2_total == pytest.approx(1 - ((ys - got.coef * xs) ** 2).sum() / (ys**2).sum())
+    assert 0 <= got.f_p_value <= 1 and got.r2_within > got.r2_total
+
+
 def test_too_few_rows_gives_no_result(spark):
     df = spark.createDataFrame(unbalanced(2, 4, 5), "e int, d date, y double, x1 double, x2 double, t double")
     assert EC.panel_ols(df, "y", ["x1"], "e", "d").count() == 0
