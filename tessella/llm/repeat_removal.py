@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.registry import query, table
 from tessella.llm.suffix_arrays import common_prefixes, suffix_array
-from tessella.llm.vectors import mix
+from tessella.llm.vectors import chunks, mix
 
 LENGTH, PIECE, SHARD_BYTES, BLOCK = 100, 32, 1 << 21, 1 << 22
 NO_ID = -(1 << 63)
@@ -76,16 +76,25 @@ def _smallest(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(v[: len(v) - rest], v[rest:]) if rest else v
 
 
-def regions(text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(mark, first string start, number of strings) of the regions of a text,
-    in blocks; every string of LENGTH bytes lies in exactly one region."""
-    for at in range(0, len(text) - LENGTH + 1, BLOCK):
-        block = text[at : at + BLOCK + LENGTH - 1]
+def regions(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, mark, first string start, number of strings) of the regions of some
+    texts, in blocks; every string of LENGTH bytes lies in exactly one region."""
+    data = b"".join(texts)
+    size = np.array([len(t) for t in texts], np.int64)
+    begin = np.cumsum(size) - size
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), size)
+    for at in range(0, len(data) - LENGTH + 1, BLOCK):
+        block = data[at : at + BLOCK + LENGTH - 1]
         h = _pieces(block)
         low = _smallest((h & ~_LOW) | np.arange(len(h), dtype=np.uint64), LENGTH - PIECE + 1) & _LOW
         place = low.astype(np.int64)
-        first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-        yield h[place[first]].view(np.int64), first + at, np.diff(np.append(first, len(place)))
+        of, last = owner[at : at + len(place)], owner[at + LENGTH - 1 : at + LENGTH - 1 + len(place)]
+        inside = of == last  # the string does not run into the next text
+        first = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (of[1:] != of[:-1]) | (inside[1:] != inside[:-1])))
+        n = np.diff(np.append(first, len(place)))
+        keep = inside[first]
+        first, n = first[keep], n[keep]
+        yield of[first], h[place[first]].view(np.int64), first + at - begin[of[first]], n
 
 
 def _fingerprints(text: bytes, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -127,29 +136,29 @@ def _marks(known: bool):
 
         def flush() -> pa.RecordBatch:
             mark, k, tk = (np.concatenate(c) for c in zip(*held))
-            order = np.lexsort((tk, k, mark))
+            order = np.argsort(mark, kind="stable")
             mark, k, tk = mark[order], k[order], tk[order]
             first = _runs(mark)
-            many = np.repeat(np.diff(np.append(first, len(mark))) > 1, np.diff(np.append(first, len(mark))))
+            count = np.diff(np.append(first, len(mark)))
             if known:
-                once = np.zeros(len(mark), bool)
-                once[_runs(mark, k, tk)] = True
-                pick = many & once
-                columns = (mark[pick], k[pick], tk[pick])
-                return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["mark", "k", "tk"])
-            head = first
-            columns = (mark[head], np.where(many[head], 0, k[head]), np.where(many[head], 0, tk[head]).astype(np.int32), (1 + many[head]).astype(np.int8))
+                many = np.repeat(count > 1, count)
+                mark, k, tk = mark[many], k[many], tk[many]
+                order = np.lexsort((tk, k, mark))
+                mark, k, tk = mark[order], k[order], tk[order]
+                once = _runs(mark, k, tk)
+                return pa.RecordBatch.from_arrays([pa.array(c[once]) for c in (mark, k, tk)], ["mark", "k", "tk"])
+            many = count > 1
+            columns = (mark[first], np.where(many, 0, k[first]), np.where(many, 0, tk[first]).astype(np.int32), (1 + many).astype(np.int8))
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["mark", "k", "tk", "seen"])
 
-        for b in batches:
+        for b in chunks(batches, "text"):
             k, tk = b.column("k").to_numpy(), b.column("tk").to_numpy()
-            for i, text in enumerate(_raw(b.column("text"))):
-                for mark, _, _ in regions(text):
-                    held.append((mark, np.full(len(mark), k[i]), np.full(len(mark), tk[i], np.int32)))
-                    size += len(mark)
-                if size >= 1 << 21:
-                    yield flush()
-                    held, size = [], 0
+            for of, mark, _, _ in regions(_raw(b.column("text"))):
+                held.append((mark, k[of], tk[of]))
+                size += len(mark)
+            if size >= 1 << 21:
+                yield flush()
+                held, size = [], 0
         if held:
             yield flush()
 
@@ -190,18 +199,20 @@ def _known_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """Regions whose mark is among the repeated ones; equal regions of a batch go
     out once with the route of the region, the later ones with that of their text."""
     names = ("mark", "print", "k", "tk", "start", "size")
-    for b in batches:
+    for b in chunks(batches, "text"):
         texts, known = _raw(b.column("text")), b.column("marks")
         k, tk = b.column("k").to_numpy(), b.column("tk").to_numpy()
+        data, begin = b"".join(texts), np.cumsum([0] + [len(t) for t in texts])
+        # a text's wanted marks as (text, mark) pairs, looked up all at once
+        of_mark = np.repeat(np.arange(b.num_rows), pc.list_value_length(known).to_numpy(zero_copy_only=False))
+        wanted = np.sort(mix(pc.list_flatten(known).to_numpy().view(np.uint64)) ^ mix(of_mark.astype(np.uint64)))
         held: list[tuple] = []
-        for i in range(b.num_rows):
-            wanted = np.sort(known[i].values.to_numpy(zero_copy_only=False))
-            for mark, first, n in regions(texts[i]):
-                at = np.minimum(np.searchsorted(wanted, mark), len(wanted) - 1)
-                hit = wanted[at] == mark
-                mark, first, size = mark[hit], first[hit], n[hit] + LENGTH - 1
-                if len(mark):
-                    held.append((mark, _fingerprints(texts[i], first, size), np.full(len(mark), k[i]), np.full(len(mark), tk[i], np.int32), first, size))
+        for of, mark, first, n in regions(texts):
+            asked = mix(mark.view(np.uint64)) ^ mix(of.astype(np.uint64))
+            hit = wanted[np.minimum(np.searchsorted(wanted, asked), len(wanted) - 1)] == asked
+            of, mark, first, size = of[hit], mark[hit], first[hit], n[hit] + LENGTH - 1
+            if len(mark):
+                held.append((mark, _fingerprints(data, begin[of] + first, size), k[of], tk[of], first, size))
         if not held:
             continue
         rows = dict(zip(names, (np.concatenate(c) for c in zip(*held))))
@@ -273,10 +284,10 @@ def repeated_strings(k: np.ndarray, tk: np.ndarray, start: np.ndarray, pieces: l
     s[:-1] += 2
     s[begin + size] = 1  # a region's end is below every byte, the end marker below that
     sa = suffix_array(s, LENGTH)
-    shared = common_prefixes(s, sa, LENGTH)
     region = np.repeat(np.arange(len(pieces)), size + 1)
     inside = np.arange(len(region)) - np.repeat(begin, size + 1)
     valid = np.append(inside <= np.repeat(size, size + 1) - LENGTH, False)
+    shared = common_prefixes(s, sa, LENGTH, valid)
     order = np.lexsort((tk, k))
     fresh = np.append(True, (k[order][1:] != k[order][:-1]) | (tk[order][1:] != tk[order][:-1]))
     document = np.empty(len(k), np.int64)

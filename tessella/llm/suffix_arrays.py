@@ -137,15 +137,16 @@ def _ranked(names: np.ndarray, span: np.ndarray, depth: int) -> np.ndarray:
     return rank
 
 
-def common_prefixes(s: np.ndarray, sa: np.ndarray, limit: int) -> np.ndarray:
+def common_prefixes(s: np.ndarray, sa: np.ndarray, limit: int, where: np.ndarray | None = None) -> np.ndarray:
     """Per text place, the length (up to ``limit``) it shares with the suffix
-    sorted just before it: common prefixes permuted to text order."""
+    sorted just before it: common prefixes permuted to text order.  With
+    ``where``, only for those places; 0 elsewhere."""
     n = len(s)
     phi = np.full(n, -1, np.int64)
     phi[sa[1:]] = sa[:-1]
     padded = np.concatenate([s, np.zeros(limit, s.dtype)])
     shared = np.zeros(n, np.int64)
-    live, off = np.flatnonzero(phi >= 0), 0
+    live, off = np.flatnonzero(phi >= 0 if where is None else (phi >= 0) & where), 0
     while len(live) and off < limit:
         width = min(8, limit - off)
         equal = np.ones(len(live), bool)
