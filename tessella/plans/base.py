@@ -68,6 +68,20 @@ CUSTOMER_MONTHS = """customer_months AS (
   FROM orders GROUP BY 1, 2)"""
 
 
+def moved(orders: DataFrame, months: list[int]) -> DataFrame:
+    """Orders with those of some calendar months dated one month later: real
+    gaps in the calendar with every row still there."""
+    day = F.col("o_orderdate").cast("date")
+    return orders.withColumn("o_orderdate", F.when(F.month(day).isin(months), F.add_months(day, 1)).otherwise(day))
+
+
+def moved_sql(months: str) -> str:
+    return (
+        f"SELECT * REPLACE (CAST(CASE WHEN month(o_orderdate) IN ({months}) THEN o_orderdate + INTERVAL 1 MONTH "
+        "ELSE o_orderdate END AS DATE) AS o_orderdate) FROM orders"
+    )
+
+
 def supplier_months(spark: SparkSession, d: str) -> DataFrame:
     """Lineitem measures per supplier and month (dense)."""
     li = table(spark, d, "lineitem")

@@ -12,6 +12,8 @@ from tessella.plans.base import (
     SUPPLIER_MONTHS,
     customer_months,
     customer_panel,
+    moved,
+    moved_sql,
     query,
     r,
     rounded,
@@ -212,8 +214,7 @@ GAPPY = "CAST(o_orderdate AS DATE) AS period FROM orders WHERE month(o_orderdate
 
 @query(
     "period_coverage",
-    f"""WITH f AS (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS m FROM orders
-           WHERE month(o_orderdate) NOT IN (4, 9)),
+    f"""WITH f AS (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS m FROM ({moved_sql("4, 9")})),
 cal AS (SELECT CAST(unnest(generate_series(min(m), max(m), INTERVAL 1 MONTH)) AS DATE) AS m FROM f),
 miss AS (SELECT string_agg(strftime(m, '%Y-%m'), ',' ORDER BY m) AS x FROM cal WHERE m NOT IN (SELECT m FROM f))
 SELECT strftime(min(f.m), '%Y-%m') AS start_month, strftime(max(f.m), '%Y-%m') AS end_month,
@@ -222,21 +223,20 @@ SELECT strftime(min(f.m), '%Y-%m') AS start_month, strftime(max(f.m), '%Y-%m') A
        round(count(*) / (SELECT count(*) FROM cal), 6) AS coverage_ratio FROM f""",
 )
 def period_coverage(spark, d):
-    """E8 over the months that have orders, with two calendar months left out."""
-    o = table(spark, d, "orders").filter(~F.month("o_orderdate").isin(4, 9))
+    """E8 over the months that have orders, two calendar months having moved on."""
+    o = moved(table(spark, d, "orders"), [4, 9])
     return rounded(P.period_coverage(o.select(F.col("o_orderdate").cast("date").alias(D)), D))
 
 
 @query(
     "missing_periods",
-    """WITH f AS (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS m FROM orders
-           WHERE month(o_orderdate) NOT IN (4, 9)),
+    f"""WITH f AS (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS m FROM ({moved_sql("4, 9")})),
 cal AS (SELECT CAST(unnest(generate_series(min(m), max(m), INTERVAL 1 MONTH)) AS DATE) AS m FROM f)
 SELECT m AS missing_period FROM cal WHERE m NOT IN (SELECT m FROM f)""",
 )
 def missing_periods(spark, d):
     """Expected months not found."""
-    o = table(spark, d, "orders").filter(~F.month("o_orderdate").isin(4, 9))
+    o = moved(table(spark, d, "orders"), [4, 9])
     return P.missing_periods(o.select(F.col("o_orderdate").cast("date").alias(D)), D)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import periods as PD
 from tessella.operators import series as S
-from tessella.plans.base import customer_months, CUSTOMER_MONTHS, query, r, rounded, table
+from tessella.plans.base import CUSTOMER_MONTHS, customer_months, moved, moved_sql, query, r, rounded, table
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
@@ -34,10 +34,10 @@ def long_to_wide(spark, d):
 
 @query(
     "last_value_per_date_and_series",
-    """WITH x AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS date, o_orderpriority AS series,
+    f"""WITH x AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS date, o_orderpriority AS series,
     arg_max(o_totalprice, o_orderkey) FILTER (WHERE o_orderstatus <> 'P') AS v FROM orders GROUP BY 1, 2)
-SELECT date, max(v) FILTER (WHERE series = '1-URGENT') AS "1-URGENT", max(v) FILTER (WHERE series = '5-LOW') AS "5-LOW"
-FROM x WHERE series IN ('1-URGENT', '5-LOW') AND v IS NOT NULL GROUP BY 1""",
+SELECT date, {', '.join(f"""max(v) FILTER (WHERE series = '{s}') AS "{s}" """ for s in PRIORITIES)}
+FROM x WHERE v IS NOT NULL GROUP BY 1""",
 )
 def last_value_per_date_and_series(spark, d):
     """Several rows per key, last non-null wins."""
@@ -45,7 +45,7 @@ def last_value_per_date_and_series(spark, d):
         F.trunc("o_orderdate", "month").alias("date"), F.col("o_orderpriority").alias("series"), "o_orderkey",
         F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("value"),
     )
-    return S.long_to_wide(o, ["date"], "series", "value", "o_orderkey", ["1-URGENT", "5-LOW"])
+    return S.long_to_wide(o, ["date"], "series", "value", "o_orderkey", PRIORITIES)
 
 
 @query("wide_to_long", f"""WITH {MONTHS}, cal AS (SELECT DISTINCT date FROM months), s AS (SELECT DISTINCT series FROM months)
@@ -91,14 +91,14 @@ def quarter_to_months(spark, d):
 
 @query(
     "daily_to_monthly",
-    """WITH o AS (SELECT * FROM orders WHERE month(o_orderdate) NOT IN (2, 11)),
+    f"""WITH o AS ({moved_sql("2, 11")}),
 m AS (SELECT last_day(CAST(o_orderdate AS DATE)) AS date, round(avg(o_totalprice), 4) AS o_totalprice FROM o GROUP BY 1),
 cal AS (SELECT last_day(CAST(unnest(generate_series(date_trunc('month', min(o_orderdate)), date_trunc('month', max(o_orderdate)), INTERVAL 1 MONTH)) AS DATE)) AS date FROM o)
 SELECT cal.date, m.o_totalprice FROM cal LEFT JOIN m USING (date)""",
 )
 def daily_to_monthly(spark, d):
     """Monthly means, empty months as null."""
-    o = table(spark, d, "orders").filter(~F.month("o_orderdate").isin(2, 11))
+    o = moved(table(spark, d, "orders"), [2, 11])
     return rounded(S.daily_to_monthly(o, "o_orderdate", "o_totalprice"), 4)
 
 

@@ -20,6 +20,8 @@ def build_session(app: str = "tessella", cores: str | int = "*", partitions: int
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
+        # sessions of a busy entity are merged in the map tasks before the shuffle
+        .config("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -44,12 +46,16 @@ def shared_dir(spark: SparkSession) -> str:
         if app not in _local:
             _local[app] = tempfile.TemporaryDirectory(prefix="tessella-", ignore_cleanup_errors=True)
         named = _local[app].name
-    return f"{named.rstrip('/')}/{spark.sparkContext.applicationId}"
+    return named.rstrip("/")
+
+
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; never reused, so never overwritten."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def clear_scratch(spark: SparkSession) -> None:
@@ -57,7 +63,7 @@ def clear_scratch(spark: SparkSession) -> None:
 
     For the owner of the session, once no result is read any more.
     """
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

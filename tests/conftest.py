@@ -16,3 +16,15 @@ def spark():
 @pytest.fixture(scope="session")
 def sf():
     return "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="session", autouse=True)
+def _scratch(request):
+    """The tests own their session: what they wrote goes when they end."""
+    yield
+    from pyspark.sql import SparkSession
+
+    from tessella.session import clear_scratch
+
+    if (session := SparkSession.getActiveSession()) is not None:
+        clear_scratch(session)
