@@ -183,6 +183,32 @@ def unmapped_names(df: DataFrame, name: str, period: str, mapping: DataFrame) ->
     return seen.join(known, "entity_name", "left_anti")
 
 
+def _without(text: Column) -> Column:
+    """The strings that one deletion makes of ``text``."""
+    return F.transform(
+        F.filter(F.sequence(F.lit(0), F.char_length(text)), lambda i: i > 0),
+        lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.char_length(text))),
+    )
+
+
+def _within_two(keys: DataFrame, names: DataFrame) -> DataFrame:
+    """(key, rkey) pairs at most two edits apart, and some that are not.
+
+    Strings within two edits have a string in common that two deletions at most
+    make of each.  An equi-join on hashes of those finds them; what many names
+    share (a long common part) joins nothing, as the rest must agree as well.
+    """
+
+    def made(df: DataFrame, name: str) -> DataFrame:
+        one = _without(F.col(name))
+        two = F.flatten(F.transform("_one", _without))
+        return df.select(name, one.alias("_one")).select(
+            name, F.explode(F.array_distinct(F.concat(F.array(F.col(name)), F.col("_one"), two))).alias("_v")
+        ).select(name, F.xxhash64("_v").alias("_v"))
+
+    return made(keys, "key").join(made(names, "rkey"), "_v").select("key", "rkey").distinct()
+
+
 def fuzzy_match(left: DataFrame, right: DataFrame, name: str, threshold: float = 0.8) -> DataFrame:
     """Best dictionary name for every name, by similarity of sorted tokens.
 
@@ -193,6 +219,11 @@ def fuzzy_match(left: DataFrame, right: DataFrame, name: str, threshold: float =
     the other key, moved by at most ``d`` places.  Candidates come from an
     equi-join on (length, piece number, text) and the exact similarity decides;
     nothing is lost and no pair without a common piece is formed.
+
+    Matches within two edits are found first, by deletions: they beat all others
+    (a key of over six characters with a match two edits away has no better one
+    three away, and shorter keys cannot have one), so the pieces, which names
+    with a long common part share, serve only keys without a close match.
     """
     slack = 1.0 - threshold
     lk = left.select(F.col(name).alias("name")).distinct().withColumn("key", token_key(F.col("name")))
@@ -207,6 +238,14 @@ def fuzzy_match(left: DataFrame, right: DataFrame, name: str, threshold: float =
         "name", "match", F.lit(1.0).alias("similarity")
     )
     open_keys = lk.join(rk, lk["key"] == rk["rkey"], "left_anti").select("key").distinct()
+    similar = edit_similarity(F.col("key"), F.col("rkey"))
+    close = (
+        _within_two(open_keys, rk.select("rkey"))
+        .filter(F.levenshtein("key", "rkey") <= 2)
+        .withColumn("similarity", similar)
+        .filter(F.col("similarity") >= threshold)
+    )
+    open_keys = open_keys.join(close.select("key").distinct(), "key", "left_anti")
     # A pair's longer length is at most |rkey| / threshold.
     edits = F.floor(F.lit(slack / threshold + 1e-9) * F.length("rkey")).cast("int")
     rp = (
@@ -246,9 +285,7 @@ def fuzzy_match(left: DataFrame, right: DataFrame, name: str, threshold: float =
         .distinct()
     )
     pairs = shapes.join(rp, ["rlen", "piece", "text"]).select("key", "rkey").distinct()
-    near = pairs.withColumn("similarity", edit_similarity(F.col("key"), F.col("rkey"))).filter(
-        F.col("similarity") >= threshold
-    )
+    near = pairs.withColumn("similarity", similar).filter(F.col("similarity") >= threshold).unionByName(close)
     w = Window.partitionBy("key").orderBy(F.desc("similarity"), "rkey")
     best = near.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
     fuzzy = lk.join(best, "key").join(rk, "rkey").select("name", "match", "similarity")

@@ -94,3 +94,36 @@ def test_problem_entities(spark):
     assert "Good name" not in got
     assert got["JSС Ukr"] == ["legal_form_prefix"] and got["Rare name"] == ["few_periods"]
     assert got["Some PJSC x"] == ["legal_form_inside"] and got["12345"] == ["short_or_numeric"]
+
+
+def test_fuzzy_match_of_names_with_a_long_common_part(spark):
+    import random
+
+    rng = random.Random(3)
+    numbers = rng.sample(range(10**7), 900)
+    right = [f"joint stock bank {n:07d}" for n in numbers] + ["ab", "abc", "short name"]
+    left = []
+    for n in numbers[:300]:
+        s = list(f"joint stock bank {n:07d}")
+        for _ in range(rng.choice([0, 1, 2, 3])):
+            s[rng.randrange(17, len(s))] = rng.choice("0123456789x")
+        left.append("".join(s))
+    left += ["abd", "short nmae", "nothing alike"]
+    L, R = (spark.createDataFrame([(x,) for x in xs], "n string") for xs in (left, right))
+    got = {r.name: (r.match, round(r.similarity, 9)) for r in E.fuzzy_match(L, R, "n", 0.8).collect()}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            new = [i + 1]
+            for j, y in enumerate(b):
+                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+            row = new
+        return row[-1]
+
+    def key(name):
+        return " ".join(sorted(name.split()))
+
+    for name in set(left[:40] + left[-3:]):
+        best = max((round(1 - distance(key(name), key(m)) / max(len(name), len(m)), 9) for m in right), default=0)
+        assert got[name][1] == best if best >= 0.8 else name not in got
