@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.operators.features import month_window
 from tessella.operators.series import quoted
 from tessella.session import materialize
 
@@ -288,7 +289,7 @@ def residual_ar(
     with fewer than ``min_rows`` train rows stay uncorrected.
     """
     train = F.col(split) == "train"
-    ordered = Window.partitionBy(entity).orderBy(F.year(period) * 12 + F.month(period))
+    ordered = month_window(df, entity, period)
     whole = Window.partitionBy(entity)
     r = F.when(train, F.col(label) - F.col(score))
     step = df.withColumn("_r", r).withColumn("_lag", F.first("_r").over(ordered.rangeBetween(-1, -1)))

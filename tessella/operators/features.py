@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.functions.numeric import clip, is_infinite
 from tessella.operators.quantiles import percentile_map
@@ -16,9 +17,14 @@ from tessella.operators.series import quoted
 from tessella.session import bound, one_row, shuffle_partitions
 
 
-def month_window(entity: str, period: str) -> WindowSpec:
-    """An entity's rows by month number; frames on it are in months."""
-    return Window.partitionBy(entity).orderBy(F.year(period) * 12 + F.month(period))
+def month_window(df: DataFrame, entity: str, period: str) -> WindowSpec:
+    """An entity's rows by month number; frames on it are in months.
+
+    A numeric period counts periods itself.
+    """
+    numbered = isinstance(df.schema[period].dataType, T.NumericType)
+    number = F.col(period) if numbered else F.year(period) * 12 + F.month(period)
+    return Window.partitionBy(entity).orderBy(number)
 
 
 def add_lags(df: DataFrame, entity: str, period: str, cols: list[str], lags: list[int]) -> DataFrame:
@@ -26,7 +32,7 @@ def add_lags(df: DataFrame, entity: str, period: str, cols: list[str], lags: lis
 
     A negative k looks ahead.
     """
-    w = month_window(entity, period)
+    w = month_window(df, entity, period)
     new = {f"{c}_lag{k}": F.first(quoted(c)).over(w.rangeBetween(-k, -k)) for c in cols for k in lags}
     return df.withColumns(new)
 
@@ -38,7 +44,7 @@ def add_rolling(
     included, with max(1, w // 2) values needed."""
     new: dict[str, Column] = {}
     for size in windows:
-        w = month_window(entity, period).rangeBetween(-(size - 1), 0)
+        w = month_window(df, entity, period).rangeBetween(-(size - 1), 0)
         for c in cols:
             enough = F.count(quoted(c)).over(w) >= max(1, size // 2)
             new[f"{c}_ma{size}"] = F.when(enough, F.avg(quoted(c)).over(w))
