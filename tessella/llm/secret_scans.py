@@ -218,7 +218,36 @@ def digest(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     )
 
 
-@query("op7_secret_scans")
+def oracle(rules: tuple[Rule, ...] = RULES) -> str:
+    """The same in DuckDB: lengths of gaps and matches give the places."""
+    found = []
+    for rank, r in enumerate(rules):
+        pattern = r.pattern.replace("'", "''")
+        found.append(
+            f"""SELECT doc_id, '{r.kind}' AS kind, {rank} AS rank, {r.base} AS base, unnest(list_transform(range(1, len(m) + 1), lambda i: {{
+  'start': list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0),
+  'size': length(m[i]), 'kept': length(v[i])}})) AS s, {r.least} AS least
+FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m, string_split_regex(text, '{pattern}') AS g,
+  regexp_extract_all(text, '{pattern}', {r.group}) AS v FROM d WHERE regexp_matches(text, '{pattern}'))"""
+        )
+    base = [r.kind for r in rules if r.base]
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in base)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+f AS ({" UNION ALL ".join(found)}),
+k AS (SELECT doc_id, kind, rank, base, CAST(s.start AS BIGINT) AS a, CAST(s.start + s.size AS BIGINT) AS z FROM f WHERE s.kept >= least),
+t AS (
+  SELECT doc_id, {counts},
+    string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, rank) FILTER (WHERE base) AS base_spans,
+    string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, rank) AS spans
+  FROM k GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in base)},
+  sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN t USING (doc_id)
+"""
+
+
+@query("op7_secret_scans", oracle())
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document, scanned once per distinct blob."""
     return digest(find_secrets(table(spark, sf_dir, "documents"))[0])
