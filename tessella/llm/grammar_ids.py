@@ -16,7 +16,11 @@ the size of the corpus, and are written as soon as they are full.  Places of
 shards come from one sum per shard.  Files are written by Spark's committer, so
 a lost executor's shards are written again.
 
-Defined results.  A null or empty text is its end id alone.  Rows with equal
+Defined results.  The query's ids are those of the tokenizers library's plain
+call: an added token of the vocabulary in a text is its own id.  With
+``special_as_text`` (the library's ``encode_special_tokens``, on by default in
+``write_shards``) special ones are ordinary pieces.  A null or empty text is its
+end id alone.  Rows with equal
 doc_id are ordered by text; null doc_ids come first.  An empty table has no
 shards and no rows.
 """
@@ -83,6 +87,40 @@ def unit_encoder(vocabulary: str, pattern: str, keep: int = 300_000):
     return unit_ids
 
 
+def added_tokens(vocabulary: str, special_as_text: bool = False):
+    """(pattern, ids by content) of the tokens that are found before pre-tokens."""
+    found = Tokenizer.from_file(vocabulary).get_added_tokens_decoder().items()
+    found = {t.content: (i, t) for i, t in found if t.content and not (special_as_text and t.special)}
+    if not found:
+        return None, {}
+
+    def one(t) -> str:
+        alone = (r"(?<!\w)", r"(?!\w)") if t.single_word else ("", "")
+        return r"\s*" * t.lstrip + alone[0] + f"({regex.escape(t.content)})" + alone[1] + r"\s*" * t.rstrip
+
+    longest_first = sorted(found, key=len, reverse=True)
+    return regex.compile("|".join(one(found[c][1]) for c in longest_first)), {c: i for c, (i, _) in found.items()}
+
+
+def text_encoder(vocabulary: str, pattern: str, special_as_text: bool = False):
+    """Ids of a text (uint32 bytes): added tokens first, units of what lies between."""
+    units = Units(unit_encoder(vocabulary, pattern), 500_000)
+    added, number = added_tokens(vocabulary, special_as_text)
+
+    def text_ids(text: str) -> bytes:
+        if not any(c in text for c in number):
+            return b"".join(units(text))
+        out, at = [], 0
+        for m in added.finditer(text):
+            if m.start() > at:
+                out += units(text[at : m.start()])
+            out.append(array("I", [number[m[m.lastindex]]]).tobytes())
+            at = m.end()
+        return b"".join(out + units(text[at:]))
+
+    return text_ids
+
+
 def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
     return ((keys * _U(0x9E3779B97F4A7C15)) >> _U(64 - bits)).astype(np.int64)
 
@@ -198,11 +236,12 @@ def _file(first, part: int, doc_ids: list, sizes: list[int], ids: np.ndarray, te
     return pa.RecordBatch.from_pylist([row], schema)
 
 
-def pack(vocabulary: str, pattern: str, end_id: int, shard_ids: int):
+def pack(vocabulary: str, pattern: str, end_id: int, shard_ids: int, special_as_text: bool = False):
     """mapInArrow function: ordered (doc_id, text) to shard files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = kept_in_worker(("ids", vocabulary, pattern), lambda: Units(unit_encoder(vocabulary, pattern), 500_000))
+        name = ("ids", vocabulary, pattern, special_as_text)
+        encode = kept_in_worker(name, lambda: text_encoder(vocabulary, pattern, special_as_text))
         terminals = max(Tokenizer.from_file(vocabulary).get_vocab_size(), end_id + 1)
         end, part, doc_ids, sizes, held, total, schema = np.uint32(end_id).tobytes(), 0, [], [], [], 0, None
         for b in batches:
@@ -212,7 +251,7 @@ def pack(vocabulary: str, pattern: str, end_id: int, shard_ids: int):
                 ("sizes", pa.list_(pa.int64())), ("pairs", pa.binary()), ("spans", pa.binary()), ("low", pa.binary()), ("high", pa.binary()),
             ])
             for doc, text in zip(b.column("doc_id"), b.column("text")):
-                ids = b"".join(encode(text.as_py() or "")) + end
+                ids = encode(text.as_py() or "") + end
                 doc_ids.append(doc.as_py())
                 sizes.append(len(ids) // 4)
                 held.append(ids)
@@ -246,14 +285,14 @@ def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def write_shards(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY,
-                 pattern: str = PATTERN, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> None:
+                 pattern: str = PATTERN, end_id: int = END_ID, shard_ids: int = SHARD_IDS, special_as_text: bool = True) -> None:
     """Write the shard files of ``docs`` below ``path``."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     t = docs.schema["doc_id"].dataType.simpleString()
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(
-        pack(vocabulary, pattern, end_id, shard_ids),
+        pack(vocabulary, pattern, end_id, shard_ids, special_as_text),
         f"first {t}, part int, terminals int, doc_ids array<{t}>, sizes array<bigint>, pairs binary, spans binary, low binary, high binary",
     ).write.option("compression", "zstd").parquet(path)
 
@@ -275,5 +314,5 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 def op9_grammar_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents written as compressed shards and read back."""
     path = scratch_path(spark, "grammar-ids")
-    write_shards(table(spark, sf_dir, "documents"), path)
+    write_shards(table(spark, sf_dir, "documents"), path, special_as_text=False)
     return read_documents(spark, path)

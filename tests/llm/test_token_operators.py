@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
-from tokenizers import Tokenizer
+from tokenizers import AddedToken, Tokenizer
 
 from tessella.llm import byte_bpe, grammar_ids, token_units
 from tessella.session import scratch_path
@@ -67,6 +67,30 @@ def test_shards_of_ids(spark):
     assert spark.read.parquet(path).count() > 1
 
 
+def test_added_tokens_are_found_as_by_the_plain_library_call(spark, tmp_path):
+    model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    rows = list(enumerate([f"ab {end} cd", end, f"{end}{end}\n\n x", f"a\n\n{end}  b <|endoftext|", f"é {end}\t\n", "after", None]))
+    made.documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = grammar_ids.op9_grammar_ids(spark, str(tmp_path)).collect()
+    at, want = 0, []
+    for i, t in rows:
+        ids = np.array(model.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
+        want.append((at, i, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
+
+
+@pytest.mark.parametrize("single_word,lstrip,rstrip", [(False, True, False), (False, False, True), (True, False, False)])
+def test_kinds_of_added_tokens(tmp_path, single_word, lstrip, rstrip):
+    model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    model.add_tokens([AddedToken("zed", single_word=single_word, lstrip=lstrip, rstrip=rstrip, normalized=False)])
+    model.save(str(tmp_path / "v.json"))
+    encode = grammar_ids.text_encoder(str(tmp_path / "v.json"), public_tokenizers.PATTERN)
+    for t in ["a zed b", "azedb zed", "zed\n\n zed  <|endoftext|> zedzed", "ab"]:
+        assert np.frombuffer(encode(t), "<u4").tolist() == model.encode(t, add_special_tokens=False).ids
+
+
 def test_empty_tables(spark):
     none = made.documents(spark, [(1, "x")]).where("false")
     path = scratch_path(spark, "test-none")
