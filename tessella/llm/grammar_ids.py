@@ -44,7 +44,7 @@ from tessella.llm.token_units import Units, kept_in_worker
 from tessella.session import scratch_path
 
 VOCABULARY, PATTERN = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
-END_ID, SHARD_IDS, MIN_COUNT, RULES_A_ROUND, ROUNDS, SLOT_BITS = 2, 1 << 22, 16, 8192, 4, 20
+END_ID, SHARD_IDS, MIN_COUNT, RULES_A_ROUND, SLOT_BITS = 2, 1 << 22, 16, 8192, 20
 _U = np.uint64
 
 
@@ -125,26 +125,26 @@ def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
     return ((keys * _U(0x9E3779B97F4A7C15)) >> _U(64 - bits)).astype(np.int64)
 
 
-def re_pair(ids: np.ndarray, terminals: int, min_count: int = MIN_COUNT, per_round: int = RULES_A_ROUND,
-            rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def re_pair(ids: np.ndarray, terminals: int, min_count: int = MIN_COUNT,
+            per_round: int = RULES_A_ROUND) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, rules as pairs, expansion lengths) of a sequence of ids.
 
     A round takes the most frequent pairs at once; where two of them overlap the
-    more frequent one is replaced, the left one of equals.
+    more frequent one is replaced, the left one of equals.  Rounds go on until no
+    pair occurs ``min_count`` times.  New places of a pair come up only beside the
+    symbols of the round before, so a pair that is rare once stays rare and its
+    places are not counted again.
     """
     s, rules, lengths = ids.astype(np.uint32), [], []
-    for _ in range(rounds):
-        if len(s) < 2:
-            break
-        keys = (s[:-1].astype(np.uint64) << _U(32)) | s[1:]
+    live = np.arange(len(s) - 1)  # places of pairs that may be frequent
+    while len(live):
+        keys = (s[live].astype(np.uint64) << _U(32)) | s[live + 1]
         # pairs are counted by hash first; only those of full enough slots are sorted
         slot = _slot(keys, SLOT_BITS)
-        filled = np.bincount(slot, minlength=1 << SLOT_BITS)
-        least = max(min_count, int(np.partition(filled, -2 * per_round)[-2 * per_round]))
-        ordered = np.sort(keys[(filled >= least)[slot]])
-        if not len(ordered):
-            break
-        new = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        full = (np.bincount(slot, minlength=1 << SLOT_BITS) >= min_count)[slot]
+        live, keys, slot = live[full], keys[full], slot[full]
+        ordered = np.sort(keys)
+        new = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)])
         counts = np.diff(np.append(new, len(ordered)))
         frequent = np.flatnonzero(counts >= min_count)
         if not len(frequent):
@@ -156,8 +156,8 @@ def re_pair(ids: np.ndarray, terminals: int, min_count: int = MIN_COUNT, per_rou
         place[slots] = at  # of pairs that share a slot the most frequent stays
         rank = place[slot]
         rank[chosen[rank] != keys] = -1
-        where = np.flatnonzero(rank >= 0)
-        r = rank[where]
+        r = rank[rank >= 0]
+        where = live[rank >= 0]
         near = where[1:] == where[:-1] + 1
         wins, right_better = np.ones(len(r), bool), np.append(near & (r[1:] < r[:-1]), False)
         wins[1:] = ~(near & (r[:-1] <= r[1:]))
@@ -169,17 +169,19 @@ def re_pair(ids: np.ndarray, terminals: int, min_count: int = MIN_COUNT, per_rou
             start = equal[head] - 1
             turn = (equal - start[run] + (~wins[start])[run]) % 2 == 0
             wins[equal] = turn & ~right_better[equal]
-        hits, used = where[wins], r[wins]
-        if not len(hits):
-            break
+        hits, used = where[wins], r[wins]  # the most frequent pair always has some
         kept, number = np.unique(used, return_inverse=True)
         base = terminals + sum(map(len, rules))
         made = chosen[kept]
         rules.append(np.stack([made >> _U(32), made & _U(0xFFFFFFFF)], 1).astype(np.uint32))
         s[hits] = (base + number).astype(np.uint32)
-        stay = np.ones(len(s), bool)
+        stay, open_ = np.ones(len(s), bool), np.zeros(len(s), bool)
         stay[hits + 1] = False
-        s = s[stay]
+        open_[live] = open_[hits] = True
+        s, open_ = s[stay], open_[stay]
+        made_at = hits - np.arange(len(hits))  # one symbol went for each hit before
+        open_[made_at[made_at > 0] - 1] = True
+        live = np.flatnonzero(open_[:-1])
         size = symbol_lengths(np.concatenate(lengths) if lengths else np.zeros(0, np.uint32), terminals)
         lengths.append((size(rules[-1][:, 0]) + size(rules[-1][:, 1])).astype(np.uint32))
     pairs = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
@@ -211,6 +213,16 @@ def expand(symbols: np.ndarray, pairs: np.ndarray, terminals: int) -> np.ndarray
     return s
 
 
+def expand_whole(symbols: np.ndarray, pairs: np.ndarray, spans: np.ndarray, terminals: int) -> np.ndarray:
+    """The ids of a whole shard: every rule is opened once, then copied to its places."""
+    opened = expand(np.arange(terminals, terminals + len(pairs), dtype=np.uint32), pairs, terminals)
+    known = np.concatenate([np.arange(terminals, dtype=np.uint32), opened])
+    first = np.concatenate([np.arange(terminals), terminals + np.cumsum(spans, dtype=np.int64) - spans])
+    size = symbol_lengths(spans, terminals)(symbols)
+    begin = np.cumsum(size) - size
+    return known[np.repeat(first[symbols] - begin, size) + np.arange(size.sum())]
+
+
 def read_span(shard: dict, start: int, stop: int, terminals: int) -> np.ndarray:
     """Ids [start, stop) of a shard; only the symbols that cover them are expanded."""
     symbols, pairs, spans = symbols_of(shard)
@@ -270,8 +282,7 @@ def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i in range(b.num_rows):
             r = {c: b.column(c)[i].as_py() for c in ("first", "part", "terminals", "sizes", "pairs", "spans", "low", "high")}
-            symbols, pairs, _ = symbols_of(r)
-            ids = expand(symbols, pairs, r["terminals"]).astype("<u4").tobytes()
+            ids = expand_whole(*symbols_of(r), r["terminals"]).astype("<u4").tobytes()
             ends = np.cumsum(r["sizes"], dtype=np.int64)
             starts = ends - np.array(r["sizes"], np.int64)
             crcs = [zlib.crc32(ids[4 * a : 4 * z]) for a, z in zip(starts.tolist(), ends.tolist())]

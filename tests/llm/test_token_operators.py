@@ -112,3 +112,12 @@ def test_grammar_round_trip_and_seeks(n, symbols):
         b = rng.randrange(a, n + 1)
         if b > a:
             assert (grammar_ids.read_span(shard, a, b, 50257) == ids[a:b]).all()
+
+
+@pytest.mark.parametrize("n,symbols,times", [(1000, 1000, 64), (40, 40, 5000), (3000, 60, 40), (1, 1, 100000)])
+def test_no_frequent_pair_is_left(n, symbols, times):
+    ids = np.tile(np.random.default_rng(n).integers(0, symbols, n), times).astype(np.uint32)
+    s, pairs, spans = grammar_ids.re_pair(ids, 50257, per_round=50)
+    assert (grammar_ids.expand(s, pairs, 50257) == ids).all()
+    assert (grammar_ids.expand_whole(s, pairs, spans, 50257) == ids).all()
+    assert max(Counter(zip(s[:-1].tolist(), s[1:].tolist())).values(), default=0) < grammar_ids.MIN_COUNT
