@@ -219,11 +219,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose document holds no benchmark item."""
-    name = unused(docs, "leaking_id")
-    gone = leaks(docs, benchmark, doc_id, text).select(F.col("doc_id").alias(name)).distinct()
+    """The rows of ``docs`` whose text holds no benchmark item.
+
+    Each row goes by its own text, whatever other rows have its doc_id or none:
+    rows are named by doc_id and the SHA-256 of the text.
+    """
+    name = unused(docs, "leaking_row")
+    # a null id and an empty one may share a name: with equal texts they share the result too
+    row = F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), F.sha2(F.col(text).cast("binary"), 256))
+    named = docs.select(row.alias(name), F.col(text).alias("text"))
+    gone = leaks(named, benchmark, name, "text").select(F.col("doc_id").alias(name)).distinct()
     gone = materialize(gone, "leaking")  # written, so that its size decides how it is joined
-    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col(name)), "left_anti")
+    return docs.join(gone, row == F.col(name), "left_anti")
 
 
 @query("op6_benchmark_decontamination")

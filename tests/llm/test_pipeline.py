@@ -74,6 +74,18 @@ def test_leaks_are_those_within_the_edit_budget(spark):
     assert decontaminate.leaks(docs, bench.where("false")).count() == decontaminate.leaks(docs.where("false"), bench).count() == 0
 
 
+def test_rows_of_one_id_or_none_go_by_their_own_text(spark):
+    rng = random.Random(4)
+    item = noise(rng, 90)
+    rows = [(i, t) for i in (None, 7, None) for t in (noise(rng, 80), noise(rng, 30) + item + noise(rng, 30), None)]
+    rows += [(8, "clean"), (None, rows[1][1]), (None, "clean"), (None, "")]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    left = decontaminate.drop_contaminated(made.documents(spark, rows), bench).collect()
+    want = [r for r in rows if not r[1] or distance(item, r[1]) > len(item) // 10]
+    assert sorted(((r.doc_id, r.text) for r in left), key=repr) == sorted(want, key=repr)
+    assert 0 < len(want) < len(rows)
+
+
 def test_a_leak_across_pieces_of_a_long_text(monkeypatch):
     monkeypatch.setattr(decontaminate, "BATCH_CHARS", 1000)
     rng = random.Random(2)
