@@ -7,6 +7,7 @@ from tessella.llm import (
     grammar_ids,
     html_text,
     kd_shards,
+    merkle,
     near_dedup,
     quality_rules,
     repeat_removal,
@@ -25,6 +26,7 @@ OPERATORS = (
     repeat_removal,
     grammar_ids,
     near_dedup,
+    merkle,
 )
 
 __all__ = ["OPERATORS", "ORACLES", "QUERIES"]
