@@ -9,6 +9,7 @@ from tessella.llm import (
     kd_shards,
     merkle,
     near_dedup,
+    prefix_trie,
     quality_rules,
     repeat_removal,
     secret_scans,
@@ -26,6 +27,7 @@ OPERATORS = (
     repeat_removal,
     grammar_ids,
     near_dedup,
+    prefix_trie,
     merkle,
 )
 

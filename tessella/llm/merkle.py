@@ -169,6 +169,7 @@ def build(rows: DataFrame, group: str = "lang", order: str = "doc_id", columns:
     leaves = rows.select(
         F.col(group).alias("tree"), F.col(order).alias("id"), leaf([F.col(c) for c in columns]).alias("hash"), *[v.alias(k) for k, v in carry.items()]
     )
+    leaves = materialize(leaves, "merkle-leaves")  # ranges are sampled: texts are read once
     levels, tops = _grown(place(leaves, ["tree"], ["id", "hash"]), "merkle")
     keys = tops.select(F.lit(0).alias("tree"), F.col("tree").alias("key"), "hash")
     over, roots = _grown(place(keys, ["tree"], ["key"]), "merkle-over")
