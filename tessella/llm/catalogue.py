@@ -13,6 +13,7 @@ from tessella.llm import (
     quality_rules,
     repeat_removal,
     secret_scans,
+    toxicity,
 )
 from tessella.llm.registry import ORACLES, QUERIES
 
@@ -29,6 +30,7 @@ OPERATORS = (
     near_dedup,
     prefix_trie,
     merkle,
+    toxicity,
 )
 
 __all__ = ["OPERATORS", "ORACLES", "QUERIES"]

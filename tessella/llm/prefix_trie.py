@@ -303,6 +303,7 @@ def trie(turns: DataFrame, conversations: DataFrame, order: list[str], container
     members = unlike.select(
         "c", "w", "length", "total", zero.alias("k1"), zero.alias("k2"), zero.alias("bytes"), none.alias("up1"), none.alias("up2"), none.alias("up_conv")
     )
+    members = materialize(members, "trie-members")  # else the constant keys of the root fold joins on them away
     heads, settled = _burst(members, turns, container)
     everyone = settled[0]
     for s in settled[1:]:
