@@ -7,10 +7,11 @@ combine, and only k x k matrices (k = number of regressors) are solved.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,29 +43,52 @@ def gram(df: DataFrame, cols: list[Column]) -> tuple[int, np.ndarray]:
 MAX_PERIODS = 4096
 
 
+def _shared_periods(place: dict) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(p, q, w): what patterns of periods add to each pair of periods, where a
+    pattern of n periods that c entities have adds c / n to each of its pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(place), len(place)))
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                x = np.zeros((part.num_rows, len(place)))
+                periods = part.column("ps")
+                row = np.repeat(np.arange(part.num_rows), periods.value_lengths().to_numpy())
+                x[row, [place[p] for p in periods.flatten().to_pylist()]] = 1
+                total += x.T @ (x * (part.column("c").to_numpy() / x.sum(1))[:, None])
+        p, q = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(q, pa.int32()), pa.array(total[p, q])], ["p", "q", "w"])
+
+    return run
+
+
 def two_way_demean(df: DataFrame, entity: str, period: str, cols: list[str], tol: float = 1e-8) -> DataFrame:
     """Remove entity and period effects from every column (``<col>_within``).
 
     The period effects b solve (N - sum_i 1/n_i e_i e_i') b = r, where N holds
     the rows per period, e_i marks the periods of entity i, n_i is their number
-    and r sums each period's deviations from entity means.  The matrix is one
-    aggregation over entities, periods x periods whatever the number of
-    entities, and is solved directly, also for panels that fall into unconnected
-    parts.  Entity effects follow within each entity's rows.  A solution that
-    misses ``tol``, more than MAX_PERIODS periods or nulls in ``cols`` are errors.
-
-    Rows are unique per (entity, period).
+    and r sums each period's deviations from entity means.  Entities with the same
+    periods are counted as one pattern, and a task adds up its patterns as a
+    matrix product, so no pair of periods is made per entity.  The system is
+    periods x periods whatever the number of entities and is solved directly by one
+    factorization, also for panels that fall into unconnected parts.  Entity
+    effects follow within each entity's rows.  A solution that misses ``tol``, more
+    than MAX_PERIODS periods or nulls in ``cols`` are errors.
+
+    Rows are unique per (entity, period).  They are written once and read from there.
     """
     spark = df.sparkSession
+    df = materialize(df, "demean")
     value = [quoted(c).cast("double") for c in cols]
     k = len(cols)
     centre = df.agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(value)]).first()
     value = [v - F.lit(float(centre[i] or 0.0)) for i, v in enumerate(value)]
-    per_entity = df.groupBy(entity).agg(
-        F.collect_list(period).alias("ps"),  # at most one per period
-        F.count("*").alias("n"),
+    per_entity = df.groupBy(quoted(entity).alias("entity")).agg(
+        F.array_sort(F.collect_list(period)).alias("ps"),  # at most one per period
         *[F.avg(v).alias(f"_a{i}") for i, v in enumerate(value)],
     )
+    per_entity = materialize(per_entity.drop("entity"), "demean-entities")
     per_period = df.groupBy(quoted(period).alias("p")).agg(
         F.count("*").alias("n"),
         F.array(*[F.sum(v) for v in value]).alias("s"),
@@ -81,17 +105,24 @@ def two_way_demean(df: DataFrame, entity: str, period: str, cols: list[str], tol
     place = {r["p"]: i for i, r in enumerate(rows)}
     own = per_entity.select(F.explode("ps").alias("p"), *[f"_a{i}" for i in range(k)])
     means = own.groupBy("p").agg(F.array(*[F.sum(f"_a{i}") for i in range(k)]).alias("s")).collect()
-    pairs = per_entity.select(F.explode("ps").alias("p"), "ps", "n").select("p", F.explode("ps").alias("q"), "n")
-    shared = pairs.groupBy("p", "q").agg(F.sum(1 / F.col("n")).alias("w")).collect()
+    patterns = per_entity.groupBy("ps").agg(F.count("*").alias("c"))
+    pairs = patterns.mapInArrow(_shared_periods(place), "p int, q int, w double")
     matrix = np.diag([float(r["n"]) for r in rows])
-    for r in shared:
-        matrix[place[r["p"]], place[r["q"]]] -= r["w"]
+    for r in pairs.groupBy("p", "q").agg(F.sum("w").alias("w")).collect():
+        matrix[r["p"], r["q"]] -= r["w"]
     right = np.array([r["s"] for r in rows], float)
     for r in means:
         right[place[r["p"]]] -= r["s"]
-    effects = np.linalg.pinv(matrix, rcond=1e-12, hermitian=True) @ right
+    size, axes = np.linalg.eigh(matrix)
+    held = np.abs(size) > 1e-12 * np.abs(size).max(initial=0)
+    axes, size = axes[:, held], size[held]
+
+    def solved(side: np.ndarray) -> np.ndarray:
+        return axes @ ((axes.T @ side) / size[:, None])
+
+    effects = solved(right)
     for _ in range(2):  # iterative refinement of the last digits
-        effects += np.linalg.pinv(matrix, rcond=1e-12, hermitian=True) @ (right - matrix @ effects)
+        effects += solved(right - matrix @ effects)
     missed = np.abs(right - matrix @ effects).max(axis=0)
     rounding = 1e-15 * np.array([r["largest"] for r in rows], float).max(axis=0) * max(r["n"] for r in rows)
     if (missed > tol * np.maximum(1.0, np.abs(right).max(axis=0)) + rounding).any():

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.text import clean_name, edit_similarity, is_noise, token_key
+from tessella.session import bound, materialize, one_row
 
 # Pseudo-entities that aggregate others.
 AGGREGATE_ENTITIES = [
@@ -183,49 +184,95 @@ def unmapped_names(df: DataFrame, name: str, period: str, mapping: DataFrame) ->
     return seen.join(known, "entity_name", "left_anti")
 
 
-def _without(text: Column) -> Column:
-    """The strings that one deletion makes of ``text``."""
-    return F.transform(
-        F.filter(F.sequence(F.lit(0), F.char_length(text)), lambda i: i > 0),
-        lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.char_length(text))),
+# Grams in over one name of this many count as frequent when grams are ranked.
+FREQUENT = 100
+# Pairs a shared key may give per name that holds it; keys with more are split.
+PAIRS_PER_NAME = 16
+
+
+def _ranked_grams(names: DataFrame, q: int) -> DataFrame:
+    """``names`` (side, key) with their q-grams as hashes, rare ones first.
+
+    The i-th occurrence of a gram is a gram of its own, so arrays are sets.  Only
+    grams in over one name of FREQUENT are ranked by frequency: at most
+    FREQUENT times the grams of an average name, whatever the number of names.
+    """
+    ends = "\u0002" * (q - 1)
+    padded = F.concat(F.lit(ends), F.col("key"), F.lit(ends))
+    n = F.char_length("key") + (q - 1)
+
+    def numbered(grams: Column) -> Column:
+        return F.transform(
+            grams, lambda g, i: F.xxhash64(g, F.size(F.filter(F.slice(grams, 1, i + 1), lambda x: x == g)))
+        )
+
+    cut = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(padded, i, F.lit(q)))
+    grams = F.transform(F.array(cut), numbered)[0]
+    rows = names.select("side", "key", F.char_length("key").alias("len"), grams.alias("grams"))
+    total = one_row(rows, n=F.count("*"))["n"]
+    often = rows.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("df"))
+    often = often.filter(F.col("df") * FREQUENT > total)
+    ranks = often.agg(F.map_from_entries(F.collect_list(F.struct("g", "df"))).alias("m")).scalar()
+    rank = F.transform(
+        "grams", lambda g: F.struct(F.coalesce(F.try_element_at(F.col("_ranks"), g), F.lit(0)).alias("df"), g.alias("g"))
     )
+    return bound(rows, "_ranks", ranks).withColumn("grams", F.array_sort(rank)["g"]).drop("_ranks")
 
 
-def _within_two(keys: DataFrame, names: DataFrame) -> DataFrame:
-    """(key, rkey) pairs at most two edits apart, and some that are not.
+def _candidates(grams: DataFrame, edits: int, q: int, threshold: float, name: str) -> DataFrame:
+    """(key, rkey) pairs that hold every pair of at most ``edits`` edits and the
+    similarity asked for.
 
-    Strings within two edits have a string in common that two deletions at most
-    make of each.  An equi-join on hashes of those finds them; what many names
-    share (a long common part) joins nothing, as the rest must agree as well.
+    Such names share so many grams (``t``, by either one's length) that the m-th
+    they share is among the first ``size - t + m`` of both.  So they meet where
+    the first gram they share is a key.  A key that would give more than
+    PAIRS_PER_NAME pairs a name is split: its names go on with each later gram as
+    a second part of the key, then a third.  Names that must share no more grams than the
+    key has meet all others there.  Every other key gives few pairs per name.
     """
+    size = F.size("grams")
+    t = F.greatest(size - q * edits, F.ceil(F.lit(q - 1) + F.lit(1 - q * (1 - threshold) - 1e-9) * F.col("len")).cast("int"))
+    rows = grams.withColumn("t", F.greatest(t, F.lit(1))).withColumn("last", F.lit(0)).withColumn("h", F.lit(0).cast("long"))
+    found, m = [], 1
+    while True:
+        at = F.explode(F.sequence(F.col("last") + 1, F.size("grams") - F.col("t") + m))
+        rows = rows.select("side", "key", "len", "grams", "t", "h", at.alias("last"))
+        rows = rows.withColumn("h", F.xxhash64("h", F.get("grams", F.col("last") - 1)))
+        sides = rows.groupBy("h").agg(F.sum(F.when(F.col("side") == 0, 1)).alias("l"), F.sum("side").alias("r"))
+        heavy = materialize(
+            sides.filter(F.col("l") * F.col("r") > PAIRS_PER_NAME * (F.col("l") + F.col("r"))).select(F.col("h").alias("hh")), name
+        )
 
-    def made(df: DataFrame, name: str) -> DataFrame:
-        one = _without(F.col(name))
-        two = F.flatten(F.transform("_one", _without))
-        return df.select(name, one.alias("_one")).select(
-            name, F.explode(F.array_distinct(F.concat(F.array(F.col(name)), F.col("_one"), two))).alias("_v")
-        ).select(name, F.xxhash64("_v").alias("_v"))
+        def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+            left = left.filter("side = 0").select("h", "key", "len")
+            right = right.filter("side = 1").select("h", F.col("key").alias("rkey"), F.col("len").alias("rlen"))
+            return left.join(right, "h").filter(F.abs(F.col("len") - F.col("rlen")) <= edits).select("key", "rkey")
 
-    return made(keys, "key").join(made(names, "rkey"), "_v").select("key", "rkey").distinct()
+        if heavy.isEmpty():
+            found.append(pairs(rows, rows))
+            break
+        light = rows.join(heavy, F.col("h") == F.col("hh"), "left_anti")
+        found.append(pairs(light, light))
+        rows = materialize(rows.join(heavy, F.col("h") == F.col("hh"), "left_semi"), name)
+        stuck, free = rows.filter(F.col("t") == m), rows.filter(F.col("t") > m)
+        found += [pairs(stuck, rows), pairs(free, stuck)]
+        rows, m = free, m + 1
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def fuzzy_match(left: DataFrame, right: DataFrame, name: str, threshold: float = 0.8) -> DataFrame:
     """Best dictionary name for every name, by similarity of sorted tokens.
 
     Rows are reduced to distinct token keys first, and keys that match exactly
-    are settled by an equi-join.  For the rest a match within similarity ``t``
-    of a longer length ``n`` has at most ``d = floor((1 - t) * n)`` edits, so at
-    least one of ``d + 1`` even pieces of the dictionary key occurs unchanged in
-    the other key, moved by at most ``d`` places.  Candidates come from an
-    equi-join on (length, piece number, text) and the exact similarity decides;
-    nothing is lost and no pair without a common piece is formed.
-
-    Matches within two edits are found first, by deletions: they beat all others
-    (a key of over six characters with a match two edits away has no better one
-    three away, and shorter keys cannot have one), so the pieces, which names
-    with a long common part share, serve only keys without a close match.
+    are settled by an equi-join.  The rest is searched with a growing number of
+    edits: a key is settled once its best match beats whatever more edits could
+    give, or once the threshold allows no more, so names with a close match never
+    meet distant ones.  Candidates come from an index of rare grams
+    (``_candidates``) and the edit distance decides; nothing is lost.  Ties go to the
+    smallest dictionary key.
     """
-    slack = 1.0 - threshold
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold must be above 0 and at most 1")
     lk = left.select(F.col(name).alias("name")).distinct().withColumn("key", token_key(F.col("name")))
     rk = (
         right.select(F.col(name).alias("match"))
@@ -234,59 +281,31 @@ def fuzzy_match(left: DataFrame, right: DataFrame, name: str, threshold: float =
         .groupBy("rkey")
         .agg(F.min("match").alias("match"))
     )
-    exact = lk.join(rk, lk["key"] == rk["rkey"]).select(
-        "name", "match", F.lit(1.0).alias("similarity")
-    )
-    open_keys = lk.join(rk, lk["key"] == rk["rkey"], "left_anti").select("key").distinct()
-    similar = edit_similarity(F.col("key"), F.col("rkey"))
-    close = (
-        _within_two(open_keys, rk.select("rkey"))
-        .filter(F.levenshtein("key", "rkey") <= 2)
-        .withColumn("similarity", similar)
-        .filter(F.col("similarity") >= threshold)
-    )
-    open_keys = open_keys.join(close.select("key").distinct(), "key", "left_anti")
-    # A pair's longer length is at most |rkey| / threshold.
-    edits = F.floor(F.lit(slack / threshold + 1e-9) * F.length("rkey")).cast("int")
-    rp = (
-        rk.withColumn("rlen", F.length("rkey"))
-        .withColumn("d", edits)
-        .withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("d"))))
-        .withColumn("start", F.floor(F.col("piece") * F.col("rlen") / (F.col("d") + 1)).cast("int"))
-        .withColumn(
-            "stop", F.floor((F.col("piece") + 1) * F.col("rlen") / (F.col("d") + 1)).cast("int")
-        )
-        .select("rkey", "rlen", "piece", F.expr("substring(rkey, start + 1, stop - start)").alias("text"))
-    )
-    llen = F.length("key")
-    shapes = (
-        open_keys.withColumn("llen", llen)
-        .withColumn(
-            "rlen",
-            F.explode(
-                F.sequence(
-                    F.greatest(F.ceil(F.lit(threshold - 1e-9) * llen).cast("int"), F.lit(1)),
-                    F.floor(F.lit(1 / threshold + 1e-9) * llen).cast("int"),
-                )
-            ),
-        )
-        .withColumn("d", F.floor(F.lit(slack / threshold + 1e-9) * F.col("rlen")).cast("int"))
-        .withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("d"))))
-        .withColumn("start", F.floor(F.col("piece") * F.col("rlen") / (F.col("d") + 1)).cast("int"))
-        .withColumn(
-            "stop", F.floor((F.col("piece") + 1) * F.col("rlen") / (F.col("d") + 1)).cast("int")
-        )
-        .withColumn("width", F.col("stop") - F.col("start"))
-        .withColumn("lo", F.greatest(F.col("start") - F.col("d"), F.lit(0)))
-        .withColumn("hi", F.least(F.col("start") + F.col("d"), F.col("llen") - F.col("width")))
-        .filter("lo <= hi")
-        .withColumn("at", F.explode(F.sequence("lo", "hi")))
-        .select("key", "rlen", "piece", F.expr("substring(key, at + 1, width)").alias("text"))
-        .distinct()
+    exact = lk.join(rk, lk["key"] == rk["rkey"]).select("name", "match", F.lit(1.0).alias("similarity"))
+    open_keys = lk.join(rk, lk["key"] == rk["rkey"], "left_anti").select("key").distinct().filter("key != ''")
+    q = 2 if threshold >= 0.5 else 1  # below, two names need not share a pair of letters
+    names = open_keys.select(F.lit(0).alias("side"), "key").unionByName(
+        rk.filter("rkey != ''").select(F.lit(1).alias("side"), F.col("rkey").alias("key"))
     )
-    pairs = shapes.join(rp, ["rlen", "piece", "text"]).select("key", "rkey").distinct()
-    near = pairs.withColumn("similarity", similar).filter(F.col("similarity") >= threshold).unionByName(close)
-    w = Window.partitionBy("key").orderBy(F.desc("similarity"), "rkey")
-    best = near.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
-    fuzzy = lk.join(best, "key").join(rk, "rkey").select("name", "match", "similarity")
-    return exact.unionByName(fuzzy)
+    grams = materialize(_ranked_grams(names, q), "fuzzy-grams")
+    dictionary, waiting = grams.filter("side = 1"), grams.filter("side = 0")
+    most = F.floor(F.lit((1 - threshold) / threshold + 1e-9) * F.col("len"))
+    edits, settled = 1, []
+    while True:
+        limit = waiting.agg(F.max(most)).first()[0]
+        if not limit:
+            break
+        pairs = _candidates(waiting.unionByName(dictionary), edits, q, threshold, "fuzzy-keys")
+        near = pairs.filter(F.levenshtein("key", "rkey") <= edits).withColumn("similarity", edit_similarity(F.col("key"), F.col("rkey")))
+        near = near.filter(F.col("similarity") >= threshold)
+        best = near.groupBy("key").agg(F.min(F.struct((-F.col("similarity")).alias("less"), "rkey")).alias("b"))
+        beyond = 1 - F.lit(edits + 1) / (F.col("len") + edits + 1)
+        done = (most <= edits) | F.coalesce(-F.col("b.less") > beyond + 1e-12, F.lit(False))
+        tried = materialize(waiting.join(best, "key", "left").withColumn("done", done), "fuzzy-tried")
+        settled.append(tried.filter("done and b is not null").select("key", "b.rkey", (-F.col("b.less")).alias("similarity")))
+        waiting = tried.filter(~F.col("done")).select(*grams.columns)
+        edits = edits + 1 if edits < 4 else edits + edits // 2
+    if not settled:
+        return exact
+    best = reduce(DataFrame.unionByName, settled)
+    return exact.unionByName(lk.join(best, "key").join(rk, "rkey").select("name", "match", "similarity"))

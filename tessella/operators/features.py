@@ -273,12 +273,19 @@ DATE_NAMES = r"(?i)(date|period|month|report|time|ym)"
 TARGET_NAMES = ["failed", "target_next", "target", "label_next", "label", "default", "event"]
 
 
+#: Relative error of the distinct sketches in ``detect_roles``, and how many
+#: of it an estimate is trusted to be off by at most.
+SKETCH_ERROR, SKETCH_MARGIN = 0.01, 5
+
+
 def detect_roles(df: DataFrame) -> DataFrame:
     """Guess the date, id and 0/1 target column.
 
-    Candidates come from the schema; distinct counts of all of them come from
-    one (column, value) pass.  The id column has the distinct count nearest to
-    rows per month, text columns being favoured.
+    Candidates come from the schema.  One scan gives the rows, the months, which
+    columns are 0/1 and a mergeable distinct sketch of every column; no value is
+    shuffled.  The id column has the distinct count nearest to rows per month,
+    text columns being favoured; columns whose sketches leave open which is nearest
+    are counted exactly.
     """
     import re
 
@@ -289,46 +296,37 @@ def detect_roles(df: DataFrame) -> DataFrame:
     if not named:
         raise ValueError("no date column")
     date = named[0]
-    months = df.select(F.trunc(date, "month").alias("m")).distinct().agg(F.count("*").alias("n"))
     numeric = [c for c, t in df.dtypes if t in ("int", "bigint", "boolean", "smallint", "tinyint")]
-    binary = _binary_columns(df, numeric).filter("is_binary")
-    place = {n: i for i, n in enumerate(TARGET_NAMES)}
-    order = F.lit(len(place))
-    for n, i in place.items():
-        order = F.when(F.lower("column_name") == n, i).otherwise(order)
-    target = binary.orderBy(order, "position").limit(1).select("column_name").scalar()
-
     text = [c for c, t in df.dtypes if t == "string"]
     others = [c for c in df.columns if c != date]
-    stats = one_row(df, rows=F.count("*"))
-    n_months = months.scalar()
-    guess = F.greatest(F.lit(1), F.bround(stats["rows"] / F.greatest(F.lit(1), n_months)))
-    scored = (
-        distinct_counts(df, others)
-        .filter((F.col("distinct_values") > 1) & (F.col("distinct_values") < stats["rows"] * 0.95))
-        .withColumn(
-            "gap",
-            F.abs(F.col("distinct_values") - guess)
-            * F.when(F.col("column_name").isin(text), 0.5).otherwise(1.0),
-        )
-    )
-    best = scored.orderBy("gap", "column_name").limit(1)
-    return best.select(
-        n_months.alias("months"),
-        F.col("distinct_values").alias("ids"),
-        F.lit(date).alias("date_column"),
-        F.col("column_name").alias("id_column"),
-        target.alias("target_column"),
-    )
-
-
-def _binary_columns(df: DataFrame, cols: list[str]) -> DataFrame:
-    per_col = [
-        F.struct(
-            F.lit(c).alias("column_name"),
-            F.lit(i).alias("position"),
-            F.coalesce(F.min(quoted(c).cast("long").isin(0, 1).cast("int")) == 1, F.lit(False)).alias("is_binary"),
-        )
-        for i, c in enumerate(cols)
-    ]
-    return df.agg(F.array(*per_col).alias("r")).select(F.inline("r"))
+    seen = df.agg(
+        F.count("*").alias("rows"),
+        F.size(F.collect_set(F.trunc(date, "month"))).alias("months"),
+        F.array(*[F.coalesce(F.min(quoted(c).cast("long").isin(0, 1).cast("int")) == 1, F.lit(False)) for c in numeric]).alias("binary"),
+        F.array(*[F.approx_count_distinct(quoted(c), SKETCH_ERROR) for c in others]).alias("distinct"),
+    ).first()
+    rows, months = seen["rows"], seen["months"]
+    targets = [c for c, yes in zip(numeric, seen["binary"] or []) if yes]
+    place = {n: i for i, n in enumerate(TARGET_NAMES)}
+    target = min(targets, key=lambda c: place.get(c.lower(), len(place)), default=None)
+    guess = max(1, round(rows / max(1, months)))
+
+    def gap(column: str, n: float) -> float:
+        return abs(n - guess) * (0.5 if column in text else 1.0)
+
+    # The least and greatest gap that each column's sketch allows.
+    open_: dict[str, tuple[float, float]] = {}
+    for c, n in zip(others, seen["distinct"]):
+        low, high = n / (1 + SKETCH_ERROR * SKETCH_MARGIN) - 1, n / (1 - SKETCH_ERROR * SKETCH_MARGIN) + 1
+        if high > 1 and low < rows * 0.95:
+            ends = gap(c, low), gap(c, high)
+            sure = n < rows * 0.9 and n > 2  # surely no constant and no key of the rows
+            open_[c] = (0.0 if low <= guess <= high else min(ends)), (max(ends) if sure else float("inf"))
+    within = min((high for _, high in open_.values()), default=0.0)
+    nearest = [c for c, (low, _) in open_.items() if low <= within]
+    exact = {r["column_name"]: r["distinct_values"] for r in distinct_counts(df, nearest).collect()} if nearest else {}
+    fit = [c for c in nearest if 1 < exact.get(c, 0) < rows * 0.95]
+    best = min(fit, key=lambda c: (gap(c, exact[c]), c), default=None)
+    found = [(months, exact[best], date, best, target)] if best else []
+    schema = "months long, ids long, date_column string, id_column string, target_column string"
+    return df.sparkSession.createDataFrame(found, schema)

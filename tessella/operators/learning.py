@@ -11,7 +11,6 @@ from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +23,8 @@ from tessella.operators.features import (
     fit_impute,
     fit_scale,
 )
-from tessella.operators.labels import period_slices
+from tessella.operators.labels import block_fold_rows, period_slices
+from tessella.operators.many_fits import Fit, fit_many, prepared_groups, score_many
 from tessella.operators.metrics import ranking_metrics
 from tessella.operators.series import quoted
 from tessella.session import freeze, materialize
@@ -154,30 +154,17 @@ def cv_select(
 ) -> DataFrame:
     """Metric per (C, fold) on rows tagged by ``labels.fold_rows``; best first.
 
-    Folds and grid are short lists; every fit runs on all its train rows, the
-    folds a few at a time.
+    Folds and grid are short lists; every fit runs on all its train rows, and all
+    of them are fitted together.
     """
-    def fold_parts(fold: int) -> tuple[list[DataFrame], list[DataFrame]]:
-        part = folds.filter(F.col("fold") == fold)
-        train, valid = (part.filter(F.col("role") == r) for r in ("train", "validate"))
-        tr, va = prepare(train, [train, valid], features)
-        tr, va = tr.persist(), va.persist()
-        fits = [fit_logistic(tr, features, label, c=c, l1=l1) for c in cs]
-        named = [
-            fit.score(va).select(F.lit(float(c)).alias("c"), F.lit(fold).alias("fold"), label, "p")
-            for c, fit in zip(cs, fits)
-        ]
-        return named, [tr, va]
-
-    numbers = [r["fold"] for r in folds.select("fold").distinct().orderBy("fold").collect()]
-    done = _at_once(fold_parts, numbers)
-    parts = [p for named, _ in done for p in named]
-    cached = [c for _, frames in done for c in frames]
+    tagged = folds.filter(F.col("role").isin("train", "validate"))
+    ready = prepared_groups(tagged, "fold", features, label, train=F.col("role") == "train")
+    numbers = [r["fold"] for r in ready.select("fold").distinct().orderBy("fold").collect()]
+    every = tuple(range(len(features)))
+    fits = fit_many(ready, "fold", [Fit(n, float(c), l1, every) for n in numbers for c in cs])
     # One pass scores and ranks every (C, fold) together.
-    scored = reduce(DataFrame.unionByName, parts)
-    per_fold = materialize(ranking_metrics(scored, label, "p", ["c", "fold"], listed_groups=True), "cv")
-    for frame in cached:
-        frame.unpersist()
+    scored = score_many(ready.filter("not is_train"), "fold", fits).select("c", "fold", "label", "p")
+    per_fold = materialize(ranking_metrics(scored, "label", "p", ["c", "fold"], listed_groups=True), "cv")
     return per_fold.groupBy("c").agg(
         F.avg(metric).alias("mean_metric"), F.count(metric).alias("folds")
     ).orderBy(F.desc_nulls_last("mean_metric"), "c")
@@ -194,6 +181,7 @@ def stability_select(
     spark = df.sparkSession
     slices = period_slices(df, period, n)
     sliced = df.withColumn("month", F.last_day(period)).join(F.broadcast(slices), "month")  # one row per month
+    sliced = materialize(sliced.select("slice", "month", label, *features), "slices")
     info = (
         sliced.groupBy("slice")
         .agg(F.count_distinct("month").alias("months"), F.count_distinct(label).alias("classes"))
@@ -202,11 +190,11 @@ def stability_select(
     )
     valid = [r["slice"] for r in info if r["months"] >= 3 and r["classes"] >= 2]
     rows = []
-    for s in valid:
-        part = sliced.filter(F.col("slice") == s)
-        (ready,) = prepare(part, [part], features, with_mean=False)
-        fit = fit_logistic(ready, features, label, c=1.0, l1=True)
-        rows += [(f, int(abs(float(b)) > 1e-6)) for f, b in zip(features, fit.model.coefficients)]
+    if valid:
+        ready = prepared_groups(sliced.filter(F.col("slice").isin(valid)), "slice", features, label, with_mean=False)
+        every = tuple(range(len(features)))
+        for fit in fit_many(ready, "slice", [Fit(s, 1.0, True, every) for s in valid]):
+            rows += [(f, int(abs(float(b)) > 1e-6)) for f, b in zip(features, fit.coef)]
     base = spark.createDataFrame([(f, 0) for f in features] + rows, "feature string, hit int")
     counted = base.groupBy("feature").agg(F.sum("hit").alias("slices_selected"))
     out = counted.withColumn("frequency", F.col("slices_selected") / F.lit(max(1, len(valid)))).withColumn(
@@ -221,22 +209,12 @@ def platt(oof: DataFrame, label: str, score: str) -> Fitted:
     return fit_logistic(oof, [score], label, c=1e6, balanced=False)
 
 
-def isotonic(df: DataFrame, label: str, score: str):
-    """Monotone calibrator for clipped scores."""
-    data = df.select(clip(F.col(score), 0.0, 1.0).alias("features"), F.col(label).cast("double").alias("label"))
-    return IsotonicRegression(featuresCol="features", labelCol="label").fit(data)
-
-
-def calibrate(model, df: DataFrame, score: str, out: str) -> DataFrame:
-    ready = df.withColumn("features", clip(F.col(score), 0.0, 1.0))
-    return model.transform(ready).withColumn(out, F.col("prediction")).drop("prediction", "features")
-
-
 def out_of_fold_scores(train: DataFrame, features: list[str], label: str, n: int = 3) -> DataFrame:
     """Raw scores of train rows by fits that did not see them.
 
     Rows are dealt to ``n`` folds by a hash of their features, so equal rows are
-    held out together.
+    held out together.  Rows of one entity fall into several folds; see
+    ``later_scores`` for a split by time.
     """
     dealt = train.withColumn("_part", F.pmod(F.xxhash64(*features), F.lit(n)))
 
@@ -247,6 +225,24 @@ def out_of_fold_scores(train: DataFrame, features: list[str], label: str, n: int
     return reduce(DataFrame.unionByName, [held_out(k) for k in range(n)]).drop("_part")
 
 
+def later_scores(
+    df: DataFrame, period: str, features: list[str], label: str, keys: list[str], first: int, n: int = 3
+) -> DataFrame:
+    """Raw scores of all rows after the first ``first`` months, each by a fit of
+    earlier months only: ``keys``, fold, label and ``raw``.
+
+    A calibrator on these sees scores as they will be when months are scored that
+    no fit has seen.  All folds are fitted together.
+    """
+    folds = block_fold_rows(df, period, first, n)
+    ready = prepared_groups(folds, "fold", features, label, train=F.col("role") == "train", keys=tuple(keys))
+    every = tuple(range(len(features)))
+    numbers = [r["fold"] for r in ready.select("fold").distinct().orderBy("fold").collect()]
+    fits = fit_many(ready, "fold", [Fit(k, 1.0, False, every) for k in numbers])
+    scored = score_many(ready.filter("not is_train"), "fold", fits, "raw")
+    return scored.select(*keys, "fold", F.col("label").alias(label), "raw")
+
+
 def fit_ensemble(train: DataFrame, features: list[str], label: str) -> tuple[Fitted, Fitted, Fitted]:
     """L2 logistic with a Platt step on out-of-fold scores, and boosted trees."""
     linear = fit_logistic(train, features, label)
@@ -296,12 +292,19 @@ def out_of_fold(
 def sweep_top_k(
     train: DataFrame, test: DataFrame, ranked: list[str], label: str, ks: list[int]
 ) -> DataFrame:
-    """Refit on the k most important features for several k."""
-    parts = []
-    for k in ks:
-        fit = fit_logistic(train, ranked[:k], label, l1=True)
-        parts.append(fit.score(test).select(F.lit(k).alias("k"), label, "p"))
-    metrics = ranking_metrics(reduce(DataFrame.unionByName, parts), label, "p", ["k"], listed_groups=True)
+    """Refits on the k most important features for several k, all together."""
+    def tagged(df: DataFrame, is_train: bool) -> DataFrame:
+        return class_weights(df, label).select(
+            F.lit(0).alias("all"), F.col(label).alias("label"), F.lit(is_train).alias("is_train"), "weight",
+            F.array(*[quoted(f).cast("double") for f in ranked]).alias("x"),
+        )
+
+    both = materialize(tagged(train, True).unionByName(tagged(test, False)), "sweep")
+    fits = fit_many(both, "all", [Fit(0, 1.0, True, tuple(range(min(k, len(ranked))))) for k in ks])
+    scored = score_many(both.filter("not is_train"), "all", fits)
+    names = F.create_map(*[x for i, k in enumerate(ks) for x in (F.lit(i), F.lit(k))])
+    scored = scored.select(names[F.col("fit")].alias("k"), "label", "p")
+    metrics = ranking_metrics(scored, "label", "p", ["k"], listed_groups=True)
     return metrics.select("k", "roc_auc", "average_precision")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.numeric import any_above
-from tessella.session import one_row
+from tessella.session import materialize, one_row
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
@@ -48,21 +48,52 @@ def union_keys(tables: list[DataFrame], cols: list[str]) -> DataFrame:
     return reduce(DataFrame.unionAll, [t.select(*cols) for t in tables]).distinct()
 
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def build_panel(facts: Mapping[str, DataFrame], entity: str, period: str) -> DataFrame:
-    """Left-join fact tables (unique per entity and month) to their spine.
+    """Fact tables (unique per entity and month) on their common spine.
 
-    Adds ``<type>_present`` flags and an overall ``present`` flag.
+    Adds ``<type>_present`` flags and an overall ``present`` flag.  Each fact table
+    is read once: its rows go, tagged, into one aggregation by entity, which is
+    written; entities, the common bounds and the facts of every month come from
+    there.  An entity's row holds its panel, so it is bounded by the calendar.
     """
     tables = list(facts.values())
-    lo, hi = month_range(reduce(DataFrame.unionAll, [t.select(period) for t in tables]), period)
-    panel = spine(union_keys(tables, [entity]), entity, period, lo, hi)
-    for name, table in facts.items():
-        marked = table.withColumn(f"{name}_present", F.lit(1))
-        panel = panel.join(marked, [entity, period], "left")
-    flags = {f"{n}_present": F.coalesce(F.col(f"{n}_present"), F.lit(0)) for n in facts}
-    panel = panel.withColumns(flags)
-    any_flag = [F.col(f) for f in flags]
-    return panel.withColumn("present", F.greatest(*any_flag) if len(any_flag) > 1 else any_flag[0])
+    values = [[c for c in t.columns if c not in (entity, period)] for t in tables]
+
+    def packed(t: DataFrame, i: int) -> Column:
+        return F.struct(F.lit(1).alias(f"{i}_present"), *[F.col(c) for c in values[i]])
+
+    types = [t.select(packed(t, i).alias("v")).schema["v"].dataType for i, t in enumerate(tables)]
+
+    def tagged(t: DataFrame, i: int) -> DataFrame:
+        own = [packed(t, i) if j == i else F.lit(None) for j in range(len(tables))]
+        return t.select(entity, period, *[v.cast(types[j]).alias(f"_{j}") for j, v in enumerate(own)])
+
+    stream = reduce(DataFrame.unionAll, [tagged(t, i) for i, t in enumerate(tables)])
+
+    def by_month(j: int) -> Column:
+        known = F.col(period).isNotNull() & F.col(entity).isNotNull() & F.col(f"_{j}").isNotNull()
+        return F.map_from_entries(F.collect_list(F.when(known, F.struct(period, f"_{j}")))).alias(f"_{j}")
+
+    per_entity = stream.groupBy(entity).agg(
+        F.min(period).alias("_lo"), F.max(period).alias("_hi"), *[by_month(j) for j in range(len(tables))]
+    )
+    per_entity = materialize(per_entity, "panel-entities")
+    bounds = one_row(per_entity, lo=F.trunc(F.min("_lo"), "month"), hi=F.trunc(F.max("_hi"), "month"))
+    rows = per_entity.select(
+        "*", F.explode(F.sequence(bounds["lo"], bounds["hi"], F.expr("interval 1 month"))).alias(period)
+    )
+    for j in range(len(tables)):
+        rows = rows.withColumn(f"_{j}", F.try_element_at(f"_{j}", F.col(period)))
+    flags = {n: F.coalesce(F.col(f"_{j}.{j}_present"), F.lit(0)) for j, n in enumerate(facts)}
+    columns = [F.col(entity), F.col(period)]
+    for j, n in enumerate(facts):
+        columns += [*[F.col(f"_{j}.{_quoted(c)}").alias(c) for c in values[j]], flags[n].alias(f"{n}_present")]
+    any_flag = list(flags.values())
+    return rows.select(*columns, (F.greatest(*any_flag) if len(any_flag) > 1 else any_flag[0]).alias("present"))
 
 
 def flag_failures(

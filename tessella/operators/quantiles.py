@@ -3,11 +3,17 @@ single-task window and without a per-column map of all distinct values."""
 
 from __future__ import annotations
 
+import math
+import struct
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.operators.series import quoted
-from tessella.session import shuffle_partitions
+from tessella.session import materialize, shuffle_partitions
 
 
 def n_ranges(df: DataFrame, least: int = 64) -> int:
@@ -95,66 +101,88 @@ def ordered_totals(
     return out.drop("_range", *[f"_run_{s}" for s in sums], *[f"_off_{s}" for s in sums])
 
 
-# Ranges per column when percentiles are located; a power of four.
-N_SELECT = 256
+#: Bits by which the search for a percentile narrows down at a time.
+DIGIT = 16
+_LOW = 0x7FFF_FFFF_FFFF_FFFF
 
 
-def percentiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
-    """Exact linear-interpolation percentiles: (column_name, prob, value).
+def _ordered_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Doubles as longs of the same order; nulls and NaN are null."""
+    for b in batches:
+        out = []
+        for c in b.columns:
+            x = c.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0  # one zero only
+            bits = x.view(np.int64)
+            out.append(pa.array(np.where(bits < 0, bits ^ _LOW, bits), pa.int64(), mask=np.isnan(x)))
+        yield pa.RecordBatch.from_arrays(out, b.schema.names)
 
-    A selection, not a sort: rows are counted per range of each column (map-side
-    combine leaves at most columns x 256 rows to shuffle), and only the values
-    of the one or two ranges that hold an asked rank are shuffled and ranked,
-    split once more so that no task ranks a whole range.
-    """
-    numeric = df.select(*[quoted(c).cast("double").alias(c) for c in cols])
-    cut_map = F.create_map(*[x for c in cols for x in (F.lit(c), _cut_points(quoted(c), N_SELECT))])
-    long = numeric.unpivot([], [quoted(c) for c in cols], "column_name", "value").filter(
-        F.col("value").isNotNull() & ~F.isnan("value")
-    )
-    cuts = F.try_element_at(numeric.agg(cut_map.alias("m")).scalar(), F.col("column_name"))
-    placed = _find_range(long.withColumn("_cuts", cuts), "value", N_SELECT)
 
-    per_range = placed.groupBy("column_name", "_range").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("column_name")  # at most 256 rows per column
-    before = F.sum("n").over(w.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = per_range.select(
-        "column_name",
-        "_range",
-        "n",
-        F.coalesce(before, F.lit(0)).alias("before"),
-        F.sum("n").over(w).alias("total"),
-    )
-    ranks = F.array(*[F.struct(F.lit(float(p)).alias("prob")) for p in probs])
-    h = (F.col("total") - 1) * F.col("prob")
+def _double(bits: int) -> float:
+    return struct.unpack("<d", struct.pack("<q", bits ^ _LOW if bits < 0 else bits))[0]
 
-    def asked(rows: DataFrame, start: Column, stop: Column) -> DataFrame:
-        """Keep (row, prob) pairs whose rank or the rank after it lies inside."""
-        named = rows.select("*", F.inline(ranks))
-        return named.filter((start <= F.ceil(h)) & (F.floor(h) < stop))
 
-    wanted = asked(offsets, F.col("before"), F.col("before") + F.col("n")).select(
-        "column_name", "_range", "before", "total"
-    )
-    # At most two ranges per column and probability.
-    chosen = placed.join(F.broadcast(wanted.distinct()), ["column_name", "_range"])
-    counted = chosen.groupBy("column_name", "_range", "before", "total", "value").agg(
-        F.count("*").alias("n")
-    )
-    counted = counted.withColumnRenamed("_range", "held_in")
-    ranked = ordered_totals(
-        counted, "value", ["n"], ["column_name", "held_in"], descending=False, listed_groups=True
-    ).withColumn("stop", F.col("before") + F.col("run_n"))
-    start, stop = F.col("stop") - F.col("n"), F.col("stop")
-
-    def at(position: Column) -> Column:
-        return F.max(F.when((start <= position) & (position < stop), F.col("value")))
-
-    return asked(ranked, start, stop).groupBy("column_name", "prob").agg(
-        at(F.floor(h)).alias("lo"), at(F.ceil(h)).alias("hi"), F.max(h - F.floor(h)).alias("w")
-    ).select(
-        "column_name", "prob", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("w")).alias("value")
-    )
+def percentiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
+    """Exact linear-interpolation percentiles: (column_name, prob, value).
+
+    A radix selection for all columns and ranks at once, without sorting.  The
+    columns are written once as longs that order like the doubles.  They are
+    counted by their first 16 bits (map-side combine; 65,536 counts a column at
+    most), and the values that share those bits with an asked rank are written and
+    counted by the next 16, and so on, until all that is left of a
+    rank is one value.  The driver sees counts only, 65,536 at most per column and
+    asked rank.
+    """
+    spark = df.sparkSession
+    numeric = df.select(*[quoted(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    schema = ", ".join(f"c{i} long" for i in range(len(cols)))
+    keys = materialize(numeric.mapInArrow(_ordered_bits, schema), "ordered-bits")
+    long = keys.select(F.inline(F.array(*[F.struct(F.lit(i).alias("at"), F.col(f"c{i}").alias("bits")) for i in range(len(cols))])))
+    rows = long.filter(F.col("bits").isNotNull())
+
+    def counted(values: DataFrame, shift: int) -> dict[int, list[tuple[int, int, int, int]]]:
+        """Per column its (prefix, rows, least, greatest), in order."""
+        prefix = F.shiftright("bits", shift) if shift else F.col("bits")
+        got = values.groupBy("at", prefix.alias("prefix")).agg(F.count("*").alias("n"), F.min("bits").alias("lo"), F.max("bits").alias("hi"))
+        out: dict[int, list[tuple[int, int, int, int]]] = {}
+        for r in sorted(got.collect()):
+            out.setdefault(r["at"], []).append((r["prefix"], r["n"], r["lo"], r["hi"]))
+        return out
+
+    found: dict[tuple[int, int], int] = {}  # (column, rank) to its bits
+    shift = 64 - DIGIT
+    ranges = counted(rows, shift)
+    total = {at: sum(n for _, n, _, _ in r) for at, r in ranges.items()}
+    # (column, range, first rank in it) to the ranks asked of it
+    asked = {(at, None): (0, sorted({k for p in probs for k in (math.floor((n - 1) * p), math.ceil((n - 1) * p))})) for at, n in total.items()}
+    while asked:
+        open_: dict[tuple[int, int], tuple[int, list[int]]] = {}
+        for (at, within), (first, ranks) in asked.items():
+            for prefix, n, lo, hi in ranges[at]:
+                if within is not None and prefix >> DIGIT != within:
+                    continue
+                inside = [k for k in ranks if first <= k < first + n]
+                if inside and lo == hi:
+                    found |= {(at, k): lo for k in inside}
+                elif inside:
+                    open_[at, prefix] = first, inside
+                first += n
+        asked = open_
+        if asked:
+            held = spark.createDataFrame(list(asked), "held_at int, held long")
+            same = (F.col("at") == F.col("held_at")) & (F.shiftright("bits", shift) == F.col("held"))
+            rows = rows.join(F.broadcast(held), same, "left_semi")  # one row per column and asked rank at most
+            if shift == 64 - DIGIT:
+                rows = materialize(rows, "percentile-values")
+            shift -= DIGIT
+            ranges = counted(rows, shift)
+
+    out = []
+    for at, n in total.items():
+        for p in probs:
+            h = (n - 1) * p
+            lo, hi = (_double(found[at, k]) for k in (math.floor(h), math.ceil(h)))
+            out.append((cols[at], float(p), lo if lo == hi else lo + (hi - lo) * (h - math.floor(h))))
+    return spark.createDataFrame(out, "column_name string, prob double, value double")
 
 
 def percentile_map(df: DataFrame, cols: list[str], probs: list[float]) -> Column:

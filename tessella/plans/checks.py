@@ -260,19 +260,25 @@ def joined_series_coverage(spark, d):
     return rounded(QA.coverage(j, ["tax", "high"]))
 
 
-@query("run_statistics")
+@query(
+    "run_statistics",
+    f"""WITH {CUSTOMER_MONTHS}
+SELECT 'orders' AS stage, 1::BIGINT AS files, count(*) AS n_rows, count(DISTINCT o_custkey) AS entities,
+  count(*) FILTER (WHERE o_totalprice > 300000) AS warnings, count(*) FILTER (WHERE o_orderdate IS NULL) AS errors, true AS timed FROM orders
+UNION ALL SELECT 'months', 1, count(*), count(DISTINCT entity), count(*) FILTER (WHERE n_orders > 1),
+  count(*) FILTER (WHERE amount <= 0), true FROM customer_months""",
+)
 def run_statistics(spark, d):
-    """Rows, entities and warnings observed while a stage is written."""
-    from pyspark.sql import Observation
-
+    """Files, rows, entities, warnings, errors and time of two stages; the report is
+    saved as JSON and read back."""
+    from tessella.operators.runs import STAGE, Run
     from tessella.session import scratch_path
     from tessella.sources.files import save_json
 
-    seen = Observation("stage")
-    m = customer_months(spark, d).observe(
-        seen, F.count("*").alias("n_rows"), F.count(F.when(F.col("n_orders") > 1, 1)).alias("warnings")
-    )
-    m.write.parquet(scratch_path(spark, "observed"))
-    got = seen.get
-    report = spark.createDataFrame([(got["n_rows"], got["warnings"])], "n_rows long, warnings long")
-    return spark.read.schema("n_rows long, warnings long").json(save_json(report, scratch_path(spark, "report")))
+    run = Run(spark)
+    orders = table(spark, d, "orders")
+    run.stage("orders", orders, "o_custkey", F.col("o_totalprice") > 300000, F.col("o_orderdate").isNull())
+    run.stage("months", customer_months(spark, d), "entity", F.col("n_orders") > 1, F.col("amount") <= 0)
+    report = spark.read.schema(STAGE).json(save_json(run.report(), scratch_path(spark, "report")))
+    return report.withColumn("timed", F.col("seconds") > 0).drop("seconds")
+

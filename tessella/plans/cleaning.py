@@ -219,7 +219,7 @@ def detect_header_row(spark, d):
 def grid_to_records(spark, d):
     """Header promoted, grid reshaped, noise rows dropped."""
     grid = cell_grid(spark, d)
-    records = C.cells_to_records(grid, C.detect_header(grid), ["Total quantity", "Total price"])
+    records = C.cells_to_records(grid, ["Total quantity", "Total price"])
     return C.drop_noise_rows(records, "bank_name").drop("row")
 
 
@@ -314,7 +314,7 @@ SELECT file, c AS entity_count, CASE WHEN c < 10 THEN 'low' WHEN c > 200 THEN 'h
 def entities_per_file(spark, d):
     """Distinct names without aggregate rows (notes and rules still count here)."""
     grid = cell_grid(spark, d)
-    records = C.cells_to_records(grid, C.detect_header(grid), ["Total quantity"])
+    records = C.cells_to_records(grid, ["Total quantity"])
     return C.entity_estimate(records, ["file"], "bank_name")
 
 
@@ -327,7 +327,7 @@ SELECT file, count(DISTINCT sheet) AS sheets, count(DISTINCT CASE WHEN sheet <>
 def file_validity(spark, d):
     """L16 per file."""
     grid = cell_grid(spark, d)
-    records = C.drop_noise_rows(C.cells_to_records(grid, C.detect_header(grid), ["Total quantity"]), "bank_name")
+    records = C.drop_noise_rows(C.cells_to_records(grid, ["Total quantity"]), "bank_name")
     return C.file_validity(grid, C.entity_estimate(records, ["file", "sheet"], "bank_name"))
 
 

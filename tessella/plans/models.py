@@ -6,8 +6,10 @@ has an unusually high share of returns.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessella.operators import calibration as CA
 from tessella.operators import econometrics as EC
 from tessella.operators import features as FE
 from tessella.operators import labels as LB
@@ -127,6 +129,35 @@ def unbalanced_within_means(spark, d):
     return means("entity", E).unionByName(means("period", D))
 
 
+@query(
+    "removed_effects_add_up",
+    f"""WITH {CUSTOMER_MONTHS}, s AS (SELECT period, lag(period) OVER (PARTITION BY entity ORDER BY period) AS earlier FROM customer_months)
+SELECT period, count(*) AS n, CAST(0 AS DOUBLE) AS amount_spread, CAST(0 AS DOUBLE) AS orders_spread FROM s
+WHERE earlier = period - INTERVAL 1 MONTH GROUP BY period""",
+)
+def removed_effects_add_up(spark, d):
+    """what demeaning takes away is entity plus period effects.
+
+    From one month to the next it then changes by the same amount for every
+    entity.  With the zero means above this determines the solution.
+    """
+    m = customer_months(spark, d).select(E, D, "amount", F.col("n_orders").cast("double").alias("orders"))
+    out = EC.two_way_demean(m, E, D, ["amount", "orders"])
+    w = Window.partitionBy(E).orderBy(D)
+
+    def step(c):
+        taken = F.col(c) - F.col(f"{c}_within")
+        return (taken - F.lag(taken).over(w)).alias(c)
+
+    steps = out.select(D, F.lag(D).over(w).alias("earlier"), step("amount"), step("orders"))
+    steps = steps.filter(F.col("earlier") == F.add_months(D, -1))
+
+    def spread(c):
+        return (F.round(F.max(c) - F.min(c), 5) + 0.0).alias(f"{c}_spread")
+
+    return steps.groupBy(D).agg(F.count("*").alias("n"), spread("amount"), spread("orders"))
+
+
 @query(
     "panel_regression",
     f"""WITH {BALANCED}, c AS (SELECT sum(xd * yd) / sum(xd * xd) AS beta, sum(xd * xd) AS sxx, sum(yd * yd) AS syy, count(*) AS n, count(DISTINCT entity) AS g FROM d),
@@ -388,11 +419,41 @@ def saved_model_scores(spark, d):
 
 @query("isotonic_calibration")
 def isotonic_calibration(spark, d):
-    """Saved monotone calibrator applied to clipped scores."""
-    train, test = prepared(spark, d)
-    fit = LN.fit_logistic(train, FEATURES, "y")
-    cal = LN.isotonic(fit.score(train), "y", "p")
-    return LN.calibrate(cal, fit.score(test), "p", "calibrated").select(E, D, "y", "p", "calibrated")
+    """Steps fitted on scores of later months, saved, reloaded and applied."""
+    rows = labelled_panel(spark, d)
+    train, test = LB.time_split(rows, D, CUT)
+    tr, te = LN.prepare(train, [train, test], FEATURES)
+    fit = LN.fit_logistic(tr, FEATURES, "y")
+    later = LN.later_scores(train, D, FEATURES, "y", [E, D], first=24)
+    path = scratch_path(spark, "steps")
+    CA.fit_steps(later, "y", "raw").write.parquet(path)
+    return CA.apply_steps(fit.score(te).select(E, D, "y", "p"), spark.read.parquet(path), "p")
+
+
+STEPS = f"""{SUPPLIER_MONTHS}, x AS (SELECT entity, period, CASE WHEN coalesce(returned, 0) / price > 0.4 THEN 1 ELSE 0 END AS y,
+  least(90, floor(quantity / 10)) / 100 AS p FROM supplier_months),
+g AS (SELECT p, count(*) AS n, sum(y) AS pos FROM x WHERE period <= DATE '{CUT}' GROUP BY p),
+s AS (SELECT p, n, pos, row_number() OVER o AS i, sum(n) OVER o AS cn, sum(pos) OVER o AS cp FROM g WINDOW o AS (ORDER BY p)),
+m AS (SELECT a.i AS a, b.i AS b, (b.cp - a.cp + a.pos) / (b.cn - a.cn + a.n) AS mean FROM s a JOIN s b ON a.i <= b.i),
+t AS (SELECT s.i, a, min(mean) AS least FROM s JOIN m ON a <= s.i AND b >= s.i GROUP BY 1, 2),
+v AS (SELECT p, v FROM (SELECT i, max(least) AS v FROM t GROUP BY i) JOIN s USING (i)),
+w AS (SELECT q.p, max(v.p) FILTER (WHERE v.p <= q.p) AS lo, min(v.p) FILTER (WHERE v.p >= q.p) AS hi
+  FROM (SELECT DISTINCT p FROM x) q, v GROUP BY q.p)
+SELECT entity, period, x.p, round(CASE WHEN lo IS NULL THEN h.v WHEN hi IS NULL OR lo = hi THEN l.v
+  ELSE l.v + (h.v - l.v) * (w.p - lo) / (hi - lo) END, 6) AS calibrated
+FROM x JOIN w ON w.p = x.p LEFT JOIN v l ON l.p = lo LEFT JOIN v h ON h.p = hi WHERE period > DATE '{CUT}'"""
+
+
+@query("isotonic_steps", f"WITH {STEPS}")
+def isotonic_steps(spark, d):
+    """A saved and reloaded monotone step table on coarse scores."""
+    m = supplier_months(spark, d)
+    share = F.coalesce("returned", F.lit(0.0)) / F.col("price")
+    x = m.select(E, D, (share > 0.4).cast("int").alias("y"), (F.least(F.lit(90), F.floor(F.col("quantity") / 10)) / 100).alias("p"))
+    train, test = LB.time_split(x, D, CUT)
+    path = scratch_path(spark, "steps")
+    CA.fit_steps(train, "y", "p").write.parquet(path)
+    return rounded(CA.apply_steps(test.select(E, D, "p"), spark.read.parquet(path), "p"))
 
 
 @query("metric_table")

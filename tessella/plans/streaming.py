@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.plans.base import query, r, rounded, table
-from tessella.session import scratch_path
+from tessella.session import materialize, scratch_path
 from tessella.streaming import streams as ST
 
 
@@ -100,3 +100,31 @@ def stream_snapshot_upsert(spark, d):
     per.filter("user_id % 2 = 0").write.mode("append").parquet(inbox)
     log = ST.ingest_snapshots(ST.file_stream(spark, inbox, schema), work)
     return ST.current_rows(spark, log, schema, ["user_id", "day"], ["n", "value"])
+
+
+@query(
+    "stream_compacted_upsert",
+    """SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n,
+  CASE WHEN user_id % 3 = 0 THEN -round(sum(value), 2) WHEN user_id % 2 = 0 THEN round(sum(value), 2) END AS value FROM events GROUP BY 1, 2""",
+)
+def stream_compacted_upsert(spark, d):
+    """M1: three deliveries; the log is compacted after the second, the view reads
+    the snapshot and what came later."""
+    per = table(spark, d, "events").groupBy("user_id", F.col("ts").cast("date").alias("day")).agg(
+        F.count("*").alias("n"), r(F.sum("value"), 2).alias("value")
+    )
+    per = materialize(per, "deliveries")
+    inbox, work = scratch_path(spark, "inbox"), scratch_path(spark, "ingest")
+    keys, data, schema = ["user_id", "day"], ["n", "value"], per.schema
+    deliveries = [
+        per.withColumn("value", F.lit(None).cast("double")),
+        per.filter("user_id % 2 = 0"),
+        per.filter("user_id % 3 = 0").withColumn("value", -F.col("value")),
+    ]
+    for i, rows in enumerate(deliveries):
+        rows.write.mode("append").parquet(inbox)
+        log = ST.ingest_snapshots(ST.file_stream(spark, inbox, schema), work)
+        if i == 1:
+            ST.compact(spark, log, schema, keys, data)
+            ST.remove_folded(spark, log)
+    return ST.current_rows(spark, log, schema, keys, data)

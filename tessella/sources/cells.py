@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.text import any_pattern, is_noise, token_key
 from tessella.operators.quality import AGGREGATE_WORDS
+from tessella.session import materialize
 
 # Sheet-name patterns per statement type, in rank order.
 SHEET_PATTERNS = {
@@ -102,29 +103,48 @@ def detect_header(cells: DataFrame) -> DataFrame:
     )
 
 
-def cells_to_records(
-    cells: DataFrame, headers: DataFrame, names: list[str], entity_header: str = "bank"
-) -> DataFrame:
-    """Promote the header row and reshape the grid to one record per row.
+def pack_rows(cells: DataFrame) -> DataFrame:
+    """One row per (file, sheet, row) with its cells by column: the width of a
+    sheet bounds what a row holds."""
+    return cells.groupBy("file", "sheet", "row").agg(F.array_sort(F.collect_list(F.struct("col", "value"))).alias("cells"))
+
+
+def packed_headers(packed: DataFrame) -> DataFrame:
+    """Header row per (file, sheet) of packed rows, as ``detect_header`` finds it,
+    with its cells; sheets without that row have none."""
+    text = F.transform("cells", lambda c: F.lower(F.trim(c["value"])))
+    filled = F.filter(text, lambda t: t.isNotNull())
+    wordy = F.filter(filled, lambda t: (t != "") & ~t.rlike(r"^\d+$") & (t != "nan"))
+    valid = F.exists(filled, lambda t: t.contains("bank")) & (F.size(wordy) >= F.size(filled) * 0.5)
+    # At most as many rows per sheet as are searched.
+    search = packed.filter(F.col("row").between(*HEADER_ROWS)).withColumn("valid", valid)
+    per_sheet = search.groupBy("file", "sheet").agg(
+        F.coalesce(F.min(F.when(F.col("valid"), F.col("row"))), F.lit(DEFAULT_HEADER_ROW)).alias("header_row"),
+        F.collect_list(F.struct("row", "cells")).alias("rows"),
+    )
+    named = F.filter("rows", lambda r: r["row"] == F.col("header_row"))
+    return per_sheet.select("file", "sheet", "header_row", F.get(named, 0)["cells"].alias("header")).filter("header IS NOT NULL")
+
 
-    Output: file, sheet, row, ``bank_name`` and one string column per name.
+def cells_to_records(cells: DataFrame, names: list[str], entity_header: str = "bank") -> DataFrame:
+    """Find and promote the header row and reshape the grid to one record per row.
+
+    The grid is read once: packed rows are written, headers come from the first
+    rows of those, and each packed row meets its sheet's header.  Output: file,
+    sheet, row, ``bank_name`` and one string column per name (of equal headers
+    the leftmost counts).  A row without a cell below the header is no record.
     """
-    search = F.col("row").between(*HEADER_ROWS)
-    heads = (
-        cells.filter(search)
-        .join(headers, ["file", "sheet"])
-        .filter("row = header_row")
-        .select("file", "sheet", "col", "header_row", F.lower(F.trim("value")).alias("header"))
-    )
-    # The cells take part in one join only; the header row comes with the label.
-    named = cells.join(heads, ["file", "sheet", "col"]).filter("row > header_row")
-    wide = (
-        named.groupBy("file", "sheet", "row")
-        .pivot("header", [entity_header, *[n.lower() for n in names]])
-        .agg(F.first("value"))
-    )
-    return wide.withColumnRenamed(entity_header, "bank_name").withColumn(
-        "bank_name", F.trim("bank_name")
+    packed = materialize(pack_rows(cells), "grid-rows")
+    body = packed.join(packed_headers(packed), ["file", "sheet"]).filter("row > header_row")
+    columns = F.transform("header", lambda h: h["col"])
+    body = body.filter(F.exists("cells", lambda c: F.array_contains(columns, c["col"])))
+
+    def value(name: str) -> Column:
+        at = F.get(F.filter("header", lambda h: F.lower(F.trim(h["value"])) == name), 0)["col"]
+        return F.get(F.filter("cells", lambda c: c["col"] == at), 0)["value"]
+
+    return body.select(
+        "file", "sheet", "row", F.trim(value(entity_header)).alias("bank_name"), *[value(n.lower()).alias(n.lower()) for n in names]
     )
 
 

@@ -7,7 +7,9 @@ where the last one stopped.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import astuple, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -83,12 +85,110 @@ def ingest_snapshots(stream: DataFrame, work: str) -> str:
     return run_available(stream, "ingest", "append", work)
 
 
+def _complete(spark: SparkSession, folder: str) -> list[str]:
+    """Subfolders of ``folder`` whose write was committed."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/*/_SUCCESS")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(f.getPath().getParent().getName() for f in found or [])
+
+
+@dataclass(frozen=True)
+class Manifest:
+    """The state of a compacted log: the live snapshot and the last batch in it."""
+
+    version: int
+    snapshot: str
+    files: int
+    rows: int
+    through: int
+
+
+MANIFEST = "version long, snapshot string, files long, rows long, through long"
+
+
+def manifest(spark: SparkSession, log: str) -> Manifest | None:
+    """The newest committed manifest of a batch log."""
+    versions = _complete(spark, f"{_beside(log)}/manifests")
+    if not versions:
+        return None
+    return Manifest(**spark.read.schema(MANIFEST).json(f"{_beside(log)}/manifests/{versions[-1]}").first().asDict())
+
+
+def _beside(log: str) -> str:
+    return log.rsplit("/", 1)[0]
+
+
+def live_rows(spark: SparkSession, log: str, schema: T.StructType) -> DataFrame:
+    """Rows of the live snapshot and of the batches after it, with ``batch_id``."""
+    newest = manifest(spark, log)
+    rows = read_batches(spark, log, schema)
+    if newest is None:
+        return rows
+    folded = spark.read.schema(rows.schema).parquet(f"{_beside(log)}/snapshots/{newest.snapshot}")
+    return folded.unionByName(rows.filter(F.col("batch_id") > newest.through))
+
+
+def _fullest(rows: DataFrame, keys: list[str], data_cols: list[str]) -> DataFrame:
+    return dedupe_most_complete(rows, keys, data_cols, [F.desc("batch_id"), *data_cols])
+
+
+def write_snapshot(spark: SparkSession, log: str, schema: T.StructType, keys: list[str], data_cols: list[str]) -> str | None:
+    """Fold the live rows into a new snapshot folder, which nothing reads yet."""
+    batches = _complete(spark, log)
+    newest = manifest(spark, log)
+    last = max((int(b.removeprefix("batch_id=")) for b in batches), default=-1)
+    if last <= (newest.through if newest else -1):
+        return None  # no batch since
+    name = f"through-{last:012d}-{uuid.uuid4().hex}"
+    _fullest(live_rows(spark, log, schema).filter(F.col("batch_id") <= last), keys, data_cols).write.parquet(f"{_beside(log)}/snapshots/{name}")
+    return name
+
+
+def compact(spark: SparkSession, log: str, schema: T.StructType, keys: list[str], data_cols: list[str]) -> Manifest | None:
+    """Fold all batches so far into one snapshot; views then read it and newer
+    batches only.
+
+    Two committed writes, in this order: the snapshot, under a name never used
+    before, and a manifest that names it and the last batch in it.  A run lost
+    before the second leaves a snapshot that no manifest names and the state
+    unchanged.  One compaction of a log at a time; ingestion may go on.
+    """
+    name = write_snapshot(spark, log, schema, keys, data_cols)
+    if name is None:
+        return manifest(spark, log)
+    folder = f"{_beside(log)}/snapshots/{name}"
+    snapshot = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])).parquet(folder)
+    newest = manifest(spark, log)
+    # The name carries the last batch: a snapshot and its reach are one thing.
+    new = Manifest(newest.version + 1 if newest else 0, name, len(snapshot.inputFiles()), snapshot.count(), int(name.split("-")[1]))
+    path = f"{_beside(log)}/manifests/{new.version:012d}"
+    spark.createDataFrame([astuple(new)], MANIFEST).coalesce(1).write.mode("overwrite").json(path)
+    return new
+
+
+def remove_folded(spark: SparkSession, log: str) -> None:
+    """Delete batches and snapshots that the newest manifest makes superfluous.
+
+    For when no view made before the last compaction is read any more.
+    """
+    newest = manifest(spark, log)
+    if newest is None:
+        return
+    old = [f"{log}/{b}" for b in _complete(spark, log) if int(b.removeprefix("batch_id=")) <= newest.through]
+    old += [f"{_beside(log)}/snapshots/{s}" for s in _complete(spark, f"{_beside(log)}/snapshots") if s != newest.snapshot and s < newest.snapshot]
+    for folder in old:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def current_rows(
     spark: SparkSession, log: str, schema: T.StructType, keys: list[str], data_cols: list[str]
 ) -> DataFrame:
-    """Upsert view of a batch log: fullest row per key, newest batch on ties."""
-    rows = read_batches(spark, log, schema)
-    return dedupe_most_complete(rows, keys, data_cols, [F.desc("batch_id"), *data_cols]).drop("batch_id")
+    """Upsert view of a batch log: fullest row per key, newest batch on ties.
+
+    Reads the live snapshot, if the log has been compacted, and newer batches.
+    """
+    return _fullest(live_rows(spark, log, schema), keys, data_cols).drop("batch_id")
 
 
 def tumbling_mean(

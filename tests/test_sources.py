@@ -21,10 +21,38 @@ def test_cells_to_records_and_noise(spark):
     rows = [("f", "a", 4, 0, "Bank"), ("f", "a", 4, 1, "Total"), ("f", "a", 5, 0, " X "), ("f", "a", 5, 1, "1"),
             ("f", "a", 6, 0, "Total"), ("f", "a", 7, 1, "4")]
     g = grid(spark, rows)
-    out = C.drop_noise_rows(C.cells_to_records(g, C.detect_header(g), ["Total"]), "bank_name").collect()
+    out = C.drop_noise_rows(C.cells_to_records(g, ["Total"]), "bank_name").collect()
     assert [(r.bank_name, r.total) for r in out] == [("X", "1")]
 
 
+def test_packed_headers_are_those_of_the_cells(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = []
+    for sheet in range(60):
+        for row in range(rng.choice([2, 4, 9])):
+            for col in range(rng.randrange(1, 5)):
+                rows.append(("f", f"s{sheet}", row, col, rng.choice(["Bank", "Total", "7", "12", " nan ", "", None, "bank of x"])))
+    g = grid(spark, rows)
+    by_cell = {r.sheet: r.header_row for r in C.detect_header(g).collect()}
+    by_row = {r.sheet: r for r in C.packed_headers(C.pack_rows(g)).collect()}
+    assert 10 < len(by_row) <= len(by_cell)
+    held = {(r[1], r[2]) for r in rows}
+    for sheet, head in by_cell.items():
+        assert (sheet in by_row) == ((sheet, head) in held)
+        if sheet in by_row:
+            assert by_row[sheet].header_row == head
+            assert [(c["col"], c["value"]) for c in by_row[sheet].header] == [r[3:] for r in rows if r[1:3] == (sheet, head)]
+
+
+def test_equal_headers_and_rows_beside_the_table(spark):
+    rows = [("f", "a", 3, 0, "Bank"), ("f", "a", 3, 1, " total "), ("f", "a", 3, 2, "Total"), ("f", "a", 9, 0, "X"), ("f", "a", 9, 2, "2"),
+            ("f", "a", 10, 7, "beside"), ("f", "a", 11, 1, "5"), ("g", "a", 9, 0, "no header")]
+    got = C.cells_to_records(grid(spark, rows), ["Total", "Other"]).collect()
+    assert sorted((r.row, r.bank_name, r.total, r.other) for r in got) == [(9, "X", None, None), (11, None, "5", None)]
+
+
 def test_choose_sheet(spark):
     sheets = [("f", "Assets_NC", 0), ("f", "Total assets", 1), ("f", "asset", 2), ("f", "Liabilitis", 3), ("f", "misc", 4)]
     got = {r.data_type: (r.sheet, r.via) for r in C.choose_sheet(

@@ -70,3 +70,49 @@ def test_stream_static_join(spark):
     static = spark.createDataFrame([("a", 7)], "user string, k int")
     out = S.appended(S.enrich(stream(spark, path), static, ["user"]), "j")
     assert sorted((r.user, r.k) for r in out.select("user", F.col("k")).collect()) == [("a", 7), ("z", None)]
+
+
+def test_compaction_survives_a_lost_run(spark, monkeypatch):
+    path, work = scratch_path(spark, "in"), scratch_path(spark, "work")
+    s, keys = stream(spark, path), ["ts", "user"]
+
+    def deliver(rows):
+        drop(spark, path, rows)
+        return S.ingest_snapshots(s, work)
+
+    def view(log):
+        return sorted((r.user, r.v) for r in S.current_rows(spark, log, s.schema, keys, ["v"]).collect())
+
+    deliver([(t(0), "a", None), (t(0), "b", 1.0)])
+    log = deliver([(t(0), "a", 5.0)])
+    assert S.manifest(spark, log) is None
+    assert S.write_snapshot(spark, log, s.schema, keys, ["v"])  # the run is lost here: no manifest
+    assert S.manifest(spark, log) is None and view(log) == [("a", 5.0), ("b", 1.0)]
+    first = S.compact(spark, log, s.schema, keys, ["v"])
+    assert (first.version, first.rows, first.through) == (0, 2, 1) and view(log) == [("a", 5.0), ("b", 1.0)]
+    assert S.compact(spark, log, s.schema, keys, ["v"]) == first  # nothing new
+    S.remove_folded(spark, log)
+    assert view(log) == [("a", 5.0), ("b", 1.0)]
+    log = deliver([(t(0), "b", 7.0), (t(0), "c", None)])
+    assert view(log) == [("a", 5.0), ("b", 7.0), ("c", None)]
+
+    class Lost(Exception):
+        pass
+
+    def lost(*_):
+        raise Lost
+
+    with monkeypatch.context() as m:
+        m.setattr(S, "astuple", lost)
+        try:
+            S.compact(spark, log, s.schema, keys, ["v"])
+        except Lost:
+            pass
+    assert S.manifest(spark, log) == first and view(log) == [("a", 5.0), ("b", 7.0), ("c", None)]
+    second = S.compact(spark, log, s.schema, keys, ["v"])
+    assert (second.version, second.through, second.rows) == (1, 2, 3) and view(log) == [("a", 5.0), ("b", 7.0), ("c", None)]
+    # a manifest whose write was not committed does not count
+    spark.createDataFrame([(9, "gone", 0, 0, 99)], S.MANIFEST).coalesce(1).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").json(
+        f"{work}/manifests/{9:012d}"
+    )
+    assert S.manifest(spark, log) == second
