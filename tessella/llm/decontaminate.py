@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.registry import query, table, unused
+from tessella.llm.registry import query, table
 from tessella.session import materialize
 
 Q, EDIT_PERCENT, BLOCK_CHARS, BATCH_CHARS = 8, 10, 1 << 20, 1 << 21
@@ -199,38 +199,56 @@ def _search(shared, item_type: pa.DataType):
     return run
 
 
+def _blocks(benchmark: DataFrame, item_id: str, item_text: str, block_chars: int) -> Iterator:
+    """Broadcast lists of (id, text) of about ``block_chars`` characters each."""
+    items = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("t is not null").distinct()
+    total = items.agg(F.sum(F.char_length("t"))).first()[0] or 0
+    blocks = max(1, -(-total // block_chars))
+    for block in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).collect()  # about block_chars
+        yield benchmark.sparkSession.sparkContext.broadcast([(r["i"], r["t"]) for r in rows])
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
           item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id, edits, start, end (code points) of every leak."""
-    spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    items = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("t is not null").distinct()
-    total = items.agg(F.sum(F.char_length("t"))).first()[0] or 0
-    blocks = max(1, -(-total // block_chars))
-    d, i = docs.schema["doc_id"].dataType.simpleString(), items.schema["i"].dataType.simpleString()
+    d, i = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()
     item_type = pa.int64() if i == "bigint" else pa.int32() if i == "int" else pa.string()
     out = None
-    for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).collect()  # about block_chars
-        shared = spark.sparkContext.broadcast([(r["i"], r["t"]) for r in rows])
+    for shared in _blocks(benchmark, item_id, item_text, block_chars):
         found = docs.mapInArrow(_search(shared, item_type), f"doc_id {d}, item_id {i}, edits int, start bigint, end bigint")
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _clean(shared, text: str):
+    """Rows whose text holds no item of one block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(shared.value)
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                leaking = {row for row, *_ in find_leaks(index, part.column(text).to_pylist())}
+                yield part.filter(pa.array([row not in leaking for row in range(part.num_rows)], pa.bool_()))
+
+    return run
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id",
+                      item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs`` whose text holds no benchmark item.
 
-    Each row goes by its own text, whatever other rows have its doc_id or none:
-    rows are named by doc_id and the SHA-256 of the text.
+    Each row is kept or dropped where it is read, by its own text, one block of the
+    benchmark after the other; nothing is joined or shuffled.
     """
-    name = unused(docs, "leaking_row")
-    # a null id and an empty one may share a name: with equal texts they share the result too
-    row = F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), F.sha2(F.col(text).cast("binary"), 256))
-    named = docs.select(row.alias(name), F.col(text).alias("text"))
-    gone = leaks(named, benchmark, name, "text").select(F.col("doc_id").alias(name)).distinct()
-    gone = materialize(gone, "leaking")  # written, so that its size decides how it is joined
-    return docs.join(gone, row == F.col(name), "left_anti")
+    out, before = docs, False
+    for shared in _blocks(benchmark, item_id, item_text, block_chars):
+        if before:
+            out = materialize(out, "decontaminated")
+        out, before = out.mapInArrow(_clean(shared, text), docs.schema), True
+    return out
 
 
 @query("op6_benchmark_decontamination")

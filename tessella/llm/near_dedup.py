@@ -266,18 +266,19 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     """One row of ``docs`` per component: its smallest doc_id, and of rows with
     equal doc_id the one with the smallest text.  Rows without doc_id stay.
 
-    Ids to drop and ids that repeat are written first; their size decides
-    whether texts are shuffled for them or not.
+    Ids to drop and ids that repeat are found in narrow tables and written as one
+    list, whose size decides whether texts are shuffled for it or not; texts
+    meet it in one join.
     """
     name, row = unused(docs, "dropped_id"), unused(docs, "row_of_id")
     gone = near_duplicates(docs, doc_id, text).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
     gone = materialize(gone, "near-gone")
     twice = docs.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias(name)).agg(F.count("*").alias("n"))
     twice = materialize(twice.where("n > 1").select(name), "near-repeated")
-    kept = docs.join(gone, F.col(doc_id) == F.col(name), "left_anti")
-    once = kept.join(twice, F.col(doc_id) == F.col(name), "left_anti")
+    once = docs.join(gone.unionByName(twice), F.col(doc_id) == F.col(name), "left_anti")
     order = F.row_number().over(Window.partitionBy(doc_id).orderBy(F.col(text).asc_nulls_first()))
-    first = kept.join(twice, F.col(doc_id) == F.col(name), "left_semi").withColumn(row, order).where(F.col(row) == 1)
+    again = materialize(twice.join(gone, name, "left_anti"), "near-repeated")
+    first = docs.join(again, F.col(doc_id) == F.col(name), "left_semi").withColumn(row, order).where(F.col(row) == 1)
     return once.unionByName(first.drop(row))
 
 

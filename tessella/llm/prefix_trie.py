@@ -37,7 +37,7 @@ from tessella.llm.placing import place
 from tessella.llm.registry import query, table
 from tessella.session import materialize
 
-CONTAINER = 512
+CONTAINER = 128
 #: Burst containers that may be broadcast (a hundred bytes each); beyond, the join is salted.
 FEW, SALTS = 10_000, 32
 NODE = "conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, end long"
@@ -282,7 +282,8 @@ def _ends(sequences: DataFrame) -> DataFrame:
 
 
 def trie(turns: DataFrame, conversations: DataFrame, order: list[str], container: int = CONTAINER) -> DataFrame:
-    """Nodes of the trie over ``turns`` (conv_id, a, b, bytes and ``order``).
+    """Nodes of the trie over ``turns`` (conv_id, a, b, bytes and ``order``; ties
+    by a and b).
 
     ``conversations`` has every conv_id, also those without turns.  A node is named
     by conv_id (its smallest conversation) and depth.
@@ -291,7 +292,7 @@ def trie(turns: DataFrame, conversations: DataFrame, order: list[str], container
     start = conversations.select(F.col("conv_id").alias("c"), F.lit(0).alias("row"), *[F.lit(None).alias(o) for o in order],
                                  zero.alias("a"), zero.alias("b"), zero.alias("bytes"))
     rows = turns.select(F.col("conv_id").alias("c"), F.lit(1).alias("row"), *order, "a", "b", "bytes")
-    placed = materialize(place(start.unionByName(rows), ["c"], ["row", *order], ("bytes",)), "trie-placed")
+    placed = materialize(place(start.unionByName(rows), ["c"], ["row", *order, "a", "b"], ("bytes",)), "trie-placed")
     sequences = materialize(_sequences(placed), "trie-sequences")
     unlike = materialize(
         sequences.groupBy("d1", "d2", "length").agg(F.min("c").alias("c"), F.count(F.lit(1)).alias("w"), F.min("total").alias("total")),

@@ -152,15 +152,16 @@ def drop_rejected(docs: DataFrame, text: str = "text", host: str = "source",
                   max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
     """The rows of ``docs`` that pass their own rules and whose host is accepted.
 
-    The rules are evaluated where the rows are read; only hosts above the limit,
-    written first so that their size is known, are anti-joined.
+    The rules are evaluated once per row and written beside it; the hosts' rates
+    come from two columns of that table.  Only hosts above the limit, written first
+    so that their size is known, are anti-joined; no text is shuffled.
     """
-    failed = measures(F.col(text))["base_failed"]
-    judged = docs.select(F.col(host).alias("host"), failed.alias("base_failed"))
-    rejected = host_rates(judged, "host", "base_failed").where(F.col("host_rate") > max_host_rate)
-    name = unused(docs, "rejected_host")
+    name, failed = unused(docs, "rejected_host"), unused(docs, "base_failed")
+    judged = materialize(docs.withColumn(failed, measures(F.col(text))["base_failed"]), "quality-judged")
+    rejected = host_rates(judged.select(F.col(host).alias("host"), F.col(failed).alias("failed")), "host", "failed")
+    rejected = rejected.where(F.col("host_rate") > max_host_rate)
     rejected = materialize(rejected.select(F.col("host").alias(name)), "quality-rejected")
-    return docs.where(~failed).join(rejected, F.col(host) == F.col(name), "left_anti")
+    return judged.where(~F.col(failed)).drop(failed).join(rejected, F.col(host) == F.col(name), "left_anti")
 
 
 SQL = r"""

@@ -54,6 +54,8 @@ RULES = (
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", base=False),
 )
 
+#: Matches whose places are added up together.
+RUN = 64
 SPAN = "array<struct<start:bigint,end:bigint>>"
 FINDINGS = f"blob string, kind string, version int, spans {SPAN}"
 
@@ -67,20 +69,33 @@ def rule_spans(text: Column, rule: Rule) -> Column:
     give their places.  Texts without a match stop at one search."""
     pattern = F.lit(rule.pattern)
 
-    def place(parts: Column) -> Column:
-        def step(acc: Column, x: Column) -> Column:
-            start = acc["at"] + F.char_length(x["gap"])
-            end = start + F.char_length(x["found"])
-            here = F.array(F.struct(start.cast("long").alias("start"), end.cast("long").alias("end")))
-            return F.struct(
-                end.cast("long").alias("at"),
-                F.when(F.char_length(x["kept"]) >= rule.least, F.concat(acc["spans"], here))
-                .otherwise(acc["spans"])
-                .alias("spans"),
-            )
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.char_length(x["gap"])
+        end = start + F.char_length(x["found"])
+        here = F.array(F.struct(start.cast("long").alias("start"), end.cast("long").alias("end")))
+        spans = F.when(F.char_length(x["kept"]) >= rule.least, F.concat(acc["spans"], here)).otherwise(acc["spans"])
+        return F.struct(end.cast("long").alias("at"), spans.alias("spans"))
 
+    def place(parts: Column) -> Column:
+        """Runs of matches are placed from their own start, then moved to where
+        the runs before them end: a text with many matches stays cheap."""
         zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("spans"))
-        return F.aggregate(parts, zero, step)["spans"]
+        starts = F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / RUN).cast("int"))
+        runs = F.transform(starts, lambda i: F.aggregate(F.slice(parts, i * RUN + 1, RUN), zero, step))
+
+        def moved(runs: Column) -> Column:
+            def one(run: Column, i: Column) -> Column:
+                before = F.aggregate(F.slice(runs, 1, i), F.lit(0).cast("long"), lambda a, r: a + r["at"])
+                return let(
+                    before,
+                    lambda b: F.transform(
+                        run["spans"], lambda s: F.struct((s["start"] + b).alias("start"), (s["end"] + b).alias("end"))
+                    ),
+                )
+
+            return F.flatten(F.transform(runs, one))
+
+        return let(runs, moved)
 
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     kept = found if rule.group == 0 else F.regexp_extract_all(text, pattern, F.lit(rule.group))
@@ -170,32 +185,54 @@ def find_secrets(docs: DataFrame, ledger: DataFrame | None = None, doc_id: str =
     return paths.join(found, "blob", "left"), whole
 
 
+def _merged(spans: Column) -> Column:
+    """Overlapping spans, sorted by start, as one; a span starts a new one where it
+    begins at or after the ends of all before it."""
+    ends = F.transform(spans, lambda s: s["end"])
+    new = F.filter(
+        F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), i.alias("i"))),
+        lambda s: (s["i"] == 0) | (s["start"] >= F.array_max(F.slice(ends, 1, s["i"]))),
+    )
+
+    def closed(heads: Column) -> Column:
+        upto = lambda k: F.when(k + 1 < F.size(heads), F.get(heads, k + 1)["i"]).otherwise(F.size(spans))
+        return F.transform(heads, lambda h, k: F.struct(h["start"].alias("start"), F.array_max(F.slice(ends, 1, upto(k))).alias("end")))
+
+    return let(new, closed)
+
+
+def _masked(text: Column, spans: Column, mask: str) -> Column:
+    """``text`` with the merged spans replaced: its pieces, joined once."""
+
+    def piece(spans: Column) -> Column:
+        def before(s: Column, i: Column) -> Column:
+            start = F.when(i == 0, F.lit(0)).otherwise(F.get(spans, i - 1)["end"])
+            return F.substring(text, (start + 1).cast("int"), (s["start"] - start).cast("int"))
+
+        rest = F.substring(text, (F.element_at(spans, -1)["end"] + 1).cast("int"), F.lit(2147483647))
+        return F.array_join(F.concat(F.transform(spans, before), F.array(rest)), mask)
+
+    return let(_merged(spans), piece)
+
+
 def redact(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars",
            mask: str = "[secret]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with every found span replaced by ``mask``; overlapping spans
-    become one mask.  ``n_chars``, where given, is counted again."""
-    ledger = materialize(update_ledger(docs, None, text, rules), "secret-ledger")
-    found = materialize(findings_by_blob(ledger, rules), "secret-findings")
-    blob, spans = unused(docs, "found_blob"), unused(docs, "found_spans")
-    found = found.select(F.col("blob").alias(blob), F.col("spans").alias(spans))
-    joined = docs.withColumn(blob, blob_id(F.col(text))).join(found, blob, "left")
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col(text), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        more = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), more.alias("out"))
-
-    def tail(acc: Column) -> Column:
-        return F.concat(acc["out"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.lit(2147483647)))
-
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    clean = F.when(F.col(spans).isNotNull(), F.aggregate(spans, zero, step, tail)).otherwise(F.col(text))
-    new = unused(docs, "masked_text")
-    masked = joined.withColumn(new, clean)
+    become one mask.  ``n_chars``, where given, is counted again.
+
+    The rules are applied and the masks set in the projection that reads the row:
+    no text is shuffled.  A run that has a ledger asks ``find_secrets`` instead.
+    """
+    every = F.array_sort(F.concat(*[rule_spans(F.col(text), r) for r in rules]))
+    spans, new = unused(docs, "found_spans"), unused(docs, "masked_text")
+    found = F.exists(spans, lambda s: s["start"] >= 0)
+    masked = docs.withColumn(spans, F.when(F.col(text).isNotNull(), every)).withColumn(
+        new, F.when(found, _masked(F.col(text), F.col(spans), mask)).otherwise(F.col(text))
+    )
     changed = {text: F.col(new)}
     if n_chars and n_chars in docs.columns:
         counted = F.char_length(new).cast(docs.schema[n_chars].dataType)
-        changed[n_chars] = F.when(F.col(spans).isNotNull(), counted).otherwise(F.col(n_chars))
+        changed[n_chars] = F.when(found, counted).otherwise(F.col(n_chars))
     return masked.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
 
 

@@ -128,3 +128,13 @@ def test_redaction(spark):
     rows = {r.doc_id: r for r in got.collect()}
     assert [rows[i].text for i in range(5)] == ["a [secret] b", "[secret] z", None, "clean", "é [secret]"]
     assert [rows[i].n_chars for i in range(5)] == [12, 10, None, 5, 10]
+
+
+def test_redaction_of_touching_nested_and_many_spans(spark):
+    many = " ".join(f"token=abcdefgh{k}" for k in range(6000))
+    hexes = "f" * 40
+    texts = [f"token={hexes}-x {hexes}", f"AKIA{'A' * 20}token=abcdefgh", many]
+    rows = {r.doc_id: r for r in secret_scans.redact(made.documents(spark, list(enumerate(texts)))).collect()}
+    assert rows[0].text == "[secret] [secret]"
+    assert rows[1].text == "[secret][secret]"
+    assert rows[2].text == " ".join(["[secret]"] * 6000)

@@ -173,7 +173,7 @@ def test_odd_turns(spark):
             (3, 0, "a", "x" * 200_000, 0)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, idx long")
     turns = prefix_trie.hashed(df)
-    nodes = prefix_trie.trie(turns, turns.select("conv_id").distinct(), ["turn", "a", "b"])
+    nodes = prefix_trie.trie(turns, turns.select("conv_id").distinct(), ["turn"])
     got = {(r["conv_id"], r["depth"], r["n_convs"], r["n_children"], r["saved_tokens"]) for r in nodes.collect()}
     want = plain_trie({1: [("a", "first"), ("", ""), ("a", "t")], 2: [("a", "first")] * 2, 3: [("a", "x" * 200_000)]})
     assert got == {(n[0], n[1], n[3], n[4], n[6]) for n in want}
