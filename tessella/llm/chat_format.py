@@ -7,9 +7,9 @@ Where it does not, the template rewrites history, which is reported.  A render
 with a placeholder for the text tells the turn's frame from its content, so the
 loss mask covers the content of the trained role only.
 
-Rendering all prefixes costs the square of a conversation, so a prefix is first
-cut to its last ``CONTEXT`` turns; the spans found that way must together be the
-rendering of the whole conversation, or all prefixes are rendered after all.
+Every prefix is rendered, none is cut, so a template is caught wherever it rewrites.
+A black box must be asked anew for each prefix: a conversation costs the square of
+its length.
 
 Scale.  Turns are shuffled by conversation and sorted, then streamed: a task
 holds one conversation at a time and nothing else.
@@ -33,7 +33,7 @@ from tessella.llm.registry import query, table
 
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
-CONTEXT, PLACEHOLDER = 4, "\ue000"
+PLACEHOLDER = "\ue000"
 _CONTROL = re.compile(r"\\|###|</turn>")
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 _TURN = re.compile(r"### ((?:\\.|[^\\:])*): ((?:\\.|[^\\<]|<(?!/turn>))*)</turn>\n", re.DOTALL)
@@ -61,33 +61,19 @@ def read_turn(span: str) -> Turn:
     return unescape(m.group(1)), unescape(m.group(2))
 
 
-def _spans_of_prefixes(render: Template, turns: list[Turn]) -> tuple[list[tuple[int, int]], int | None]:
+def locate(render: Template, turns: list[Turn]) -> tuple[str, list[tuple[int, int]], int | None]:
+    """(output, span of each turn, first turn that rewrites history or None).
+
+    Spans end before the first turn that rewrites.
+    """
     spans, done = [], render([])
     for i in range(len(turns)):
         more = render(turns[: i + 1])
         if not more.startswith(done):
-            return spans, i
+            return render(turns), spans, i
         spans.append((len(done), len(more)))
         done = more
-    return spans, None
-
-
-def locate(render: Template, turns: list[Turn], context: int = CONTEXT) -> tuple[str, list[tuple[int, int]], int | None]:
-    """(output, span of each turn, first turn that rewrites history or None)."""
-    whole, spans = render(turns), []
-    at = len(render([]))
-    for i, turn in enumerate(turns):
-        known = turns[max(0, i - context) : i]
-        before, after = render(known), render([*known, turn])
-        new = after[len(before) :]
-        if not after.startswith(before) or not whole.startswith(new, at):
-            break
-        spans.append((at, at + len(new)))
-        at += len(new)
-    if len(spans) == len(turns) and at == len(whole):
-        return whole, spans, None
-    spans, rewritten = _spans_of_prefixes(render, turns)
-    return whole, spans, rewritten
+    return done, spans, None
 
 
 def content(render: Template, span: str, role: str) -> tuple[int, int]:

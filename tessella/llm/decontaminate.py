@@ -1,12 +1,15 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-An item of length L leaks into a text where a substring of the text is within
-k = 10 percent edits of the whole item, both lower-cased and with runs of white
-space as one space.  Such a substring shares at least L + 1 - q(k + 1) character
-q-grams with the item, on diagonals (place in text - place in item) at most k
-apart.  Shared q-grams are counted in bands of diagonals that overlap by k; bands
-with too few are dropped without loss, the rest are verified by an alignment
-restricted to the band.
+A region of an item leaks into a text where a substring of the text is within 10
+percent edits of it, both lower-cased and with runs of white space as one space.
+Regions are whole items, up to ``WHOLE`` characters, and overlapping windows of items
+longer than ``LEAST_WINDOW``, so that a long part of an item, or of one too long to
+align as a whole, is found too.  A region of length L with budget k shares at
+least L + 1 - q(k + 1) character q-grams with such a substring, on diagonals (place in
+text - place in region) at most k apart; q is 8, or less for short items, so that the
+bound is positive at the full budget.  Shared q-grams are counted in bands of
+diagonals that overlap by k; bands with too few are dropped without loss, the
+rest are verified by an alignment restricted to the band.
 
 Scale.  Texts are not shuffled.  Items are indexed in blocks of about
 ``block_chars`` characters; one block is broadcast at a time and the texts are
@@ -15,9 +18,10 @@ A batch of texts is bounded too; one very long text is scanned in overlapping
 pieces.
 
 Defined results.  Null and empty texts and items match nothing.  An item shorter
-than 2q code points matches only a text that equals it as a whole.  Repeated rows
-each get their results; of several places of an item in a text the one with the
-fewest edits, then the first, is reported.  Empty tables give no rows.
+than ``SHORT`` code points matches only a text that equals it as a whole.  Repeated
+rows each get their results; of several regions and places of an item in a text the
+longest region, then the fewest edits, then the first place, is reported.  Empty
+tables give no rows.
 """
 
 from __future__ import annotations
@@ -33,6 +37,9 @@ from tessella.llm.registry import query, table
 from tessella.session import materialize
 
 Q, EDIT_PERCENT, BLOCK_CHARS, BATCH_CHARS = 8, 10, 1 << 20, 1 << 21
+#: Items from SHORT characters are aligned, up to WHOLE as a whole; windows have
+#: three quarters of an item, WINDOW at most and LEAST_WINDOW at least.
+SHORT, WHOLE, WINDOW, LEAST_WINDOW = 8, 1000, 100, 60
 _GAP, _BIG, _BITS = 0x110000, 1 << 24, 22
 _SPACES = np.array([*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -66,57 +73,85 @@ def grams(a: np.ndarray, q: int = Q) -> np.ndarray:
     return h * _M
 
 
+def regions(n: int) -> list[tuple[int, int]]:
+    """(start, end) of the regions of an item of ``n`` characters: the item, and
+    windows so close that a run of seven eighths of it, or of 150 characters, holds one."""
+    out = [(0, n)] if n <= WHOLE else []
+    size = min(WINDOW, 3 * n // 4)
+    if size >= LEAST_WINDOW:
+        step = max(1, min(WINDOW // 2, n // 8))
+        out += [(at, at + size) for at in [*range(0, n - size, step), n - size]]
+    return out
+
+
 class Index:
-    """q-grams of a block of items."""
+    """q-grams of the regions of a block of items."""
 
     def __init__(self, items: list[tuple], edit_percent: int = EDIT_PERCENT) -> None:
         rows = [(i, normalized(t)[0]) for i, t in items if t]
         rows = [(i, a) for i, a in rows if len(a)]
         self.short: dict[bytes, list] = {}
         for i, a in rows:
-            if len(a) < 2 * Q:
+            if len(a) < SHORT:
                 self.short.setdefault(a.tobytes(), []).append(i)
-        rows = [(i, a) for i, a in rows if len(a) >= 2 * Q]
-        self.ids, self.texts = [i for i, _ in rows], [a for _, a in rows]
+        found = {}
+        for i, a in rows:
+            if len(a) >= SHORT:
+                for lo, hi in regions(len(a)):
+                    found.setdefault((i, a[lo:hi].tobytes()), a[lo:hi])
+        self.ids, self.texts = [i for i, _ in found], list(found.values())
         n = np.array([len(a) for a in self.texts], np.int64)
-        self.k = np.minimum(n * edit_percent // 100, (n - 1) // Q - 1)
-        self.need = n + 1 - Q * (self.k + 1)
+        self.k = n * edit_percent // 100
+        self.q = np.minimum(Q, n // (self.k + 1))
+        self.need = n + 1 - self.q * (self.k + 1)
         self.step = np.maximum(self.k, 16)
-        codes = [grams(a) for a in self.texts]
-        all_codes = np.concatenate(codes) if codes else np.zeros(0, np.uint64)
-        order = np.argsort(all_codes, kind="stable")
-        self.item = np.repeat(np.arange(len(codes)), [len(c) for c in codes])[order]
-        self.place = np.concatenate([np.arange(len(c)) for c in codes] or [np.zeros(0, np.int64)])[order]
-        self.codes, self.first, self.count = np.unique(all_codes[order], return_index=True, return_counts=True)
-        self.seen = np.zeros(1 << _BITS, bool)
-        self.seen[(self.codes >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+        self.tables = [self._table(int(q)) for q in np.unique(self.q)]
         self.gap = int(self.k.max(initial=0)) + 1 + Q
         self.longest = int((n + self.k).max(initial=0))
 
-    def candidates(self, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(item, first diagonal of the band, shared q-grams) of promising bands."""
-        h = grams(a)
+    def _table(self, q: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """q-grams of the regions that use ``q``: codes with the range of their
+        entries, the entries' regions and places, and which upper bits occur."""
+        mine = np.flatnonzero(self.q == q)
+        codes = [grams(self.texts[i], q) for i in mine]
+        all_codes = np.concatenate(codes)
+        order = np.argsort(all_codes, kind="stable")
+        item = np.repeat(mine.astype(np.int32), [len(c) for c in codes])[order]
+        place = np.concatenate([np.arange(len(c), dtype=np.int32) for c in codes])[order]
+        codes, first, count = np.unique(all_codes[order], return_index=True, return_counts=True)
+        seen = np.zeros(1 << _BITS, bool)
+        seen[(codes >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+        return q, codes, first, count, item, place, seen
+
+    def _shared(self, a: np.ndarray, table: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(region, first diagonal of the band, shared q-grams) of promising bands."""
+        q, codes, first, count, items, places, seen = table
+        h = grams(a, q)
         none = np.zeros(0, np.int64)
-        hit = np.flatnonzero(self.seen[(h >> np.uint64(64 - _BITS)).astype(np.int64)]) if len(self.codes) else none
-        at = np.searchsorted(self.codes, h[hit])
-        same = (at < len(self.codes)) & (self.codes[np.minimum(at, len(self.codes) - 1)] == h[hit]) if len(hit) else none.astype(bool)
+        hit = np.flatnonzero(seen[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
+        at = np.searchsorted(codes, h[hit])
+        same = codes[np.minimum(at, len(codes) - 1)] == h[hit]
         hit, at = hit[same], at[same]
         if not len(hit):
             return none, none, none
-        times = self.count[at]
-        entry = np.repeat(self.first[at] - np.cumsum(times) + times, times) + np.arange(times.sum())
-        item = self.item[entry]
-        diagonal = np.repeat(hit, times) - self.place[entry] + (1 << 20)  # never negative
+        times = count[at]
+        entry = np.repeat(first[at] - np.cumsum(times) + times, times) + np.arange(times.sum())
+        item = items[entry].astype(np.int64)
+        diagonal = np.repeat(hit, times) - places[entry] + WHOLE  # never negative
         band = diagonal // self.step[item]
         both = diagonal - band * self.step[item] <= self.k[item]  # also in the band before
-        key = np.concatenate([(item << 44) | band, (item[both] << 44) | (band[both] - 1)])
+        key = np.concatenate([(item << 40) | (band + 1), (item[both] << 40) | band[both]])
         key, shared = np.unique(key, return_counts=True)
-        item, band = key >> 44, key & ((1 << 44) - 1)
+        item, band = key >> 40, (key & ((1 << 40) - 1)) - 1
         good = shared >= self.need[item]
-        return item[good], (band * self.step[item] - (1 << 20))[good], shared[good]
+        return item[good], (band * self.step[item] - WHOLE)[good], shared[good]
+
+    def candidates(self, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = [self._shared(a, t) for t in self.tables] or [(np.zeros(0, np.int64),) * 3]
+        return tuple(np.concatenate(c) for c in zip(*found))
 
     def aligned(self, a: np.ndarray, item: int, bands: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(edits, start, end) of the best alignment in each band of one item."""
+        """(edits, start, end) of the best alignment in each band of one region."""
         text = self.texts[item]
         width = int(self.step[item] + self.k[item]) + 1
         padded = np.concatenate([a, np.full(width + len(text) + 1, _GAP, np.uint32)])
@@ -133,7 +168,7 @@ class Index:
         return value // _BIG, bands + value % _BIG, bands + best + len(text)
 
     def matches(self, a: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(item, edits, start, end) wherever an item is within its edit budget."""
+        """(region, edits, start, end) wherever a region is within its edit budget."""
         item, band, shared = self.candidates(a)
         for i in np.unique(item):
             bands = band[item == i]
@@ -145,7 +180,8 @@ class Index:
 
 
 def find_leaks(index: Index, texts: list[str | None]) -> Iterator[tuple[int, object, int, int, int]]:
-    """(row, item id, edits, start, end) of the best place of each item per text."""
+    """(row, item id, edits, start, end) of the best place of each item's longest
+    region found per text."""
     best: dict[tuple, tuple] = {}
 
     def flush(parts: list[tuple]) -> None:
@@ -159,8 +195,8 @@ def find_leaks(index: Index, texts: list[str | None]) -> Iterator[tuple[int, obj
             row, a, at = parts[p]
             lo, hi = max(s - begin[p], 0), min(z - begin[p], len(a))
             if hi > lo:
-                found = (e, int(at[lo]), int(at[hi - 1]) + 1)
-                key = (row, i)
+                found = (-len(index.texts[i]), e, int(at[lo]), int(at[hi - 1]) + 1)
+                key = (row, index.ids[i])
                 best[key] = min(best.get(key, found), found)
 
     parts, size = [], 0
@@ -168,7 +204,7 @@ def find_leaks(index: Index, texts: list[str | None]) -> Iterator[tuple[int, obj
         if not text:
             continue
         a, at = normalized(text)
-        for item in index.short.get(a.tobytes(), ()) if len(a) < 2 * Q else ():
+        for item in index.short.get(a.tobytes(), ()) if len(a) < SHORT else ():
             yield row, item, 0, int(at[0]), int(at[-1]) + 1
         for lo in range(0, len(a), BATCH_CHARS):
             piece = slice(lo, min(len(a), lo + BATCH_CHARS + index.longest))
@@ -178,8 +214,8 @@ def find_leaks(index: Index, texts: list[str | None]) -> Iterator[tuple[int, obj
                 flush(parts)
                 parts, size = [], 0
     flush(parts)
-    for (row, i), (e, s, z) in sorted(best.items(), key=lambda x: x[0]):
-        yield row, index.ids[i], e, s, z
+    for (row, item), (_, e, s, z) in sorted(best.items(), key=lambda x: x[0][0]):
+        yield row, item, e, s, z
 
 
 def _search(shared, item_type: pa.DataType):

@@ -6,7 +6,8 @@ reach the target.  Medians are found exactly and together for all nodes of a
 level by a radix descent: bytes are summed by (node, 16-bit digit of the key), a
 running sum picks the digit that holds half of the node's bytes, and the next
 pass looks only inside it.  Equal values of a dimension are cut by a hash of the
-row, so a value that holds a third of all rows is split too.
+row and of its number among equal rows, so a value, or a row, that holds a third
+of all rows is split too.
 
 Scale.  Texts are read once, to measure them; all later passes run on a narrow
 table of about fifty bytes a row, written to the shared folder at each level.
@@ -14,8 +15,8 @@ Sums combine on the map side; a pass shuffles at most 65,536 rows per node and
 map task.  Slots are numbered in evenly dealt buckets whose sizes give offsets.
 
 Defined results.  A null text has size 1 (no bytes plus 1) and crc32 0.  Null
-dimension values sort before all others.  Repeated rows fall on the same side of
-a split.  An empty table gives no rows.  Sizes of shards differ by few documents.
+dimension values sort before all others.  Repeated rows are numbered and spread like
+others.  An empty table gives no rows.  Sizes of shards differ by few documents.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessella.llm.placing import place
 from tessella.llm.registry import query, table
 from tessella.session import materialize
 
@@ -93,10 +95,13 @@ def assign(docs: DataFrame, dims: dict[str, Column], shards: int | None = None,
         F.crc32(content).alias("text_crc32"),
         *[c.alias(f"in{i}") for i, c in enumerate(dims.values())],
     )
-    tie = F.shiftrightunsigned(F.xxhash64("doc_id", "text_crc32", "size"), 33)
+    row = ["doc_id", "text_crc32", "size"]
+    measured = place(materialize(measured, "kd-measured"), row, [], idx="number", size="copies")
+    tie = F.shiftrightunsigned(F.xxhash64(*row, "number"), 33)
     measured = materialize(measured.withColumn("tie", tie), "kd-meta")
     inputs = {n: F.col(f"in{i}") for i, n in enumerate(dims)}
-    meta = _scaled(measured, inputs).withColumn("node", F.lit(0).cast("long"))
+    # written, as a join on a constant root would have no key
+    meta = materialize(_scaled(measured, inputs).withColumn("node", F.lit(0).cast("long")), "kd-meta")
     rows, total = meta.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     if shards is None:
         shards = 1 << max(0, math.ceil(math.log2(max(1.0, total / target_bytes))))

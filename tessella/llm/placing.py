@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from tessella.session import materialize, shuffle_partitions
 
 
-def place(df: DataFrame, group: list[str], order: list[str], totals: tuple[str, ...] = ()) -> DataFrame:
+def place(df: DataFrame, group: list[str], order: list[str], totals: tuple[str, ...] = (), idx: str = "idx", size: str = "size") -> DataFrame:
     """``df`` with ``idx`` (from 0, within the group by ``order``) and ``size`` of
-    the group; for each column of ``totals`` also ``<name>_before``, its sum over
+    the group, named as asked; for each column of ``totals`` also ``<name>_before``, its sum over
     the group's earlier rows.
 
     Null groups are a group; nulls come first.  Rows that tie in ``order`` get
@@ -45,13 +45,13 @@ def place(df: DataFrame, group: list[str], order: list[str], totals: tuple[str,
         *[F.col(g).alias(f"{g}_") for g in group],
         "first",
         F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"),
-        F.sum("n").over(whole).alias("size"),
+        F.sum("n").over(whole).alias(size),
         *[F.coalesce(F.sum(f"{c}_sum").over(earlier), F.lit(0)).alias(f"{c}_base") for c in totals],
     )
     same = reduce(and_, [F.col(g).eqNullSafe(F.col(f"{g}_")) for g in group], F.col("part") == F.col("part_"))
     return rows.join(ranges, same).select(
         *df.columns,
-        (F.col("base") + F.col("seq") - F.col("first")).alias("idx"),
-        "size",
+        (F.col("base") + F.col("seq") - F.col("first")).alias(idx),
+        size,
         *[(F.col(f"{c}_base") + F.col(f"{c}_before")).alias(f"{c}_before") for c in totals],
     )

@@ -23,7 +23,7 @@ times.  No step holds more than a document, a shard or a batch.
 
 Defined results.  A null or empty text has no bytes.  Texts shorter than LENGTH
 keep all.  doc_id must be an integer; null ids come before all others, rows with
-equal ids are ordered by content hash, and of equal rows the first one stays.
+equal ids are ordered by 128 bits of content hash, and of equal rows one stays.
 An empty table gives no rows.
 """
 
@@ -35,12 +35,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.llm.placing import place
 from tessella.llm.registry import query, table
 from tessella.llm.suffix_arrays import common_prefixes, suffix_array
 from tessella.llm.vectors import chunks, mix
+from tessella.session import materialize
 
 LENGTH, PIECE, SHARD_BYTES, BLOCK = 100, 32, 1 << 21, 1 << 22
 NO_ID = -(1 << 63)
@@ -353,11 +355,8 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
-        copies = b.column("copy").to_pylist()
-        for text, spans, copy in zip(_raw(b.column("text")), b.column("spans").to_pylist(), copies):
+        for text, spans in zip(_raw(b.column("text")), b.column("spans").to_pylist()):
             n, removed, count, at, keep = len(text), 0, 0, 0, hashlib.sha256()
-            if copy > 1 and n >= LENGTH:
-                spans = [{"start": 0, "end": n}]
             last = -1
             for r in sorted(spans or (), key=lambda r: r["start"]):
                 lo, hi = max(r["start"], at), r["end"]
@@ -373,18 +372,43 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = list(zip(*rows)) or [()] * 4
         types = (pa.int64(), pa.int64(), pa.int64(), pa.string())
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), *[pa.array(c, t) for c, t in zip(cols, types)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+            [b.column("k"), b.column("tk"), *[pa.array(c, t) for c, t in zip(cols, types)]],
+            ["k", "tk", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
         )
 
 
+def _documents(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame | None]:
+    """(k, tk, text): one row per different text of an id; and (k, tk, rows): how many
+    rows hold it, where ids repeat.
+
+    An id of one row has tk 0.  Rows of the other ids, all rows without id among
+    them, are grouped by id and 128 bits of content hash, copies combined on the
+    map side, and the texts of an id numbered in the order of their hashes, so no
+    two texts are taken for one and no copy is searched.
+    """
+    content = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    k = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))
+    d = docs.select(k.alias("k"), F.lit(0).alias("tk"), content.alias("text"))
+    again = d.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("k").alias("again"))
+    again = materialize(again, "repeated-ids")
+    if again.isEmpty():
+        return d, None
+    once = d.join(again, F.col("k") == F.col("again"), "left_anti")
+    many = d.join(again, F.col("k") == F.col("again"), "left_semi")
+    many = many.withColumn("h1", F.xxhash64("text")).withColumn("h2", F.xxhash64(F.lit("second"), "text"))
+    texts = many.groupBy("k", "h1", "h2").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("rows"))
+    texts = materialize(texts, "repeated-texts")
+    number = place(texts.select("k", "h1", "h2"), ["k"], ["h1", "h2"])
+    number = number.select(*[F.col(c).alias(f"{c}_") for c in ("k", "h1", "h2")], F.col("idx").cast("int").alias("tk"))
+    texts = texts.join(number, [F.col(c) == F.col(f"{c}_") for c in ("k", "h1", "h2")])
+    return once.unionByName(texts.select("k", "tk", "text")), materialize(texts.select("k", "tk", "rows"), "repeated-rows")
+
+
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs``."""
-    content = F.coalesce(F.col(text), F.lit("")).cast("binary")
     id_type = docs.schema[doc_id].dataType.simpleString()
     key = ["k", "tk"]
-    d = docs.select(
-        F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("k"), F.hash(content).alias("tk"), content.alias("text")
-    )
+    d, rows = _documents(docs, doc_id, text)
     one_by_one = d.mapInArrow(_marks(False), "mark bigint, k bigint, tk int, seen tinyint")
     often = one_by_one.repartition("mark").sortWithinPartitions("mark").mapInArrow(_often, "mark bigint, k bigint, tk int")
     known = d.mapInArrow(_marks(True), "mark bigint, k bigint, tk int")
@@ -412,12 +436,21 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         _shards, "k bigint, tk int, start bigint, end bigint"
     )
     gone = again.unionByName(shared).groupBy(key).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    copies = Window.partitionBy(key).orderBy("k")
-    return (
-        d.join(gone, key, "left")
-        .withColumn("copy", F.row_number().over(copies))
-        .select(F.when(F.col("k") != NO_ID, F.col("k")).cast(id_type).alias("doc_id"), "text", "spans", "copy")
-        .mapInArrow(_kept, f"doc_id {id_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    kept = d.join(gone, key, "left").mapInArrow(
+        _kept, "k bigint, tk int, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+    )
+    own = F.when(F.col("k") != NO_ID, F.col("k")).cast(id_type).alias("doc_id")
+    if rows is None:
+        return kept.select(own, "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    # the copies of a text, which are gone as a whole where they hold a string at all
+    copy = kept.join(rows, key, "left").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("rows", F.lit(1)))))
+    lost = (F.col("copy") > 1) & (F.col("n_bytes") >= LENGTH)
+    return copy.select(
+        own,
+        "n_bytes",
+        F.when(lost, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"),
+        F.when(lost, 1).otherwise(F.col("n_spans")).alias("n_spans"),
+        F.when(lost, F.sha2(F.lit(""), 256)).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
     )
 
 

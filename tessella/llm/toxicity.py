@@ -129,6 +129,7 @@ def mine(sample: DataFrame, rows: dict[int, int]) -> tuple[list[str], list[str]]
     t, c = F.col("toxic") + 0.5, F.col("clean") + 0.5
     ratio = F.log(t / (rows.get(1, 0) + 1)) - F.log(c / (rows.get(0, 0) + 1))
     ranked = counts.where(F.col("toxic") + F.col("clean") >= 3).select("term", ratio.alias("ratio"), (ratio / F.sqrt(1 / t + 1 / c)).alias("z"))
+    ranked = materialize(ranked, "toxicity-terms")
     lexicon = ranked.where(F.col("ratio") >= float(np.log(3))).orderBy(F.desc("z"), "term").limit(LEXICON_TERMS)
     vocabulary = ranked.orderBy(F.desc(F.abs("z")), "term").limit(VOCABULARY)
     return [r["term"] for r in lexicon.orderBy(F.desc("ratio"), "term").collect()], [r["term"] for r in vocabulary.collect()]

@@ -152,6 +152,30 @@ def test_repeats_in_repeated_rows_and_null_ids(spark):
     assert repeat_removal.remove_repeats(made.documents(spark, [(5, t)]).where("false")).count() == 0
 
 
+def test_many_rows_without_id(spark):
+    """Copies are counted, not searched: thousands of equal rows, beside others."""
+    rng = random.Random(13)
+    t, u = made.prose(rng, 400), made.prose(rng, 60)
+    rows = [(None, t)] * 5000 + [(None, u)] * 40 + [(None, f"{u} {t[:500]}"), (None, "short"), (None, "short"), (3, "x" + u)]
+    got = repeat_removal.remove_repeats(made.documents(spark, rows)).collect()
+    assert len(got) == len(rows)
+    whole = {len(x.encode()): sum(r.n_bytes == len(x.encode()) and r.n_removed == 0 for r in got) for x in (t, u)}
+    assert all(kept <= 1 for kept in whole.values())
+    assert sum(r.n_removed == r.n_bytes for r in got) >= 5038
+    assert sum(r.n_bytes - r.n_removed for r in got) < len(t) + 2 * len(u) + 400
+
+
+def test_texts_of_equal_short_hash_stay_apart(spark):
+    """Rows without id whose texts share the 32-bit hash of Spark."""
+    from pyspark.sql import functions as F
+
+    made_up = spark.range(200_000).select(F.sha2(F.col("id").cast("string"), 512).alias("a"))
+    texts = made_up.select(F.concat("a", "a").alias("t"), F.hash(F.concat("a", "a").cast("binary")).alias("h"))
+    pair = texts.groupBy("h").agg(F.collect_set("t").alias("ts")).where("size(ts) > 1").first()["ts"][:2]
+    got = repeat_removal.remove_repeats(made.documents(spark, [(None, x) for x in pair])).collect()
+    assert sorted(r.n_removed for r in got) == sorted(r[2] for r in without_repeats([(0, pair[0]), (1, pair[1])]))
+
+
 def test_suffix_arrays():
     rng = random.Random(11)
     for _ in range(150):

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.llm import chat_format, html_text, kd_shards
+from tessella.llm.registry import QUERIES
 
 from . import made
 
@@ -55,6 +56,52 @@ def test_splits_follow_the_widest_dimension(spark):
     assert all(r.shard == r.doc_id // 16 for r in got)
 
 
+def test_cuts_are_weighted_medians_of_the_widest_dimension(spark):
+    """Every node of a mixed table beside plain Python: which dimension is widest, and
+    that no other cut on it leaves the halves nearer to equal."""
+    rng = random.Random(5)
+    rows = [(rng.choice([None, *range(40)]), "x" * rng.randrange(200), rng.randrange(1000), rng.choice([None, rng.random() ** 3])) for _ in range(500)]
+    rows += rows[:30] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, p long, q double").repartition(4)
+    # the place in the collection tells rows apart in the result
+    dims = {"p": F.col("p"), "q": F.col("q"), "flat": F.lit(3)}
+    df = df.withColumn("doc_id", F.col("p") * 10_000 + F.coalesce(F.round(F.col("q") * 9000).cast("long"), F.lit(9999)))
+    got = kd_shards.assign(df, dims, shards=8).collect()
+    low = [min(r[i] for r in rows if r[i] is not None) for i in (2, 3)]
+    high = [max(r[i] for r in rows if r[i] is not None) for i in (2, 3)]
+    by_id = {}
+    for _, _, p, q in rows:
+        i = p * 10_000 + (9999 if q is None else int(np.floor(q * 9000 + 0.5)))
+        by_id[i] = [0 if v is None else int((v - low[k]) * (kd_shards.TOP / (high[k] - low[k]))) for k, v in enumerate((p, q))]
+    points = [(by_id[r.doc_id], r["size"], r.shard) for r in got]
+    for depth in range(3):
+        for node in range(2**depth):
+            inside = [(k, size, shard >> (2 - depth) & 1) for k, size, shard in points if shard >> (3 - depth) == node]
+            width = [max(k[d] for k, *_ in inside) - min(k[d] for k, *_ in inside) for d in (0, 1)]
+            d = int(width[1] > width[0])
+            left, right = ([k[d] for k, _, side in inside if side == s] for s in (0, 1))
+            assert max(left) <= min(right)
+            weight = [sum(size for _, size, side in inside if side == s) for s in (0, 1)]
+            at_cut = [size for k, size, _ in inside if k[d] in (max(left), min(right))]
+            assert abs(weight[0] - weight[1]) <= max(at_cut)
+
+
+def test_equal_rows_are_spread(spark):
+    rows = [(i, "y" * 40, "s") for i in range(6000)] + [(None, "z" * 16, "s")] * 3000
+    got = kd_shards.assign(made.documents(spark, rows), kd_shards.document_dims(), shards=16).collect()
+    sizes, slots = defaultdict(int), defaultdict(list)
+    for r in got:
+        sizes[r.shard] += r["size"]
+        slots[r.shard].append(r.slot)
+    assert len(sizes) == 16 and max(sizes.values()) - min(sizes.values()) <= 4 * 41
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_no_nested_loop_joins(spark, sf):
+    plan = QUERIES["op3_kd_shards"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
 def test_target_bytes_set_the_depth(spark):
     docs = made.documents(spark, [(i, "x" * 99, "s") for i in range(40)])
     sizes = defaultdict(int)
@@ -94,6 +141,9 @@ def test_templates_that_rewrite_history_are_detected():
     def late(turns):  # another header once the conversation is long
         return ("long\n" if len(turns) > 7 else "short\n") + "".join(f"<{r}>{t}\n" for r, t in turns)
 
+    def six(turns):  # another header while there are exactly six turns
+        return ("six\n" if len(turns) == 6 else "") + "".join(f"<{r}>{t}\n" for r, t in turns)
+
     def numbered(turns):  # depends on the place, but never rewrites
         return "".join(f"{i}<{r}>{t}\n" for i, (r, t) in enumerate(turns))
 
@@ -101,6 +151,7 @@ def test_templates_that_rewrite_history_are_detected():
     assert chat_format.locate(forgets, turns)[2] == 1
     assert chat_format.locate(closes, turns)[2] is not None
     assert chat_format.locate(late, turns)[2] == 7
+    assert chat_format.locate(six, turns)[2] == 5
     output, spans, rewritten = chat_format.locate(numbered, turns)
     assert rewritten is None and "".join(output[a:z] for a, z in spans) == output
 

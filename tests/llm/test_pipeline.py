@@ -19,7 +19,20 @@ from .test_native_operators import measures, spans
 
 def distance(item, text):
     """Fewest edits between the item and any substring of the text."""
-    a, b = decontaminate.normalized(item)[0], decontaminate.normalized(text)[0]
+    return nearest(decontaminate.normalized(item)[0], decontaminate.normalized(text)[0])
+
+
+def plain_leak(item, text):
+    """Edits of the longest region of the item within a tenth of its length, or None."""
+    a, b = decontaminate.normalized(item or "")[0], decontaminate.normalized(text or "")[0]
+    if len(a) < decontaminate.SHORT:
+        return 0 if len(a) and a.tobytes() == b.tobytes() else None
+    found = [(lo - hi, nearest(a[lo:hi], b)) for lo, hi in decontaminate.regions(len(a))]
+    found = [(size, e) for size, e in found if e <= -size // 10]
+    return min(found)[1] if found and len(b) else None
+
+
+def nearest(a, b):
     before = [0] * (len(b) + 1)
     for i, x in enumerate(a):
         now = [i + 1]
@@ -49,25 +62,24 @@ def noise(rng, n):
 
 def test_leaks_are_those_within_the_edit_budget(spark):
     rng = random.Random(1)
-    items = [(i, noise(rng, rng.choice([20, 30, 60, 90, 150]))) for i in range(20)]
+    items = [(i, noise(rng, rng.choice([9, 12, 16, 20, 23, 24, 30, 40, 60, 90, 150]))) for i in range(22)]
     items += [(100, None), (101, ""), (102, "hi there"), (103, items[0][1])]
     texts = [None, "", "Hi \n THERE ", "hi there you", items[3][1].upper().replace(" ", "\t \n")]
-    for _ in range(120):
-        t = rng.choice(items[:20])[1]
+    for _ in range(50):
+        t = rng.choice(items[:22])[1]
         middle = scrambled(rng, t, rng.randrange(0, max(1, len(t) * 16 // 100)))
         texts.append(rng.choice([noise(rng, 40) + " " + middle + noise(rng, 60), middle, noise(rng, 120)]))
     rows = list(enumerate(texts)) + [(4, texts[4])]
     bench = spark.createDataFrame([(*i, "x") for i in items + items[:1]], "item_id long, text string, doc_id string")
-    index = decontaminate.Index([i for i in items if i[1]])
-    budget = dict(zip(index.ids, index.k.tolist()))
-    want = sorted((d, i, distance(x, t)) for d, t in rows if t for i, x in items if i in budget and distance(x, t) <= budget[i])
-    want = sorted([*want, (2, 102, 0)])
+    every = [(d, i, plain_leak(x, t)) for d, t in rows for i, x in items]
+    want = sorted(w for w in every if w[2] is not None)
     docs = made.documents(spark, rows)
     for block in (decontaminate.BLOCK_CHARS, 500):
         got = decontaminate.leaks(docs, bench, block_chars=block).collect()
         assert sorted((r.doc_id, r.item_id, r.edits) for r in got) == want
     for r in got:
-        assert distance(dict(items)[r.item_id], texts[r.doc_id][r.start : r.end]) == r.edits
+        a, b = decontaminate.normalized(dict(items)[r.item_id])[0], decontaminate.normalized(texts[r.doc_id][r.start : r.end])[0]
+        assert r.edits in [nearest(a[lo:hi], b) for lo, hi in decontaminate.regions(len(a)) or [(0, len(a))]]
     for block in (decontaminate.BLOCK_CHARS, 500):
         clean = decontaminate.drop_contaminated(docs, bench, block_chars=block)
         assert clean.columns == docs.columns
@@ -82,11 +94,32 @@ def test_rows_of_one_id_or_none_go_by_their_own_text(spark):
     rows += [(8, "clean"), (None, rows[1][1]), (None, "clean"), (None, "")]
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     left = decontaminate.drop_contaminated(made.documents(spark, rows), bench).collect()
-    want = [r for r in rows if not r[1] or distance(item, r[1]) > len(item) // 10]
+    want = [r for r in rows if plain_leak(item, r[1]) is None]
     assert sorted(((r.doc_id, r.text) for r in left), key=repr) == sorted(want, key=repr)
     assert 0 < len(want) < len(rows)
 
 
+def test_the_whole_budget_short_items_and_long_parts():
+    rng = random.Random(6)
+
+    def found(item, text):
+        return [(e, text[s:z]) for _, _, e, s, z in decontaminate.find_leaks(decontaminate.Index([(1, item)]), [text])]
+
+    for n in (8, 12, 16, 17, 20, 22, 24, 30, 31, 32, 40, 64, 99):
+        item = "".join(rng.choice("abcdefghij") for _ in range(n))
+        places = sorted(rng.sample(range(1, n - 1), n // 10))
+        text = "zz " + "".join("Z" if i in places else c for i, c in enumerate(item)) + " yy"
+        assert [e for e, _ in found(item, text)] == [n // 10]
+    assert found("answer is 42", "They say the answer  is 42, mostly.") == [(0, "answer  is 42")]
+    assert found("is 42", "They say the answer is 42, mostly.") == []  # too short to be told from chance
+    for n in (110, 200, 900, 5000):
+        item = "".join(rng.choice("abcdefghij ") for _ in range(n)).strip()
+        lo = rng.randrange(len(item) // 8)
+        assert found(item, "word " + item[lo : lo + len(item) * 88 // 100] + " more words")
+    long = "".join(rng.choice("abcdefghij") for _ in range(1 << 21))
+    assert found(long[: 1 << 20], "x" + long[5000:5200] + "y")
+
+
 def test_a_leak_across_pieces_of_a_long_text(monkeypatch):
     monkeypatch.setattr(decontaminate, "BATCH_CHARS", 1000)
     rng = random.Random(2)
@@ -120,7 +153,7 @@ def test_pipeline_against_brute_force(spark, corpus):
     left = [(i, t) for i, t, host in rows if not measures(t)[-1] and host != "bad host"]
     kept = {i for i, (_, _, k) in components(left).items() if k}
     left = list({i: t for i, t in left if i in kept}.items())
-    left = [(i, t) for i, t in left if all(distance(x, t) > len(x) // 10 for _, x in bench)]
+    left = [(i, t) for i, t in left if all(plain_leak(x, t) is None for _, x in bench)]
     masked = []
     for i, t in left:
         for s in reversed(spans(t)):
