@@ -36,6 +36,8 @@ from tessella.llm.registry import query, table
 from tessella.llm.token_units import Units, kept_in_worker
 
 CHUNK, OVERLAP = 1 << 16, 1 << 10
+#: Units kept per worker and kind; they outlive the task, beside whatever runs next.
+KEPT_UNITS = 60_000
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
@@ -67,7 +69,7 @@ def encode_whole(ranks_path: str, pattern: str):
     """mapInArrow function: (doc_id, text) to (doc_id, n_tokens, both digests)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = kept_in_worker(("ranks", ranks_path, pattern), lambda: Units(_part(encoding(ranks_path, pattern))))
+        encode = kept_in_worker(("ranks", ranks_path, pattern), lambda: Units(_part(encoding(ranks_path, pattern)), KEPT_UNITS))
         for b in batches:
             rows = [_digests(encode(t or "")) for t in (x.as_py() for x in b.column("text"))]
             n, ids, raw = zip(*rows) if rows else ((), (), ())

@@ -39,7 +39,7 @@ from tessella.llm.vectors import batch_word_hashes, chunks, mix, shingle_set, te
 from tessella.session import materialize
 
 BINS, ROWS, PROBES, SHINGLE, PERCENT = 128, 4, 64, 5, 75
-BLOCK_SHINGLES = 1 << 20
+BLOCK_SHINGLES = 1 << 19
 _U = np.uint64
 _PROBE = (mix(np.arange(BINS * PROBES, dtype=np.uint64) + _U(977)) >> _U(57)).astype(np.int64).reshape(BINS, PROBES)
 _SALT = mix(np.arange(BINS, dtype=np.uint64) + _U(7919)) | _U(1)
