@@ -25,6 +25,7 @@ from __future__ import annotations
 import pickle
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
 
@@ -39,11 +40,9 @@ SAMPLE_PAGES, MADE_UP_PAGES, HIDDEN, EPOCHS = 100, 400, 16, 6
 PATH_DIMS, WORD_DIMS = 96, 24
 DIMS = PATH_DIMS + WORD_DIMS + 6
 
-_TAG = re.compile(
-    r"<!--(?:.*?-->|.*)|<(script|style|template|iframe|svg|noscript)\b(?>[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</\1\s*>|.*)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)>|<[!?/][^>]*>",
-    re.DOTALL | re.IGNORECASE,
-)
+_OPENED = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)|([!?/]))")
+_PLAIN = re.compile(r"[^>\"']*")
+_RAW = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in ("script", "style", "template", "iframe", "svg", "noscript")}
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -52,6 +51,8 @@ _INLINE = frozenset(
 )
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _HOLDS = frozenset("ul ol dl table tbody select".split())
+#: Of a block's ancestors the nearest so many make its path.
+PATH_ELEMENTS = 64
 
 
 class Block:
@@ -68,63 +69,142 @@ def _element(name: str, attrs: str) -> tuple:
     return (name, *words)
 
 
+def _tags(html: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """(start, end, name or None, is it an end tag, attributes) of tags, comments,
+    declarations and whole elements without text, in one pass.
+
+    A quote without a second one is a character like others.  A tag that nothing
+    closes is text, and so is all after it.
+    """
+    at, size = 0, len(html)
+    last = {q: html.rfind(q) for q in "\"'"}
+    last_close = html.rfind(">")
+    while (at := html.find("<", at)) >= 0:
+        m = _OPENED.match(html, at)
+        if m is None:
+            at += 1
+            continue
+        start, name = at, m[3]
+        if m[1]:
+            end = html.find("-->", at + 4)
+            at = size if end < 0 else end + 3
+            yield start, at, None, False, ""
+            continue
+        if at > last_close:
+            at += 1  # only a comment can follow
+            continue
+        if name is None:
+            at = html.find(">", m.end()) + 1
+            if not at:
+                return
+            yield start, at, None, False, ""
+            continue
+        i = m.end()
+        while True:
+            i = _PLAIN.match(html, i).end()
+            if i == size:
+                return
+            if html[i] == ">":
+                break
+            i = html.find(html[i], i + 1) + 1 if i < last[html[i]] else i + 1
+        at = i + 1
+        raw = None if m[2] else _RAW.get(name.lower())
+        if raw is not None:
+            closed = raw.search(html, at)
+            at = closed.end() if closed else size
+            yield start, at, None, False, ""
+        else:
+            yield start, at, name.lower(), bool(m[2]), html[m.end() : i]
+
+
+class _Stack:
+    """Open elements, with the places of each name and of those that are blocks."""
+
+    def __init__(self) -> None:
+        self.elements: list[tuple] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, element: tuple) -> None:
+        at = len(self.elements)
+        self.elements.append(element)
+        self.places.setdefault(element[0], []).append(at)
+        if element[0] not in _INLINE:
+            self.blocks.append(at)
+
+    def cut(self, size: int) -> None:
+        while len(self.elements) > size:
+            name = self.elements.pop()[0]
+            self.places[name].pop()
+            if name not in _INLINE:
+                self.blocks.pop()
+
+    def top(self, names: frozenset | set) -> int:
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
+
+    def open(self, name: str) -> bool:
+        return bool(self.places.get(name))
+
+    def path(self) -> tuple:
+        return tuple(self.elements[i] for i in self.blocks[-PATH_ELEMENTS:])
+
+    def ended_by(self, name: str) -> int | None:
+        """The place from which a new block ends what is open: an open paragraph, an
+        item the item before it within the same list or table."""
+        ends = _CLOSES.get(name)
+        if ends is None:
+            top = self.blocks[-1] if self.blocks else -1
+            return top if top >= 0 and self.elements[top][0] == "p" else None
+        within = self.top(_HOLDS)
+        found = []
+        for n in (*ends, "p"):
+            held = self.places.get(n, [])
+            k = bisect_right(held, within)
+            if k < len(held):
+                found.append(held[k])
+        return min(found, default=None)
+
+
 def blocks(html: str) -> list[Block]:
     """Leaf blocks of a page in order; texts decoded, white space collapsed."""
     out: list[Block] = []
-    stack: list[tuple] = []
+    stack = _Stack()
     parts: list[str] = []
     links: list[str] = []
-    depth_a = 0
 
     def end_block() -> None:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                inner = tuple(e for e in stack if e[0] not in _INLINE)
-                out.append(Block(inner, text, min(len(text), sum(map(len, links)))))
+                out.append(Block(stack.path(), text, min(len(text), sum(map(len, links)))))
             parts.clear()
             links.clear()
 
     at = 0
-    for m in _TAG.finditer(html):
-        if m.start() > at:
-            piece = html[at : m.start()]
+    for start, end, name, closing, attrs in _tags(html):
+        if start > at:
+            piece = html[at:start]
             parts.append(piece)
-            if depth_a:
+            if stack.open("a"):
                 links.append(piece)
-        at = m.end()
-        name = m[3]
+        at = end
         if name is None:
             continue
-        name = name.lower()
         inline = name in _INLINE
         if not inline:
             end_block()
-        if m[2]:
-            if any(e[0] == name for e in stack):
-                while stack:
-                    e = stack.pop()
-                    depth_a -= e[0] == "a"
-                    if e[0] == name:
-                        break
+        if closing:
+            if stack.open(name):
+                stack.cut(stack.places[name][-1])
             continue
         if name == "br":
             parts.append(" ")
         if name in _VOID:
             continue
-        if not inline:  # a new block ends an open paragraph, an item the item before it
-            ends = _CLOSES.get(name)
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p" or (ends and stack[i][0] in ends):
-                    depth_a -= sum(e[0] == "a" for e in stack[i:])
-                    del stack[i:]
-                    if not ends:
-                        break
-                elif stack[i][0] not in _INLINE and not (ends and stack[i][0] not in _HOLDS):
-                    break
-        if not m[4].endswith("/") or inline:
-            stack.append(_element(name, m[4]))
-            depth_a += name == "a"
+        if not inline and (place := stack.ended_by(name)) is not None:
+            stack.cut(place)
+        if not attrs.endswith("/") or inline:
+            stack.push(_element(name, attrs))
     if at < len(html):
         parts.append(html[at:])
     end_block()

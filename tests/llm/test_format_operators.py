@@ -174,6 +174,20 @@ def test_conversations(spark):
 # ------------------------------------------------------------- page extraction
 
 
+def test_broken_pages_take_one_pass():
+    import time
+
+    broken = ["<a " * 300_000, "<div><b>t</b>" * 40_000, '<a "' * 200_000, "<b><div>" * 60_000 + "x", "<div>" * 60_000 + "<li>x" * 30_000, "<!-" * 200_000, "</x" * 300_000 + ">",
+              "<script>" * 100_000, '<p title=">' * 100_000]
+    for html in broken:
+        start = time.perf_counter()
+        html_text.blocks(html)
+        assert time.perf_counter() - start < 20  # a second or two; the square would be hours
+    assert [b.text for b in html_text.blocks("<p>one<p>two <a")] == ["one", "two <a"]
+    assert [b.text for b in html_text.blocks("a <!-- never closed <p>b")] == ["a"]
+    assert [b.text for b in html_text.blocks("<p title='x>one<p>two")] == ["one", "two"]
+
+
 def test_blocks():
     page = html_text.blocks(
         "<html><head><title>T &amp; U</title><script>if (a<b) '</p>'</script><style>p{}</style></head><body><!-- <p>no</p> -->"
