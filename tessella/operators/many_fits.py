@@ -183,7 +183,8 @@ def fit_many(ready: DataFrame, group: str, fits: list[Fit], tol: float = 1e-9) -
             value = _objective(sums[i][0], w, fit)
             if i in move:
                 direction, length, change = move[i]
-                if value > best[i][0] + 1e-4 * length * change + 1e-13 * abs(best[i][0]) and length > 1e-10:
+                # differences within rounding of the sums are no reason to go back
+                if value > best[i][0] + 1e-4 * length * change + 1e-10 * abs(best[i][0]) and length > 1e-4:
                     move[i] = direction, length / 2, change
                     continue
             gradient, hessian = sums[i][1 : 1 + n], sums[i][1 + n :].reshape(n, n)
@@ -215,3 +216,36 @@ def score_many(ready: DataFrame, group: str, fits: list[Fit], out: str = "p") ->
         margin = margin + F.col("x")[j] * F.col("_w")[j]
     scored = ready.join(F.broadcast(known), F.col(group) == F.col("_group"))  # one row per fit
     return scored.withColumn(out, 1 / (1 + F.exp(-margin))).drop("_group", "_b", "_w")
+
+
+def optimality(ready: DataFrame, group: str, fits: list[Fit]) -> DataFrame:
+    """Per fit: its rows, its positives and how far its coefficients are from optimal.
+
+    Coefficients go through a table and the gradient of the weighted loss is
+    summed by column expressions, apart from the passes that fitted them.  Zero
+    is the optimum: the gradient balances the penalty for every coefficient that is
+    not zero and stays within it for those that are.
+    """
+    rows = score_many(ready.filter("is_train"), group, fits, "p")
+    k = max(len(f.kept) for f in fits)
+    pull = F.col("weight") * (F.col("p") - F.col("label"))
+
+    def own(j: int) -> Column:
+        place = F.create_map(*[v for i, f in enumerate(fits) for v in (F.lit(i), F.lit(f.kept[j] if j < len(f.kept) else -1))])[F.col("fit")]
+        return F.when(place >= 0, F.get("x", place)).otherwise(F.lit(0.0))
+
+    sums = rows.groupBy("fit").agg(
+        F.count("*").alias("n"), F.sum(F.col("label").cast("long")).alias("positives"), F.sum("weight").alias("mass"),
+        F.sum(pull).alias("free"), F.array(*[F.sum(pull * own(j)) for j in range(k)]).alias("pulls"),
+    )
+    table = [(i, str(f.group), float(f.c), f.l1, [float(b) for b in f.coef] + [0.0] * (k - len(f.coef)), len(f.kept)) for i, f in enumerate(fits)]
+    known = ready.sparkSession.createDataFrame(table, "fit int, group_name string, c double, l1 boolean, coef array<double>, size int")
+    both = sums.join(F.broadcast(known), "fit")  # one row per fit
+
+    def off(pair: Column) -> Column:
+        g, b, lam = pair["pulls"], pair["coef"], 1 / F.col("c")
+        lasso = F.when(b != 0, F.abs(g + lam * F.signum(b))).otherwise(F.greatest(F.abs(g) - lam, F.lit(0.0)))
+        return F.when(F.col("l1"), lasso).otherwise(F.abs(g + lam * b))
+
+    worst = F.greatest(F.abs("free"), F.array_max(F.transform(F.slice(F.arrays_zip("pulls", "coef"), F.lit(1), F.col("size")), off)))
+    return both.select("fit", "group_name", "c", "size", "n", "positives", (worst / F.col("mass")).alias("violation"))

@@ -256,6 +256,7 @@ def sheet_list(spark, d):
     )
 
 
+# Fixed values within the SQL: the sheet-name patterns per statement type, in rank order, and the clean labels.
 @query(
     "choose_sheet",
     f"""WITH {SHEETS},

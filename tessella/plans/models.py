@@ -14,6 +14,7 @@ from tessella.operators import econometrics as EC
 from tessella.operators import features as FE
 from tessella.operators import labels as LB
 from tessella.operators import learning as LN
+from tessella.operators import many_fits as MF
 from tessella.operators import quantiles as QT
 from tessella.operators import ranking as RK
 from tessella.plans.base import (
@@ -181,6 +182,24 @@ def panel_regression_variants(spark, d):
     return EC.panel_variants(rows, "returned_share", E, D, groups)
 
 
+@query(
+    "panel_variant_coefficients",
+    f"""WITH {CUSTOMER_PANEL}, b AS (SELECT entity, period, coalesce(amount, 0) / 1000 AS y, CAST(coalesce(n_orders, 0) AS DOUBLE) AS x FROM panel),
+c AS (SELECT *, x * x AS z FROM b),
+d AS (SELECT y - avg(y) OVER e - avg(y) OVER t + avg(y) OVER () AS y, x - avg(x) OVER e - avg(x) OVER t + avg(x) OVER () AS x,
+  z - avg(z) OVER e - avg(z) OVER t + avg(z) OVER () AS z FROM c WINDOW e AS (PARTITION BY entity), t AS (PARTITION BY period)),
+s AS (SELECT count(*) AS n, sum(x * x) AS xx, sum(x * z) AS xz, sum(z * z) AS zz, sum(x * y) AS xy, sum(z * y) AS zy FROM d)
+SELECT 'one' AS model, 'x' AS term, round(xy / xx, 5) AS coef, n AS nobs FROM s
+UNION ALL SELECT 'both', 'x', round((xy * zz - xz * zy) / (xx * zz - xz * xz), 5), n FROM s
+UNION ALL SELECT 'both', 'x2', round((xx * zy - xz * xy) / (xx * zz - xz * xz), 5), n FROM s""",
+)
+def panel_variant_coefficients(spark, d):
+    """Two variable lists on the rectangular panel."""
+    rows = balanced(spark, d).withColumn("x2", F.col("x") * F.col("x"))
+    out = EC.panel_variants(rows, "y", E, D, {"one": ["x"], "both": ["x", "x2"]})
+    return out.select("model", "term", F.round("coef", 5).alias("coef"), "nobs")
+
+
 # --------------------------------------------------- per-entity regressions
 
 OLS = f"""{SUPPLIER_MONTHS}, x AS (SELECT entity, period, coalesce(returned, 0) AS y, price AS x1, quantity * 1000 AS x2 FROM supplier_months),
@@ -311,6 +330,67 @@ def penalty_selection(spark, d):
     return LN.cv_select(folds, FEATURES, "y", [10.0**k for k in range(-4, 6)], metric="roc_auc", l1=True)
 
 
+MONTH_NUMBERS = """l AS (SELECT entity, period, y FROM labelled WHERE has_next),
+mo AS (SELECT mo, row_number() OVER (ORDER BY mo) - 1 AS idx, count(*) OVER () AS n FROM (SELECT DISTINCT last_day(period) AS mo FROM l))"""
+
+
+@query(
+    "penalty_grid_optimality",
+    f"""WITH {LABELLED}, {MONTH_NUMBERS},
+b AS (SELECT mo, greatest(CAST(floor((idx - n // 6) * 5.0 / greatest(n - n // 6, 1)) AS INTEGER) + 1, 0) AS blk FROM mo),
+f AS (SELECT CAST(r.fold AS VARCHAR) AS group_name, count(*) AS n, CAST(sum(y) AS BIGINT) AS positives
+  FROM l JOIN b ON b.mo = last_day(period) JOIN (SELECT unnest(range(1, 6)) AS fold) r ON b.blk < r.fold GROUP BY 1),
+c AS (SELECT unnest([0.0001, 0.01, 1.0, 100.0]) AS c)
+SELECT group_name, c.c::DOUBLE AS c, n, positives, CAST(0 AS DOUBLE) AS violation FROM f, c""",
+)
+def penalty_grid_optimality(spark, d):
+    """K7: every fit of the grid is optimal for the train rows of its fold."""
+    rows = labelled_panel(spark, d)
+    n_months = rows.select(F.last_day(D)).distinct().count()
+    folds = LB.block_fold_rows(rows, D, n_months // 6, 5)
+    ready = MF.prepared_groups(folds, "fold", FEATURES, "y", train=F.col("role") == "train")
+    every = tuple(range(len(FEATURES)))
+    fits = MF.fit_many(ready, "fold", [MF.Fit(k, c, True, every) for k in range(1, 6) for c in (0.0001, 0.01, 1.0, 100.0)])
+    out = MF.optimality(ready, "fold", fits).select("group_name", "c", "n", "positives", "violation")
+    return out.withColumn("violation", F.round("violation", 6) + 0.0)
+
+
+@query(
+    "train_fit_optimality",
+    f"""WITH {LABELLED}, t AS (SELECT count(*) AS n, CAST(sum(y) AS BIGINT) AS positives FROM labelled WHERE has_next AND period <= DATE '{CUT}')
+SELECT k.size, k.l1, n, positives, CAST(0 AS DOUBLE) AS violation FROM t, (VALUES (2, true), (4, true), (7, true), (7, false)) k(size, l1)""",
+)
+def train_fit_optimality(spark, d):
+    """The sparse fit, the ridge fit and refits on fewer features."""
+    train, _ = LB.time_split(labelled_panel(spark, d), D, CUT)
+    ready = MF.prepared_groups(train.withColumn("all", F.lit(0)), "all", FEATURES, "y")
+    every = tuple(range(len(FEATURES)))
+    first = MF.fit_many(ready, "all", [MF.Fit(0, 1.0, True, every)])[0]
+    ranked = tuple(sorted(every, key=lambda j: (-abs(first.coef[j]), FEATURES[j])))
+    fits = MF.fit_many(ready, "all", [MF.Fit(0, 1.0, True, ranked[:k]) for k in (2, 4, 7)] + [MF.Fit(0, 1.0, False, every)])
+    out = MF.optimality(ready, "all", fits).select("size", (F.col("fit") < 3).alias("l1"), "n", "positives", "violation")
+    return out.withColumn("violation", F.round("violation", 6) + 0.0)
+
+
+@query(
+    "slice_fit_optimality",
+    f"""WITH {LABELLED}, {MONTH_NUMBERS}, sl AS (SELECT mo, len(list_filter(range(5), lambda i: floor(i * n / 5.0) <= idx)) - 1 AS slice FROM mo)
+SELECT CAST(slice AS VARCHAR) AS group_name, count(*) AS n, CAST(sum(y) AS BIGINT) AS positives, CAST(0 AS DOUBLE) AS violation
+FROM l JOIN sl ON sl.mo = last_day(period) GROUP BY 1""",
+)
+def slice_fit_optimality(spark, d):
+    """The sparse fits of the time slices."""
+    rows = labelled_panel(spark, d)
+    slices = LB.period_slices(rows, D, 5)
+    sliced = rows.withColumn("month", F.last_day(D)).join(F.broadcast(slices), "month")  # one row per month
+    ready = MF.prepared_groups(sliced, "slice", FEATURES, "y", with_mean=False)
+    every = tuple(range(len(FEATURES)))
+    numbers = [x["slice"] for x in slices.select("slice").distinct().orderBy("slice").collect()]  # five
+    fits = MF.fit_many(ready, "slice", [MF.Fit(k, 1.0, True, every) for k in numbers])
+    out = MF.optimality(ready, "slice", fits).select("group_name", "n", "positives", "violation")
+    return out.withColumn("violation", F.round("violation", 6) + 0.0)
+
+
 @query("score_augmented_fit")
 def score_augmented_fit(spark, d):
     """The per-entity regression score joins the features, then a refit."""
@@ -367,6 +447,40 @@ def wald_table(spark, d):
     return EC.logit_wald(train, FEATURES, list(fit.model.coefficients), fit.model.intercept)
 
 
+COARSE = f"""{SUPPLIER_MONTHS}, x AS (SELECT CASE WHEN period <= DATE '{CUT}' THEN 'train' ELSE 'test' END AS split,
+  CASE WHEN coalesce(returned, 0) / price > 0.4 THEN 1 ELSE 0 END AS y, least(90, floor(quantity / 10)) / 100 AS p FROM supplier_months)"""
+
+
+def coarse_scores(spark, d):
+    m = supplier_months(spark, d)
+    share = F.coalesce("returned", F.lit(0.0)) / F.col("price")
+    p = F.least(F.lit(90), F.floor(F.col("quantity") / 10)) / 100
+    return LB.split_tag(m.select(E, D, (share > 0.4).cast("int").alias("y"), p.alias("p")), D, CUT)
+
+
+@query(
+    "wald_table_one_feature",
+    f"""WITH RECURSIVE {COARSE}, nr AS (
+  SELECT 0 AS k, 0::DOUBLE AS b0, 0::DOUBLE AS b1
+  UNION ALL
+  SELECT k + 1, b0 + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b1 + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)
+  FROM (SELECT k, b0, b1, sum(y - q) AS g0, sum((y - q) * p) AS g1, sum(q * (1 - q)) AS h00, sum(q * (1 - q) * p) AS h01, sum(q * (1 - q) * p * p) AS h11
+    FROM (SELECT nr.*, x.y, x.p, 1 / (1 + exp(-(b0 + b1 * x.p))) AS q FROM nr, x WHERE k < 12 AND split = 'train') GROUP BY k, b0, b1)),
+e AS (SELECT b1, sum(q * (1 - q)) AS h00, sum(q * (1 - q) * p) AS h01, sum(q * (1 - q) * p * p) AS h11
+  FROM (SELECT nr.*, x.p, 1 / (1 + exp(-(b0 + b1 * x.p))) AS q FROM nr, x WHERE k = 12 AND split = 'train') GROUP BY b1)
+SELECT 'p' AS term, round(b1, 5) AS coef, round(sqrt(h00 / (h00 * h11 - h01 * h01)), 5) AS std_err FROM e""",
+)
+def wald_table_one_feature(spark, d):
+    """Coefficient and Wald error of one feature, unpenalised in effect."""
+    train = coarse_scores(spark, d).filter("split = 'train'")
+    ready = materialize(
+        train.select(F.lit(0).alias("all"), F.col("y").alias("label"), F.lit(True).alias("is_train"), F.lit(1.0).alias("weight"), F.array("p").alias("x")), "wald"
+    )
+    fit = MF.fit_many(ready, "all", [MF.Fit(0, 1e12, False, (0,))])[0]
+    table = EC.logit_wald(train, ["p"], [float(b) for b in fit.coef], fit.intercept)
+    return table.filter("term = 'p'").select("term", F.round("coef", 5).alias("coef"), F.round("std_err", 5).alias("std_err"))
+
+
 def _oof(spark, d):
     """Every month from the sixty-first on is scored, by a fit of earlier months."""
     return LN.out_of_fold(LB.block_fold_rows(labelled_panel(spark, d), D, 60, 6), FEATURES, "y", [E, D], neg_ratio=3)
@@ -472,3 +586,25 @@ def metric_table(spark, d):
     path = save_json(m.select("split", F.struct(*names).alias("metrics")), scratch_path(spark, "metrics"))
     back = spark.read.schema("split string, metrics struct<roc_auc:double,average_precision:double,brier:double>").json(path)
     return back.select("split", "metrics.*").unpivot(["split"], names, "metric", "value")
+
+
+@query(
+    "score_metric_table",
+    f"""WITH {COARSE}, g AS (SELECT split, p, sum(y) AS pos, count(*) - sum(y) AS neg FROM x GROUP BY ALL),
+c AS (SELECT *, sum(pos) OVER w AS tp, sum(pos + neg) OVER w AS n, sum(neg) OVER w - neg AS above,
+  sum(pos) OVER (PARTITION BY split) AS all_pos, sum(neg) OVER (PARTITION BY split) AS all_neg FROM g WINDOW w AS (PARTITION BY split ORDER BY p DESC)),
+m AS (SELECT split, sum(pos * (all_neg - above - neg / 2)) / (max(all_pos) * max(all_neg)) AS roc_auc, sum(pos / all_pos * tp / n) AS average_precision FROM c GROUP BY split),
+b AS (SELECT split, avg((p - y) * (p - y)) AS brier FROM x GROUP BY split)
+SELECT split, 'roc_auc' AS metric, round(roc_auc, 6) AS value FROM m UNION ALL SELECT split, 'average_precision', round(average_precision, 6) FROM m
+UNION ALL SELECT split, 'brier', round(brier, 6) FROM b""",
+)
+def score_metric_table(spark, d):
+    """Metrics of a coarse score, written as nested JSON and read as a long table."""
+    from tessella.operators.metrics import quality_metrics
+    from tessella.sources.files import save_json
+
+    m = quality_metrics(coarse_scores(spark, d).select("y", "p", "split"), "y", "p", ["split"])
+    names = ["roc_auc", "average_precision", "brier"]
+    path = save_json(m.select("split", F.struct(*names).alias("metrics")), scratch_path(spark, "metrics"))
+    back = spark.read.schema("split string, metrics struct<roc_auc:double,average_precision:double,brier:double>").json(path)
+    return rounded(back.select("split", "metrics.*").unpivot(["split"], names, "metric", "value"))

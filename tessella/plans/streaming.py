@@ -78,6 +78,7 @@ def stream_static_join(spark, d):
     """M6: stream left-joined with a static daily table."""
     day = F.col("ts").cast("date").alias("day")
     static = table(spark, d, "events").filter("event_type <> 'error'").groupBy("event_type", day).agg(r(F.avg("value")).alias("typical"))
+    static = materialize(static, "typical")  # else every micro-batch aggregates anew
     s = event_stream(spark, d).withColumn("day", F.col("ts").cast("date"))
     out = ST.appended(ST.enrich(s, static, ["event_type", "day"]), "enrich")
     return out.select("event_id", "event_type", "value", "typical")

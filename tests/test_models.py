@@ -152,3 +152,54 @@ def test_scores_survive_an_observed_session(spark):
     p = [r.p for r in fit.score(df).orderBy("a").collect()]
     b0, b1 = fit.model.intercept, fit.model.coefficients[0]
     assert p == pytest.approx([1 / (1 + np.exp(-(b0 + b1 * i))) for i in range(30)])
+
+
+def test_fits_made_together_equal_single_fits(spark):
+    from tessella.operators import many_fits as MF
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for g in range(3):
+        x = rng.normal(size=(300, 3)) * [1, 5, 0.1] + [0, 10, 0]
+        y = rng.random(300) < 1 / (1 + np.exp(-(x[:, 0] * (g - 1) + x[:, 2] * 3)))
+        rows += [(g, *[None if rng.random() < 0.05 else float(v) for v in a], int(b), bool(rng.random() < 0.8)) for a, b in zip(x, y)]
+    df = spark.createDataFrame(rows, "g int, a double, b double, c double, y int, tr boolean").repartition(5)
+    names = ["a", "b", "c"]
+    ready = MF.prepared_groups(df, "g", names, "y", train=F.col("tr"))
+    grid = [MF.Fit(g, c, l1, kept) for g in range(3) for c, l1, kept in [(0.05, True, (0, 1, 2)), (1.0, True, (0, 2)), (1.0, False, (0, 1, 2)), (1e4, True, (0, 1, 2))]]
+    fits = MF.fit_many(ready, "g", grid)
+    for fit in fits:
+        part = df.filter(F.col("g") == fit.group)
+        (train,) = LN.prepare(part.filter("tr"), [part.filter("tr")], names)
+        alone = LN.fit_logistic(train, [names[j] for j in fit.kept], "y", c=fit.c, l1=fit.l1)
+        assert fit.coef == pytest.approx(list(alone.model.coefficients), abs=2e-4)
+        assert fit.intercept == pytest.approx(alone.model.intercept, abs=2e-4)
+    worst = MF.optimality(ready, "g", fits).agg(F.max("violation")).first()[0]
+    assert worst < 1e-8
+    scored = MF.score_many(ready.filter("not is_train"), "g", fits)
+    assert scored.count() == 4 * df.filter("not tr").count()
+
+
+def test_steps_equal_isotonic_regression(spark):
+    from pyspark.ml.regression import IsotonicRegression
+    from tessella.operators import calibration as CA
+
+    rng = np.random.default_rng(4)
+    p = np.round(rng.random(700) * 1.2 - 0.1, 3)
+    y = (rng.random(700) < np.clip(p, 0, 1) ** 2).astype(int)
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(p, y)], "p double, y int").repartition(6)
+    steps = CA.fit_steps(df, "y", "p")
+    rows = sorted((r.score, r.value) for r in steps.collect())
+    assert [v for _, v in rows] == sorted(v for _, v in rows) and 2 < len(rows) < 300
+    own = df.select(F.greatest(F.lit(0.0), F.least(F.lit(1.0), "p")).alias("features"), F.col("y").cast("double").alias("label"))
+    want = {round(r.features, 6): r.prediction for r in IsotonicRegression().fit(own).transform(own).collect()}
+    path = __import__("tessella.session", fromlist=["x"]).scratch_path(spark, "steps")
+    steps.write.parquet(path)
+    got = CA.apply_steps(df.select("p").unionByName(spark.createDataFrame([(None,)], "p double")), spark.read.parquet(path), "p").collect()
+    for r in got:
+        if r.p is None:
+            assert r.calibrated is None
+        else:
+            assert r.calibrated == pytest.approx(want[round(min(max(r.p, 0), 1), 6)], abs=1e-9)
+    none = CA.apply_steps(df.limit(3), steps.limit(0), "p").collect()
+    assert len(none) == 3 and all(r.calibrated is None for r in none)
