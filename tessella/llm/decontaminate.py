@@ -1,10 +1,10 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-A region of an item leaks into a text where a substring of the text is within 10
-percent edits of it, both lower-cased and with runs of white space as one space.
-Regions are whole items, up to ``WHOLE`` characters, and overlapping windows of items
-longer than ``LEAST_WINDOW``, so that a long part of an item, or of one too long to
-align as a whole, is found too.  A region of length L with budget k shares at
+A region of an item leaks into a text where a substring of the text is within its
+edit budget, both lower-cased and with runs of white space as one space.  Regions
+are whole items, up to ``WHOLE`` characters, with 10 percent edits, and overlapping
+windows, so that a long part of an item (5 percent edits), or of one too long to
+align as a whole (10 percent), is found too.  A region of length L with budget k shares at
 least L + 1 - q(k + 1) character q-grams with such a substring, on diagonals (place in
 text - place in region) at most k apart; q is 8, or less for short items, so that the
 bound is positive at the full budget.  Shared q-grams are counted in bands of
@@ -73,14 +73,17 @@ def grams(a: np.ndarray, q: int = Q) -> np.ndarray:
     return h * _M
 
 
-def regions(n: int) -> list[tuple[int, int]]:
-    """(start, end) of the regions of an item of ``n`` characters: the item, and
-    windows so close that a run of seven eighths of it, or of 150 characters, holds one."""
-    out = [(0, n)] if n <= WHOLE else []
+def regions(n: int, edit_percent: int = EDIT_PERCENT) -> list[tuple[int, int, int]]:
+    """(start, end, edits allowed) of the regions of an item of ``n`` characters: the
+    item, and windows so close that a run of seven eighths of it, or of 150
+    characters, holds one.  Beside a whole item windows are for quotes, with half
+    the edits; of an item too long to align they are all there is, with all of them."""
+    out = [(0, n, n * edit_percent // 100)] if n <= WHOLE else []
     size = min(WINDOW, 3 * n // 4)
     if size >= LEAST_WINDOW:
         step = max(1, min(WINDOW // 2, n // 8))
-        out += [(at, at + size) for at in [*range(0, n - size, step), n - size]]
+        budget = size * edit_percent // (200 if out else 100)
+        out += [(at, at + size, budget) for at in [*range(0, n - size, step), n - size]]
     return out
 
 
@@ -97,11 +100,12 @@ class Index:
         found = {}
         for i, a in rows:
             if len(a) >= SHORT:
-                for lo, hi in regions(len(a)):
-                    found.setdefault((i, a[lo:hi].tobytes()), a[lo:hi])
-        self.ids, self.texts = [i for i, _ in found], list(found.values())
+                for lo, hi, k in regions(len(a), edit_percent):
+                    found.setdefault((i, a[lo:hi].tobytes()), (a[lo:hi], hi - lo == len(a), k))
+        self.ids, self.texts = [i for i, _ in found], [a for a, _, _ in found.values()]
+        self.whole = np.array([w for _, w, _ in found.values()], bool)
         n = np.array([len(a) for a in self.texts], np.int64)
-        self.k = n * edit_percent // 100
+        self.k = np.array([k for _, _, k in found.values()], np.int64)
         self.q = np.minimum(Q, n // (self.k + 1))
         self.need = n + 1 - self.q * (self.k + 1)
         self.step = np.maximum(self.k, 16)
@@ -167,16 +171,25 @@ class Index:
         value = cost[np.arange(len(bands)), best]
         return value // _BIG, bands + value % _BIG, bands + best + len(text)
 
-    def matches(self, a: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(region, edits, start, end) wherever a region is within its edit budget."""
-        item, band, shared = self.candidates(a)
-        for i in np.unique(item):
-            bands = band[item == i]
+    def matches(self, a: np.ndarray, begin: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """(text, region, edits, start, end) wherever a region is within its edit budget
+        in one of the texts that begin at ``begin``; a text that holds a whole item is
+        not searched for the item's windows."""
+        item, band, _ = self.candidates(a)
+        held: set[tuple] = set()
+        found = np.unique(item)
+        for i in [*found[self.whole[found]], *found[~self.whole[found]]]:
+            bands, size, name = band[item == i], len(self.texts[i]), self.ids[i]
+            if not self.whole[i]:
+                text = np.searchsorted(begin, bands + size // 2, "right") - 1
+                bands = bands[[(t, name) not in held for t in text.tolist()]]
             for at in range(0, len(bands), 256):
-                edits, start, end = self.aligned(a, int(i), bands[at : at + 256])
-                for e, s, z in zip(edits, start, end):
+                for e, s, z in zip(*self.aligned(a, int(i), bands[at : at + 256])):
                     if e <= self.k[i]:
-                        yield int(i), int(e), int(s), int(z)
+                        t = int(np.searchsorted(begin, (s + z) // 2, "right")) - 1  # ends may reach into a gap
+                        if self.whole[i]:
+                            held.add((t, name))
+                        yield t, int(i), int(e), int(s), int(z)
 
 
 def find_leaks(index: Index, texts: list[str | None]) -> Iterator[tuple[int, object, int, int, int]]:
@@ -190,8 +203,7 @@ def find_leaks(index: Index, texts: list[str | None]) -> Iterator[tuple[int, obj
         gap = np.full(index.gap, _GAP, np.uint32)
         joined = np.concatenate([x for _, a, _ in parts for x in (a, gap)])
         begin = np.cumsum([0] + [len(a) + index.gap for _, a, _ in parts])
-        for i, e, s, z in index.matches(joined):
-            p = int(np.searchsorted(begin, (s + z) // 2, "right")) - 1  # ends may reach into a gap
+        for p, i, e, s, z in index.matches(joined, begin):
             row, a, at = parts[p]
             lo, hi = max(s - begin[p], 0), min(z - begin[p], len(a))
             if hi > lo:

@@ -27,8 +27,8 @@ def plain_leak(item, text):
     a, b = decontaminate.normalized(item or "")[0], decontaminate.normalized(text or "")[0]
     if len(a) < decontaminate.SHORT:
         return 0 if len(a) and a.tobytes() == b.tobytes() else None
-    found = [(lo - hi, nearest(a[lo:hi], b)) for lo, hi in decontaminate.regions(len(a))]
-    found = [(size, e) for size, e in found if e <= -size // 10]
+    found = [(lo - hi, nearest(a[lo:hi], b), k) for lo, hi, k in decontaminate.regions(len(a))]
+    found = [(size, e) for size, e, k in found if e <= k]
     return min(found)[1] if found and len(b) else None
 
 
@@ -79,7 +79,7 @@ def test_leaks_are_those_within_the_edit_budget(spark):
         assert sorted((r.doc_id, r.item_id, r.edits) for r in got) == want
     for r in got:
         a, b = decontaminate.normalized(dict(items)[r.item_id])[0], decontaminate.normalized(texts[r.doc_id][r.start : r.end])[0]
-        assert r.edits in [nearest(a[lo:hi], b) for lo, hi in decontaminate.regions(len(a)) or [(0, len(a))]]
+        assert r.edits in [nearest(a[lo:hi], b) for lo, hi, _ in decontaminate.regions(len(a)) or [(0, len(a), 0)]]
     for block in (decontaminate.BLOCK_CHARS, 500):
         clean = decontaminate.drop_contaminated(docs, bench, block_chars=block)
         assert clean.columns == docs.columns
