@@ -122,7 +122,9 @@ def text_encoder(vocabulary: str, pattern: str, special_as_text: bool = False):
 
 
 def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
-    return ((keys * _U(0x9E3779B97F4A7C15)) >> _U(64 - bits)).astype(np.int64)
+    slot = keys * _U(0x9E3779B97F4A7C15)
+    slot >>= _U(64 - bits)
+    return slot.view(np.int64)
 
 
 def re_pair(ids: np.ndarray, terminals: int, min_count: int = MIN_COUNT,
@@ -138,10 +140,13 @@ def re_pair(ids: np.ndarray, terminals: int, min_count: int = MIN_COUNT,
     s, rules, lengths = ids.astype(np.uint32), [], []
     live = np.arange(len(s) - 1)  # places of pairs that may be frequent
     while len(live):
-        keys = (s[live].astype(np.uint64) << _U(32)) | s[live + 1]
+        every = len(live) == len(s) - 1
+        keys = (s[:-1] if every else s[live]).astype(np.uint64)
+        keys <<= _U(32)
+        keys |= s[1:] if every else s[live + 1]
         # pairs are counted by hash first; only those of full enough slots are sorted
         slot = _slot(keys, SLOT_BITS)
-        full = (np.bincount(slot, minlength=1 << SLOT_BITS) >= min_count)[slot]
+        full = np.flatnonzero((np.bincount(slot, minlength=1 << SLOT_BITS) >= min_count)[slot])
         live, keys, slot = live[full], keys[full], slot[full]
         ordered = np.sort(keys)
         new = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)])
@@ -155,9 +160,9 @@ def re_pair(ids: np.ndarray, terminals: int, min_count: int = MIN_COUNT,
         place = np.full(1 << SLOT_BITS, -1, np.int32)
         place[slots] = at  # of pairs that share a slot the most frequent stays
         rank = place[slot]
-        rank[chosen[rank] != keys] = -1
-        r = rank[rank >= 0]
-        where = live[rank >= 0]
+        at = np.flatnonzero(rank >= 0)
+        at = at[chosen[rank[at]] == keys[at]]
+        r, where = rank[at], live[at]
         near = where[1:] == where[:-1] + 1
         wins, right_better = np.ones(len(r), bool), np.append(near & (r[1:] < r[:-1]), False)
         wins[1:] = ~(near & (r[:-1] <= r[1:]))
@@ -170,7 +175,8 @@ def re_pair(ids: np.ndarray, terminals: int, min_count: int = MIN_COUNT,
             turn = (equal - start[run] + (~wins[start])[run]) % 2 == 0
             wins[equal] = turn & ~right_better[equal]
         hits, used = where[wins], r[wins]  # the most frequent pair always has some
-        kept, number = np.unique(used, return_inverse=True)
+        some = np.bincount(used, minlength=len(chosen)) > 0
+        kept, number = np.flatnonzero(some), (np.cumsum(some) - 1)[used]
         base = terminals + sum(map(len, rules))
         made = chosen[kept]
         rules.append(np.stack([made >> _U(32), made & _U(0xFFFFFFFF)], 1).astype(np.uint32))
