@@ -52,13 +52,19 @@ def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def build_panel(facts: Mapping[str, DataFrame], entity: str, period: str) -> DataFrame:
+def build_panel(
+    facts: Mapping[str, DataFrame], entity: str, period: str, min_gap: int | None = None, lagged: tuple[str, ...] = ()
+) -> DataFrame:
     """Fact tables (unique per entity and month) on their common spine.
 
     Adds ``<type>_present`` flags and an overall ``present`` flag.  Each fact table
     is read once: its rows go, tagged, into one aggregation by entity, which is
     written; entities, the common bounds and the facts of every month come from
     there.  An entity's row holds its panel, so it is bounded by the calendar.
+
+    ``min_gap`` adds the columns of ``flag_failures``; ``lagged`` adds, for columns
+    of the facts, ``<column>_before``, the value of the month before, and
+    ``panel_start``.  Both come from the entity's row: the panel is not sorted.
     """
     tables = list(facts.values())
     values = [[c for c in t.columns if c not in (entity, period)] for t in tables]
@@ -83,9 +89,18 @@ def build_panel(facts: Mapping[str, DataFrame], entity: str, period: str) -> Dat
     )
     per_entity = materialize(per_entity, "panel-entities")
     bounds = one_row(per_entity, lo=F.trunc(F.min("_lo"), "month"), hi=F.trunc(F.max("_hi"), "month"))
+    if min_gap is not None:
+        months = F.flatten(F.array(*[F.map_keys(f"_{j}") for j in range(len(tables))]))
+        last = F.array_max(F.filter(months, lambda m: m == F.trunc(m, "month")))
+        silent = F.months_between(bounds["hi"], F.col("last_reporting_date"))
+        per_entity = per_entity.withColumn("last_reporting_date", last).withColumn(
+            "failure_date", F.when(silent >= min_gap, F.add_months("last_reporting_date", 1))
+        )
     rows = per_entity.select(
         "*", F.explode(F.sequence(bounds["lo"], bounds["hi"], F.expr("interval 1 month"))).alias(period)
     )
+    for j in range(len(tables) if lagged else 0):
+        rows = rows.withColumn(f"_{j}_before", F.try_element_at(f"_{j}", F.add_months(period, -1)))
     for j in range(len(tables)):
         rows = rows.withColumn(f"_{j}", F.try_element_at(f"_{j}", F.col(period)))
     flags = {n: F.coalesce(F.col(f"_{j}.{j}_present"), F.lit(0)) for j, n in enumerate(facts)}
@@ -93,7 +108,15 @@ def build_panel(facts: Mapping[str, DataFrame], entity: str, period: str) -> Dat
     for j, n in enumerate(facts):
         columns += [*[F.col(f"_{j}.{_quoted(c)}").alias(c) for c in values[j]], flags[n].alias(f"{n}_present")]
     any_flag = list(flags.values())
-    return rows.select(*columns, (F.greatest(*any_flag) if len(any_flag) > 1 else any_flag[0]).alias("present"))
+    columns.append((F.greatest(*any_flag) if len(any_flag) > 1 else any_flag[0]).alias("present"))
+    if min_gap is not None:
+        failed = F.coalesce(F.col(period) >= F.col("failure_date"), F.lit(False))
+        columns += [F.col("last_reporting_date"), F.col("failure_date"), failed.cast("int").alias("failed")]
+    if lagged:
+        own = {c: j for j in range(len(tables)) for c in values[j]}
+        columns += [F.col(f"_{own[c]}_before.{_quoted(c)}").alias(f"{c}_before") for c in lagged]
+        columns.append(bounds["lo"].alias("panel_start"))
+    return rows.select(*columns)
 
 
 def flag_failures(

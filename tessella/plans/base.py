@@ -106,12 +106,11 @@ SUPPLIER_MONTHS = """supplier_months AS (
   FROM lineitem GROUP BY 1, 2)"""
 
 
-def customer_panel(spark: SparkSession, d: str) -> DataFrame:
+def customer_panel(spark: SparkSession, d: str, lagged: tuple[str, ...] = ()) -> DataFrame:
     """Rectangular customer x month panel with failure flags."""
-    from tessella.operators.panel import build_panel, flag_failures
+    from tessella.operators.panel import build_panel
 
-    panel = build_panel({"orders": customer_months(spark, d)}, "entity", "period")
-    return flag_failures(panel, "entity", "period")
+    return build_panel({"orders": customer_months(spark, d)}, "entity", "period", min_gap=6, lagged=lagged)
 
 
 CUSTOMER_PANEL = (

@@ -114,8 +114,11 @@ def model_ready_rows(spark, d):
 def model_ready(spark, d):
     from tessella.functions.numeric import regime_flag
 
-    p = customer_panel(spark, d).withColumn("date_m", F.last_day(D)).withColumn("amount", F.coalesce("amount", F.lit(0.0)))
-    lagged = FE.add_lags(p, E, D, ["amount"], [1])
+    p = customer_panel(spark, d, lagged=("amount",)).withColumn("date_m", F.last_day(D))
+    lagged = p.withColumns({
+        "amount": F.coalesce("amount", F.lit(0.0)),
+        "amount_lag1": F.when(F.col(D) > F.col("panel_start"), F.coalesce("amount_before", F.lit(0.0))),
+    })
     labelled = LB.early_warning_labels(lagged, "date_m", horizons=(1,))
     rows = LB.drop_post_event(labelled).withColumn("regime", regime_flag(F.col("date_m"), "1998-03-01"))
     tagged = LB.split_tag(rows, "date_m", "1999-12-31")
