@@ -131,6 +131,10 @@ def violation(w: np.ndarray, gradient: np.ndarray, fit: Fit) -> float:
 def _sums(trials: dict[int, tuple[object, tuple[int, ...], np.ndarray]], group: str):
     """(fit, place, value): loss, gradient and Hessian of each trial on a task's rows."""
 
+    alike: dict[object, dict[tuple[int, ...], list[int]]] = {}  # trials by group and features
+    for i, (g, kept, _) in trials.items():
+        alike.setdefault(g, {}).setdefault(tuple(kept), []).append(i)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {i: np.zeros(1 + len(w) + len(w) ** 2) for i, (_, _, w) in trials.items()}
         for b in batches:
@@ -139,18 +143,27 @@ def _sums(trials: dict[int, tuple[object, tuple[int, ...], np.ndarray]], group:
             x = b.column("x").flatten().to_numpy().reshape(b.num_rows, -1)
             x = np.column_stack([x, np.ones(b.num_rows)])
             y, weight = (b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("label", "weight"))
-            groups = np.array(b.column(group).to_pylist(), dtype=object)
-            inside = {g: np.flatnonzero(groups == g) for g in set(groups.tolist())}
-            for i, (g, kept, w) in trials.items():
-                at = inside.get(g)
-                if at is None:
+            coded = b.column(group).dictionary_encode()
+            codes = coded.indices.to_numpy(zero_copy_only=False)
+            for code, g in enumerate(coded.dictionary.to_pylist()):
+                if g not in alike:
                     continue
-                z = x[np.ix_(at, [*kept, x.shape[1] - 1])]
-                m = z @ w
-                p = 1 / (1 + np.exp(-np.clip(m, -700, 700)))
-                s = weight[at]
-                loss = (s * (np.logaddexp(0, m) - y[at] * m)).sum()
-                total[i] += np.concatenate([[loss], z.T @ (s * (p - y[at])), ((z * (s * p * (1 - p))[:, None]).T @ z).ravel()])
+                at = np.flatnonzero(codes == code)
+                s, t = weight[at][:, None], y[at][:, None]
+                for kept, own in alike[g].items():
+                    z = x[np.ix_(at, [*kept, x.shape[1] - 1])]
+                    m = z @ np.column_stack([trials[i][2] for i in own])
+                    small = np.exp(-np.abs(m))
+                    p = np.where(m >= 0, 1.0, small) / (1 + small)
+                    loss = (s * (np.maximum(m, 0) + np.log1p(small) - t * m)).sum(axis=0)
+                    slope = z.T @ (s * (p - t))
+                    k = z.shape[1]
+                    left, right = np.triu_indices(k)
+                    half = (z[:, left] * z[:, right]).T @ (s * p * (1 - p))
+                    curve = np.zeros((k, k, len(own)))
+                    curve[left, right] = curve[right, left] = half
+                    for c, i in enumerate(own):
+                        total[i] += np.concatenate([[loss[c]], slope[:, c], curve[:, :, c].ravel()])
         fit = np.repeat(list(total), [len(v) for v in total.values()])
         place = np.concatenate([np.arange(len(v)) for v in total.values()])
         yield pa.RecordBatch.from_arrays(
