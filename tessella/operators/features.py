@@ -123,45 +123,43 @@ def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
 
 
 def downsample_negatives(
-    df: DataFrame, label: str, keys: list[str], ratio: int, seed: int
+    df: DataFrame, label: str, keys: list[str], ratio: int, seed: int, groups: list[str] | None = None
 ) -> DataFrame:
     """All positives and the ``ratio * positives`` negatives with lowest hash.
 
+    With ``groups``, a short list (folds), every group is sampled on its own, all of
+    them in the same passes.
+
     A seeded hash of the row's keys orders the negatives, so the sample is the
     same on every run and its size is exact.  The global order is split in hash
     ranges, sixteen and more per shuffle partition: only the one range that holds
     the cut is ranked.
     """
+    groups = list(groups or [])
     bits = max(12, (16 * shuffle_partitions(df) - 1).bit_length())
-    h = F.xxhash64(F.lit(seed), *keys)
-    marked = df.withColumn("_h", h).withColumn(
+    marked = df.withColumn("_h", F.xxhash64(F.lit(seed), *keys)).withColumn(
         "_range", F.shiftright("_h", 64 - bits) + F.lit(1 << (bits - 1))
     )
-    pos = one_row(df, n=F.sum(F.col(label).cast("long")))["n"]
-    negatives = marked.filter(F.col(label) == 0)
-    counts = negatives.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(
-        Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = marked.groupBy(*groups, "_range").agg(
+        F.count(F.when(F.col(label) == 0, 1)).alias("_n"), F.sum(F.col(label).cast("long")).alias("_pos")
     )
+    each = Window.partitionBy(*groups)
+    before = F.sum("_n").over(each.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select(
-        "_range", F.coalesce(before, F.lit(0)).alias("_before"), "_n", (pos * ratio).alias("_quota")
+        *groups, "_range", "_n", F.coalesce(before, F.lit(0)).alias("_before"),
+        (F.sum("_pos").over(each) * ratio).alias("_quota"),
     )
-    quota = F.col("_quota")
-    placed = negatives.join(F.broadcast(offsets), "_range")  # at most 2 ** bits rows
-    whole = placed.filter(F.col("_before") + F.col("_n") <= quota)
-    w = Window.partitionBy("_range").orderBy("_h", *keys)
+    placed = marked.join(F.broadcast(offsets), [*groups, "_range"])  # at most 2 ** bits rows a group
+    quota, negative = F.col("_quota"), F.col(label) == 0
+    whole = placed.filter((F.col(label) == 1) | (negative & (F.col("_before") + F.col("_n") <= quota)))
+    w = Window.partitionBy(*groups, "_range").orderBy("_h", *keys)
     cut = (
-        placed.filter((F.col("_before") < quota) & (F.col("_before") + F.col("_n") > quota))
+        placed.filter(negative & (F.col("_before") < quota) & (F.col("_before") + F.col("_n") > quota))
         .withColumn("_rn", F.row_number().over(w))
         .filter(F.col("_before") + F.col("_rn") <= quota)
     )
     cols = df.columns
-    return (
-        marked.filter(F.col(label) == 1)
-        .select(*cols)
-        .unionByName(whole.select(*cols))
-        .unionByName(cut.select(*cols))
-    )
+    return whole.select(*cols).unionByName(cut.select(*cols))
 
 
 def usable_columns(df: DataFrame, cols: list[str], min_share: float = 0.5) -> DataFrame:

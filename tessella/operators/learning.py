@@ -243,29 +243,42 @@ def later_scores(
     return scored.select(*keys, "fold", F.col("label").alias(label), "raw")
 
 
-def fit_ensemble(train: DataFrame, features: list[str], label: str) -> tuple[Fitted, Fitted, Fitted]:
-    """L2 logistic with a Platt step on out-of-fold scores, and boosted trees."""
-    linear = fit_logistic(train, features, label)
-    trees = fit_gbt(train, features, label, rounds=10, balanced=False)
-    calibrator = platt(out_of_fold_scores(train, features, label), label, "raw")
-    return linear, calibrator, trees
+def _calibrators(train: DataFrame, numbers: list[int], every: tuple[int, ...], n: int = 3) -> tuple[list[Fit], list[Fit]]:
+    """Per fold an L2 fit of its train rows and a Platt step on out-of-fold scores.
 
-
-def blend(models: tuple[Fitted, Fitted, Fitted], df: DataFrame, out: str = "p") -> DataFrame:
-    """Mean of the calibrated linear and the tree probability."""
-    linear, calibrator, trees = models
-    scored = trees.score(calibrator.score(linear.score(df, "raw"), "p_linear"), "p_trees")
-    return scored.withColumn(out, (F.col("p_linear") + F.col("p_trees")) / 2).drop("raw", "p_linear", "p_trees")
+    Rows are dealt as in ``out_of_fold_scores``.  The fits of all folds, with all of
+    their rows and without each part, are made together, and so are the Platt steps.
+    """
+    place = F.col("fold") * n + F.pmod(F.xxhash64("x"), F.lit(n)).cast("int")
+    dealt = train.select("fold", "label", "x", F.lit(True).alias("is_train"), F.lit(1.0).alias("weight"), place.alias("place"))
+    sizes = dealt.groupBy("place").agg(F.count("label").alias("n"), F.sum(F.col("label").cast("long")).alias("pos")).collect()
+    counts = {r["place"]: (r["n"] - r["pos"], r["pos"]) for r in sizes}
+
+    def on(group: int, places: list[int]) -> Fit:
+        by_class = [sum(counts[p][k] for p in places if p in counts) for k in (0, 1)]
+        balanced = tuple(sum(by_class) / (2 * c) if c else 0.0 for c in by_class)
+        return Fit(group, 1.0, False, every, sees=tuple(places), classes=balanced)
+
+    own = {f: [f * n + k for k in range(n)] for f in numbers}
+    whole = [on(f, own[f]) for f in numbers]
+    without = [on(p, [q for q in own[f] if q != p]) for f in numbers for p in own[f]]
+    fit_many(dealt, "place", whole + without)
+    scores = score_many(dealt, "place", without, "raw").select(
+        "fold", "label", "is_train", F.lit(1.0).alias("weight"), F.array("raw").alias("x")
+    )
+    return whole, fit_many(materialize(scores, "raw-scores"), "fold", [Fit(f, 1e6, False, (0,)) for f in numbers])
 
 
 def out_of_fold(
-    folds: DataFrame, features: list[str], label: str, keys: list[str], neg_ratio: int = 20, seed: int = 42,
-    fit: Callable[[DataFrame, list[str], str], tuple[Fitted, Fitted, Fitted]] = fit_ensemble,
+    folds: DataFrame, features: list[str], label: str, keys: list[str], neg_ratio: int = 20, seed: int = 42
 ) -> DataFrame:
-    """Predictions of every validation fold by a model of its own train rows.
+    """Predictions of every validation fold by models of its own train rows: the
+    mean of a calibrated L2 logistic fit and of boosted trees.
 
     Folds without both classes in train are skipped; negatives are sampled
-    reproducibly; imputation and scaling are fitted inside the fold.
+    reproducibly; imputation and scaling are fitted inside the fold.  All folds
+    are sampled, prepared, fitted linearly and scored in the same passes; only the
+    trees are grown fold by fold, on the sampled rows.
     """
     info = (
         folds.groupBy("fold")
@@ -276,17 +289,33 @@ def out_of_fold(
         .orderBy("fold")
         .collect()
     )
-    def predictions(fold: int) -> DataFrame:
-        part = folds.filter(F.col("fold") == fold)
-        train = downsample_negatives(part.filter("role = 'train'"), label, keys, neg_ratio, seed)
-        tr, va = prepare(train, [train, part.filter("role = 'validate'")], features)
-        # Written once per fold: the tree rounds read it many times.
-        tr = materialize(tr, "fold-train")
-        p = blend(fit(tr, features, label), va)
-        return p.select(*keys, "fold", F.col(label).alias("y"), "p")
-
-    parts = _at_once(predictions, [r["fold"] for r in info if r["classes"] == 2 and r["n_valid"]])
-    return materialize(reduce(DataFrame.unionByName, parts), "out-of-fold")
+    numbers = [r["fold"] for r in info if r["classes"] == 2 and r["n_valid"]]
+    used = folds.filter(F.col("fold").isin(numbers))
+    sample = downsample_negatives(used.filter("role = 'train'"), label, keys, neg_ratio, seed, ["fold"])
+    rows = sample.unionByName(used.filter("role = 'validate'"))
+    ready = prepared_groups(rows, "fold", features, label, train=F.col("role") == "train", keys=tuple(keys))
+    # Written once for all folds: fits and tree rounds read the sample many times.
+    train = materialize(ready.filter("is_train").select("fold", "label", "x"), "fold-train")
+    linear, steps = _calibrators(train, numbers, tuple(range(len(features))))
+    named = [F.col("x")[j].alias(f) for j, f in enumerate(features)]
+
+    def grown(fold: int) -> Fitted:
+        own = train.filter(F.col("fold") == fold).select("label", *named)
+        return fit_gbt(own, features, "label", rounds=10, balanced=False)
+
+    trees = _at_once(grown, numbers)
+    known = train.sparkSession.createDataFrame(
+        [(f.group, f.intercept, float(f.coef[0])) for f in steps], "fold int, _level double, _slope double"
+    )
+    scored = score_many(ready.filter("not is_train"), "fold", linear, "raw").join(F.broadcast(known), "fold")  # one row per fold
+    scored = scored.withColumn("p_linear", 1 / (1 + F.exp(-(F.col("_level") + F.col("raw") * F.col("_slope")))))
+    kept = [*[F.col(k) for k in keys], "fold", F.col("label").alias("y"), "p_linear"]
+
+    def blended(fold: int, model: Fitted) -> DataFrame:
+        both = model.score(scored.filter(F.col("fold") == fold).select(*kept, *named), "p_trees")
+        return both.select(*keys, "fold", "y", ((F.col("p_linear") + F.col("p_trees")) / 2).alias("p"))
+
+    return materialize(reduce(DataFrame.unionByName, map(blended, numbers, trees)), "out-of-fold")
 
 
 def sweep_top_k(

@@ -27,48 +27,47 @@ MAX_PASSES = 200
 
 def prepared_groups(
     rows: DataFrame, group: str, features: list[str], label: str, train: Column | None = None,
-    keys: tuple[str, ...] = (), with_mean: bool = True,
+    keys: tuple[str, ...] = (), with_mean: bool = True, written: bool = False,
 ) -> DataFrame:
     """Rows with ``x``, the imputed and scaled features of their group, and ``weight``.
 
     Medians, means, deviations and balanced class weights of every group come
     from its rows with ``train`` only: all medians from one selection, the rest
-    from one aggregation.  Groups come from a short list (folds, slices).
+    from one aggregation by group.  Groups come from a short list (folds, slices).
+    Rows are written before they are read several times, unless they come from a
+    ``written`` table by row-wise steps.
     """
     train = F.lit(True) if train is None else train
-    rows = materialize(
-        rows.select(*keys, group, F.col(label).alias("label"), train.alias("is_train"), *[quoted(f).cast("double").alias(f"f{j}") for j, f in enumerate(features)]),
-        "groups",
+    rows = rows.select(
+        *keys, group, F.col(label).alias("label"), train.alias("is_train"), *[quoted(f).cast("double").alias(f"f{j}") for j, f in enumerate(features)]
     )
+    if not written:
+        rows = materialize(rows, "groups")
     groups = [r[0] for r in rows.select(group).distinct().orderBy(group).collect()]
-
-    def of(g: int, value: Column) -> Column:
-        return F.when((F.col(group) == groups[g]) & F.col("is_train"), value)
-
-    places = [(g, j) for g in range(len(groups)) for j in range(len(features))]
-    wide = rows.select(*[of(g, F.col(f"f{j}")).alias(f"m{g}_{j}") for g, j in places])
-    found = {r["column_name"]: r["value"] for r in percentiles(wide, wide.columns, [0.5]).collect()}
-    median = {(g, j): found.get(f"m{g}_{j}", 0.0) for g, j in places}
-
-    def filled(g: int, j: int) -> Column:
-        return of(g, F.coalesce(F.col(f"f{j}"), F.lit(median[g, j])))
-
-    stats = rows.agg(
-        F.array(*[F.avg(filled(g, j)) for g, j in places]).alias("mean"),
-        F.array(*[F.stddev_pop(filled(g, j)) for g, j in places]).alias("dev"),
-        F.array(*[F.count(of(g, F.when(F.col("label") == 1, 1))) for g in range(len(groups))]).alias("pos"),
-        F.array(*[F.count(of(g, F.col("label"))) for g in range(len(groups))]).alias("n"),
-    ).first()
-    k = len(features)
+    k, t = len(features), rows.schema[group].dataType.simpleString()
+    used = rows.filter("is_train")
+    number = F.create_map(*[v for g, name in enumerate(groups) for v in (F.lit(name), F.lit(g))])[F.col(group)]
+    found = percentiles(used, [f"f{j}" for j in range(k)], [0.5], number).collect()
+    at = {(r["part"], r["column_name"]): r["value"] for r in found}
+    median = {name: [float(at.get((g, f"f{j}"), 0.0)) for j in range(k)] for g, name in enumerate(groups)}
+    medians = rows.sparkSession.createDataFrame(list(median.items()), f"{group} {t}, _median array<double>")
+    filled = used.join(F.broadcast(medians), group).select(  # one row per group
+        group, "label", *[F.coalesce(F.col(f"f{j}"), F.col("_median")[j]).alias(f"f{j}") for j in range(k)]
+    )
+    by_group = filled.groupBy(group).agg(
+        F.array(*[F.avg(f"f{j}") for j in range(k)]).alias("mean"),
+        F.array(*[F.stddev_pop(f"f{j}") for j in range(k)]).alias("dev"),
+        F.count(F.when(F.col("label") == 1, 1)).alias("pos"), F.count("label").alias("n"),
+    )
+    stats = {r[group]: r for r in by_group.collect()}
+    empty = {"mean": [None] * k, "dev": [None] * k, "pos": 0, "n": 0}
     table = []
-    for g, name in enumerate(groups):
-        here = range(g * k, (g + 1) * k)
-        dev = [float(stats["dev"][i]) if stats["dev"][i] and stats["dev"][i] > 0 else 1.0 for i in here]
-        mean = [float(stats["mean"][i] or 0.0) if with_mean else 0.0 for i in here]
-        n, pos = stats["n"][g], stats["pos"][g]
-        weight = [n / (2 * c) if c else 0.0 for c in (n - pos, pos)]
-        table.append((name, [float(median[g, j]) for j in range(k)], mean, dev, weight))
-    t = rows.schema[group].dataType.simpleString()
+    for name in groups:
+        s = stats.get(name, empty)
+        dev = [float(d) if d and d > 0 else 1.0 for d in s["dev"]]
+        mean = [float(m or 0.0) if with_mean else 0.0 for m in s["mean"]]
+        weight = [s["n"] / (2 * c) if c else 0.0 for c in (s["n"] - s["pos"], s["pos"])]
+        table.append((name, median[name], mean, dev, weight))
     known = rows.sparkSession.createDataFrame(
         table, f"{group} {t}, _median array<double>, _mean array<double>, _dev array<double>, _weight array<double>"
     )
@@ -82,12 +81,18 @@ def prepared_groups(
 
 @dataclass
 class Fit:
-    """One penalised fit on the rows of ``group``; ``kept`` are its features."""
+    """One penalised fit on the rows of ``group``; ``kept`` are its features.
+
+    A fit that ``sees`` other groups is made on theirs instead, so that rows many fits
+    share are read once; ``classes`` are then its own weights of labels 0 and 1.
+    """
 
     group: object
     c: float
     l1: bool
     kept: tuple[int, ...]
+    sees: tuple = ()
+    classes: tuple[float, float] | None = None
     coef: np.ndarray = field(default_factory=lambda: np.zeros(0))
     intercept: float = 0.0
 
@@ -128,12 +133,17 @@ def violation(w: np.ndarray, gradient: np.ndarray, fit: Fit) -> float:
     return float(max(off.max(initial=0.0), abs(gradient[-1])))
 
 
-def _sums(trials: dict[int, tuple[object, tuple[int, ...], np.ndarray]], group: str):
+def _sums(
+    trials: dict[int, tuple[object, tuple[int, ...], np.ndarray]], group: str,
+    sees: dict[int, tuple] | None = None, classes: dict[int, tuple[float, float]] | None = None,
+):
     """(fit, place, value): loss, gradient and Hessian of each trial on a task's rows."""
 
-    alike: dict[object, dict[tuple[int, ...], list[int]]] = {}  # trials by group and features
+    alike: dict[object, dict[tuple, list[int]]] = {}  # trials by group, features and kind of weight
+    sees, classes = sees or {}, classes or {}
     for i, (g, kept, _) in trials.items():
-        alike.setdefault(g, {}).setdefault(tuple(kept), []).append(i)
+        for seen in sees.get(i, (g,)):
+            alike.setdefault(seen, {}).setdefault((tuple(kept), i in classes), []).append(i)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {i: np.zeros(1 + len(w) + len(w) ** 2) for i, (_, _, w) in trials.items()}
@@ -149,8 +159,9 @@ def _sums(trials: dict[int, tuple[object, tuple[int, ...], np.ndarray]], group:
                 if g not in alike:
                     continue
                 at = np.flatnonzero(codes == code)
-                s, t = weight[at][:, None], y[at][:, None]
-                for kept, own in alike[g].items():
+                t = y[at][:, None]
+                for (kept, by_class), own in alike[g].items():
+                    s = np.where(t == 1, *np.array([classes[i][::-1] for i in own]).T) if by_class else weight[at][:, None]
                     z = x[np.ix_(at, [*kept, x.shape[1] - 1])]
                     m = z @ np.column_stack([trials[i][2] for i in own])
                     small = np.exp(-np.abs(m))
@@ -178,16 +189,29 @@ def fit_many(ready: DataFrame, group: str, fits: list[Fit], tol: float = 1e-9) -
 
     Minimises the weighted log loss plus the penalty over C, the intercept free; a
     fit is done when the subgradient, per unit of weight, is within ``tol`` of zero.
+    Rows of one class only have no finite optimum: their fit is an infinite intercept.
     """
     train = ready.filter("is_train").select(group, "label", "weight", "x")
-    mass = {r[group]: r["m"] for r in train.groupBy(group).agg(F.sum("weight").alias("m")).collect()}
+    positive = F.count(F.when(F.col("label") == 1, 1))
+    sizes = train.groupBy(group).agg(F.sum("weight").alias("m"), positive.alias("pos"), F.count("label").alias("n")).collect()
+    sizes = {r[group]: (r["m"] or 0.0, r["n"] - r["pos"], r["pos"]) for r in sizes}
+    sees = {i: f.sees or (f.group,) for i, f in enumerate(fits)}
+    classes = {i: f.classes for i, f in enumerate(fits) if f.classes}
+    held = {i: [sum(sizes[g][k] for g in sees[i] if g in sizes) for k in range(3)] for i in sees}  # weight, rows by class
+    mass = {i: classes[i][0] * none + classes[i][1] * some if i in classes else m for i, (m, none, some) in held.items()}
     at = {i: np.zeros(len(f.kept) + 1) for i, f in enumerate(fits)}
     best: dict[int, tuple] = {}  # objective, gradient, hessian at the accepted place
     move: dict[int, tuple] = {}  # direction, length, expected change
     open_ = set(at)
+    for i, (_, none, some) in held.items():
+        if (none == 0) != (some == 0):
+            fits[i].coef, fits[i].intercept = np.zeros(len(fits[i].kept)), np.inf if some else -np.inf
+            open_.discard(i)
+    if not open_:
+        return fits
     for _ in range(MAX_PASSES):
         trials = {i: (fits[i].group, fits[i].kept, at[i] + (move[i][1] * move[i][0] if i in move else 0)) for i in open_}
-        got = train.mapInArrow(_sums(trials, group), "fit int, place int, value double").groupBy("fit", "place").agg(F.sum("value").alias("value"))
+        got = train.mapInArrow(_sums(trials, group, sees, classes), "fit int, place int, value double").groupBy("fit", "place").agg(F.sum("value").alias("value"))
         sums = {i: np.zeros(1 + len(w) + len(w) ** 2) for i, (_, _, w) in trials.items()}
         for r in got.collect():
             sums[r["fit"]][r["place"]] = r["value"]
@@ -202,7 +226,7 @@ def fit_many(ready: DataFrame, group: str, fits: list[Fit], tol: float = 1e-9) -
                     continue
             gradient, hessian = sums[i][1 : 1 + n], sums[i][1 + n :].reshape(n, n)
             at[i], best[i] = w, (value, gradient, hessian)
-            if violation(w, gradient, fit) <= tol * max(mass.get(fit.group, 0.0), 1e-300):
+            if violation(w, gradient, fit) <= tol * max(mass[i], 1e-300):
                 fit.coef, fit.intercept = w[:-1], float(w[-1])
                 open_.discard(i)
                 continue

@@ -107,10 +107,10 @@ _LOW = 0x7FFF_FFFF_FFFF_FFFF
 
 
 def _ordered_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Doubles as longs of the same order; nulls and NaN are null."""
+    """Doubles as longs of the same order; nulls and NaN are null.  The first column stays."""
     for b in batches:
-        out = []
-        for c in b.columns:
+        out = [b.column(0)]
+        for c in b.columns[1:]:
             x = c.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0  # one zero only
             bits = x.view(np.int64)
             out.append(pa.array(np.where(bits < 0, bits ^ _LOW, bits), pa.int64(), mask=np.isnan(x)))
@@ -121,7 +121,7 @@ def _double(bits: int) -> float:
     return struct.unpack("<d", struct.pack("<q", bits ^ _LOW if bits < 0 else bits))[0]
 
 
-def percentiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
+def percentiles(df: DataFrame, cols: list[str], probs: list[float], part: Column | None = None) -> DataFrame:
     """Exact linear-interpolation percentiles: (column_name, prob, value).
 
     A radix selection for all columns and ranks at once, without sorting.  The
@@ -131,12 +131,18 @@ def percentiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame
     counted by the next 16, and so on, until all that is left of a
     rank is one value.  The driver sees counts only, 65,536 at most per column and
     asked rank.
+
+    ``part`` numbers the rows of a short list of groups (folds, slices) from 0: each
+    has its own percentiles, with its number in the column ``part``.
     """
     spark = df.sparkSession
-    numeric = df.select(*[quoted(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
-    schema = ", ".join(f"c{i} long" for i in range(len(cols)))
+    k = len(cols)
+    number = F.lit(0) if part is None else part
+    numeric = df.select(number.cast("long").alias("part"), *[quoted(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    schema = ", ".join(["part long", *[f"c{i} long" for i in range(k)]])
     keys = materialize(numeric.mapInArrow(_ordered_bits, schema), "ordered-bits")
-    long = keys.select(F.inline(F.array(*[F.struct(F.lit(i).alias("at"), F.col(f"c{i}").alias("bits")) for i in range(len(cols))])))
+    places = [F.struct((F.col("part") * k + i).alias("at"), F.col(f"c{i}").alias("bits")) for i in range(k)]
+    long = keys.select(F.inline(F.array(*places)))
     rows = long.filter(F.col("bits").isNotNull())
 
     def counted(values: DataFrame, shift: int) -> dict[int, list[tuple[int, int, int, int]]]:
@@ -168,7 +174,7 @@ def percentiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame
                 first += n
         asked = open_
         if asked:
-            held = spark.createDataFrame(list(asked), "held_at int, held long")
+            held = spark.createDataFrame(list(asked), "held_at long, held long")
             same = (F.col("at") == F.col("held_at")) & (F.shiftright("bits", shift) == F.col("held"))
             rows = rows.join(F.broadcast(held), same, "left_semi")  # one row per column and asked rank at most
             if shift == 64 - DIGIT:
@@ -181,8 +187,9 @@ def percentiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame
         for p in probs:
             h = (n - 1) * p
             lo, hi = (_double(found[at, k]) for k in (math.floor(h), math.ceil(h)))
-            out.append((cols[at], float(p), lo if lo == hi else lo + (hi - lo) * (h - math.floor(h))))
-    return spark.createDataFrame(out, "column_name string, prob double, value double")
+            out.append((at // k, cols[at % k], float(p), lo if lo == hi else lo + (hi - lo) * (h - math.floor(h))))
+    found_rows = spark.createDataFrame(out, "part long, column_name string, prob double, value double")
+    return found_rows.drop("part") if part is None else found_rows
 
 
 def percentile_map(df: DataFrame, cols: list[str], probs: list[float]) -> Column:
