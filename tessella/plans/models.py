@@ -423,14 +423,13 @@ def refits_at_three_splits(spark, d):
     """The same fit at three split dates, metrics side by side."""
     from tessella.operators.metrics import quality_metrics
 
-    rows = labelled_panel(spark, d)
-    parts = []
-    for cut in ("1998-06-01", "1999-06-01", "2000-06-01"):
-        train, test = LB.time_split(rows, D, cut)
-        tr, te = LN.prepare(train, [train, test], FEATURES)
-        parts.append(LN.fit_logistic(tr, FEATURES, "y", l1=True).score(te).select("y", "p", F.lit(cut).alias("split_date")))
-    scored = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return quality_metrics(scored, "y", "p", ["split_date"])
+    cuts = ("1998-06-01", "1999-06-01", "2000-06-01")
+    rows = labelled_panel(spark, d).withColumn("split_date", F.explode(F.array(*map(F.lit, cuts))))
+    early = F.col(D) <= F.col("split_date").cast("date")
+    ready = MF.prepared_groups(rows, "split_date", FEATURES, "y", train=early, written=True)
+    fits = MF.fit_many(ready, "split_date", [MF.Fit(cut, 1.0, True, tuple(range(len(FEATURES)))) for cut in cuts])
+    scored = MF.score_many(ready.filter("not is_train"), "split_date", fits)
+    return quality_metrics(scored.select(F.col("label").alias("y"), "p", "split_date"), "y", "p", ["split_date"])
 
 
 @query("stable_features")

@@ -76,3 +76,10 @@ def test_a_group_of_one_class_has_an_infinite_intercept(spark):
     fits = MF.fit_many(ready, "g", [MF.Fit(1, 1.0, False, (0,)), MF.Fit(2, 1.0, False, (0,))])
     scored = MF.score_many(ready, "g", fits).collect()
     assert all(r.p == r.label for r in scored)
+
+
+def test_refits_at_split_dates_share_their_passes(spark, sf, monkeypatch):
+    from tessella.plans import models
+
+    monkeypatch.setattr(LN, "fit_logistic", lambda *a, **named: pytest.fail("a split is fitted alone"))
+    assert models.refits_at_three_splits(spark, sf).count() == 3
