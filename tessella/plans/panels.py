@@ -20,6 +20,7 @@ from tessella.plans.base import (
     supplier_months,
     table,
 )
+from tessella.session import split_by
 
 E, D = "entity", "period"
 
@@ -112,11 +113,12 @@ def panel_two_statement_types(spark, d):
     """Two statement types joined to one spine with a flag each."""
     li = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
     o = table(spark, d, "orders").filter("o_orderstatus = 'F'").select("o_orderkey", "o_orderdate")
-    ordered = (
-        li.join(o, li.l_orderkey == o.o_orderkey)
-        .groupBy(F.col("l_suppkey").alias(E), F.trunc("o_orderdate", "month").alias(D))
-        .agg(F.count_distinct("o_orderkey").alias("n_orders"))
-    )
+    # Both sides are dealt by order once: the join and the distinct orders of a supplier
+    # and month need no further shuffle, and only counts go on.
+    n = li.count()
+    joined = split_by(li, n, "l_orderkey").join(split_by(o, n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    pairs = joined.select("o_orderkey", F.col("l_suppkey").alias(E), F.trunc("o_orderdate", "month").alias(D)).distinct()
+    ordered = pairs.groupBy(E, D).agg(F.count("*").alias("n_orders"))
     shipped = supplier_months(spark, d).select(E, D, "price")
     return P.build_panel({"shipped": shipped, "ordered": ordered}, E, D)
 

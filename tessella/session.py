@@ -79,6 +79,12 @@ def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def split_by(df: DataFrame, n_rows: int, *keys: str, task_rows: int = 1_500_000) -> DataFrame:
+    """Rows dealt to tasks by a hash of ``keys``, as many tasks as hold about
+    ``task_rows`` of ``n_rows`` each: what a task sorts or counts does not grow with the table."""
+    return df.repartition(max(shuffle_partitions(df), -(-n_rows // task_rows)), *keys)
+
+
 def one_row(df: DataFrame, **aggregates: Column) -> Column:
     """Global statistics as a scalar-subquery struct.
 
