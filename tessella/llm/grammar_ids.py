@@ -34,17 +34,22 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessella.llm.registry import query, table
-from tessella.llm.token_units import Units, kept_in_worker
+from tessella.llm.token_units import kept_in_worker, unit_begins
 from tessella.session import scratch_path
 
 VOCABULARY, PATTERN = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
 END_ID, SHARD_IDS, MIN_COUNT, RULES_A_ROUND, SLOT_BITS = 2, 1 << 22, 16, 8192, 20
+#: Units kept per worker, their characters, and bytes of text that are cut together.
+KEPT_UNITS, LONGEST, SLICE_BYTES = 600_000, 48, 1 << 23
+_LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
+_STOP = np.isin(np.arange(256), [ord("."), ord(",")])
 _U = np.uint64
 
 
@@ -56,35 +61,36 @@ def byte_letters() -> dict[int, str]:
     return table_ | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-def unit_encoder(vocabulary: str, pattern: str, keep: int = 300_000):
+def unit_encoder(vocabulary: str, pattern: str, keep: int = KEPT_UNITS):
     """Ids of a unit (uint32 bytes): pre-tokens go to the vocabulary's BPE model."""
     tokenizer = Tokenizer.from_file(vocabulary)
     tokenize, split, letters = tokenizer.model.tokenize, regex.compile(pattern), byte_letters()
     space = letters[32]
-    cache: dict[str, bytes] = {}
+    units: dict[str, bytes] = {}
+    parts: dict[str, bytes] = {}  # pre-tokens of units that have several
 
     def piece(p: str) -> bytes:
-        got = cache.get(p)
+        if p.isascii() and p[1:].isalpha():  # letters stand for themselves
+            spelled = space + p[1:] if p[0] == " " else p
+        else:
+            spelled = p.encode().decode("latin-1").translate(letters)
+        return array("I", [t.id for t in tokenize(spelled)]).tobytes()
+
+    def known(cache: dict[str, bytes], size: int, key: str, make) -> bytes:
+        got = cache.get(key)
         if got is None:
-            if p.isascii() and p[1:].isalpha():  # letters stand for themselves
-                spelled = space + p[1:] if p[0] == " " else p
-            else:
-                spelled = p.encode().decode("latin-1").translate(letters)
-            got = array("I", [t.id for t in tokenize(spelled)]).tobytes()
-            if len(p) <= 48 and len(cache) < keep:
-                cache[p] = got
+            got = make(key)
+            if len(key) <= LONGEST and len(cache) < size:
+                cache[key] = got
         return got
 
-    def unit_ids(unit: str) -> bytes:
-        word = unit[1:]
-        if unit[:1] == " ":  # a space and letters are one pre-token
-            if word.isalpha():
-                return piece(unit)
-            if word[-1:] in (".", ",") and word[:-1].isalpha():
-                return piece(unit[:-1]) + piece(unit[-1])
-        return b"".join([piece(p) for p in split.findall(unit)])
+    def whole(unit: str) -> bytes:
+        if unit[:1] == " " and unit[1:].isalpha():  # a space and letters are one pre-token
+            return piece(unit)
+        pieces = split.findall(unit)
+        return piece(unit) if pieces == [unit] else b"".join([known(parts, keep // 6, p, piece) for p in pieces])
 
-    return unit_ids
+    return lambda unit: known(units, keep, unit, whole)
 
 
 def added_tokens(vocabulary: str, special_as_text: bool = False):
@@ -102,23 +108,71 @@ def added_tokens(vocabulary: str, special_as_text: bool = False):
     return regex.compile("|".join(one(found[c][1]) for c in longest_first)), {c: i for c, (i, _) in found.items()}
 
 
-def text_encoder(vocabulary: str, pattern: str, special_as_text: bool = False):
-    """Ids of a text (uint32 bytes): added tokens first, units of what lies between."""
-    units = Units(unit_encoder(vocabulary, pattern), 500_000)
+def texts_encoder(vocabulary: str, pattern: str, special_as_text: bool = False):
+    """Function from texts and a closing id to all their ids and the number of ids of each.
+
+    Added tokens are found first, units in what lies between.  All texts of a call
+    are cut together, and each distinct unit of them is looked up once.  As a stop
+    never goes on with a match of letters, nor letters with a line feed, units are
+    cut there too: most are one pre-token then.
+    """
+    unit_ids = unit_encoder(vocabulary, pattern)
     added, number = added_tokens(vocabulary, special_as_text)
 
-    def text_ids(text: str) -> bytes:
-        if not any(c in text for c in number):
-            return b"".join(units(text))
-        out, at = [], 0
-        for m in added.finditer(text):
-            if m.start() > at:
-                out += units(text[at : m.start()])
-            out.append(array("I", [number[m[m.lastindex]]]).tobytes())
-            at = m.end()
-        return b"".join(out + units(text[at:]))
+    def closed(texts: pa.LargeStringArray, closing: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts, each closed by its own id."""
+        _, edges, data = texts.buffers()
+        edges = np.frombuffer(edges, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        text = np.frombuffer(data or b"", np.uint8)[edges[0] : edges[-1]]
+        edges = edges - edges[0]
+        begins, letter = unit_begins(text, edges[:-1]), _LETTER[text]
+        begins[1:] |= (letter[:-1] & _STOP[text[1:]]) | (begins[:-1] & (text[:-1] == 10) & letter[1:])
+        starts = np.flatnonzero(begins)
+        units = pa.LargeStringArray.from_buffers(
+            len(starts), pa.py_buffer(np.append(starts, len(text))), pa.py_buffer(text)
+        ).dictionary_encode()
+        ends, of = np.unique(closing, return_inverse=True)
+        ids = list(map(unit_ids, units.dictionary.to_numpy(zero_copy_only=False)))
+        ids += [e.tobytes() for e in ends.astype("<u4")]
+        after = np.searchsorted(starts, edges[1:])
+        codes = np.insert(units.indices.to_numpy(), after, len(units.dictionary) + of)
+        taken = pa.array(ids, pa.large_binary()).take(pa.array(codes))
+        places = np.frombuffer(taken.buffers()[1], np.int64)[: len(taken) + 1] // 4
+        row_ends = places[after + np.arange(1, len(texts) + 1)]
+        return np.frombuffer(taken.buffers()[2], "<u4")[: places[-1]], np.diff(row_ends, prepend=0)
+
+    def texts_ids(texts: pa.Array, closing: int) -> tuple[np.ndarray, np.ndarray]:
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        if not any(pc.any(pc.match_substring(texts, c)).as_py() for c in number):
+            return closed(texts, np.full(len(texts), closing))
+        parts, ends, first = [], [], []
+        for text in texts.to_pylist():
+            at = 0
+            first.append(len(parts))
+            for m in added.finditer(text):
+                parts.append(text[at : m.start()])
+                ends.append(number[m[m.lastindex]])
+                at = m.end()
+            parts.append(text[at:])
+            ends.append(closing)
+        ids, sizes = closed(pa.array(parts, pa.large_string()), np.array(ends))
+        return ids, np.add.reduceat(sizes, first)
+
+    return texts_ids
+
+
+def text_encoder(vocabulary: str, pattern: str, special_as_text: bool = False):
+    """Ids of a text (uint32 bytes)."""
+    texts_ids = texts_encoder(vocabulary, pattern, special_as_text)
+    return lambda text: texts_ids(pa.array([text], pa.large_string()), 0)[0][:-1].tobytes()
+
 
-    return text_ids
+def slices(batch: pa.RecordBatch, text: str, size: int) -> Iterator[pa.RecordBatch]:
+    """Runs of a batch's rows with about ``size`` bytes of text; a longer text is alone or last."""
+    bytes_ = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    run = (np.cumsum(bytes_) - bytes_) // size
+    edges = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), batch.num_rows]
+    return (batch.slice(a, z - a) for a, z in zip(edges, edges[1:]) if z > a)
 
 
 def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -259,26 +313,28 @@ def pack(vocabulary: str, pattern: str, end_id: int, shard_ids: int, special_as_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = ("ids", vocabulary, pattern, special_as_text)
-        encode = kept_in_worker(name, lambda: text_encoder(vocabulary, pattern, special_as_text))
+        encode = kept_in_worker(name, lambda: texts_encoder(vocabulary, pattern, special_as_text))
         terminals = max(Tokenizer.from_file(vocabulary).get_vocab_size(), end_id + 1)
-        end, part, doc_ids, sizes, held, total, schema = np.uint32(end_id).tobytes(), 0, [], [], [], 0, None
+        part, doc_ids, sizes, held, total, schema = 0, [], [], [], 0, None
         for b in batches:
             id_type = b.schema.field("doc_id").type
             schema = pa.schema([
                 ("first", id_type), ("part", pa.int32()), ("terminals", pa.int32()), ("doc_ids", pa.list_(id_type)),
                 ("sizes", pa.list_(pa.int64())), ("pairs", pa.binary()), ("spans", pa.binary()), ("low", pa.binary()), ("high", pa.binary()),
             ])
-            for doc, text in zip(b.column("doc_id"), b.column("text")):
-                ids = encode(text.as_py() or "") + end
-                doc_ids.append(doc.as_py())
-                sizes.append(len(ids) // 4)
-                held.append(ids)
-                total += len(ids) // 4
-                if total >= shard_ids:
-                    yield _file(doc_ids[0], part, doc_ids, sizes, np.frombuffer(b"".join(held), np.uint32), terminals, schema)
-                    part, doc_ids, sizes, held, total = part + 1, [], [], [], 0
+            for some in slices(b, "text", SLICE_BYTES):
+                ids, counts = encode(some.column("text"), end_id)
+                at = 0
+                for doc, n in zip(some.column("doc_id").to_pylist(), counts.tolist()):
+                    doc_ids.append(doc)
+                    sizes.append(n)
+                    held.append(ids[at : at + n])
+                    at, total = at + n, total + n
+                    if total >= shard_ids:
+                        yield _file(doc_ids[0], part, doc_ids, sizes, np.concatenate(held), terminals, schema)
+                        part, doc_ids, sizes, held, total = part + 1, [], [], [], 0
         if doc_ids:
-            yield _file(doc_ids[0], part, doc_ids, sizes, np.frombuffer(b"".join(held), np.uint32), terminals, schema)
+            yield _file(doc_ids[0], part, doc_ids, sizes, np.concatenate(held), terminals, schema)
 
     return run
 

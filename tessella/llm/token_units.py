@@ -12,12 +12,17 @@ import sys
 from collections.abc import Callable
 from types import ModuleType
 
+import numpy as np
+
 #: Unicode White_Space, as the pattern's \s sees it.
 _RARE = "\t\x0b\x0c\r\x85\xa0  -     　"
 _WS = "\n " + _RARE
 _UNIT = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
 _PAIRS = ("  ", " \n", "\n ", "\n\n")
 _LONGEST = 48
+_SPACES = [c.encode() for c in map(chr, range(0x3001)) if re.match(f"[{_WS}]", c)]
+_NARROW = np.isin(np.arange(256), [c[0] for c in _SPACES if len(c) == 1])
+_WIDE = {n: [int.from_bytes(c) for c in _SPACES if len(c) == n] for n in (2, 3)}
 
 
 def units(text: str) -> list[str]:
@@ -25,6 +30,21 @@ def units(text: str) -> list[str]:
     return _UNIT.findall(text)
 
 
+def unit_begins(text: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Which UTF-8 bytes of whole texts begin a unit; the texts begin at ``rows``."""
+    space = _NARROW[text]
+    for n, wide in _WIDE.items():
+        lead = np.isin(np.arange(256), [w >> 8 * (n - 1) for w in wide])
+        at = np.flatnonzero(lead[text])
+        code = sum(text[at + i].astype(np.uint32) << np.uint32(8 * (n - 1 - i)) for i in range(n))
+        at = at[np.isin(code, wide)]
+        for i in range(n):
+            space[at + i] = True
+    begins = np.append(False, space[1:] & ~space[:-1])[: len(text)]
+    begins[rows[rows < len(text)]] = True
+    return begins
+
+
 class _Kept(dict):
     """Values by unit; what is missing is made, and kept while there is room."""
 
