@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tessella.operators.series import quoted
@@ -129,8 +129,9 @@ def percentiles(df: DataFrame, cols: list[str], probs: list[float], part: Column
     counted by their first 16 bits (map-side combine; 65,536 counts a column at
     most), and the values that share those bits with an asked rank are written and
     counted by the next 16, and so on, until all that is left of a
-    rank is one value.  The driver sees counts only, 65,536 at most per column and
-    asked rank.
+    rank is one value.  Running totals of the counts, in a task for each column and
+    asked rank, find the count that holds a rank; the driver gets no other: one at most
+    per column and asked rank, whatever the values.
 
     ``part`` numbers the rows of a short list of groups (folds, slices) from 0: each
     has its own percentiles, with its number in the column ``part``.
@@ -145,42 +146,42 @@ def percentiles(df: DataFrame, cols: list[str], probs: list[float], part: Column
     long = keys.select(F.inline(F.array(*places)))
     rows = long.filter(F.col("bits").isNotNull())
 
-    def counted(values: DataFrame, shift: int) -> dict[int, list[tuple[int, int, int, int]]]:
-        """Per column its (prefix, rows, least, greatest), in order."""
+    def holding(values: DataFrame, shift: int, held: DataFrame | None = None) -> list[Row]:
+        """The counts that hold an asked rank: column, prefix, first rank in it, its
+        asked ranks, least and greatest value, all rows of the column."""
         prefix = F.shiftright("bits", shift) if shift else F.col("bits")
-        got = values.groupBy("at", prefix.alias("prefix")).agg(F.count("*").alias("n"), F.min("bits").alias("lo"), F.max("bits").alias("hi"))
-        out: dict[int, list[tuple[int, int, int, int]]] = {}
-        for r in sorted(got.collect()):
-            out.setdefault(r["at"], []).append((r["prefix"], r["n"], r["lo"], r["hi"]))
-        return out
+        counts = values.groupBy("at", prefix.alias("prefix")).agg(F.count("*").alias("n"), F.min("bits").alias("lo"), F.max("bits").alias("hi"))
+        counts = counts.withColumn("within", F.lit(0).cast("long") if held is None else F.shiftright("prefix", DIGIT))
+        each = Window.partitionBy("at", "within")  # 2 ** DIGIT rows at most
+        earlier = each.orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("first", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+        if held is None:
+            counts = counts.withColumn("total", F.sum("n").over(each))
+            place = [(F.col("total") - 1) * F.lit(float(p)) for p in probs]
+            ranks = F.array_distinct(F.array(*[f(h) for h in place for f in (F.floor, F.ceil)]).cast("array<long>"))
+        else:
+            same = (F.col("at") == F.col("held_at")) & (F.col("within") == F.col("held"))
+            counts = counts.join(F.broadcast(held), same).withColumn("first", F.col("first") + F.col("held_first"))  # one row per column and asked rank at most
+            counts, ranks = counts.withColumn("total", F.lit(0).cast("long")), F.col("held_ranks")
+        inside = F.filter(ranks, lambda k: (k >= F.col("first")) & (k < F.col("first") + F.col("n")))
+        return counts.withColumn("ranks", inside).filter(F.size("ranks") > 0).select("at", "prefix", "first", "ranks", "lo", "hi", "total").collect()
 
     found: dict[tuple[int, int], int] = {}  # (column, rank) to its bits
     shift = 64 - DIGIT
-    ranges = counted(rows, shift)
-    total = {at: sum(n for _, n, _, _ in r) for at, r in ranges.items()}
-    # (column, range, first rank in it) to the ranks asked of it
-    asked = {(at, None): (0, sorted({k for p in probs for k in (math.floor((n - 1) * p), math.ceil((n - 1) * p))})) for at, n in total.items()}
-    while asked:
-        open_: dict[tuple[int, int], tuple[int, list[int]]] = {}
-        for (at, within), (first, ranks) in asked.items():
-            for prefix, n, lo, hi in ranges[at]:
-                if within is not None and prefix >> DIGIT != within:
-                    continue
-                inside = [k for k in ranks if first <= k < first + n]
-                if inside and lo == hi:
-                    found |= {(at, k): lo for k in inside}
-                elif inside:
-                    open_[at, prefix] = first, inside
-                first += n
-        asked = open_
-        if asked:
-            held = spark.createDataFrame(list(asked), "held_at long, held long")
-            same = (F.col("at") == F.col("held_at")) & (F.shiftright("bits", shift) == F.col("held"))
-            rows = rows.join(F.broadcast(held), same, "left_semi")  # one row per column and asked rank at most
-            if shift == 64 - DIGIT:
-                rows = materialize(rows, "percentile-values")
-            shift -= DIGIT
-            ranges = counted(rows, shift)
+    counts = holding(rows, shift)
+    total = dict(sorted((r["at"], r["total"]) for r in counts))
+    while True:
+        found |= {(r["at"], k): r["lo"] for r in counts if r["lo"] == r["hi"] for k in r["ranks"]}
+        asked = [(r["at"], r["prefix"], r["first"], r["ranks"]) for r in counts if r["lo"] < r["hi"]]
+        if not asked:
+            break
+        held = spark.createDataFrame(asked, "held_at long, held long, held_first long, held_ranks array<long>")
+        same = (F.col("at") == F.col("held_at")) & (F.shiftright("bits", shift) == F.col("held"))
+        rows = rows.join(F.broadcast(held), same, "left_semi")  # one row per column and asked rank at most
+        if shift == 64 - DIGIT:
+            rows = materialize(rows, "percentile-values")
+        shift -= DIGIT
+        counts = holding(rows, shift, held)
 
     out = []
     for at, n in total.items():
