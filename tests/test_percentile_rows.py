@@ -1,9 +1,13 @@
 """Percentiles bring the counts that hold an asked rank to the driver, no others."""
 
+import datetime as dt
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessella.operators import labels as LB
+from tessella.operators import learning as LN
 from tessella.operators import many_fits as MF
 from tessella.operators import quantiles as Q
 
@@ -48,3 +52,16 @@ def test_groups_are_prepared_by_as_many_counts_as_medians(spark, monkeypatch):
     ready = MF.prepared_groups(df, "fold", ["a", "b"], "y")
     assert seen and max(map(len, seen)) <= 2 * 2 * 2  # groups, features, ranks of a median
     assert ready.count() == 4000
+
+
+def test_predictions_of_folds_collect_sums_of_fits_at_most(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    rows = [
+        (e, dt.date(2020 + t // 12, t % 12 + 1, 1), float(1 + rng.random() / 100), float(1 + rng.random() / 100), int(rng.random() < 0.4))
+        for e in range(60) for t in range(30)
+    ]
+    df = spark.createDataFrame(rows, "e int, d date, a double, b double, y int").repartition(3)
+    seen = collected(monkeypatch, df)
+    out = LN.out_of_fold(LB.block_fold_rows(df, "d", 20, 3), ["a", "b"], "y", ["e", "d"], neg_ratio=2)
+    assert seen and max(map(len, seen)) <= 3 * 4 * (1 + 3 + 9)  # folds, fits of a fold, loss with gradient and Hessian
+    assert out.count() == 60 * 10
